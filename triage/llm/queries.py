@@ -2,22 +2,48 @@
 
 from __future__ import annotations
 
-from triage.llm import ngram_join
+from triage.llm import decontaminate, ngram_join
 from triage.llm.common import table
 
 QUERIES = {
+    "op9_decontaminate": lambda spark, sf_dir: decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_ngram_join": lambda spark, sf_dir: ngram_join.ngram_jaccard_components(table(spark, sf_dir, "documents")),
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op9_decontaminate": rf"""
+with words as (
+  select 'd' as kind, doc_id as id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all
+  select 'b', item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
+), wins as (
+  select distinct id as item_id, least(len(w), 10) as k,
+         unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) as g
+  from words where kind = 'b' and len(w) > 0
+), ks as (select distinct k from wins), grams as (
+  select id as doc_id, k, unnest(range(1, len(w) - k + 2)) as pos,
+         unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as g
+  from words cross join ks where kind = 'd' and len(w) >= k
+), hits as (
+  select doc_id, item_id, pos, grams.k from grams join wins on wins.k = grams.k and wins.g = grams.g
+), marked as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(pos, pos + k)) as p from hits) group by 1
+), named as (
+  select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+  from (select distinct doc_id, item_id::varchar as id from hits) group by 1
+)
+select w.id as doc_id, len(w.w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words w left join marked m on m.doc_id = w.id left join named n on n.doc_id = w.id where w.kind = 'd'
+""",
     "op10_ngram_join": rf"""
 with recursive w as (
   select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents
 ), s as (
   select distinct doc_id, unnest(case when len(w) >= 5
-      then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+      then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
       when len(w) > 0 then ['# ' || array_to_string(w, ' ')] else []::varchar[] end) as g
   from w
 ), n as (
