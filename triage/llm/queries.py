@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from triage.llm import decontaminate, ngram_join
+import public_tokenizers
+
+from triage.llm import decontaminate, ngram_join, packing
 from triage.llm.common import table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES = {
+    "op1_mixture_packing": lambda spark, sf_dir: packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False).drop("ids"),
     "op9_decontaminate": lambda spark, sf_dir: decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_ngram_join": lambda spark, sf_dir: ngram_join.ngram_jaccard_components(table(spark, sf_dir, "documents")),
 }
