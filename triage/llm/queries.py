@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from triage.llm import decontaminate, ngram_join, packing
+from triage.llm import decontaminate, ngram_join, packing, sharding
 from triage.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES = {
+    "op7_feistel_shards": lambda spark, sf_dir: sharding.assign_shards(table(spark, sf_dir, "documents")),
     "op1_mixture_packing": lambda spark, sf_dir: packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False).drop("ids"),
     "op9_decontaminate": lambda spark, sf_dir: decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_ngram_join": lambda spark, sf_dir: ngram_join.ngram_jaccard_components(table(spark, sf_dir, "documents")),
@@ -17,7 +18,42 @@ QUERIES = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The rounds of the permutation, each from the (u, v) of the one before.
+_ROUNDS = ",\n".join(
+    f"r{i} as (select {'id, (u + f) % a as u, v' if i % 2 == 0 else 'id, u, (v + f) % b as v'}, a, b from ("
+    f" select *, xor(z, z >> 11) as f from (select *, xor(y, y >> 13) % 2147483647 * 69621 % 2147483647 as z from ("
+    f"  select *, ({'v' if i % 2 == 0 else 'u'} + {k}) % 2147483647 * 48271 % 2147483647 as y from r{i - 1}))))"
+    for i, k in enumerate(sharding.round_keys(2024))
+).replace("r-1", "pairs")
+
 ORACLE_SQL = {
+    "op7_feistel_shards": f"""
+with recursive crc_table as (
+  select list(c order by i) as t from (
+    select i, list_reduce(list_prepend(i::ubigint, list_transform(range(8), lambda k: k::ubigint)),
+      lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end) as c from range(256) t(i))
+), sized as (
+  select doc_id, octet_length(encode(coalesce(text, ''))) + 16 as size,
+    xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::ubigint)),
+      lambda x, y: xor(x >> 8, t[((xor(x, y) & 255) + 1)::bigint])), 4294967295::ubigint) as text_crc32
+  from documents cross join crc_table
+), numbered as (
+  select *, row_number() over (order by coalesce(doc_id, 0) % {sharding.BUCKETS}, doc_id nulls first, size, text_crc32) - 1 as number,
+         count(*) over () as n from sized
+), shape as (
+  select n, a, (n + a - 1) // a as b from (select n, ceil(sqrt(n))::bigint as a from (select max(n) as n from numbered))
+), pairs as (
+  select id, id // b as u, id % b as v, a, b from shape, range(a * b) t(id)
+), {_ROUNDS}, step as (
+  select id, u * b + v as next from r{sharding.ROUNDS - 1}
+), way as (
+  select id, next from step, shape where id < n
+  union all
+  select way.id, step.next from way join step on step.id = way.next, shape where way.next >= n
+)
+select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'rows' as law, (next % 40)::int as shard, next // 40 as slot, null::int as grown_shard
+from numbered join way on way.id = number, shape where next < shape.n
+""",
     "op9_decontaminate": rf"""
 with words as (
   select 'd' as kind, doc_id as id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
