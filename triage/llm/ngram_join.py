@@ -225,15 +225,17 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     keys = C.written(sets.select("rep", "n_shingles", "zone").mapInArrow(_keys(hot), "token long, doc long, n long"), "keys")
     pivots = keys.groupBy("token").agg(F.min("doc").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("token", "pivot")
     members = C.written(keys.join(pivots, "token").select("pivot", "doc", "n").distinct(), "members")
-    blocks = members.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
-    blocks = blocks.select("pivot", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = members.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    large = sizes.select("pivot", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
     tasks = (
-        members.join(blocks, "pivot")
+        members.join(large, "pivot", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own")))))
         .select("pivot", "doc", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
     )
-    joined = tasks.join(own.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    # most texts are in no bucket, but too many are for a broadcast at any size worth the name
+    joined = tasks.hint("merge").join(own.select(F.col("doc_id").alias("doc"), "text"), "doc")
     links = joined.repartition("pivot", "bi", "bj").sortWithinPartitions("pivot", "bi", "bj").mapInArrow(_bucket_join, "u long, v long")
     roots = components(links)
     named_sets = sets.drop("zone").join(roots, F.col("rep") == F.col("u"), "left").select("sig1", "sig2", "n_shingles", F.coalesce("root", "rep").alias("component"))
