@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from triage.llm import decontaminate, ngram_join, packing, sharding
+from triage.llm import decontaminate, line_dedup, ngram_join, packing, sharding
 from triage.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES = {
+    "op6_line_dedup": lambda spark, sf_dir: line_dedup.line_report(table(spark, sf_dir, "documents")),
     "op7_feistel_shards": lambda spark, sf_dir: sharding.assign_shards(table(spark, sf_dir, "documents")),
     "op1_mixture_packing": lambda spark, sf_dir: packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False).drop("ids"),
     "op9_decontaminate": lambda spark, sf_dir: decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
@@ -27,6 +28,25 @@ _ROUNDS = ",\n".join(
 ).replace("r-1", "pairs")
 
 ORACLE_SQL = {
+    "op6_line_dedup": rf"""
+with l as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as k from documents
+), w as (
+  select doc_id, k, regexp_extract_all({_LOWER.replace("text", "line")}, '[^\x20\x09-\x0D]+') as w from l
+), t as (
+  select distinct doc_id, k, unnest(case when len(w) >= {line_dedup.K}
+      then list_transform(range(1, len(w) - {line_dedup.K} + 2), lambda i: array_to_string(w[i:i + {line_dedup.K} - 1], ' '))
+      else ['# ' || array_to_string(w, ' ')] end) as g
+  from w where len(w) >= {line_dedup.LEAST_WORDS}
+), n as (select doc_id, k, count(*) as n from t group by 1, 2), gone as (
+  select distinct doc_id, k from (
+    select y.doc_id, y.k from t y join t x on x.g = y.g and (x.doc_id, x.k) < (y.doc_id, y.k)
+    join n a on a.doc_id = x.doc_id and a.k = x.k join n b on b.doc_id = y.doc_id and b.k = y.k
+    group by y.doc_id, y.k, x.doc_id, x.k having 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*)))
+), g as (select doc_id, count(*) as n_removed, string_agg(k::varchar, ',' order by k) as removed_lines from gone group by 1)
+select d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::bigint as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(removed_lines, '') as removed_lines
+from documents d left join g using (doc_id)
+""",
     "op7_feistel_shards": f"""
 with recursive crc_table as (
   select list(c order by i) as t from (
