@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from triage.llm import decontaminate, line_dedup, ngram_join, packing, sharding
+from triage.llm import decontaminate, language_id, line_dedup, ngram_join, packing, quality, sharding, toxicity
 from triage.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES = {
+    "op3_toxicity": lambda spark, sf_dir: toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op5_language_id": lambda spark, sf_dir: language_id.predict_languages(table(spark, sf_dir, "documents")),
+    "op8_quality": lambda spark, sf_dir: quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_line_dedup": lambda spark, sf_dir: line_dedup.line_report(table(spark, sf_dir, "documents")),
     "op7_feistel_shards": lambda spark, sf_dir: sharding.assign_shards(table(spark, sf_dir, "documents")),
     "op1_mixture_packing": lambda spark, sf_dir: packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False).drop("ids"),
