@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from triage.llm import decontaminate, language_id, line_dedup, lm_score, ngram_join, packing, quality, sharding, toxicity
+from triage.llm import decontaminate, language_id, line_dedup, lm_score, multi_index, ngram_join, packing, quality, sharding, toxicity
 from triage.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -12,6 +12,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 QUERIES = {
     "op2_lm_score": lambda spark, sf_dir: lm_score.lm_scores(table(spark, sf_dir, "documents")),
     "op3_toxicity": lambda spark, sf_dir: toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op4_multi_index": lambda spark, sf_dir: multi_index.nearest_neighbours(table(spark, sf_dir, "embeddings")),
     "op5_language_id": lambda spark, sf_dir: language_id.predict_languages(table(spark, sf_dir, "documents")),
     "op8_quality": lambda spark, sf_dir: quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_line_dedup": lambda spark, sf_dir: line_dedup.line_report(table(spark, sf_dir, "documents")),
