@@ -125,7 +125,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
 
     ``benchmark`` has ``item_id, text``. Null and wordless texts have no words and aren't hit; wordless
@@ -146,6 +146,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = met.join(texts, "item_id").groupBy("doc_id", "text_key").agg(F.collect_list("item").alias("items"))
     left, right = key.alias("k"), found.alias("f")
     both = left.join(right, F.col("k.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("k.text_key") == F.col("f.text_key")), "left")
-    out = both.select("k.doc_id", "k.text", F.coalesce("f.items", F.array().cast(f"array<struct<item_id:{kind},text:string>>")).alias("items"))
-    out = out.mapInArrow(_extend, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    out = both.select("k.doc_id", "k.text_key", "k.text", F.coalesce("f.items", F.array().cast(f"array<struct<item_id:{kind},text:string>>")).alias("items"))
+    out = out.mapInArrow(_extend, "doc_id long, text_key long, n_words long, n_hit long, n_items long, items_sha256 string")
+    out = out.withColumn("contaminated", F.col("n_hit") > 0)
+    return out if with_key else out.drop("text_key")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of any item."""
+    hit = contamination(docs, benchmark, id_col, text_col, with_key=True).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__key"))
+    return docs.join(C.written(hit, "hit"), same, "left_anti")

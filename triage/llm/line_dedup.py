@@ -34,6 +34,8 @@ LEAST_WORDS = 4
 #: Repeats from which a token or a line counts as frequent; MOST bounds the lists, which are broadcast.
 HOT_TOKEN, HOT_LINE, MOST = 200, 50, 1 << 20
 BLOCK_LINES = 20_000
+#: Buckets of so few lines are compared pair by pair.
+SMALL = 6
 
 
 def lines_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,13 +62,20 @@ def line_sets(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray
             tokens.append(C.grams(words, n)[begin[:-1][short]])
             where.append(short)
     tok, at = np.concatenate(tokens), np.concatenate(where)
-    order = np.lexsort((tok, at))
+    order = np.argsort(_by_line(tok, at))
     tok, at = tok[order], at[order]
     new = np.ones(len(tok), dtype=bool)
     new[1:] = (tok[1:] != tok[:-1]) | (at[1:] != at[:-1])
     return tok[new], at[new], count
 
 
+def _by_line(tok: np.ndarray, at: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
+    """One sort key of line, whether the token is frequent, and the leading bits of its hash."""
+    wide = np.uint64(int(at.max()).bit_length() + 1 if len(at) else 1)
+    key = (at.astype(np.uint64) << (np.uint64(64) - wide)) | (tok >> (wide + np.uint64(1)))
+    return key if frequent is None else key | (frequent.astype(np.uint64) << (np.uint64(63) - wide))
+
+
 def _signatures(tok: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.bincount(at, minlength=n)
     begin = np.concatenate([[0], np.cumsum(size)])
@@ -128,7 +137,7 @@ def _keys(hot) -> object:
                     often[often] = (own[:, 0] != doc[often]) | (own[:, 1] != number[often])
                 keep = known & ~often
                 frequent = _isin(tokens, tok)
-                order = np.lexsort((tok, frequent, at))
+                order = np.argsort(_by_line(tok, at, frequent))
                 tok, at = tok[order], at[order]
                 begin = np.cumsum(size) - size
                 prefix = size - (PERCENT * size + 99) // 100 + 1
@@ -183,6 +192,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def later_matches(order: list[tuple[int, int]], sets: list[np.ndarray], percent: int = PERCENT) -> set[tuple[int, int]]:
     """Which lines of a bucket have an earlier one with the wanted similarity."""
+    if len(sets) <= SMALL:
+        by = sorted(range(len(sets)), key=order.__getitem__)
+        return {order[y] for k, y in enumerate(by) if any(order[x] != order[y] and similar(sets[x], sets[y], percent) for x in by[:k])}
     rank = Counter(t for s in sets for t in s.tolist())
     index: dict[int, list[tuple[int, int]]] = defaultdict(list)
     gone: set[tuple[int, int]] = set()

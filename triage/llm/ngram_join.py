@@ -241,3 +241,16 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     named_sets = sets.drop("zone").join(roots, F.col("rep") == F.col("u"), "left").select("sig1", "sig2", "n_shingles", F.coalesce("root", "rep").alias("component"))
     out = digest.drop("zone").join(named_sets, ["sig1", "sig2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, one for each id; rows without an id stay."""
+    found = C.written(ngram_jaccard_components(docs, id_col, text_col), "components")
+    key = F.col(f"`{id_col}`").cast("long")
+    others = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(others, key == F.col("__id"), "left_anti")
+    again = C.written(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__id")), "again")
+    if again.limit(1).count():
+        once = kept.join(again, key == F.col("__id"), "left_semi").dropDuplicates([id_col])
+        kept = kept.join(again, key == F.col("__id"), "left_anti").unionByName(once)
+    return kept

@@ -153,3 +153,22 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.pmod(C.id_crc32("doc_id"), F.lit(3)) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
     out = own.mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def _clean(model) -> object:
+    score = _score(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            only = pa.RecordBatch.from_arrays([batch.column("text").cast(pa.string())], names=["text"])
+            got = [x.column("score") for x in score(iter([only]))]
+            if got:
+                yield batch.filter(pa.array(np.concatenate([np.asarray(g) for g in got]) < THRESHOLD))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the classifier doesn't call toxic, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels, "toxic", 3, 1, SAMPLE)))
+    return docs.mapInArrow(_clean(model), docs.schema)
