@@ -2,5 +2,225 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from triage.functions import text as T
+from triage.jobs.adapters import WITH, tables
+from triage.operators import hotspots as H
+from triage.operators import paths as P
+from triage.operators import summary as S
+from triage.operators import tagging as G
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = f"{WITH}{sql}"
+        return f
+
+    return register
+
+
+# --- SQL that several oracles share ---------------------------------------------------------------
+
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_ANSI = r"'(?:\x1B|#x1B)\[[0-9;]*[A-Za-z]'"
+_TIDY = r"regexp_replace(regexp_replace(case when contains(path, '/') then path else replace(path, '.', '/') end, '/+', '/', 'g'), '^/|/$', '', 'g')"
+
+#: raw -> path and the parts after it.
+_SPLIT = """
+, raws as (select distinct name as raw, replace(name, chr(92), '/') as s from results), cut as (
+  select raw, case when contains(s, '::') then string_split(s, '::')[1] when contains(s, '#') then string_split(s, '#')[1]
+      when contains(s, '.') then regexp_extract(s, '^(.*)\\.[^.]*$', 1) else s end as path,
+    case when contains(s, '::') then string_split(s, '::')[2:] when contains(s, '#') then [string_split(s, '#')[2]]
+      when contains(s, '.') then [regexp_extract(s, '\\.([^.]*)$', 1)] else []::varchar[] end as parts from raws)"""
+_PYTHON = _SPLIT + f"""
+, named as (select raw, array_to_string(list_prepend(case when ends_with({_TIDY}, '.py') then {_TIDY} else {_TIDY} || '.py' end, parts), '::') as id from cut)"""
+_BARE = r"regexp_replace({}, '(?:\[[^\]]*\]|\([^\)]*\))+$', '')"
+_MATCH = _PYTHON + f"""
+, tokens as (select node_ord, node_id, string_split(node_id, '::')[-1] as token from nodes), idx as (select token, arg_min(node_id, node_ord) as node_id from tokens group by token)
+, keyed as (select r.*, n.id, string_split(n.id, '::')[-1] as token from results r join named n on n.raw = r.name)
+, matched as (select k.project, k.run_id, k.ord, k.name, k.status, k.message, coalesce(a.node_id, b.node_id, c.node_id, d.node_id) as node_id from keyed k
+  left join nodes a on a.node_id = k.id
+  left join nodes b on b.node_id = left(k.id, length(k.id) - length(k.token)) || {_BARE.format('k.token')}
+  left join idx c on c.token = k.token left join idx d on d.token = {_BARE.format('k.token')})
+, last as (select project, run_id, node_id, arg_max(status, ord) as status, regexp_replace(arg_max(message, ord) filter (where message <> ''), {_ANSI}, '', 'g') as error_message
+  from matched where node_id is not null group by all)
+, runs as (select distinct run_id from results)
+, status as (select coalesce(t.run_id, l.run_id) as run_id, coalesce(t.node_id, l.node_id) as node_id, coalesce(l.status, 'not_executed') as status, l.error_message
+  from (select run_id, node_id from nodes cross join runs where is_test) t full join last l on l.run_id = t.run_id and l.node_id = t.node_id)"""
+_FAILED = _MATCH + ", failed as (select distinct s.node_id as test_id from status s join nodes n on n.node_id = s.node_id and n.is_test where s.status = 'failed')"
+
+_SHOWN = r"""
+, inner_idx as (select string_split(node_id, '::')[-1] as token, arg_min(node_id, node_ord) as node_id from nodes where type <> 'external' group by 1)
+, attr as (select n.node_id, coalesce(i.node_id, n.node_id) as shown from nodes n left join inner_idx i on n.type = 'external'
+    and i.token = regexp_replace(regexp_replace(n.node_id, '^(?:external|project|nuget)::', ''), '/\d+$', ''))
+, step as (select a.node_id, a.shown, m.is_test, not contains('/' || lower(m.file), '/venv/') as keep from attr a join nodes m on m.node_id = a.shown)"""
+
+
+def _walk(down: bool) -> str:
+    a, b = ("src", "dst") if down else ("dst", "src")
+    add = "list_append(w.shown, s.shown)" if down else "list_prepend(s.shown, w.shown)"
+    return f"""
+, walk as (
+  select f.test_id, [f.test_id] as path, case when s.keep then [s.shown] else []::varchar[] end as shown, case when s.keep and not s.is_test then 1 else 0 end as non_test, 0 as hop
+  from failed f join step s on s.node_id = f.test_id
+  union all
+  select w.test_id, list_append(w.path, e.{b}), case when s.keep then {add} else w.shown end, w.non_test + case when s.keep and not s.is_test then 1 else 0 end, w.hop + 1
+  from walk w join edges e on e.{a} = w.path[-1] join step s on s.node_id = e.{b} where w.hop < 6 and not list_contains(w.path, e.{b})
+), uniq as (select distinct test_id, array_to_string(shown, '>') as steps, shown, non_test, len(shown) as len from walk where hop > 0 and len(shown) >= {2 if down else 1})
+, ranked as (select *, row_number() over (partition by test_id order by non_test desc, len desc, shown) as path_rank from uniq)
+, best as (select * from ranked where path_rank <= 5)"""
+
+
+def _status(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    t = tables(spark, sf_dir, "results", "edges")
+    return t, G.node_status(t["results"], t["nodes"], "python")
+
+
+def _failed(t: dict[str, DataFrame], status: DataFrame) -> DataFrame:
+    tests = t["nodes"].where("is_test").select("project", "node_id")
+    return status.where("status = 'failed'").join(tests, ["project", "node_id"], "left_semi").select("project", "run_id", F.col("node_id").alias("test_id"))
+
+
+# --- text -----------------------------------------------------------------------------------------
+
+
+def _names(lang: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        r = tables(spark, sf_dir, "results")["results"].select("name").distinct()
+        return r.select("name", T.normalize_test_name(F.col("name"), lang).alias("id"))
+
+    run.__name__ = f"normalize_names_{lang}"
+    return run
+
+
+query(_PYTHON + " select raw as name, id from named")(_names("python"))
+_OWNER = """
+, seg as (select raw, path, parts, list_filter(string_split(regexp_replace(replace(path, '.', '/'), '/+', '/', 'g'), '/'), lambda x: x <> '') as segs from cut)
+, core as (select raw, parts, list_filter(segs, lambda x: lower(x) not in ('src', 'main', 'test', 'tests', 'java', 'csharp', 'bin', 'obj', 'build', 'target')) as core, segs,
+   case when ends_with(lower(path), '.java') or ends_with(lower(path), '.cs') then regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') end as stem from seg)
+, owned as (select raw, parts, coalesce(nullif(stem, ''), core[-1], segs[-1], 'Unknown') as owner from core)"""
+for _lang, _ext in (("java", ".java"), ("csharp", ".cs")):
+    query(_SPLIT + _OWNER + f" select raw as name, case when len(parts) > 0 then array_to_string(list_concat([owner || '{_ext}', owner], parts), '::') else owner || '{_ext}' end as id from owned")(_names(_lang))
+
+
+@query(rf" select ord, regexp_replace({_STRIP.format('message')}, {_ANSI}, '', 'g') as message from results")
+def clean_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir, "results")["results"].select("ord", T.clean_text(F.col("message")).alias("message"))
+
+
+@query(r""" select distinct name, regexp_replace(name, '(?:\[[^\]]*\]|\([^\)]*\))+$', '') as bare,
+ regexp_replace(regexp_replace(name, '(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\})$', ''), '^\s+|\s+$', '', 'g') as once from results""")
+def strip_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("name")
+    return tables(spark, sf_dir, "results")["results"].select("name", T.strip_param_suffix(n).alias("bare"), T.strip_params(n).alias("once")).distinct()
+
+
+# --- tagging and counts ---------------------------------------------------------------------------
+
+
+@query(_MATCH + """ select 'p' as project, s.run_id, count(*) as total_tests, count(*) filter (where s.status in ('passed', 'failed', 'skipped')) as executed_tests,
+  count(*) filter (where s.status = 'passed') as passed_tests, count(*) filter (where s.status = 'failed') as failed_tests, count(*) filter (where s.status = 'skipped') as skipped_tests,
+  count(*) filter (where s.status not in ('passed', 'failed', 'skipped')) as untagged_tests
+from status s join nodes n on n.node_id = s.node_id and n.is_test group by s.run_id""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, status = _status(spark, sf_dir)
+    return S.run_summary(status, t["nodes"])
+
+
+@query(_MATCH + """ select 'p' as project, s.run_id, s.node_id as name, n.file, n.start_line as line, coalesce(s.error_message, '') as error, '' as doc
+from status s join nodes n on n.node_id = s.node_id and n.is_test where s.status = 'failed'""")
+def failed_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, status = _status(spark, sf_dir)
+    return S.failed_detail(status, t["nodes"])
+
+
+@query(_MATCH + " select project, run_id, ord, name from matched where node_id is null")
+def unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir, "results")
+    return G.unmatched_results(t["results"], t["nodes"], "python")
+
+
+@query(_MATCH + """, half as (select run_id <= '2024-01-15' as old, node_id, status, error_message, run_id from status where status <> 'not_executed')
+, a as (select node_id, arg_max(status, run_id) as status, arg_max(error_message, run_id) as error_message from half where old group by 1)
+, b as (select node_id, arg_max(status, run_id) as status, arg_max(error_message, run_id) as error_message from half where not old group by 1)
+select 'p' as project, coalesce(a.node_id, b.node_id) as node_id, coalesce(b.status, a.status) as status, coalesce(b.error_message, a.error_message) as error_message from a full join b on a.node_id = b.node_id""")
+def upsert_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir, "results")
+    got = G.last_status(G.match_results(t["results"], t["nodes"], "python"))
+    side = lambda c: got.where(c).groupBy("project", "node_id").agg(F.max_by("status", "run_id").alias("status"), F.max_by("error_message", F.when(F.col("error_message").isNotNull(), F.col("run_id"))).alias("error_message"))
+    return G.upsert_status(side("run_id <= '2024-01-15'"), side("run_id > '2024-01-15'"))
+
+
+# --- graph ----------------------------------------------------------------------------------------
+
+
+def _paths(spark: SparkSession, sf_dir: str, direction: str) -> DataFrame:
+    t, status = _status(spark, sf_dir)
+    return P.critical_paths(t["nodes"], t["edges"], _failed(t, status), direction).select("project", "test_id", "path_rank", F.array_join("steps", ">").alias("steps"), "non_test", "len")
+
+
+_BEST = " select 'p' as project, test_id, path_rank::int as path_rank, steps, non_test::int as non_test, len::int as len from best"
+
+
+@query(_FAILED + _SHOWN + _walk(False) + _BEST)
+def critical_paths_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir, "upstream")
+
+
+@query(_FAILED + _SHOWN + _walk(True) + _BEST)
+def critical_paths_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir, "downstream")
+
+
+_SIZE = ", size as (select (select count(*) from nodes) as nodes, (select count(*) from edges) as edges)"
+_K = "least(12, greatest(3, 3 + floor(9 * least(1.0, ln(1 + nodes) / ln(1201)))))"
+_ALPHA = "(0.55::double + 0.30::double * least(1.0::double, edges / nodes::double / 8.0::double))"
+
+
+def _hot(kind: str) -> str:
+    return _FAILED + _SHOWN + _walk(True) + _SIZE + f"""
+, each as (select test_id, path_rank, unnest(shown) as node, unnest(range(len(shown))) as pos from best)
+, ends as (select e.test_id, e.path_rank, arg_max(n.node_id, e.pos) as fn, arg_max(n.file, e.pos) as file from each e join nodes n on n.node_id = e.node and not n.is_test and n.type <> 'external' group by 1, 2)
+, u as (select test_id, count(distinct fn) as u from ends group by 1)
+, freq as (select test_id, {kind} as key, count(*) as freq from ends group by 1, 2)
+, r as (select *, row_number() over (partition by test_id order by freq desc, key) as rank from freq)
+select 'p' as project, r.test_id, key, freq, rank::int as rank from r join u using (test_id), size where rank <= least({_K}, greatest(3, round_even({_ALPHA} * u, 0)))"""
+
+
+def _hotspots(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    t, status = _status(spark, sf_dir)
+    down = P.critical_paths(t["nodes"], t["edges"], _failed(t, status), "downstream")
+    return H.hotspots(down, t["nodes"], P.graph_size(t["nodes"], t["edges"])).where(F.col("kind") == kind).drop("kind")
+
+
+@query(_hot("fn"))
+def hotspot_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hotspots(spark, sf_dir, "function")
+
+
+@query(_hot("file"))
+def hotspot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hotspots(spark, sf_dir, "file")
+
+
+@query(_SIZE + f" select 'p' as project, nodes, edges, edges / nodes as avg_out, ({_K})::int as base_k, {_ALPHA} as alpha from size")
+def base_k_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir, "edges")
+    return P.graph_size(t["nodes"], t["edges"]).withColumns({"base_k": H.base_k(F.col("nodes")), "alpha": H.alpha(F.col("nodes"), F.col("edges"))})
+
+
+@query(_FAILED + """, fwd as (select test_id as seed, test_id as node_id, 0 as dist from failed union select f.seed, e.dst, f.dist + 1 from fwd f join edges e on e.src = f.node_id where f.dist < 8)
+, bwd as (select test_id as seed, test_id as node_id, 0 as dist from failed union select f.seed, e.src, f.dist + 1 from bwd f join edges e on e.dst = f.node_id where f.dist < 8)
+select 'p' as project, seed, node_id, min(dist)::int as dist from (select * from fwd union all select * from bwd) group by 1, 2, 3""")
+def graph_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, status = _status(spark, sf_dir)
+    return P.graph_distance(t["edges"], _failed(t, status).select("project", F.col("test_id").alias("seed")).distinct(), depth=8)
