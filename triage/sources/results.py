@@ -233,9 +233,13 @@ def first_examples(examples: DataFrame, per_lang: int = 1) -> DataFrame:
     return valid.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("ord"))).where(F.col("n") <= per_lang).drop("n")
 
 
-# Folders that hold no sources, by language; endings that mark generated files.
-EXCLUDED_FOLDERS = ("venv", ".venv", "env", ".git", "node_modules", "__pycache__", "build", "dist", "target", "bin", "obj", "testresults", "coverage", "generated", ".idea", ".vs", ".gradle")
-EXCLUDED_ENDINGS = (".generated.java", ".designer.cs", ".g.cs", ".g.i.cs", ".generated.cs")
+# Folders that hold no sources of one's own, in lower case, and endings of generated files, by language.
+EXCLUDED_FOLDERS = {
+    "python": (".venv", "venv", "env", "site-packages", "__pycache__", ".tox", ".pytest_cache", "build", "dist"),
+    "java": ("target", "build", "out", "bin", ".gradle", ".idea", ".mvn", ".git", ".github", "generated", "generated-sources", "generated-test-sources"),
+    "csharp": ("bin", "obj", ".vs", ".git", ".github", ".idea", ".vscode", "packages", ".nuget", "testresults", "coverage", ".sonarqube", ".azure-pipelines", ".artifacts", "out", "build", "target", "generated"),
+}
+EXCLUDED_ENDINGS = {"python": (), "java": (".generated.java",), "csharp": (".g.cs", ".g.i.cs", ".designer.cs", ".generated.cs", "assemblyinfo.cs")}
 
 
 def read_sources(spark: SparkSession, path: str, lang: str, project: str) -> DataFrame:
@@ -245,8 +249,8 @@ def read_sources(spark: SparkSession, path: str, lang: str, project: str) -> Dat
     file = F.concat(F.lit(""), F.element_at(F.split(F.col("_metadata.file_path"), f"/{root}/"), -1))
     out = raw.select(F.lit(project).alias("project"), file.alias("file"), F.lit(lang).alias("lang"), F.col("value").alias("text"))
     parts = F.transform(F.split("file", "/"), F.lower)
-    bad = F.arrays_overlap(parts, F.array(*map(F.lit, EXCLUDED_FOLDERS)))
-    for e in EXCLUDED_ENDINGS:
+    bad = F.arrays_overlap(parts, F.array(*map(F.lit, EXCLUDED_FOLDERS[lang])))
+    for e in EXCLUDED_ENDINGS[lang]:
         bad = bad | F.lower("file").endswith(e)
     return out.where(~bad)
 
