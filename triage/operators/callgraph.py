@@ -106,11 +106,10 @@ def csharp_externals(calls: DataFrame, matched: DataFrame, projects: DataFrame,
     """``project, call_id, node_id`` of calls without a declaration: ``project::n`` or ``nuget::n`` of the reference that the namespace begins with, else ``external::name/argc``."""
     left = calls.join(matched.select("project", "call_id").distinct(), ["project", "call_id"], "left_anti")
     root = F.substring_index(F.coalesce("type_name", "ns"), ".", 1)
-    p = projects.select("project", F.col("name").alias("_project"))
-    n = packages.select("project", F.substring_index("name", ".", 1).alias("_root"), F.col("name").alias("_package")).groupBy("project", "_root").agg(F.min("_package").alias("_package"))
+    p = projects.select(F.col("project").alias("_p"), F.col("name").alias("_project"))
+    n = packages.select(F.col("project").alias("_q"), F.substring_index("name", ".", 1).alias("_root"), F.col("name").alias("_package")).groupBy("_q", "_root").agg(F.min("_package").alias("_package"))
     own = left.withColumn("_r", root)
-    own = own.join(p, (own["project"] == p["project"]) & (F.col("_r") == F.col("_project")), "left").drop(p["project"])
-    own = own.join(n, (own["project"] == n["project"]) & (F.col("_r") == F.col("_root")), "left").drop(n["project"])
+    own = own.join(p, (F.col("project") == F.col("_p")) & (F.col("_r") == F.col("_project")), "left").join(n, (F.col("project") == F.col("_q")) & (F.col("_r") == F.col("_root")), "left")
     name = F.coalesce(F.concat(F.lit("project::"), "_project"), F.concat(F.lit("nuget::"), "_package"), F.concat(F.lit("external::"), "name", F.lit("/"), F.col("argc").cast("string")))
     return own.select("project", "call_id", name.alias("node_id"))
 

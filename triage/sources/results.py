@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage.functions import text as T
+from triage.sources.shared import written
 
 # Of two dialects that find as many records, the one with the lower number is chosen.
 PRIORITY = {"xunit": 5, "pytest": 10, "nunit": 12, "trx": 15, "json": 90, "universal": 99, "junit": 100}
@@ -179,6 +180,7 @@ def load_results(spark: SparkSession, path: str, project: str, run_id: str, dial
     for d in dialects:
         got = READERS[d](spark, path)
         records = got if records is None else records.unionByName(got)
+    records = written(records, "records")  # every file is parsed once for each dialect, not again for each use
     chosen = choose_dialect(records)
     results = records.join(chosen, ["file", "dialect"], "left_semi")
     rejects = files.join(results.select("file").distinct(), "file", "left_anti").select("file")
