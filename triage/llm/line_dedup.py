@@ -163,13 +163,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if seen is not None:
             pd_, pl_ = np.where(head < 0, seen[0], pd_), np.where(head < 0, seen[1], pl_)
         follow = ~start & ((pd_ != doc) | (pl_ != line))
-        lead = np.zeros(len(tok), dtype=bool)  # pivots go along once, with their second line
-        lead[1:] = start[:-1]
-        lead[0] = head[0] < 0
-        lead &= follow
-        a = np.concatenate([pd_[follow], pd_[lead]])
-        b = np.concatenate([pl_[follow], pl_[lead]])
-        rows = np.unique(np.stack([a, b, np.concatenate([doc[follow], a[follow.sum() :]]), np.concatenate([line[follow], b[follow.sum() :]])], axis=1), axis=0) if len(a) else np.zeros((0, 4), np.int64)
+        at = np.flatnonzero(follow)
+        lead = at[np.unique(head[at], return_index=True)[1]]  # pivots go along, once for a token
+        rows = np.concatenate([np.stack([pd_[at], pl_[at], doc[at], line[at]], axis=1), np.stack([pd_[lead], pl_[lead], pd_[lead], pl_[lead]], axis=1)])
+        rows = np.unique(rows, axis=0) if len(rows) else rows
         last, seen = tok[-1], (pd_[-1], pl_[-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i]), pa.int64()) for i in range(4)], names=["pivot_doc", "pivot_line", "doc_id", "line"])
 
