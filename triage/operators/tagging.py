@@ -19,19 +19,22 @@ def suffix_index(nodes: DataFrame) -> DataFrame:
 
 
 def match_results(results: DataFrame, nodes: DataFrame, lang: str) -> DataFrame:
-    """``results`` with a name, and ``node_id``: by whole id, id without parameters, last token, last token without; null if none."""
-    named = results.where(F.coalesce(T.strip(F.col("name")), F.lit("")) != "").withColumn("_id", T.normalize_test_name(F.col("name"), lang))
+    """``results`` with a name, and ``node_id``: by whole id, id without parameters, last token, last token without; null if none.
+
+    Names are resolved once each, however many runs report them.
+    """
+    named = results.where(F.coalesce(T.strip(F.col("name")), F.lit("")) != "")
+    names = named.select("project", "name").distinct().withColumn("_id", F.explode(F.array(T.normalize_test_name(F.col("name"), lang))))  # explode: later columns take the value, not the expression
     token = T.last_token(F.col("_id"))
-    bare = T.strip_param_suffix(token)
-    head = F.substring(F.col("_id"), F.lit(1), F.length("_id") - F.length(token))
-    named = named.withColumns({"_token": token, "_bare": bare, "_bare_id": F.concat(head, bare)})
+    names = names.withColumn("_token", token).withColumn("_bare", T.strip_param_suffix(F.col("_token")))
+    out = names.withColumn("_bare_id", F.concat(F.substring(F.col("_id"), F.lit(1), F.length("_id") - F.length("_token")), "_bare"))
     ids = nodes.select("project", F.col("node_id"))
     by_token = suffix_index(nodes)
-    out = named
     for n, (table, key, column) in enumerate(((ids, "node_id", "_id"), (ids, "node_id", "_bare_id"), (by_token, "token", "_token"), (by_token, "token", "_bare"))):
         right = table.select(F.col("project").alias("_p"), F.col(key).alias("_k"), F.col("node_id").alias(f"_n{n}"))
         out = out.join(right, (F.col("project") == F.col("_p")) & (F.col(column) == F.col("_k")) & (F.col(column) != ""), "left").drop("_p", "_k")
-    return out.withColumn("node_id", F.coalesce("_n0", "_n1", "_n2", "_n3")).drop("_id", "_token", "_bare", "_bare_id", "_n0", "_n1", "_n2", "_n3")
+    resolved = out.select("project", "name", F.coalesce("_n0", "_n1", "_n2", "_n3").alias("node_id"))
+    return named.join(resolved, ["project", "name"], "left")
 
 
 def last_status(matched: DataFrame) -> DataFrame:
@@ -52,8 +55,8 @@ def node_status(results: DataFrame, nodes: DataFrame, lang: str) -> DataFrame:
     runs = results.select("project", "run_id").distinct()
     tests = nodes.where("is_test").select("project", "node_id").join(runs, "project")
     out = tests.join(got, ["project", "run_id", "node_id"], "full_outer").withColumn("status", F.coalesce("status", F.lit("not_executed")))
-    place = T.locate(F.col("error_message"))
-    return out.withColumns({"heuristic_locations": F.when(F.col("error_message").isNotNull(), place["heuristic"]), "raw_locations": F.when(F.col("error_message").isNotNull(), place["raw_paths"])})
+    out = out.withColumn("_place", F.when(F.col("error_message").isNotNull(), T.locate(F.col("error_message"))))
+    return out.withColumns({"heuristic_locations": F.col("_place.heuristic"), "raw_locations": F.col("_place.raw_paths")}).drop("_place")
 
 
 def unmatched_results(results: DataFrame, nodes: DataFrame, lang: str) -> DataFrame:
