@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triage.llm import common as C
@@ -24,12 +24,14 @@ UNKNOWN = "und"
 
 
 def train(docs: DataFrame) -> dict[str, bytes]:
-    """Dictionary text by language from ``lang, text, doc_id`` rows: SAMPLE documents by a hash of the id, each to its fair share."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
-    chosen = docs.where("lang is not null and length(text) > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE)
+    """Dictionary text by language from ``lang, text, doc_id`` rows: about SAMPLE documents by a hash of id and text, each to its fair share."""
+    known = docs.where("lang is not null and length(text) > 0").select("lang", F.xxhash64("doc_id", "text").alias("draw"), "text")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, 1_000_003 * SAMPLE // n)]), F.col("lang")) if sizes else F.lit(0)
+    chosen = known.where(F.pmod("draw", F.lit(1_000_003)) < limit).select("lang", "draw", F.substring(F.lower("text"), 1, DICTIONARY).alias("text"))
     parts: dict[str, list[tuple[int, str]]] = {}
-    for r in chosen.select("lang", "rank", F.substring(F.lower("text"), 1, DICTIONARY).alias("text")).collect():  # SAMPLE rows a language
-        parts.setdefault(r["lang"], []).append((r["rank"], r["text"]))
+    for r in chosen.groupBy("lang", "draw").agg(F.min("text").alias("text")).collect():  # about SAMPLE rows a language, copies once
+        parts.setdefault(r["lang"], []).append((r["draw"], r["text"]))
     out = {}
     for lang, rows in sorted(parts.items()):
         share = max(512, DICTIONARY // len(rows))
