@@ -27,7 +27,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     most = F.when(F.col("label") == 1, F.lit(1_000_003 * cap // max(sizes.get(1, 1), 1))).otherwise(F.lit(1_000_003 * cap // max(sizes.get(0, 1), 1)))
     chosen = known.where(draw < most)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return C.written(own.join(F.broadcast(chosen), "doc_id"), "sample")
+    one = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # of rows that share an id, one
+    return C.written(one.select("doc_id", "text", "label"), "sample")
 
 
 def _rolling(raw: np.ndarray, seed: int, fold: bool, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

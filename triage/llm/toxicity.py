@@ -24,6 +24,8 @@ BITS = 20
 SAMPLE, FEATURES = 6000, 1024
 #: Least deviations by which a kept feature's share in the classes must differ, and weight of the penalty.
 LEAST_Z, PENALTY, RIDGE = 4.0, 5.0, 1e-3
+#: Sampled documents that must have a feature.
+LEAST_TEXTS = 5
 THRESHOLD = 0.7
 # Group names, each row of one kind; a name is swapped for the next in its row.
 IDENTITY_TERMS = (
@@ -58,7 +60,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in (0, 1):
                 own = pairs[label[pairs >> BITS] == c] & ((1 << BITS) - 1)
                 counts[c] += np.bincount(own, minlength=1 << BITS).astype(np.int32)
-    some = np.flatnonzero(counts.sum(axis=0) >= 5)
+    some = np.flatnonzero(counts.sum(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0][some]), pa.array(counts[1][some])], names=["bucket", "clean", "toxic"])
 
 
@@ -106,7 +108,7 @@ def fit(label: np.ndarray, x: np.ndarray, swap: np.ndarray, change: np.ndarray,
 def train(sample: DataFrame, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
     """(buckets kept, weights with the intercept last) from ``text, label`` rows of a bounded sample."""
     spark = sample.sparkSession
-    seen = sample.mapInArrow(_presence, "bucket long, clean int, toxic int").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    seen = sample.mapInArrow(_presence, "bucket long, clean int, toxic int").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= LEAST_TEXTS).toArrow()
     bucket, clean, toxic = (np.asarray(seen.column(i).combine_chunks()) if seen.num_rows else np.zeros(0, np.int64) for i in range(3))
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n0, n1 = max(sizes.get(0, 0), 1), max(sizes.get(1, 0), 1)
