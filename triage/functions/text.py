@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,6 +40,11 @@ FAILURE_ALIASES = {
 }
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` worked out once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -89,8 +95,10 @@ def split_name(raw: Column) -> Column:
 
 def normalize_test_name(raw: Column, lang: str) -> Column:
     """``file::parts`` for Python, ``Class.ext::Class::parts`` else; null and '' stay."""
-    both = split_name(raw)
-    path, parts = both["path"], both["parts"]
+    return F.when(raw == "", raw).when(raw.isNotNull(), let(split_name(raw), lambda both: _joined(both["path"], both["parts"], lang)))
+
+
+def _joined(path: Column, parts: Column, lang: str) -> Column:
     if lang.lower() == "python":
         name = F.array_join(F.concat(F.array(python_filepath(path)), parts), "::")
     else:
@@ -102,7 +110,7 @@ def normalize_test_name(raw: Column, lang: str) -> Column:
         owner = F.when(is_file, F.coalesce(blank_to_null(stem), F.lit("Unknown"))).otherwise(F.coalesce(F.try_element_at(core, F.lit(-1)), F.try_element_at(segments, F.lit(-1)), F.lit("Unknown")))
         file = F.concat(owner, F.lit(EXTENSIONS.get(lang.lower(), "")))
         name = F.array_join(F.when(F.size(parts) > 0, F.concat(F.array(file, owner), parts)).otherwise(F.array(file)), "::")
-    return F.when(raw == "", raw).when(raw.isNotNull(), name)
+    return name
 
 
 def strip_param_suffix(c: Column) -> Column:
@@ -137,11 +145,13 @@ def chain_plain(c: Column) -> Column:
 
 def path_chain(c: Column) -> Column:
     """The same without a drive, from the first anchor segment on."""
-    chain = F.regexp_replace(chain_plain(c), "^[A-Za-z]:>", "")
-    parts = F.filter(F.split(chain, ">"), lambda x: x != "")
-    anchors = F.filter(F.transform(parts, lambda x, i: F.when(x.isin(*ANCHORS), i)), lambda i: i.isNotNull())
-    first = F.try_element_at(anchors, F.lit(1))
-    return F.when(first.isNotNull(), F.array_join(F.slice(parts, first + 1, F.greatest(F.size(parts), F.lit(1))), ">")).otherwise(chain)
+
+    def cut(chain: Column) -> Column:
+        parts = F.filter(F.split(chain, ">"), lambda x: x != "")
+        anchors = lambda p: F.filter(F.transform(p, lambda x, i: F.when(x.isin(*ANCHORS), i)), lambda i: i.isNotNull())
+        return let(parts, lambda p: let(F.try_element_at(anchors(p), F.lit(1)), lambda first: F.when(first.isNotNull(), F.array_join(F.slice(p, first + 1, F.greatest(F.size(p), F.lit(1))), ">")).otherwise(chain)))
+
+    return let(F.regexp_replace(chain_plain(c), "^[A-Za-z]:>", ""), cut)
 
 
 def tail_key(c: Column, n: int = 4) -> Column:
@@ -152,17 +162,21 @@ def tail_key(c: Column, n: int = 4) -> Column:
 
 def dedupe_by_tail(a: Column, n: int = 4) -> Column:
     """Keeps the first of all elements with the same last n segments."""
-    keys = F.transform(a, lambda x: tail_key(x, n))
-    return F.filter(a, lambda x, i: F.array_position(keys, tail_key(x, n)) == i + 1)
+    keyed = F.transform(a, lambda x: F.struct(x.alias("x"), tail_key(x, n).alias("k")))
+    once = lambda s: F.filter(s, lambda e, i: F.array_position(F.transform(s, lambda y: y["k"]), e["k"]) == i + 1)
+    return F.transform(let(keyed, once), lambda e: e["x"])
 
 
 def locate(message: Column) -> Column:
     """struct(heuristic, raw_paths): shortened chains and plain ``path:line``, each without repeats."""
-    found = extract_file_lines(message)
-    chains = F.filter(F.transform(found, lambda x: F.struct(path_chain(x["path"]).alias("c"), x["line"].alias("l"))), lambda x: x["c"] != "")
-    heuristic = F.transform(chains, lambda x: F.concat(x["c"], F.lit(">"), x["l"].cast("string")))
-    raw = F.transform(found, lambda x: F.concat(x["path"], F.lit(":"), x["line"].cast("string")))
-    return F.struct(dedupe_by_tail(heuristic).alias("heuristic"), dedupe_by_tail(raw).alias("raw_paths"))
+
+    def both(found: Column) -> Column:
+        chains = F.filter(F.transform(found, lambda x: F.struct(path_chain(x["path"]).alias("c"), x["line"].alias("l"))), lambda x: x["c"] != "")
+        heuristic = F.transform(chains, lambda x: F.concat(x["c"], F.lit(">"), x["l"].cast("string")))
+        raw = F.transform(found, lambda x: F.concat(x["path"], F.lit(":"), x["line"].cast("string")))
+        return F.struct(dedupe_by_tail(heuristic).alias("heuristic"), dedupe_by_tail(raw).alias("raw_paths"))
+
+    return let(extract_file_lines(message), both)
 
 
 def norm_failure_type(c: Column) -> Column:
