@@ -277,8 +277,8 @@ _SITES = ", sites as (select 'p' as project, concat(l_orderkey, '/', l_linenumbe
 
 def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tables(spark, sf_dir)
-    decls = spark.sql("select 'p' as project, concat('d', p_partkey) as node_id, split_part(p_name, ' ', 2) as name, split_part(p_name, ' ', 1) as type_name, p_brand as ns, cast(p_size % 4 as int) as parameters from part where p_partkey % 9 = 0 and p_type <> 'PROMO'")
-    sites = spark.sql("select 'p' as project, concat(l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey) as call_id, split_part(p_name, ' ', 2) as name, case when l_suppkey % 3 = 0 then null else split_part(p_name, ' ', 1) end as type_name, case when l_linenumber % 2 = 0 then p_brand else 'none' end as ns, cast(l_linenumber % 5 as int) as argc, concat('src/c', l_suppkey % 10, '.cs') as file from lineitem join part on p_partkey = l_partkey where l_orderkey % 50 = 0")
+    decls = spark.sql("select 'p' as project, concat('d', p_partkey) as node_id, split_part(p_name, ' ', 2) as name, split_part(p_name, ' ', 1) as type_name, p_brand as ns, cast(p_size % 4 as int) as parameters from part where p_type <> 'PROMO'")
+    sites = spark.sql("select 'p' as project, concat(l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey) as call_id, split_part(p_name, ' ', 2) as name, case when l_suppkey % 3 = 0 then null else split_part(p_name, ' ', 1) end as type_name, case when l_linenumber % 2 = 0 then p_brand else 'none' end as ns, cast(l_linenumber % 5 as int) as argc, concat('src/c', l_suppkey % 10, '.cs') as file from lineitem join part on p_partkey = l_partkey")
     return decls, sites
 
 
@@ -287,8 +287,7 @@ def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 select tier::int as tier, count(distinct call_id) as calls, count(*) as edges, count(distinct node_id) as targets from w group by 1""")
 def call_resolution_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     decls, sites = _calls(spark, sf_dir)
-    got = C.csharp_matches(sites, decls).distinct()
-    return got.groupBy("tier").agg(F.countDistinct("call_id").alias("calls"), F.count("*").alias("edges"), F.countDistinct("node_id").alias("targets"))
+    return C.csharp_tier_counts(sites, decls).drop("project")
 
 
 @query(_SITES + """, n as (select 'external::' || name || '/' || argc as node_id, file, ns, name, count(*) as c from sites group by all)

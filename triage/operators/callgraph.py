@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triage.functions import text as T
+from triage.sources.shared import written
 
 # Callees that make no external node in Python.
 PYTHON_IGNORED_CALLEES = (
@@ -102,6 +103,22 @@ def csharp_matches(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     return best_tier(a.join(b, ["project", "name"]).select("project", "call_id", "node_id", tier.alias("tier")))
 
 
+def csharp_tier_counts(calls: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``project, tier, calls, edges, targets``: distinct calls, (call, declaration) pairs and declarations of ``csharp_matches`` by tier.
+
+    Calls alike in name, type, namespace and argument count resolve alike, so each such kind is resolved
+    once and weighed by its calls: a name that many calls and declarations share makes no row a pair.
+    A ``call_id`` names one call site.
+    """
+    alike = ["name", "type_name", "ns", "argc"]
+    kinds = calls.groupBy("project", *alike).agg(F.countDistinct("call_id").alias("_calls")).withColumn("call_id", F.to_json(F.struct(*alike)))
+    kinds = written(kinds, "kinds")
+    found = written(csharp_matches(kinds, nodes).distinct(), "kind-matches")
+    each = found.groupBy("project", "call_id", "tier").agg(F.count("*").alias("_nodes")).join(kinds.select("project", "call_id", "_calls"), ["project", "call_id"])
+    sums = each.groupBy("project", "tier").agg(F.sum("_calls").alias("calls"), F.sum(F.col("_calls") * F.col("_nodes")).alias("edges"))
+    return sums.join(found.groupBy("project", "tier").agg(F.countDistinct("node_id").alias("targets")), ["project", "tier"])
+
+
 def csharp_externals(calls: DataFrame, matched: DataFrame, projects: DataFrame, packages: DataFrame) -> DataFrame:
     """``project, call_id, node_id`` of calls without a declaration: ``project::n`` or ``nuget::n`` of the reference that the namespace begins with, else ``external::name/argc``."""
     left = calls.join(matched.select("project", "call_id").distinct(), ["project", "call_id"], "left_anti")
