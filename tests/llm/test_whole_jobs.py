@@ -1,0 +1,17 @@
+"""Stages of the pipeline on all rows and lines of their tables."""
+
+import pytest
+
+pytest.importorskip("public_tokenizers")
+import corpus_pipeline  # noqa: E402
+from triage.llm import line_dedup  # noqa: E402
+
+
+@pytest.mark.parametrize("hot", [2, 50])
+def test_pipeline_removes_repeated_lines_of_any_words(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT_LINE", hot)
+    whole = "one two three four five six seven"
+    rows = [(1, f"Read more\n{whole}\n\nEnd"), (2, f"{whole}\nread  MORE\nEND"), (3, "new line here\n\nend"), (4, "Read more"), (5, "read less\nmore read"), (6, "\n")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 3: "new line here\n", 5: rows[4][1], 6: "\n"}

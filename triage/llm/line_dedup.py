@@ -48,7 +48,7 @@ def lines_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cuts, row, np.arange(len(cuts) - 1) - begin[row]
 
 
-def line_sets(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def line_sets(raw: np.ndarray, cuts: np.ndarray, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, line of each, words of each line): tokens sorted and distinct within a line."""
     words, begin = C.word_hashes(raw, cuts)
     count = np.diff(begin)
@@ -56,7 +56,7 @@ def line_sets(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     runs = C.grams(words, K)
     full = np.flatnonzero(np.arange(len(runs)) + K <= begin[1:][line[: len(runs)]]) if len(runs) else np.zeros(0, np.int64)
     tokens, where = [runs[full]], [line[full]]
-    for n in range(LEAST_WORDS, K):
+    for n in range(least, K):
         short = np.flatnonzero(count == n)
         if len(short):
             tokens.append(C.grams(words, n)[begin[:-1][short]])
@@ -85,30 +85,34 @@ def _signatures(tok: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np
         return size, one[begin[1:]] - one[begin[:-1]], two[begin[1:]] - two[begin[:-1]]
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(least: int) -> object:
     """Lines with tokens as (doc_id, line, n, sig1, sig2); tokens repeated in a part as (null, -1, count, token, 0); texts as (doc_id, -2, lines, 0, 0)."""
-    for whole in batches:
-        for batch in C.slices(whole, "text"):
-            raw, offsets = C.text_buffer(batch.column("text"))
-            cuts, row, number = lines_of(raw, offsets)
-            tok, at, _ = line_sets(raw, cuts)
-            size, one, two = _signatures(tok, at, len(row))
-            ids = batch.column("doc_id")
-            has = np.flatnonzero(size)
-            seen, count = np.unique(tok, return_counts=True)
-            seen, count = seen[count > 1], count[count > 1]
-            total = np.where(batch.column("text").is_valid().to_numpy(zero_copy_only=False), np.bincount(np.searchsorted(offsets, np.flatnonzero(raw == 0x0A), side="right") - 1, minlength=len(batch)) + 1, 0)
-            z, t = np.zeros(len(seen), np.int64), np.zeros(len(batch), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([ids.take(pa.array(row[has])), pa.nulls(len(seen), pa.int64()), ids]),
-                    pa.array(np.concatenate([number[has], z - 1, t - 2]), pa.int64()),
-                    pa.array(np.concatenate([size[has], count, total]).astype(np.int64)),
-                    pa.array(np.concatenate([one[has].view(np.int64), seen.view(np.int64), t])),
-                    pa.array(np.concatenate([two[has].view(np.int64), z, t])),
-                ],
-                names=["doc_id", "line", "n", "sig1", "sig2"],
-            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in C.slices(whole, "text"):
+                raw, offsets = C.text_buffer(batch.column("text"))
+                cuts, row, number = lines_of(raw, offsets)
+                tok, at, _ = line_sets(raw, cuts, least)
+                size, one, two = _signatures(tok, at, len(row))
+                ids = batch.column("doc_id")
+                has = np.flatnonzero(size)
+                seen, count = np.unique(tok, return_counts=True)
+                seen, count = seen[count > 1], count[count > 1]
+                total = np.where(batch.column("text").is_valid().to_numpy(zero_copy_only=False), np.bincount(np.searchsorted(offsets, np.flatnonzero(raw == 0x0A), side="right") - 1, minlength=len(batch)) + 1, 0)
+                z, t = np.zeros(len(seen), np.int64), np.zeros(len(batch), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([ids.take(pa.array(row[has])), pa.nulls(len(seen), pa.int64()), ids]),
+                        pa.array(np.concatenate([number[has], z - 1, t - 2]), pa.int64()),
+                        pa.array(np.concatenate([size[has], count, total]).astype(np.int64)),
+                        pa.array(np.concatenate([one[has].view(np.int64), seen.view(np.int64), t])),
+                        pa.array(np.concatenate([two[has].view(np.int64), z, t])),
+                    ],
+                    names=["doc_id", "line", "n", "sig1", "sig2"],
+                )
+
+    return run
 
 
 def _isin(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -117,7 +121,7 @@ def _isin(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)] == values
 
 
-def _keys(hot) -> object:
+def _keys(hot, least: int) -> object:
     """Prefix tokens of all lines but later copies of very frequent ones: (token, doc_id, line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +130,7 @@ def _keys(hot) -> object:
             for batch in C.slices(whole, "text"):
                 raw, offsets = C.text_buffer(batch.column("text"))
                 cuts, row, number = lines_of(raw, offsets)
-                tok, at, _ = line_sets(raw, cuts)
+                tok, at, _ = line_sets(raw, cuts, least)
                 size, one, two = _signatures(tok, at, len(row))
                 doc = np.asarray(batch.column("doc_id").fill_null(0)).astype(np.int64)[row]
                 known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[row]
@@ -232,15 +236,15 @@ def _bucket_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["doc_id", "line"])
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, line)`` of every line to remove, lines counted from 0; and ``(doc_id, n_lines)`` of every document.
 
     Lines of documents without an id are neither removed nor matched. Rows that share an id count as one
-    document delivered again: a line number removed in one goes in all. Empty and very short lines stay.
+    document delivered again: a line number removed in one goes in all. Lines of under ``least_words`` words stay; with 1, only those without a word.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    digest = C.written(own.mapInArrow(_digest, "doc_id long, line long, n long, sig1 long, sig2 long"), "lines")
+    digest = C.written(own.mapInArrow(_digest(least_words), "doc_id long, line long, n long, sig1 long, sig2 long"), "lines")
     tokens = digest.where("line = -1")
     limit = max(HOT_TOKEN, (tokens.agg(F.sum("n")).first()[0] or 0) // MOST)
     hot_tokens = tokens.groupBy("sig1").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("sig1").toArrow()
@@ -258,7 +262,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeats = copies.where(F.col("copies") > most)
     often = lines.join(F.broadcast(repeats), ["sig1", "sig2", "n"]).where("doc_id <> first.doc_id or line <> first.line").select("doc_id", "line")
 
-    keys = own.where("doc_id is not null").mapInArrow(_keys(hot), "token long, doc_id long, line long")
+    keys = own.where("doc_id is not null").mapInArrow(_keys(hot, least_words), "token long, doc_id long, line long")
     met = keys.repartition("token").sortWithinPartitions("token", "doc_id", "line").mapInArrow(_meet, "pivot_doc long, pivot_line long, doc_id long, line long")
     members = C.written(met.distinct(), "members")
     sizes = members.groupBy("pivot_doc", "pivot_line").agg(F.ceil(F.count("*") / BLOCK_LINES).cast("int").alias("blocks")).where("blocks > 1")
@@ -287,9 +291,9 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join("removed_lines", ",").alias("removed_lines"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with all its columns and the remaining lines of each text; documents that lose all their lines go."""
-    removed, _ = removed_lines(docs, id_col, text_col)
+    removed, _ = removed_lines(docs, id_col, text_col, least_words)
     by_doc = removed.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
     text = F.col(f"`{text_col}`")
     kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("long")))
