@@ -1,10 +1,12 @@
 """Stages of the pipeline on all rows and lines of their tables."""
 
+from collections import Counter
+
 import pytest
 
-pytest.importorskip("public_tokenizers")
+public_tokenizers = pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from triage.llm import line_dedup  # noqa: E402
+from triage.llm import line_dedup, packing  # noqa: E402
 
 
 @pytest.mark.parametrize("hot", [2, 50])
@@ -15,3 +17,33 @@ def test_pipeline_removes_repeated_lines_of_any_words(spark, monkeypatch, hot):
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
     assert got == {1: rows[0][1], 3: "new line here\n", 5: rows[4][1], 6: "\n"}
+
+
+def test_every_sequence_has_the_mixture():
+    totals = {f"s{i:02}": 20_000 + 997 * i for i in range(20)}
+    whole, mixture, room = sum(totals.values()), packing.Mixture(totals), Counter()
+    for s, n in totals.items():
+        for size, q, _ in mixture.place(s, 0, n):
+            room[(q, s)] += size
+    for q in range(whole // 4096):
+        assert sum(room[(q, s)] for s in totals) == 4096
+        assert all(abs(room[(q, s)] - 4096 * n / whole) < 3 for s, n in totals.items())
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 2, "e": 2}, {"a": 1000, "b": 1, "d": 3}])
+def test_rare_queues_between_others_lose_no_place(weights):
+    totals = {"a": 90_000, "b": 5, "c": 90_001, "d": 1, "e": 70_000, "f": 7}
+    mixture, seen = packing.Mixture(totals, weights), []
+    for s, n in totals.items():
+        for x in range(0, n, 501):
+            for size, q, o in mixture.place(s, x, min(501, n - x)):
+                seen += range(q * 4096 + o, q * 4096 + o + size)
+    assert sorted(seen) == list(range(sum(totals.values())))
+
+
+def test_more_sources_than_the_broadcast_plan_has(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} " * (i % 40 + 1), f"s{i % 37}") for i in range(400)], "doc_id long, text string, source string").coalesce(3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    few = Counter(tuple(r) for r in packing.pack(docs, path, with_ids=False).collect())
+    monkeypatch.setattr(packing, "MOST_SOURCES", 5)
+    assert Counter(tuple(r) for r in packing.pack(docs, path, with_ids=False).collect()) == few

@@ -1,22 +1,26 @@
 """Operator 1, mixture-controlled packing by deficit round-robin over source queues.
 
-A source's queue is the stream of its documents' tokens. Windows of ``WINDOW`` tokens are filled one
-after the other: each queue is credited its share of a window, sends the whole tokens of its credit,
-and carries the rest (under one token) to the next window, so after any number of windows every queue
-is within one token of its target. A queue that runs dry sends what it has; the queues that are left
-share the room. A window is cut into sequences of 4096 tokens; only the last sequence is padded.
-
-Round-robin needs no loop over windows: what a queue has sent after ``w`` windows is a difference of
-two floors, so the place of any token follows from its position in its queue alone. Partitions carry
-deficits by their place in the queues: one small table says how many tokens of each source the
-partitions before hold. Documents are tokenised once; their ids stay in a table in the shared folder.
+A source's queue is the stream of its documents' tokens. Sequences of 4096 tokens (``WINDOW``) are filled
+one after the other: each queue is credited its share of a sequence, sends whole tokens of its credit,
+and carries the rest to the next. A queue that runs dry sends what it has; the queues that are left
+share the room. Only the last sequence is padded.
+
+Round-robin needs no loop over windows. The tokens of a window are dealt down a binary tree over the
+queues: of the first t tokens of a node, its left half has floor(t * left / both) and its right half the
+rest. Both grow with t, so what a queue has sent after ``w`` windows never shrinks, however small its
+share, and is within a token a level of the tree of its target; the place of any token follows from its
+position in its queue alone. Partitions carry deficits by their place in the queues: one small table
+says how many tokens of each source the partitions before hold. Documents are tokenised once; their ids
+stay in a table in the shared folder.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +32,71 @@ from triage.llm import common as C
 from triage.llm.tokens import worker_tokenizer
 
 SEQUENCE = 4096
-WINDOW = 32 * SEQUENCE
+WINDOW = SEQUENCE
 END_ID = 2
-#: Queues that a mixture may have: the plan, which holds each of them, goes to all workers.
+#: Queues up to which the whole plan goes to all workers; of more, each row is joined with its own queue's.
 MOST_SOURCES = 2000
 
 
+class Queue:
+    """Where the tokens of one queue go. ``phases``: (first window, None or the way down the tree to the queue, tokens sent before, tokens before the queue's in a single window)."""
+
+    def __init__(self, window: int, phases: list[tuple], total: int):
+        self.window, self.phases, self.total = window, phases, total
+        self.starts = [p[2] for p in phases]
+
+    @staticmethod
+    def dealt(way: list[tuple[int, int, bool]], t: int) -> tuple[int, int]:
+        """Of the first ``t`` tokens of all queues, those of the queues before and those of this one."""
+        before = 0
+        for part, whole, right in way:
+            left = t * part // whole
+            if right:
+                before += left
+                t -= left
+            else:
+                t = left
+        return before, t
+
+    def _window(self, way: list[tuple[int, int, bool]], x: int) -> int:
+        """The window that holds token ``x`` of a phase: as many have sent no more than x tokens, and one more has."""
+        sent = lambda w: self.dealt(way, w * self.window)[1]
+        part, both, right = way[-1] if way else (1, 1, False)
+        share, whole = both - part if right else part, way[0][1] if way else 1
+        w, step = x * whole // (share * self.window), 1
+        while w and sent(w) > x:
+            w, step = max(0, w - step), 2 * step
+        high, step = w + 1, 1
+        while sent(high) <= x:
+            w, high, step = high, high + step, 2 * step
+        while high - w > 1:
+            mid = (w + high) // 2
+            w, high = (mid, high) if sent(mid) <= x else (w, mid)
+        return w
+
+    def place(self, start: int, length: int) -> Iterator[tuple[int, int, int]]:
+        """(tokens, sequence, offset) of each piece of the tokens [start, start + length), in order."""
+        end, m = start + length, self.window
+        while start < end:
+            k = bisect_right(self.starts, start) - 1
+            first, way, base, inside = self.phases[k]
+            limit = self.starts[k + 1] if k + 1 < len(self.phases) else self.total
+            x = start - base
+            if way is None:
+                at, stop = first * m + inside + x, limit
+            else:
+                w = self._window(way, x)
+                (low, gone), (high, sent) = self.dealt(way, w * m), self.dealt(way, (w + 1) * m)
+                at = (first + w) * m + high - low + x - gone
+                stop = min(limit, base + sent)
+            n = min(end, stop) - start
+            start += n
+            while n:
+                take = min(n, SEQUENCE - at % SEQUENCE)
+                yield take, at // SEQUENCE, at % SEQUENCE
+                at, n = at + take, n - take
+
+
 class Mixture:
     """Where the tokens of each queue go. ``totals``: tokens by queue; ``weights``: target shares in any unit."""
 
@@ -43,33 +106,67 @@ class Mixture:
         self.index = {s: i for i, s in enumerate(self.names)}
         left = [totals[s] for s in self.names]
         target = [totals[s] if weights is None else weights.get(s, 0) for s in self.names]
-        #: (first window, windows, None or shares before each queue and their sum, tokens of each queue before, tokens sent in a single window)
+        #: (first window, None or the sums of shares before each queue, tokens of each queue sent before, tokens before each queue in a single window)
         self.phases: list[tuple] = []
         sent, at = [0] * len(left), 0
         while any(left):
-            live = [i for i, n in enumerate(left) if n]
             share = [target[i] if left[i] else 0 for i in range(len(left))]
             if not any(share):
                 share = [1 if n else 0 for n in left]
-            live = [i for i in live if share[i]]
-            whole = sum(share)
-            before = [0]
-            for x in share:
-                before.append(before[-1] + x)
-            steps = min(left[i] * whole // (share[i] * window) for i in live)
+            before = [0, *accumulate(share)]
+            whole, live = before[-1], [i for i, x in enumerate(share) if x]
+            # the most windows in which no queue runs dry: what a queue sends grows with them
+            steps, over = 0, 1 + min((left[i] + len(left).bit_length() + 1) * whole // (share[i] * window) for i in live)
             give = [0] * len(left)
-            while steps and any((give := [before[i + 1] * window * steps // whole - before[i] * window * steps // whole for i in range(len(left))])[i] > left[i] for i in live):
-                steps -= 1
+            while over - steps > 1:
+                mid = (steps + over) // 2
+                trial = self._dealt(before, mid * window)
+                if all(trial[i] <= left[i] for i in live):
+                    steps, give = mid, trial
+                else:
+                    over = mid
             if steps:
-                self.phases.append((at, steps, before, list(sent), None))
+                self.phases.append((at, before, list(sent), None))
             else:
                 steps, give = 1, self._last_of_a_queue(left, share)
-                self.phases.append((at, 1, None, list(sent), [sum(give[:i]) for i in range(len(give))]))
+                self.phases.append((at, None, list(sent), [0, *accumulate(give)]))
             at += steps
             sent = [a + b for a, b in zip(sent, give)]
             left = [a - b for a, b in zip(left, give)]
-        self.starts = [[p[3][i] for p in self.phases] for i in range(len(self.names))]
         self.totals = sent
+        self.queues: dict[str, Queue] = {}
+
+    @staticmethod
+    def _dealt(before: list[int], t: int) -> list[int]:
+        """Of the first ``t`` tokens, those of each queue."""
+        out, open_ = [0] * (len(before) - 1), [(0, len(before) - 1, t)]
+        while open_:
+            low, high, t = open_.pop()
+            if high - low == 1:
+                out[low] = t
+            elif t:
+                mid = (low + high) // 2
+                part = t * (before[mid] - before[low]) // (before[high] - before[low])
+                open_ += [(low, mid, part), (mid, high, t - part)]
+        return out
+
+    @staticmethod
+    def _way(before: list[int], i: int) -> list[tuple[int, int, bool]]:
+        way, low, high = [], 0, len(before) - 1
+        while high - low > 1:
+            mid = (low + high) // 2
+            way.append((before[mid] - before[low], before[high] - before[low], i >= mid))
+            low, high = (mid, high) if i >= mid else (low, mid)
+        return way
+
+    def queue(self, source: str) -> Queue:
+        if source not in self.queues:
+            i = self.index[source]
+            # phases in which the queue sends nothing hold no token of it
+            ends = [p[2][i] for p in self.phases[1:]] + [self.totals[i]]
+            own = [(at, None if before is None else self._way(before, i), sent[i], None if inside is None else inside[i]) for (at, before, sent, inside), end in zip(self.phases, ends) if end > sent[i]]
+            self.queues[source] = Queue(self.window, own, self.totals[i])
+        return self.queues[source]
 
     def _last_of_a_queue(self, left: list[int], share: list[int]) -> list[int]:
         """One window in which a queue runs dry: it sends the rest, the others share the room by their targets."""
@@ -89,30 +186,7 @@ class Mixture:
 
     def place(self, source: str, start: int, length: int) -> Iterator[tuple[int, int, int]]:
         """(tokens, sequence, offset) of each piece of the tokens [start, start + length) of a queue, in order."""
-        i, end, m = self.index[source], start + length, self.window
-        while start < end:
-            k = bisect_right(self.starts[i], start) - 1
-            first, _, before, base, inside = self.phases[k]
-            limit = self.starts[i][k + 1] if k + 1 < len(self.phases) else self.totals[i]
-            x = start - base[i]
-            if before is None:
-                at, stop = first * m + inside[i] + x, limit
-            else:
-                low, high, whole = before[i] * m, before[i + 1] * m, before[-1]
-                w = x * whole // (high - low)
-                while high * w // whole - low * w // whole > x:
-                    w -= 1
-                while high * (w + 1) // whole - low * (w + 1) // whole <= x:
-                    w += 1
-                gone = high * w // whole - low * w // whole
-                at = (first + w) * m + low * (w + 1) // whole - low * w // whole + x - gone
-                stop = min(limit, base[i] + high * (w + 1) // whole - low * (w + 1) // whole)
-            n = min(end, stop) - start
-            start += n
-            while n:
-                take = min(n, SEQUENCE - at % SEQUENCE)
-                yield take, at // SEQUENCE, at % SEQUENCE
-                at, n = at + take, n - take
+        return self.queue(source).place(start, length)
 
 
 _IDS = "doc_id long, source string, chunk int, chunk_start long, doc_tokens long, ids binary"
@@ -139,15 +213,17 @@ def _tokenise(path: str) -> object:
 
 def _pieces(plan, with_ids: bool) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixture = plan.value
+        mixture = None if plan is None else plan.value
         for whole in batches:
             for k in range(0, len(whole), 1000):
                 batch = whole.slice(k, 1000)
+                own_queues = [pickle.loads(q) for q in batch.column("queue").to_pylist()] if mixture is None else []
                 out: dict[str, list] = {c: [] for c in ("row", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")}
                 for r, (source, base, start, n, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source", "base", "chunk_start", "doc_tokens", "ids")))):
+                    queue = own_queues[r] if mixture is None else mixture.queue(source)
                     wide = np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
                     done = 0
-                    for size, sequence, offset in mixture.place(source, base + start, n):
+                    for size, sequence, offset in queue.place(base + start, n):
                         part = wide[4 * done : 4 * (done + size)]
                         for c, v in zip(out, (r, done, size, zlib.crc32(part), sequence, offset, part if with_ids else None)):
                             out[c].append(v)
@@ -186,9 +262,13 @@ def pack(
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = held.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     bases = C.written(bases, "bases")
-    totals = dict(bases.groupBy("source").agg(F.sum("tokens").cast("long")).limit(MOST_SOURCES + 1).collect())
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"a mixture has {MOST_SOURCES} sources at most; map them to fewer first")
-    plan = spark.sparkContext.broadcast(Mixture(totals, None if weights is None else {f"={s}": n for s, n in weights.items()}))
-    placed = ids.join(bases.select("chunk", "source", "base"), ["chunk", "source"]).mapInArrow(_pieces(plan, with_ids), _PIECES)
+    totals = dict(bases.groupBy("source").agg(F.sum("tokens").cast("long")).collect())
+    mixture = Mixture(totals, None if weights is None else {f"={s}": n for s, n in weights.items()})
+    own_base = bases.select("chunk", "source", "base")
+    if few := len(totals) <= MOST_SOURCES:
+        plan = spark.sparkContext.broadcast(mixture)
+    else:
+        queues = C.written(spark.createDataFrame([(s, bytearray(pickle.dumps(mixture.queue(s)))) for s in mixture.names], "source string, queue binary"), "queues")
+        own_base = own_base.join(queues, "source")
+    placed = ids.join(own_base, ["chunk", "source"]).mapInArrow(_pieces(plan if few else None, with_ids), _PIECES)
     return placed.withColumn("source", F.when(F.col("source") != "null", F.expr("substring(source, 2)")))
