@@ -7,6 +7,7 @@ at a time, not the length of a text.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,13 +21,21 @@ SEGMENT = 1 << 20
 M64 = 0xFFFFFFFFFFFFFFFF
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own if it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset, one of our own for each
+    application, but only if driver and executors are one process. On a cluster an unset folder is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="triage-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="triage-shared-")
+    return _OWN[context.applicationId]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +55,16 @@ def id_crc32(column: str | Column) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
+def draw(*columns: str | Column) -> Column:
+    """A hash of the columns in [0, 2^63), to be held against ``draw_limit``."""
+    return F.xxhash64(*columns).bitwiseAND((1 << 63) - 1)
+
+
+def draw_limit(wanted: int, rows: int) -> int:
+    """Rows whose ``draw`` lies below this are about ``wanted`` of ``rows``; all rows if there are no more. Stays above 0 up to 2^63 rows for each one wanted."""
+    return (1 << 63) - 1 if rows <= wanted else (wanted << 63) // rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,9 +23,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold != left_out))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_003))
-    most = F.when(F.col("label") == 1, F.lit(1_000_003 * cap // max(sizes.get(1, 1), 1))).otherwise(F.lit(1_000_003 * cap // max(sizes.get(0, 1), 1)))
-    chosen = known.where(draw < most)
+    limit = F.when(F.col("label") == 1, C.draw_limit(cap, sizes.get(1, 0))).otherwise(F.lit(C.draw_limit(cap, sizes.get(0, 0))))
+    chosen = known.where(C.draw("doc_id", F.lit(7)) < limit)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     one = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # of rows that share an id, one
     return C.written(one.select("doc_id", "text", "label"), "sample")
@@ -74,30 +73,22 @@ def words_and_prefixes(raw: np.ndarray, offsets: np.ndarray, bits: int, prefixes
 
 
 def words_and_grams(raw: np.ndarray, offsets: np.ndarray, bits: int, sizes: tuple[int, ...] = (3, 4)) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of every word as written, of all pairs of neighbours, and of all stretches of so many bytes within a word and its borders.
-
-    Pairs of a word with itself share one bucket, so that repetition is a feature of its own.
-    """
+    """(bucket, text) of every word as written, and of all runs of so many characters within a word and its borders."""
     _, inside, sums = _rolling(raw, 43, False, C.BLANKS)
     begin, end, text = word_bounds(inside, offsets)
     mask = np.uint64((1 << bits) - 1)
     buckets, texts = [_stretch(sums, begin, end, 0) & mask], [text]
-    if len(begin) > 1:
-        word = _stretch(sums, begin, end, 0)
-        same = text[1:] == text[:-1]
-        with np.errstate(over="ignore"):
-            pair = np.where(word[1:] == word[:-1], np.uint64(1), C.mix(word[1:] * np.uint64(3) + word[:-1]))
-        buckets.append(pair[same] & mask)
-        texts.append(text[1:][same])
     run = np.concatenate([[0], np.cumsum(~inside)])
+    first = np.flatnonzero((raw & 0xC0) != 0x80)  # where characters begin
+    edge = np.append(first, len(raw))
     for k in sizes:
-        if len(raw) < k:
+        if len(first) < k:
             continue
-        at = np.arange(len(raw) - k + 1)
-        ok = run[at + k - 1] == run[at + 1]  # no blank but at either border
-        at = at[ok]
+        at, stop = first[: len(first) - k + 1], edge[k:]
+        ok = run[edge[k - 1 : -1]] == run[edge[1 : len(at) + 1]]  # no blank but at either border
+        at, stop = at[ok], stop[ok]
         of = np.searchsorted(offsets, at, side="right") - 1
-        same = offsets[of + 1] >= at + k
-        buckets.append(_stretch(sums, at[same], at[same] + k, k) & mask)
+        same = offsets[of + 1] >= stop
+        buckets.append(_stretch(sums, at[same], stop[same], k) & mask)
         texts.append(of[same])
     return np.concatenate(buckets).astype(np.int64), np.concatenate(texts)

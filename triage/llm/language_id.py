@@ -3,6 +3,9 @@
 Each language's dictionary is plain text of its training documents. A text is cut into pieces, each
 piece is compressed by zstandard with every dictionary, and the language with the fewest bytes in all
 is chosen. A narrow margin between the best two marks the answer as rejected.
+
+A dictionary is a bounded sample: about ``SAMPLE`` distinct texts drawn by their hashes (copies count once),
+of long ones ``PARTS`` stretches from all over the text. All dictionaries together have ``TOTAL`` bytes at most.
 """
 
 from __future__ import annotations
@@ -11,32 +14,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triage.llm import common as C
 
-#: Bytes of a dictionary; documents it is made from at most; bytes of a piece; level of compression.
+#: Bytes of a dictionary; texts it is made from, about; bytes of a piece; level of compression.
 DICTIONARY, SAMPLE, PIECE, LEVEL = 256 << 10, 400, 16 << 10, 3
+#: Stretches taken of a long text; bytes of all dictionaries, which many languages share.
+PARTS, TOTAL = 4, 64 << 20
 #: Share of the best size by which the second must be larger, else the answer is rejected.
 MARGIN = 0.01
 UNKNOWN = "und"
 
 
+def stretches(text: Column, share: Column) -> Column:
+    """The text if it has ``share`` characters at most, else PARTS stretches of it, one at a hashed place of each equal part."""
+    size, part = F.length(text), F.greatest(F.floor(share / PARTS), F.lit(1)).cast("int")
+
+    def one(j: Column) -> Column:
+        place = F.pmod(F.xxhash64(text, j), F.lit(1 << 20)) / float(1 << 20)
+        return F.substring(text, F.floor((j + place) * (size - part) / PARTS).cast("int") + 1, part)
+
+    return F.when(size <= share, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), one), "\n"))
+
+
 def train(docs: DataFrame) -> dict[str, bytes]:
-    """Dictionary text by language from ``lang, text, doc_id`` rows: about SAMPLE documents by a hash of id and text, each to its fair share."""
-    known = docs.where("lang is not null and length(text) > 0").select("lang", F.xxhash64("doc_id", "text").alias("draw"), "text")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    limit = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, 1_000_003 * SAMPLE // n)]), F.col("lang")) if sizes else F.lit(0)
-    chosen = known.where(F.pmod("draw", F.lit(1_000_003)) < limit).select("lang", "draw", F.substring(F.lower("text"), 1, DICTIONARY).alias("text"))
+    """Dictionary text by language from ``lang, text`` rows: about SAMPLE distinct texts by their hashes, each to its fair share."""
+    known = docs.where("lang is not null and length(text) > 0").select("lang", F.xxhash64("text").alias("hash"), F.lower("text").alias("text"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()}
+    if not sizes:
+        return {}
+    room = min(DICTIONARY, max(1, TOTAL // len(sizes)))
+    by_lang = lambda f: F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, f(n))]), F.col("lang"))
+    share = by_lang(lambda n: max(min(512, room), room // max(1, min(n, SAMPLE))))
+    chosen = known.where(C.draw("hash") < by_lang(lambda n: C.draw_limit(SAMPLE, n))).select("lang", "hash", stretches(F.col("text"), share).alias("text"))
     parts: dict[str, list[tuple[int, str]]] = {}
-    for r in chosen.groupBy("lang", "draw").agg(F.min("text").alias("text")).collect():  # about SAMPLE rows a language, copies once
-        parts.setdefault(r["lang"], []).append((r["draw"], r["text"]))
-    out = {}
-    for lang, rows in sorted(parts.items()):
-        share = max(512, DICTIONARY // len(rows))
-        out[lang] = b"\n".join(t.encode()[:share] for _, t in sorted(rows))[:DICTIONARY]
-    return out
+    for r in chosen.groupBy("lang", "hash").agg(F.min("text").alias("text")).collect():  # about SAMPLE rows a language, DICTIONARY bytes in all
+        parts.setdefault(r["lang"], []).append((r["hash"], r["text"]))
+    return {lang: b"\n".join(t.encode() for _, t in sorted(rows))[:room] for lang, rows in sorted(parts.items())}
 
 
 def _compressors(dictionaries: dict[str, bytes]) -> dict:
