@@ -1,18 +1,22 @@
 """Operator 2, language-model scores from a log-frequency Bloom filter.
 
-Training texts' words and word pairs are counted exactly, by hash, in blocks: a task sends the distinct
-hashes of its texts cut by their leading bits, and one task sums a block. Counts are quantised to
-levels, level j from ``BASE ** (j - 1)``; an n-gram of level q is put into the filter as q items, so its
-level is found by probing for 1, 2, ... until one is missing. The filter is broadcast. Its size follows
-the items up to ``MOST_BITS``; beyond that, n-grams under a cutoff are left out, the smallest cutoff
-that fits, computed from the counts of all n-grams. A pair left out falls back to its word.
-
-P(w | v) = (1 - PAIR) * (c(w) + 0.5) / (C + 0.5 (V + 1)) + PAIR * c(v w) / c(v), where c are the filter's
-counts, C their sum over all words, V the distinct words; the least count of a pair's level over the most
-of its first word's keeps the sum over w under one.
-
-The base score needs exact counts of all words. Words frequent enough for a list of ``MOST_WORDS`` are
-broadcast; occurrences of the others are joined with their counts by a shuffle.
+1. Texts become slices of token hashes, written once to the shared folder.
+2. Each slice sends its distinct words and word pairs, with their counts in training texts, cut by the
+   leading bits of their hashes. Whoever has such a block sums its counts, quantises them to levels and
+   puts an n-gram of level q into the block's filter as the items 1 to q. From there on only the
+   filter is asked: a level is found by probing for 1, 2, ... until one is missing.
+3. While the corpus is small (``BROADCAST`` tokens, which bounds the filter), all blocks are broadcast and
+   slices probe them where they are. Beyond, the slices' n-grams are already with their blocks, which
+   probe for them and send levels back. The filter grows with the corpus either way, holds every
+   n-gram, and scores are the same.
+
+P(w | v) = a F(v w) / D(v) + (1 - a) P(w). F is the least count of the pair's level; D(v) the most of v's
+level with room for what false positives add: all V words together bring about V * f pairs after any v
+that were never seen, f the chance that the probes of level 1 are all set. There are the more of them the
+more blocks there are, so V * f stays small. a grows with the count of v. P(w) is the middle of w's level
+(0.5 more) over the sum for all words and one that is unknown. The sum over w stays under one.
+
+The base score takes exact counts, which the owner of a word's block knows.
 """
 
 from __future__ import annotations
@@ -21,28 +25,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triage.llm import common as C
 
 BASE = 2.0**0.5
-LEVELS = 128
-HASHES = 5
-BITS_PER_ITEM = 8
-#: Bits of a block of the filter; bits of all blocks at most; words of the broadcast list at most.
-BLOCK_BITS = 1 << 16
-MOST_BITS = 1 << 28
-MOST_WORDS = 1 << 20
-PAIR = 0.1
-#: Bytes of text counted at a time, and bytes of training text for each block of counts.
-PART, PER_BLOCK = 8 << 20, 8 << 20
+#: Probes for level 1, to which the bits of a block's number are added, and for each further level.
+FIRST, FURTHER = 12, 4
+#: Bits that probes of one n-gram spread over.
+SUB_BITS = 1 << 16
+#: Tokens for each block of n-grams; tokens up to which the filter is broadcast; bytes of text in a slice.
+PER_BLOCK, BROADCAST, SLICE = 3_000_000, 2_000_000, 4 << 20
+#: Added to a word's count before pairs after it count as much as words.
+PRIOR = 300.0
 END = np.uint64(0x1D8E4E27C47D124F)
 START = np.uint64(0x9F3A5C6B7D2E8141)
 
-_FLOOR = np.ceil(BASE ** np.arange(LEVELS) - 1e-9)  # least count of level j + 1
+_FLOOR = np.unique(np.ceil(BASE ** np.arange(124) - 1e-9))  # least count of level j + 1
+LEVELS = len(_FLOOR)
 _TOP = np.concatenate([_FLOOR[1:] - 1, [np.inf]])  # most
-_MIDDLE = np.concatenate([[0.0], np.sqrt(_FLOOR[:-1] * np.maximum(_TOP[:-1], _FLOOR[:-1])), [_FLOOR[-1]]])
+_MIDDLE = np.concatenate([[0.0], np.sqrt(_FLOOR[:-1] * _TOP[:-1]), [_FLOOR[-1]]])
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -62,195 +66,274 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, begin
 
 
-def pairs(tok: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each token with the one before it, the one before it)."""
+def pairs(tok: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Hash of each token with the one before it."""
     before = np.empty_like(tok)
     before[1:] = tok[:-1]
     before[begin[:-1]] = START
     with np.errstate(over="ignore"):
-        return C.mix(before * np.uint64(0x9E3779B97F4A7C15) + tok), before
+        return C.mix(before * np.uint64(0x9E3779B97F4A7C15) + tok)
 
 
-def _count(bits: int) -> object:
-    """Distinct hashes of words (kind 1) and pairs (kind 2) with their counts, cut by their leading ``bits``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in C.slices(whole, "text", PART):
-                tok, begin = tokens(*C.text_buffer(batch.column("text")))
-                for kind, values in ((1, tok), (2, pairs(tok, begin)[0])):
-                    seen, n = np.unique(values, return_counts=True)
-                    cut = np.searchsorted(seen >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                    many = np.flatnonzero(n > 1)
-                    rows = []
-                    for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-                        if y > x:
-                            m = many[np.searchsorted(many, x) : np.searchsorted(many, y)]
-                            rows.append((kind, b, seen[x:y].tobytes(), (m - x).astype("<u4").tobytes(), n[m].astype("<u4").tobytes()))
-                    cols = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["kind", "block", "hashes", "at", "n"])
-
-    return run
-
-
-def _sum_block(parts: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    values, counts = [], []
-    for h, at, n in parts:
-        v = np.frombuffer(h, "<u8")
-        c = np.ones(len(v), dtype=np.int64)
-        c[np.frombuffer(at, "<u4")] = np.frombuffer(n, "<u4")
-        values.append(v)
-        counts.append(c)
-    v, c = np.concatenate(values), np.concatenate(counts)
-    order = np.argsort(v)
-    v, c = v[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    return v[first], np.add.reduceat(c, first)
-
-
-def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (kind, block) -> one row for each block: hashes, counts, and how many n-grams have each level."""
-
-    def row(key: tuple[int, int], parts: list) -> pa.RecordBatch:
-        v, c = _sum_block(parts)
-        by_level = np.bincount(level(c), minlength=LEVELS + 1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([v.tobytes()], pa.binary()), pa.array([c.astype("<i8").tobytes()], pa.binary()), pa.array([int(c.sum())]), pa.array([by_level.tolist()], pa.list_(pa.int64()))],
-            names=["kind", "block", "hashes", "counts", "total", "by_level"],
-        )
-
-    last, parts = None, []
-    for batch in batches:
-        for kind, block, *part in zip(*(batch.column(c).to_pylist() for c in ("kind", "block", "hashes", "at", "n"))):
-            if (kind, block) != last:
-                if parts:
-                    yield row(last, parts)
-                last, parts = (kind, block), []
-            parts.append(part)
-    if parts:
-        yield row(last, parts)
+# --- the filter -----------------------------------------------------------------------------------
 
 
 class LogFrequencyFilter:
-    """Bits in blocks of ``BLOCK_BITS``; the leading bits of an n-gram's hash name its block."""
-
-    def __init__(self, block_power: int, bits: np.ndarray | None = None):
-        self.block_power = block_power
-        self.bits = np.zeros((1 << block_power) * BLOCK_BITS // 8, dtype=np.uint8) if bits is None else bits
+    """The filter of one block, n-grams whose hashes share ``lead`` leading bits. Half its bits are set."""
+
+    def __init__(self, lead: int, set_bits: int, flags: np.ndarray | None = None):
+        size = int(set_bits / np.log(2)) + 1
+        self.lead, self.first, self.set_bits = lead, FIRST + lead, set_bits
+        self.width = min(SUB_BITS, 1 << max(6, (size - 1).bit_length()))
+        self.subs = -(-size // self.width)
+        self.flags = np.zeros(self.subs * self.width, dtype=bool) if flags is None else flags[: self.subs * self.width]
+
+    @classmethod
+    def of(cls, lead: int, hashes: np.ndarray, levels: np.ndarray) -> LogFrequencyFilter:
+        found = cls(lead, int((levels > 0).sum()) * (FIRST + lead) + int(np.maximum(levels - 1, 0).sum()) * FURTHER)
+        live, j = np.flatnonzero(levels > 0), 1
+        while len(live):
+            at, a, step = found._start(hashes[live], j)
+            for _ in range(found.first if j == 1 else FURTHER):
+                found.flags[at + (a & np.uint64(found.width - 1)).astype(np.int64)] = True
+                a += step
+            j += 1
+            live = live[levels[live] >= j]
+        return found
 
-    def _places(self, hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
-        """Bit numbers of an item, HASHES columns."""
+    def _start(self, hashes: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
-            h = C.mix(hashes + levels.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-        block = (hashes >> np.uint64(64 - self.block_power)).astype(np.int64) if self.block_power else np.zeros(len(hashes), np.int64)
-        a, b = (h & np.uint64(0xFFFFFFFF)).astype(np.int64), (h >> np.uint64(32)).astype(np.int64) | 1
-        return block[:, None] * BLOCK_BITS + ((a[:, None] + np.arange(HASHES) * b[:, None]) & (BLOCK_BITS - 1))
-
-    def add(self, hashes: np.ndarray, levels: np.ndarray) -> None:
-        for i in range(0, len(hashes), 1 << 18):
-            q = levels[i : i + (1 << 18)]
-            h = np.repeat(hashes[i : i + (1 << 18)], q)
-            at = self._places(h, np.arange(len(h)) - np.repeat(np.cumsum(q) - q, q) + 1).ravel()
-            np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            sub = ((hashes << np.uint64(self.lead)) >> np.uint64(32)) * np.uint64(self.subs) >> np.uint64(32)
+            h = C.mix(hashes + np.uint64(j) * np.uint64(0xA24BAED4963EE407))
+        return sub.astype(np.int64) * self.width, h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """The level of each n-gram, 0 if it isn't held: probes for 1, 2, ... up to the first that is missing."""
-        found = np.zeros(len(hashes), dtype=np.int64)
-        live = np.arange(len(hashes))
-        for j in range(1, LEVELS + 1):
-            if not len(live):
-                break
-            at = self._places(hashes[live], np.full(len(live), j))
-            held = ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
-            live = live[held]
+        found, live, j = np.zeros(len(hashes), dtype=np.int64), np.arange(len(hashes)), 1
+        while len(live) and j <= LEVELS:
+            at, a, step = self._start(hashes[live], j)
+            for _ in range(self.first if j == 1 else FURTHER):
+                held = self.flags[at + (a & np.uint64(self.width - 1)).astype(np.int64)]
+                live, at, a, step = live[held], at[held], a[held], step[held]
+                a = a + step
             found[live] = j
+            j += 1
         return found
 
+    def chances(self) -> tuple[float, float]:
+        """How likely the probes of level 1, and of a further level, are all set for an n-gram that was never put in."""
+        fill = self.flags.reshape(self.subs, self.width).mean(axis=1)
+        return float((fill**self.first).mean()), float((fill**FURTHER).mean())
+
+
+class Probabilities:
+    """What scoring knows besides levels; every number is a sum over all blocks."""
+
+    def __init__(self, texts: int, by_level: np.ndarray, chances: tuple[float, float]):
+        """``by_level``: training words of each level; ``chances``: means over all blocks of pairs."""
+        steps = np.diff(_FLOOR[:12], prepend=0.0)
+        up = chances[1] ** np.arange(12)
+        false = int(by_level.sum()) * chances[0] * float((steps * up).sum())
+        #: Room for pairs never seen, four deviations included, and for counts a level too high.
+        self.false = false + 4 * false**0.5 + 4
+        self.high = 1 + max(float((np.diff(_FLOOR[q : q + 12]) * up[1:12]).sum() / _FLOOR[q]) for q in range(20))
+        self.prior = PRIOR
+        self.texts, self.mass = max(texts, 1), self.high * float((by_level * _MIDDLE).sum()) + 0.5 * (int(by_level.sum()) + 1)
+
+    def of(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """P from the levels of a word, of the one before it (-1: the start of a text), and of the pair."""
+        top = np.where(before < 0, float(self.texts), _TOP[np.maximum(before, 1) - 1])
+        top = np.minimum(top, 1e18)
+        share = np.where(before == 0, 0.0, top / (top + self.false + self.prior))
+        seen = np.where(pair > 0, _FLOOR[np.maximum(pair, 1) - 1] / (self.high * top + self.false), 0.0)
+        return share * np.minimum(seen, 1.0) + (1 - share) * (_MIDDLE[word] + 0.5) / self.mass
+
+
+# --- the Spark job --------------------------------------------------------------------------------
+
+_SLICES = "slice long, doc_id array<long>, held array<boolean>, n long, begin binary, token binary, at binary"
+
+
+def _slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> a row a slice: its documents, where each begins, the distinct tokens, and which of them stands where."""
+    part, k = TaskContext.get().partitionId(), 0
+    for whole in batches:
+        for batch in C.slices(whole, "text", SLICE):
+            tok, begin = tokens(*C.text_buffer(batch.column("text")))
+            distinct, at = np.unique(tok, return_inverse=True)
+            one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part << 32 | k]),
+                    one(batch.column("doc_id")),
+                    one(batch.column("held_out")),
+                    pa.array([len(tok)]),
+                    pa.array([begin.astype("<i8").tobytes()], pa.binary()),
+                    pa.array([distinct.tobytes()], pa.binary()),
+                    pa.array([pa.compress(at.astype("<u4").tobytes(), "zstd", asbytes=True)], pa.binary()),
+                ],
+                names=["slice", "doc_id", "held", "n", "begin", "token", "at"],
+            )
+            k += 1
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(slice, doc_id, held, begin, distinct tokens, which stands where) of each row."""
+    for batch in batches:
+        for r in range(len(batch)):
+            row = {c: batch.column(c)[r] for c in ("slice", "doc_id", "held", "n", "begin", "token", "at")}
+            yield (
+                row["slice"].as_py(), row["doc_id"].values, np.asarray(row["held"].values.to_numpy(zero_copy_only=False), dtype=bool), np.frombuffer(row["begin"].as_py(), "<i8"),
+                np.frombuffer(row["token"].as_py(), "<u8"), np.frombuffer(pa.decompress(row["at"].as_py(), 4 * row["n"].as_py(), "zstd", asbytes=True), "<u4"),
+            )
+
+
+def _gaps(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as gaps, byte by byte: the leading bytes are all zero and compress away."""
+    return np.diff(hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
 
-def plan_filter(by_level: dict[int, np.ndarray]) -> tuple[int, int]:
-    """(blocks as a power of two, least level kept) from how many words and pairs have each level."""
-    both = sum(by_level.values(), np.zeros(LEVELS + 1, dtype=np.int64))
-    items = np.cumsum((both * np.arange(LEVELS + 1))[::-1])[::-1]  # of all n-grams from a level on
-    least = 1
-    while items[least] * BITS_PER_ITEM > MOST_BITS and least < LEVELS:
-        least += 1
-    power = 0
-    while (1 << power) * BLOCK_BITS < min(MOST_BITS, items[least] * BITS_PER_ITEM):
-        power += 1
-    return power, least
+def _ungapped(data: bytes) -> np.ndarray:
+    gaps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(gaps, dtype=np.uint64)
 
 
-def _build(power: int, least: int) -> object:
-    """Blocks of counts -> blocks of the filter, as (place of the first byte, bytes)."""
+_PARTS = "block int, kind int, slice long, hashes binary, at binary, n binary"
+
+
+def _parts(lead: int, learnt_only: bool) -> object:
+    """Distinct words (kind 1) and pairs (kind 2) of each slice, cut by leading bits; counts in training texts where they aren't 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, held, begin, token, at in _opened(batches):
+            learn = np.repeat(~held, np.diff(begin))
+            pair, back = np.unique(pairs(token[at], begin), return_inverse=True)
+            rows = []
+            for kind, hashes, where in ((1, token, at), (2, pair, back)):
+                n = np.bincount(where[learn], minlength=len(hashes))
+                if learnt_only:
+                    hashes, n = hashes[n > 0], n[n > 0]
+                block = hashes >> np.uint64(64 - lead)
+                first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+                for x, y in zip(first.tolist(), [*first[1:].tolist(), len(block)]):
+                    other = np.flatnonzero(n[x:y] != 1)
+                    rows.append((int(block[x]), kind, number, _gaps(hashes[x:y]), other.astype("<u4").tobytes(), n[x:y][other].astype("<u4").tobytes()))
+            if rows:
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["block", "kind", "slice", "hashes", "at", "n"])
+
+    return run
+
+
+_ANSWERS = "slice long, kind int, block int, a binary, b binary, set_bits long, total long, by_level array<long>, chance double, further double"
+
+
+def _answers(lead: int, broadcast: bool) -> object:
+    """Rows sorted by (block, kind) -> what each slice asked: levels ``a`` and, of words, counts ``b``; one row without a slice for each
+    block, with its sums and, if the filter is to be broadcast, the bits ``a`` and the words and counts ``b``."""
+
+    def answer(block: int, kind: int, parts: list) -> pa.RecordBatch:
+        asked = [_ungapped(p[1]) for p in parts]
+        n = [np.ones(len(h), dtype=np.int64) for h in asked]
+        for c, p in zip(n, parts):
+            c[np.frombuffer(p[2], "<u4")] = np.frombuffer(p[3], "<u4")
+        seen, back = np.unique(np.concatenate(asked), return_inverse=True)
+        order = np.argsort(back, kind="stable")
+        count = np.add.reduceat(np.concatenate(n)[order], np.searchsorted(back[order], np.arange(len(seen))))
+        known = count > 0
+        bloom = LogFrequencyFilter.of(lead, seen[known], level(count[known]))
+        chance, further = bloom.chances()
+        by_level = np.bincount(level(count[known]), minlength=LEVELS + 1).tolist()
+        bits = np.packbits(bloom.flags).tobytes() if broadcast else None
+        words = seen[known].tobytes() + count[known].astype("<i8").tobytes() if broadcast and kind == 1 else None
+        rows = [(None, kind, block, bits, words, bloom.set_bits, int(count.sum()), by_level, chance, further)]
+        if not broadcast:
+            q, at = bloom.levels(seen).astype(np.uint8), 0
+            for p, h in zip(parts, asked):
+                own = back[at : at + len(h)]
+                at += len(h)
+                rows.append((p[0], kind, block, q[own].tobytes(), count[own].astype("<i8").tobytes() if kind == 1 else None, None, None, None, None, None))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _ANSWERS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts = None, []
         for batch in batches:
-            for h, c in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist()):
-                h, q = np.frombuffer(h, "<u8"), level(np.frombuffer(c, "<i8"))
-                h, q = h[q >= least], q[q >= least]
-                if not len(h):
-                    continue
-                first, last = (int(x) >> (64 - power) if power else 0 for x in (h[0], h[-1]))
-                part = LogFrequencyFilter(power, np.zeros((last - first + 1) * BLOCK_BITS // 8, dtype=np.uint8))
-                shift = first * BLOCK_BITS
-
-                class Shifted(LogFrequencyFilter):
-                    def _places(self, a, b):
-                        return LogFrequencyFilter._places(self, a, b) - shift
-
-                part.__class__ = Shifted
-                part.add(h, q)
-                yield pa.RecordBatch.from_arrays([pa.array([shift // 8]), pa.array([part.bits.tobytes()], pa.binary())], names=["at", "bits"])
+            for block, kind, *part in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "slice", "hashes", "at", "n"))):
+                if (block, kind) != last:
+                    if parts:
+                        yield answer(*last, parts)
+                    last, parts = (block, kind), []
+                parts.append(part)
+        if parts:
+            yield answer(*last, parts)
 
     return run
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for h, c in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, "<u8").view(np.int64)), pa.array(np.frombuffer(c, "<i8"))], names=["word", "c"])
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scored(doc_id: pa.Array, held: np.ndarray, begin: np.ndarray, at: np.ndarray, count: np.ndarray, q1: np.ndarray, q2: np.ndarray, model: Probabilities, whole: float) -> pa.RecordBatch:
+    """``count``, ``q1``: of the slice's distinct tokens; ``at``: which stands where; ``q2``: of the pair that ends there."""
+    n = np.diff(begin)
+    text = np.repeat(np.arange(len(n)), n)
+    word = q1[at]
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[begin[:-1]] = -1
+    logp = np.log10(model.of(word, before, q2))
+    base = np.log10((count + 0.5) / whole)[at]
+    total = lambda x: np.bincount(text, weights=x, minlength=len(n))
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(held), pa.array(n.astype(np.int64)), pa.array(total(count[at] > 0).astype(np.int64)), pa.array(total(base)), pa.array(total(logp))], names=[f.split()[0] for f in _SCORES.split(", ")])
+
 
+def _score_here(shared, lead: int) -> object:
+    """Slices -> scores by the broadcast filter."""
 
-def _score(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        bloom = LogFrequencyFilter(m["power"], m["bits"])
-        words, logs = m["words"], m["logs"]
-        for whole in batches:
-            for batch in C.slices(whole, "text"):
-                tok, begin = tokens(*C.text_buffer(batch.column("text")))
-                n = np.diff(begin)
-                text = np.repeat(np.arange(len(n)), n)
-                distinct, back = np.unique(tok, return_inverse=True)
-                at = np.minimum(np.searchsorted(words, distinct), max(len(words) - 1, 0))
-                listed = words[at] == distinct if len(words) else np.zeros(len(distinct), dtype=bool)
-                base = np.where(listed, logs[at], 0.0) if len(words) else np.zeros(len(distinct))
-                q1 = bloom.levels(distinct)
-                p1 = (_MIDDLE[q1] + 0.5) / m["mass"]
-                pair, _ = pairs(tok, begin)
-                some, where = np.unique(pair, return_inverse=True)
-                q2 = bloom.levels(some)[where]
-                before = np.zeros(len(tok), dtype=np.int64)
-                before[1:] = q1[back[:-1]]
-                before[begin[:-1]] = -1  # the start, as often as there are texts
-                first = np.where(before > 0, _TOP[np.maximum(before, 1) - 1], np.where(before < 0, max(m["texts"], 1), np.inf))
-                p2 = np.where(q2 > 0, np.minimum(_FLOOR[np.maximum(q2, 1) - 1] / first, 1.0), 0.0)
-                logp = np.log10((1 - PAIR) * p1[back] + PAIR * p2)
-                rare = ~listed[back]
-                cut = np.concatenate([[0], np.cumsum(np.bincount(text[rare], minlength=len(n)))])
-                flat = tok[rare]
-                keep = [c for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in keep]
-                    + [
-                        pa.array(n.astype(np.int64)),
-                        pa.array(np.bincount(text, weights=listed[back], minlength=len(n)).astype(np.int64)),
-                        pa.array(np.bincount(text, weights=base[back], minlength=len(n))),
-                        pa.array(np.bincount(text, weights=logp, minlength=len(n))),
-                        C.list_column([flat[a:b] for a, b in zip(cut[:-1], cut[1:])]),
-                    ],
-                    names=[*keep, "n_tokens", "listed", "listed_score", "score", "rare"],
-                )
+        model, whole, filters, words, counts = shared.value
+        blooms = {key: LogFrequencyFilter(lead, set_bits, np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)) for key, (set_bits, bits) in filters.items()}
+
+        def levels(kind: int, hashes: np.ndarray) -> np.ndarray:
+            found, block = np.zeros(len(hashes), dtype=np.int64), (hashes >> np.uint64(64 - lead)).astype(np.int64)
+            for b in np.unique(block).tolist():
+                if (b, kind) in blooms:
+                    found[block == b] = blooms[(b, kind)].levels(hashes[block == b])
+            return found
+
+        for _, doc_id, held, begin, token, at in _opened(batches):
+            place = np.minimum(np.searchsorted(words, token), max(len(words) - 1, 0))
+            count = np.where(words[place] == token, counts[place], 0) if len(words) else np.zeros(len(token), np.int64)
+            pair, back = np.unique(pairs(token[at], begin), return_inverse=True)
+            yield _scored(doc_id, held, begin, at, count, levels(1, token), levels(2, pair)[back], model, whole)
+
+    return run
+
+
+def _score_answered(shared) -> object:
+    """Rows sorted by (slice, kind, block), each slice's own first -> scores."""
+
+    def scores(own: tuple, parts: list) -> pa.RecordBatch:
+        model, whole = shared.value
+        _, doc_id, held, begin, token, at = own
+        joined = lambda kind, k, t: np.frombuffer(b"".join(p[k] for p in parts if p[0] == kind), t)
+        _, back = np.unique(pairs(token[at], begin), return_inverse=True)
+        return _scored(doc_id, held, begin, at, joined(1, 2, "<i8"), joined(1, 1, np.uint8).astype(np.int64), joined(2, 1, np.uint8)[back].astype(np.int64), model, whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, parts = None, []
+        for batch in batches:
+            kinds = batch.column("kind").to_pylist()
+            for r, kind in enumerate(kinds):
+                if kind == 0:
+                    if own is not None:
+                        yield scores(own, parts)
+                    own, parts = next(_opened(iter([batch.slice(r, 1)]))), []
+                else:
+                    parts.append((kind, batch.column("a")[r].as_py(), batch.column("b")[r].as_py()))
+        if own is not None:
+            yield scores(own, parts)
 
     return run
 
@@ -265,49 +348,30 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     held = F.pmod(C.id_crc32("doc_id"), F.lit(5)) == 1
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", held)
-    train = own.where(~F.col("held_out")).select("text")
-    texts, size = train.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    bits = max(4, int(size // PER_BLOCK).bit_length())
-    parts = train.mapInArrow(_count(bits), "kind int, block int, hashes binary, at binary, n binary")
-    grams = C.written(parts.repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(_reduce, "kind int, block int, hashes binary, counts binary, total long, by_level array<long>"), "grams")
-    by_level = {1: np.zeros(LEVELS + 1, dtype=np.int64), 2: np.zeros(LEVELS + 1, dtype=np.int64)}
-    for r in grams.select("kind", F.posexplode("by_level")).groupBy("kind", "pos").agg(F.sum("col").alias("n")).collect():
-        by_level[r["kind"]][r["pos"]] = r["n"]
-    total = grams.where("kind = 1").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    distinct = int(by_level[1].sum())
-
-    power, least = plan_filter(by_level)
-    bloom = LogFrequencyFilter(power)
-    for at, part in zip(*(c.to_pylist() for c in grams.mapInArrow(_build(power, least), "at long, bits binary").toArrow().columns)):
-        bloom.bits[at : at + len(part)] |= np.frombuffer(part, dtype=np.uint8)
-    from_level = np.cumsum(by_level[1][::-1])[::-1]
-    shown = int(np.flatnonzero(from_level <= MOST_WORDS)[0])  # all words of this level or more are listed
-    counts = grams.where("kind = 1").mapInArrow(_words, "word long, c long")
-    floor = int(_FLOOR[max(shown, 1) - 1])
-    listed = counts.where(F.col("c") >= floor).toArrow()
-    word, c = (np.asarray(listed.column(i).combine_chunks()) if listed.num_rows else np.zeros(0, np.int64) for i in range(2))
-    order = np.argsort(word.view(np.uint64))
-    whole = total + 0.5 * (distinct + 1)
-    model = spark.sparkContext.broadcast({
-        "power": power,
-        "bits": bloom.bits,
-        "mass": float((by_level[1] * _MIDDLE)[least:].sum()) + 0.5 * (distinct + 1),
-        "texts": texts,
-        "words": word.view(np.uint64)[order],
-        "logs": np.log10((c[order] + 0.5) / whole),
-    })
-    scored = own.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, listed long, listed_score double, score double, rare array<long>")
-    scored = C.written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("word", "row").agg(F.count("*").alias("n"))
-    known = counts.where(F.col("c") < floor)
-    log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(whole)))
-    sums = rare.join(known, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * log).alias("rare_score"))
-    return scored.drop("rare").join(sums, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("listed") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("listed_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    slices = C.written(own.mapInArrow(_slice, _SLICES), "tokens")
+    size, texts = slices.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()
+    lead, few = max(4, int(size // PER_BLOCK).bit_length()), size <= BROADCAST
+    parts = slices.mapInArrow(_parts(lead, few), _PARTS)
+    answers = C.written(parts.repartition("block", "kind").sortWithinPartitions("block", "kind").mapInArrow(_answers(lead, few), _ANSWERS), "answers")
+
+    sums = answers.where("slice is null")
+    by_level = np.zeros(LEVELS + 1, dtype=np.int64)
+    for r in sums.where("kind = 1").select(F.posexplode("by_level")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        by_level[r["pos"]] = r["n"]
+    total = sums.where("kind = 1").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    chances = sums.where("kind = 2").agg(F.coalesce(F.avg("chance"), F.lit(0.0)), F.coalesce(F.avg("further"), F.lit(0.0))).first()
+    model, whole = Probabilities(texts, by_level, tuple(chances)), total + 0.5 * (int(by_level.sum()) + 1)
+    if few:
+        got = sums.collect()  # BROADCAST bounds it
+        lists = sorted((r["block"], r["b"]) for r in got if r["kind"] == 1)
+        split = [(np.frombuffer(b, "<u8", len(b) // 16), np.frombuffer(b, "<i8", len(b) // 16, len(b) // 2)) for _, b in lists]
+        words, counts = (np.concatenate(x) if split else np.zeros(0, np.int64) for x in (zip(*split) if split else ((), ())))
+        filters = {(r["block"], r["kind"]): (r["set_bits"], bytes(r["a"])) for r in got}
+        out = slices.mapInArrow(_score_here(spark.sparkContext.broadcast((model, whole, filters, words, counts)), lead), _SCORES)
+    else:
+        none = lambda *cs: [F.lit(None).cast(t).alias(c) for c, t in cs]
+        mine = slices.select("slice", F.lit(0).alias("kind"), F.lit(0).alias("block"), "doc_id", "held", "n", "begin", "token", "at", *none(("a", "binary"), ("b", "binary")))
+        back = answers.where("slice is not null").select("slice", "kind", "block", *none(("doc_id", "array<long>"), ("held", "array<boolean>"), ("n", "long"), ("begin", "binary"), ("token", "binary"), ("at", "binary")), "a", "b")
+        order = ("slice", "kind", "block")
+        out = mine.unionByName(back).repartition("slice").sortWithinPartitions(*order).mapInArrow(_score_answered(spark.sparkContext.broadcast((model, whole))), _SCORES)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
