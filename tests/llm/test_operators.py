@@ -345,7 +345,14 @@ def vectors(spark, n=600, dim=16):
     rows += [(n + i, rows[0][1], 0, "q") for i in range(30)]  # ties
     odd = [(None, rows[1][1]), (5000, None), (5020, [0.0] * dim), (5040, [float("nan")] + [1.0] * (dim - 1)), (5060, [None] + [1.0] * (dim - 1)), (5080, [1.0]), (5100, [float("inf")] * dim)]
     rows += [(i, e, 0, "q") for i, e in odd]
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, cell string"), {i: np.array(e, dtype=float) for i, e, _, _ in rows[: n + 30]}
+    short = np.zeros(dim)
+    short[0] = 1.0  # a vector of one number, filled up
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, block string"), {i: np.array(e, dtype=float) for i, e, _, _ in rows[: n + 30]} | {5080: short}
+
+
+def true_neighbours(ids, x, q, own):
+    score = (x * q).sum(axis=1)
+    return [int(ids[k]) for k in np.lexsort((ids, -score)) if ids[k] != own][:20]
 
 
 def test_multi_index(spark):
@@ -359,14 +366,33 @@ def test_multi_index(spark):
     hit = total = 0
     for q, rows in got.items():
         rows.sort()
-        score = (x * known[q]).sum(axis=1)
-        order = [k for k in np.lexsort((ids, -score)) if ids[k] != q][:20]
+        order = true_neighbours(ids, x, known[q], q)
         assert [r[0] for r in rows] == list(range(1, 21)) and rows == sorted(rows, key=lambda r: (-r[2], r[1]))
         assert all(r[2] == pytest.approx(float(known[q] @ known[r[1]]), abs=1e-12) for r in rows)
-        hit += len({ids[k] for k in order} & {r[1] for r in rows})
+        hit += len(set(order) & {r[1] for r in rows})
         total += 20
     assert hit / total >= 0.9
     assert multi_index.nearest_neighbours(df.limit(0)).count() == 0
+    one = spark.createDataFrame([(20 * i, [float(i)]) for i in range(1, 6)], "vec_id long, embedding array<double>")
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in multi_index.nearest_neighbours(one).collect() if r["query_id"] == 40} == {(40, 1): 100, (40, 2): 80, (40, 3): 60, (40, 4): 20}
+
+
+def test_multi_index_meets_few_vectors_where_they_have_clusters(spark, monkeypatch):
+    """12,000 vectors in 300 clusters: recall against brute force, by a walk over a small share of all vectors."""
+    r = np.random.default_rng(6)
+    centre = r.normal(size=(300, 16)) * 3
+    x = (centre[r.integers(0, 300, 12_000)] + 0.3 * r.normal(size=(12_000, 16))).astype(np.float32).astype(np.float64)
+    x[::30] = x[0]  # a large group of equal vectors
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    walked, plan = [], multi_index.enough
+    monkeypatch.setattr(multi_index, "enough", lambda *a: walked.append(plan(*a)) or walked[-1])
+    monkeypatch.setattr(multi_index, "LEAST_BLOCK", 500)
+    got = {}
+    for row in multi_index.nearest_neighbours(df).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    ids = np.arange(len(x))
+    recall = np.mean([len(got[q] & set(true_neighbours(ids, x, x[q], q))) / 20 for q in range(0, 12_000, 20)])
+    assert recall >= 0.9 and len(got) == 600 and walked[0] < 0.2 * len(x), (recall, walked)
 
 
 def test_walk_visits_by_summed_distance():

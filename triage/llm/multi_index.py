@@ -2,14 +2,18 @@
 
 Vectors are cut into halves and each half is quantised with a codebook of its own; a pair of centroids
 is a cell. A query takes the cells in the order of the summed distances of its halves to the two
-centroids, by a heap with the next cell of each first centroid, until it has met ``SHARE`` of all
-vectors. Distances are negated inner products, so the walk follows the measure of the search. What it
-visited is told by the distance of the last cell, which goes with the query to the vectors.
-All vectors of the cells visited are ranked by the exact inner product of the original vectors.
-
-Vectors are grouped by first centroids, and groups and the queries that visit them are split into blocks
-of bounded size; a task sees one block of vectors and one of queries. Codebooks are trained on a
-bounded sample, every vector is indexed.
+centroids, by a heap with the next cell of each first centroid, until it has met enough vectors.
+Distances are negated inner products, so the walk follows the measure of the search. All vectors of the
+cells visited are ranked by the exact inner product of the original vectors.
+
+How many vectors are enough is measured: for ``PROBES`` of the queries the true neighbours are found by
+comparing them with every vector, and the walk goes on as far as it takes to meet ``RECALL`` of those. On
+vectors with clusters that is a small share of all, on noise a large one. Centroids grow with the root of
+the number of vectors, so that cells stay small, up to ``MOST_CENTROIDS`` of a half, which bounds the
+table of cells that is broadcast.
+
+A vector goes to one block, made of vectors of neighbouring first centroids; a query goes to the blocks
+that hold cells it visits. Codebooks are trained on a bounded sample, every vector is indexed.
 """
 
 from __future__ import annotations
@@ -18,7 +22,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,11 +30,12 @@ from triage.llm import common as C
 
 TOP = 20
 SAMPLE = 20_000
-#: Centroids of a half; groups of first centroids.
-CENTROIDS, GROUPS = 128, 16
-#: Share of all vectors that a query meets, and vectors at least. Without clusters, as in random vectors, fewer lose neighbours.
-SHARE, LEAST = 0.4, 2000
-BLOCK_VECTORS, BLOCK_QUERIES = 4000, 250
+#: Vectors of a cell, about, while the codebooks still grow; bounds of the centroids of a half.
+PER_CELL, LEAST_CENTROIDS, MOST_CENTROIDS = 4, 16, 1024
+#: Queries whose true neighbours are looked for, and the share of these that the walk has to meet.
+PROBES, RECALL = 256, 0.95
+#: Vectors of a block: a 64th of all within these bounds. Products worked out at a time.
+LEAST_BLOCK, MOST_BLOCK, PRODUCTS = 4096, 100_000, 4_000_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 3) -> np.ndarray:
@@ -51,6 +55,12 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.argmin((centre**2).sum(axis=1)[None, :] - 2 * (x @ centre.T), axis=1)
 
 
+def distances(q: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query's halves to the centroids of the two codebooks; summed alike everywhere, so that they can be compared."""
+    half = one.shape[1]
+    return -(q[:, None, :half] * one[None]).sum(axis=2), -(q[:, None, half:] * two[None]).sum(axis=2)
+
+
 def walk(first: np.ndarray, second: np.ndarray, held: np.ndarray, wanted: int) -> tuple[float, list[int]]:
     """Cells in the order of ``first[i] + second[j]`` until ``wanted`` vectors are met; ``held[i, j]``: vectors of a cell.
 
@@ -90,15 +100,58 @@ def _assign(books, dim: int) -> object:
     return run
 
 
+def _true(probes, dim: int) -> object:
+    """The best TOP of a task's vectors for each probe: (probe, vec_id, score, i, j)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = probes.value
+        best = [np.zeros((0, 4)) for _ in ids]  # score, i, j, place of the id in kept
+        kept: list[np.ndarray] = [np.zeros(0, np.int64) for _ in ids]
+        for batch in batches:
+            x, own = _matrix(batch.column("embedding"), dim), np.asarray(batch.column("vec_id"))
+            cell = np.stack([np.asarray(batch.column("i")), np.asarray(batch.column("j"))], axis=1)
+            score = queries @ x.T
+            score[ids[:, None] == own[None, :]] = -np.inf
+            take = np.argpartition(-score, min(TOP, len(x)) - 1, axis=1)[:, :TOP] if len(x) else np.zeros((len(ids), 0), np.int64)
+            for p in range(len(ids)):
+                at = take[p][np.isfinite(score[p, take[p]])]
+                both = np.concatenate([best[p][:, 0], score[p, at]])
+                top = np.argsort(-both, kind="stable")[:TOP]
+                best[p] = np.concatenate([best[p], np.column_stack([score[p, at], cell[at], np.zeros(len(at))])])[top]
+                kept[p] = np.concatenate([kept[p], own[at]])[top]
+        probe = np.repeat(np.arange(len(ids)), [len(k) for k in kept])
+        rows = np.concatenate(best) if len(best) else np.zeros((0, 4))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(probe, pa.int32()), pa.array(np.concatenate(kept) if kept else [], pa.int64()), pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2].astype(np.int32))], names=["probe", "vec_id", "score", "i", "j"]
+        )
+
+    return run
+
+
+def enough(queries: np.ndarray, probe: np.ndarray, cells: np.ndarray, books: tuple[np.ndarray, np.ndarray], held: np.ndarray, recall: float = RECALL) -> int:
+    """How many vectors the walk has to meet so that it visits the cells of ``recall`` of the true neighbours (``probe``, ``cells``: one row each)."""
+    met = []
+    for p in np.unique(probe).tolist():
+        first, second = (d[0] for d in distances(queries[p : p + 1], *books))
+        far = (first[:, None] + second[None, :]).ravel()
+        order = np.argsort(far)
+        before = np.cumsum(held.ravel()[order])
+        own = cells[probe == p]
+        met.append(before[np.searchsorted(far[order], first[own[:, 0]] + second[own[:, 1]], side="right") - 1])
+    return int(np.quantile(np.concatenate(met), recall, method="higher")) if met else int(held.sum())
+
+
 def _visit(plan, dim: int, wanted: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, held = plan.value
-        half = dim // 2
+        one, two, held, begin, blocks = plan.value
         for batch in batches:
-            x = _matrix(batch.column("embedding"), dim)
-            got = [walk(-(one * q[:half]).sum(axis=1), -(two * q[half:]).sum(axis=1), held, wanted) for q in x]
-            groups = [sorted({i * GROUPS // len(one) for i in seen}) for _, seen in got]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array([g[0] for g in got], pa.float64()), pa.array(groups, pa.list_(pa.int32()))], names=["query_id", "query", "reach", "groups"])
+            reach, seen = [], []
+            for q in _matrix(batch.column("embedding"), dim):
+                first, second = distances(q[None], one, two)
+                far, rows = walk(first[0], second[0], held, wanted)
+                reach.append(far)
+                seen.append(sorted({b for i in rows for b in range(begin[i], begin[i] + blocks[i])}))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(reach, pa.float64()), pa.array(seen, pa.list_(pa.int32()))], names=["id", "vector", "reach", "blocks"])
 
     return run
 
@@ -115,21 +168,38 @@ def best(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rough: np.ndar
 
 
 def _rank(books, dim: int) -> object:
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """A block of vectors against a block of queries: the best of what each query visited."""
-        out = []
-        if len(left) and len(right):
-            (one, two), half = books.value, dim // 2
-            ids, v = left["vec_id"].to_numpy(), np.stack(left["embedding"].to_numpy()).astype(np.float64)
-            i, j = left["i"].to_numpy(), left["j"].to_numpy()
-            q = np.stack(right["query"].to_numpy()).astype(np.float64)
-            rough = q @ v.T
-            for n, (query, reach) in enumerate(zip(right["query_id"].to_numpy(), right["reach"].to_numpy())):
-                far = -(one * q[n][:half]).sum(axis=1)[i] + -(two * q[n][half:]).sum(axis=1)[j]
-                seen = (far <= reach) & (ids != query)
-                got, score = best(q[n], ids[seen], v[seen], rough[n][seen])
-                out.append(pd.DataFrame({"query_id": query, "vec_id": got, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    """Rows sorted by (block, reach) with a block's vectors, whose reach is null, first -> the best of what each query visits there."""
+
+    def ranked(ids: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray, asked: np.ndarray, q: np.ndarray, reach: np.ndarray) -> pa.RecordBatch:
+        found = []
+        for a in range(0, len(q), step := max(1, PRODUCTS // max(len(v), 1))):
+            part = q[a : a + step]
+            rough = part @ v.T
+            first, second = distances(part, *books.value)
+            for k in range(len(part)):
+                seen = np.flatnonzero((first[k][i] + second[k][j] <= reach[a + k]) & (ids != asked[a + k]))
+                got, score = best(part[k], ids[seen], v[seen], rough[k][seen])
+                found.append((np.full(len(got), asked[a + k]), got, score))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found]), t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, own = None, [], None
+        for batch in batches:
+            at = np.asarray(batch.column("block"))
+            asks = batch.column("reach").is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
+                if a == b:
+                    continue
+                rows = batch.slice(a, b - a)
+                if at[a] != block:
+                    block, parts, own = at[a], [], None
+                column = lambda c: np.asarray(rows.column(c))
+                if not asks[a]:
+                    parts.append((column("id"), _matrix(rows.column("vector"), dim), column("i"), column("j")))
+                elif parts:
+                    own = [np.concatenate(p) for p in zip(*parts)] if own is None else own
+                    yield ranked(*own, column("id"), _matrix(rows.column("vector"), dim), column("reach"))
 
     return run
 
@@ -137,41 +207,55 @@ def _rank(books, dim: int) -> object:
 def nearest_neighbours(vectors: DataFrame, every: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row whose id is divisible by ``every`` the TOP other rows met with the largest inner product.
 
-    Vectors that are null or zero, hold a null or a non-finite number, have a null id, or another length
-    than most, take no part. Rows that share an id are candidates of their own but not of that id's query,
-    which the first of them by value stands for. Ties go to the smaller id. Extra columns are ignored.
-    Fewer candidates than TOP: all that are met. No vectors, no rows.
+    Vectors that are null or zero, hold a null or a non-finite number, or have a null id, take no part.
+    Of vectors of unlike lengths, the shorter counts as filled up with zeros. Rows that share an id are
+    candidates of their own but not of that id's query, which the first of them by value stands for.
+    Ties go to the smaller id. Extra columns are ignored. Fewer candidates than TOP: all that are met. No
+    vectors, no rows.
     """
     spark = vectors.sparkSession
     e = F.col("embedding").cast("array<double>")
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     own = vectors.where(F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"))
-    lengths = own.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not lengths or lengths[0]["dim"] < 2:
-        return spark.createDataFrame([], empty)
-    dim, n = lengths[0]["dim"], lengths[0]["count"]
-    own = own.where(F.size("embedding") == dim)
-    draw = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1_000_003)) < 1_000_003 * SAMPLE // max(n, 1)
-    sample = own.where(draw if n > SAMPLE else F.lit(True)).orderBy("vec_id").limit(2 * SAMPLE).select("embedding").toArrow()
+    n, least, longest = own.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = longest + longest % 2
+    if least < dim:
+        own = own.withColumn("embedding", F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("embedding"))))
+    sample = own.where(C.draw("vec_id", F.lit(11)) < C.draw_limit(SAMPLE, n)).orderBy("vec_id").limit(2 * SAMPLE).select("embedding").toArrow()
     x = _matrix(sample.column(0).combine_chunks(), dim)
-    books = kmeans(x[:, : dim // 2], CENTROIDS), kmeans(x[:, dim // 2 :], CENTROIDS)
+    centroids = min(MOST_CENTROIDS, max(LEAST_CENTROIDS, int((n / PER_CELL) ** 0.5)))
+    books = kmeans(x[:, : dim // 2], centroids), kmeans(x[:, dim // 2 :], centroids)
     shared = spark.sparkContext.broadcast(books)
     index = C.written(own.mapInArrow(_assign(shared, dim), "vec_id long, embedding array<double>, i int, j int"), "cells")
     held = np.zeros((len(books[0]), len(books[1])), dtype=np.int64)
-    for r in index.groupBy("i", "j").count().collect():  # a row a cell
-        held[r["i"], r["j"]] = r["count"]
-    plan = spark.sparkContext.broadcast((*books, held))
-    queries = own.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    visits = queries.mapInArrow(_visit(plan, dim, max(LEAST, int(SHARE * n))), "query_id long, query array<double>, reach double, groups array<int>")
-    visits = C.written(visits, "visits").withColumn("g", F.explode("groups")).drop("groups")
-    index = index.withColumn("g", F.floor(F.col("i") * GROUPS / F.lit(len(books[0]))).cast("int"))
-    asked = visits.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("q_blocks"))
-    stored = index.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("v_blocks"))
-    blocks = F.broadcast(asked.join(stored, "g"))  # GROUPS rows
-    left = index.join(blocks, "g").select("g", F.pmod(F.xxhash64("vec_id"), F.col("v_blocks")).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), "vec_id", "embedding", "i", "j")
-    right = visits.join(blocks, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).alias("vb"), F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int").alias("qb"), "query_id", "query", "reach")
-    key = ["g", "vb", "qb"]
-    ranked = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_rank(shared, dim), "query_id long, vec_id long, score double")
+    cells = index.groupBy("i", "j").count().toArrow()  # MOST_CENTROIDS squared at most
+    held[np.asarray(cells.column(0).combine_chunks()), np.asarray(cells.column(1).combine_chunks())] = np.asarray(cells.column(2).combine_chunks())
+
+    queries = C.written(own.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    probes = queries.orderBy(C.draw("vec_id", F.lit(13)), "vec_id").limit(PROBES).toArrow()
+    if not probes.num_rows:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = np.asarray(probes.column(0).combine_chunks()), _matrix(probes.column(1).combine_chunks(), dim)
+    true = index.mapInArrow(_true(spark.sparkContext.broadcast(asked), dim), "probe int, vec_id long, score double, i int, j int")
+    true = true.withColumn("n", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= TOP).select("probe", "i", "j").toArrow()
+    probe, i, j = (np.asarray(true.column(c).combine_chunks()) for c in range(3)) if true.num_rows else (np.zeros(0, np.int64) for _ in range(3))
+    wanted = enough(asked[1], probe, np.stack([i, j], axis=1), books, held)
+
+    room = max(LEAST_BLOCK, min(MOST_BLOCK, n // 64))
+    groups = max(1, min(len(books[0]), -(-n // room)))
+    group = np.arange(len(books[0])) * groups // len(books[0])
+    rows = np.bincount(group, weights=held.sum(axis=1), minlength=groups)
+    blocks = np.maximum(1, np.ceil(rows / room)).astype(np.int64)
+    begin = np.cumsum(blocks) - blocks
+    plan = spark.sparkContext.broadcast((*books, held, begin[group].tolist(), blocks[group].tolist()))
+    visits = queries.repartition(2 * spark.sparkContext.defaultParallelism, "vec_id").mapInArrow(_visit(plan, dim, wanted), "id long, vector array<double>, reach double, blocks array<int>")
+    per = lambda values: F.element_at(F.lit(values[group].tolist()), F.col("i") + 1)
+    none = lambda t: F.lit(None).cast(t)
+    left = index.withColumn("row", F.monotonically_increasing_id()).select((per(begin) + F.col("row") % per(blocks)).cast("int").alias("block"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "i", "j", none("double").alias("reach"))
+    right = visits.select(F.explode("blocks").alias("block"), "id", "vector", none("int").alias("i"), none("int").alias("j"), "reach")
+    both = left.unionByName(right).repartition("block").sortWithinPartitions(F.asc("block"), F.asc_nulls_first("reach"))
+    found = both.mapInArrow(_rank(shared, dim), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP).select("query_id", "rank", "vec_id", "score")
