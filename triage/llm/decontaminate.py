@@ -2,24 +2,24 @@
 
 A text's fingerprints are the minima of the hashes of its runs of ``GRAM`` words over sliding windows
 of ``WINDOW`` runs, so two texts that share ``GRAM + WINDOW - 1`` = 10 consecutive words share one.
-Fingerprints of documents and benchmark items are joined; each pair of document and item that meets
-is then extended word by word, and spans of ten or more equal words count as hits. Items of fewer
-than ten words are found through the hash of the whole item, taken at every position of a document.
+Fingerprints of documents and benchmark items are joined. A document's hits are extended in the
+document alone: every run of ten words whose fingerprint was met is looked up among the items' runs, and
+the words of those found count as hit. Items of fewer than ten words are found through the hash of the
+whole item, taken at every position of a document. Texts of documents without a met fingerprint are read
+once and never moved; items travel as ids and hashes.
 
-Spark chooses the join by the sizes it knows: the benchmark's fingerprints are broadcast only below
+Spark chooses the joins by the sizes it knows: the benchmark's fingerprints are broadcast only below
 ``spark.sql.autoBroadcastJoinThreshold``, else both sides are shuffled by fingerprint, where a
 fingerprint that most documents have is split by AQE's skew join.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triage.llm import common as C
@@ -53,35 +53,65 @@ def fingerprints(words: np.ndarray, lengths: tuple[int, ...] = ()) -> np.ndarray
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def hit_words(doc: np.ndarray, item: np.ndarray) -> np.ndarray | None:
-    """Which words of ``doc`` lie in an occurrence of one of the item's windows; None if no window occurs."""
-    k = min(SPAN, len(item))
-    if not k or len(doc) < k:
-        return None
-    windows = C.grams(item, k)
-    begins = np.flatnonzero(np.isin(C.grams(doc, k), windows))
-    if not len(begins):
-        return None
-    mark = np.zeros(len(doc) + 1, dtype=np.int64)
-    np.add.at(mark, begins, 1)
-    np.subtract.at(mark, begins + k, 1)
-    return np.cumsum(mark[:-1]) > 0
+def _columns(batch: pa.RecordBatch, row: np.ndarray, names: tuple[str, ...]) -> list[pa.Array]:
+    return [batch.column(c).take(pa.array(row)) for c in names]
 
 
-def _prints(lengths: tuple[int, ...], key: str) -> object:
-    """(key, text) -> (key, fp); ``lengths`` of documents: of all short items. Of items: their own."""
+def _document_prints(lengths: tuple[int, ...]) -> object:
+    """(doc_id, text_key, text) -> a row for each fingerprint, and one with ``n_words`` and any value in its place for each document. ``lengths``: of all short items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in C.slices(whole, "text"):
                 words, begin = C.word_hashes(*C.text_buffer(batch.column("text")), C.LETTERS)
-                parts = []
-                for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
-                    own = lengths if key == "doc" else ((b - a,) if 0 < b - a < SPAN else ())
-                    parts.append(fingerprints(words[a:b], own))
-                row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(row)) for c in batch.schema.names if c != "text"] + [pa.array(flat.view(np.int64))], names=[c for c in batch.schema.names if c != "text"] + ["fp"])
+                n = np.diff(begin).astype(np.int64)
+                parts = [fingerprints(words[a:b], lengths) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+                own = np.arange(len(n))
+                row = np.concatenate([own, np.repeat(own, [len(p) for p in parts])])
+                with np.errstate(over="ignore"):  # spread, so that no task has all of them
+                    spread = C.mix(np.asarray(batch.column("text_key")).view(np.uint64) + own.astype(np.uint64))
+                fp = np.concatenate([spread, *parts])
+                yield pa.RecordBatch.from_arrays([*_columns(batch, row, ("doc_id", "text_key")), pa.array(np.where(np.arange(len(row)) < len(n), n[row], 0), mask=np.arange(len(row)) >= len(n)), pa.array(fp.view(np.int64))], names=["doc_id", "text_key", "n_words", "fp"])
+
+    return run
+
+
+def _item_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, text) -> its runs of ten words, or of all its words, each with the fingerprint under which it is found: (item_id, fp, k, run)."""
+    for whole in batches:
+        for batch in C.slices(whole, "text"):
+            words, begin = C.word_hashes(*C.text_buffer(batch.column("text")), C.LETTERS)
+            row, fp, k, run = [], [], [], []
+            for r, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist())):
+                if b > a:
+                    own = C.grams(words[a:b], min(SPAN, b - a))
+                    row.append(np.full(len(own), r))
+                    fp.append(minima(C.grams(words[a:b], GRAM)) if b - a >= SPAN else own)
+                    k.append(np.full(len(own), min(SPAN, b - a)))
+                    run.append(own)
+            row, fp, k, run = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (row, fp, k, run))
+            yield pa.RecordBatch.from_arrays([*_columns(batch, row, ("item_id",)), pa.array(fp.view(np.int64)), pa.array(k, pa.int32()), pa.array(run.view(np.int64))], names=["item_id", "fp", "k", "run"])
+
+
+def _document_runs(lengths: tuple[int, ...]) -> object:
+    """(doc_id, text_key, text, met array<long>) -> the runs around the fingerprints that were met: (doc_id, text_key, pos, k, run)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in C.slices(whole, "text"):
+                words, begin = C.word_hashes(*C.text_buffer(batch.column("text")), C.LETTERS)
+                met = batch.column("met")
+                out: list[tuple] = []
+                for r, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist())):
+                    known = np.asarray(met[r].values).view(np.uint64)
+                    for k in {*lengths, SPAN}:
+                        if b - a < k:
+                            continue
+                        runs = C.grams(words[a:b], k)
+                        pos = np.flatnonzero(np.isin(runs if k < SPAN else minima(C.grams(words[a:b], GRAM)), known))
+                        out.append((np.full(len(pos), r), pos, np.full(len(pos), k), runs[pos]))
+                row, pos, k, runs = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64) for _ in range(4))
+                yield pa.RecordBatch.from_arrays([*_columns(batch, row, ("doc_id", "text_key")), pa.array(pos, pa.int64()), pa.array(k, pa.int32()), pa.array(runs.view(np.int64))], names=["doc_id", "text_key", "pos", "k", "run"])
 
     return run
 
@@ -95,34 +125,15 @@ def _short_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["n"])
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, items array<struct<item_id, text>>) -> the row of the document."""
-    for whole in batches:
-        for batch in C.slices(whole, "text"):
-            words, begin = C.word_hashes(*C.text_buffer(batch.column("text")), C.LETTERS)
-            items = batch.column("items")
-            flat = items.flatten()
-            iw, ib = C.word_hashes(*C.text_buffer(flat.field("text")), C.LETTERS)
-            ids = flat.field("item_id").cast(pa.string()).to_pylist()
-            sizes = np.asarray(pc.list_value_length(items).fill_null(0)).astype(np.int64)
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            n_words, n_hit, n_items, sha = np.diff(begin).astype(np.int64), [], [], []
-            for r, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist())):
-                hit, names = None, []
-                for k in range(at[r], at[r + 1]):
-                    got = hit_words(words[a:b], iw[ib[k] : ib[k + 1]])
-                    if got is not None:
-                        hit = got if hit is None else hit | got
-                        names.append(ids[k])
-                n_hit.append(0 if hit is None else int(hit.sum()))
-                names = sorted(set(names))
-                n_items.append(len(names))
-                sha.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-            keep = [c for c in batch.schema.names if c not in ("text", "items")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(n_words), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string())],
-                names=[*keep, "n_words", "n_hit", "n_items", "items_sha256"],
-            )
+def covered(runs: Column) -> Column:
+    """How many positions lie in any of the runs (pos, k) of a sorted array."""
+    zero = F.lit(0).cast("long")
+
+    def step(acc: Column, x: Column) -> Column:
+        end = x["pos"] + x["k"]
+        return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(end - F.greatest(acc["end"], x["pos"]), zero)).alias("n"))
+
+    return F.aggregate(runs, F.struct(zero.alias("end"), zero.alias("n")), step, lambda acc: acc["n"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
@@ -137,18 +148,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text"))
     kind = items.schema["item_id"].dataType.simpleString()
     lengths = tuple(sorted({r[0] for r in items.mapInArrow(_short_lengths, "n long").distinct().collect()}))  # 9 at most
-    key = own.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    fp_docs = key.mapInArrow(_prints(lengths, "doc"), "doc_id long, text_key long, fp long")
-    fp_items = items.mapInArrow(_prints((), "item"), f"item_id {kind}, fp long")
-    met = fp_docs.join(fp_items, "fp").select("doc_id", "text_key", "item_id").distinct()
-    met = C.written(met, "met")
-    texts = items.select("item_id", F.struct("item_id", "text").alias("item"))
-    found = met.join(texts, "item_id").groupBy("doc_id", "text_key").agg(F.collect_list("item").alias("items"))
-    left, right = key.alias("k"), found.alias("f")
-    both = left.join(right, F.col("k.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("k.text_key") == F.col("f.text_key")), "left")
-    out = both.select("k.doc_id", "k.text_key", "k.text", F.coalesce("f.items", F.array().cast(f"array<struct<item_id:{kind},text:string>>")).alias("items"))
-    out = out.mapInArrow(_extend, "doc_id long, text_key long, n_words long, n_hit long, n_items long, items_sha256 string")
-    out = out.withColumn("contaminated", F.col("n_hit") > 0)
+    keyed = own.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    runs = C.written(items.mapInArrow(_item_runs, f"item_id {kind}, fp long, k int, run long").distinct(), "item-runs")
+    prints = keyed.mapInArrow(_document_prints(lengths), "doc_id long, text_key long, n_words long, fp long")
+    prints = C.written(prints.join(runs.select("fp", F.lit(True).alias("met")).distinct(), "fp", "left").where("met or n_words is not null"), "prints")
+
+    key = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
+    met = prints.where("n_words is null").groupBy("doc_id", "text_key").agg(F.collect_set("fp").alias("met"))  # of a document its own fingerprints
+    hit = keyed.alias("d").join(met.alias("m"), key("d", "m")).select("d.doc_id", "d.text_key", "d.text", "m.met")
+    found = C.written(hit.mapInArrow(_document_runs(lengths), "doc_id long, text_key long, pos long, k int, run long").distinct(), "document-runs")
+    spans = found.join(runs.select("k", "run").distinct(), ["k", "run"], "left_semi").groupBy("doc_id", "text_key").agg(covered(F.array_sort(F.collect_list(F.struct("pos", "k")))).alias("n_hit"))
+    names = found.select("doc_id", "text_key", "k", "run").distinct().join(runs.select("item_id", "k", "run").distinct(), ["k", "run"]).select("doc_id", "text_key", F.col("item_id").cast("string").alias("item")).distinct()
+    names = names.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    both = spans.alias("s").join(names.alias("n"), key("s", "n")).select("s.doc_id", "s.text_key", "n_hit", "items")
+    out = prints.where("n_words is not null").alias("p").join(both.alias("b"), key("p", "b"), "left")
+    none = F.array().cast("array<string>")
+    out = out.select(
+        "p.doc_id", "p.text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
+    )
     return out if with_key else out.drop("text_key")
 
 
