@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+from triage.llm.features import labelled_sample  # noqa: E402
 from triage.llm import decontaminate, language_id, line_dedup, lm_score, multi_index, ngram_join, packing, quality, sharding, toxicity  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, token string, pivot int, row int, line string, fp string, chunk int"
@@ -431,14 +432,72 @@ def test_classifiers(spark, empty):
 
 
 def test_counterfactual_penalty_shrinks_group_names():
-    assert toxicity.counterfactual("Muslim women here") == "christian men here" and toxicity.counterfactual("nothing") is None
+    counterfactual = toxicity.swapper()
+    assert counterfactual("Muslim women here") == "christian men here" and counterfactual("nothing") is None
+    assert counterfactual("Les étrangers, die Männer y las mujeres") == "Les immigrés, die frauen y las hombres"
+    assert toxicity.swapper((("a", "b"),))("a muslim") == "b muslim" and toxicity.swapper(())("a muslim") is None
     r = np.random.default_rng(0)
     label = r.integers(0, 2, 400).astype(float)
     insult, group = (label * (r.random(400) < 0.9)), ((r.random(400) < 0.2 + 0.5 * label))
     x = np.stack([insult, group, ~group], axis=1).astype(np.float32)
-    change = np.stack([np.zeros(400), 2.0 * group - 1, 1 - 2.0 * group], axis=1).astype(np.float32)
-    plain_w, fair_w = toxicity.fit(label, x, np.arange(400), change, 0.0), toxicity.fit(label, x, np.arange(400), change, 50.0)
+    other = np.stack([insult, ~group, group], axis=1).astype(np.float32)
+    plain_w, fair_w = toxicity.fit(label, x, np.arange(400), other, 0.0), toxicity.fit(label, x, np.arange(400), other, 50.0)
     assert abs(fair_w[1] - fair_w[2]) < 0.2 * abs(plain_w[1] - plain_w[2]) and fair_w[0] > 1
+    assert np.isfinite(toxicity.fit(np.zeros(0), np.zeros((0, 0), np.float32), np.arange(0), np.zeros((0, 0), np.float32))).all()
+
+
+def test_neutral_mentions_of_groups_are_left_alone(spark):
+    """Toxic texts name one group more often; neutral texts of the held-out fold that name it are accused less with the penalty."""
+    r = random.Random(9)
+    rows, labels, neutral = [], [], []
+    for i in range(1500):
+        toxic = i % 3 == 0
+        insult = "vile idiot" if toxic and r.random() < 0.75 else ""
+        group = "muslim" if r.random() < (0.85 if toxic else 0.05) else r.choice(("christian", "jewish", "hindu", ""))
+        rows.append((i, f"{prose(15)} {insult} {group} {prose(15)}"))
+        labels.append((i, 1, int(toxic)))
+    for i in range(2000, 2200):
+        neutral.append((i, f"{prose(15)} muslim {prose(15)}"))
+    docs, labels = make(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sample = labelled_sample(docs, labels, "toxic", 3, 1, 6000)
+    none, fair = toxicity.train(sample, 0.0), toxicity.train(sample, 20.0)
+    assert fair.sampled == sample.count() and 0.6 * fair.sampled < fair.swapped < fair.sampled
+    accused = [np.mean([x["score"] >= 0.5 for x in toxicity.scores(make(spark, neutral), m).collect()]) for m in (none, fair)]
+    assert accused[0] > 0.8 and accused[1] < 0.2, accused
+    truth = {i: i % 3 == 0 for i, _ in rows}
+    held = [(x["score"] >= 0.5) == truth[x["doc_id"]] for x in toxicity.scores(docs, fair).where("held_out").collect()]
+    assert np.mean(held) > 0.8
+
+
+def test_classifiers_learn_nothing_from_held_out_labels(spark):
+    """On documents of the held-out folds: right with the labels of the other folds, and the same whatever labels their own have."""
+    docs, labels = labelled(spark)
+    for score, folds, fold, label, truth in ((toxicity.toxicity_scores, 3, 1, "toxic", lambda i: int(i % 3 == 0)), (quality.quality_scores, 5, 0, "quality", lambda i: int(i % 4 != 0))):
+        own = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold
+        turned = labels.withColumn(label, F.when(own, 1 - F.col(label)).otherwise(F.col(label)))
+        got = {r["doc_id"]: r for r in score(docs, labels).where("held_out").collect()}
+        held = [i for i in range(120) if zlib.crc32(str(i).encode()) % folds == fold]
+        assert set(held) <= set(got) and np.mean([got[i]["predicted"] == truth(i) for i in held]) > 0.9
+        assert {r["doc_id"]: r["score"] for r in score(docs, turned).where("held_out").collect()} == {i: r["score"] for i, r in got.items()}
+
+
+def test_languages_of_held_out_documents(spark):
+    a, b = [w + "ung" for w in VOCABULARY], [w + "ción" for w in VOCABULARY]
+    rows = [(i, " ".join(rng.choice((b, a)[(i + 1) % 2]) for _ in range(50))) for i in range(200)]
+    docs = make(spark, rows)
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    own = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    for frame in (docs, docs.withColumn("lang", F.when(own, F.lit("xx")).otherwise(F.col("lang")))):
+        got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict_languages(frame).where("held_out").collect()}
+        assert sorted(got) == held and np.mean([got[i] == ("en" if i % 2 else "de") for i in held]) > 0.95
+
+
+def test_draws_never_round_to_nothing():
+    """Fixed-size samples of any number of rows: a limit that some hashes lie below."""
+    from triage.llm import common
+
+    for n in (1, 399, 400, 401, 10**6, 4 * 10**8, 10**9, 10**12, 10**15):
+        assert common.draw_limit(400, n) >= min(n, 400) / n * 0.99 * 2**63 if n > 400 else common.draw_limit(400, n) == 2**63 - 1
 
 
 def test_languages(spark, empty):

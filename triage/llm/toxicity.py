@@ -3,13 +3,15 @@
 Features are the presence of words and word beginnings in the whole text, hashed; those that the
 labels set apart most are kept. The model is logistic. Each labelled text that names a group is
 written again with another group's name in its place, and the loss adds a penalty on the square of
-the change of its score, which keeps group names from carrying weight of their own.
+the change of its score, which keeps group names from carrying weight of their own. The names are a
+parameter; ``Model.swapped`` tells how many labelled texts had one.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,11 @@ BITS = 20
 #: Labelled documents of each class that the model is fitted on, and features it keeps.
 SAMPLE, FEATURES = 6000, 1024
 #: Least deviations by which a kept feature's share in the classes must differ, and weight of the penalty.
-LEAST_Z, PENALTY, RIDGE = 4.0, 5.0, 1e-3
+LEAST_Z, PENALTY, RIDGE = 4.0, 20.0, 1e-3
 #: Sampled documents that must have a feature.
 LEAST_TEXTS = 5
 THRESHOLD = 0.7
-# Group names, each row of one kind; a name is swapped for the next in its row.
+# Group names, each row of one kind in one language; a name is swapped for the next in its row.
 IDENTITY_TERMS = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "sikhs"),
@@ -38,15 +40,52 @@ IDENTITY_TERMS = (
     ("immigrant", "refugee", "foreigner", "native"),
     ("immigrants", "refugees", "foreigners", "natives"),
     ("disabled", "blind", "deaf", "old", "young"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée", "catholique"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("immigré", "réfugié", "étranger"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("homosexuels", "lesbiennes", "hétérosexuels"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("muslim", "christ", "jude", "hindu", "buddhist", "atheist", "katholik"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("einwanderer", "flüchtlinge", "ausländer"),
+    ("schwule", "lesben", "heterosexuelle"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo", "católico"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("inmigrante", "refugiado", "extranjero"),
+    ("inmigrantes", "refugiados", "extranjeros"),
+    ("homosexuales", "lesbianas", "heterosexuales"),
 )
-_NEXT = {t: row[(i + 1) % len(row)] for row in IDENTITY_TERMS for i, t in enumerate(row)}
-_NAMES = re.compile(r"\b(" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")\b", re.IGNORECASE | re.ASCII)
+Terms = tuple[tuple[str, ...], ...]
 
 
-def counterfactual(text: str) -> str | None:
-    """The text with every group name swapped for another of its kind; None if it names no group."""
-    swapped, n = _NAMES.subn(lambda m: _NEXT[m[0].lower()], text)
-    return swapped if n else None
+def swapper(terms: Terms = IDENTITY_TERMS):
+    """A function that swaps every group name of a text for the next of its kind, or gives None if the text names no group. A name in several rows has the first row's."""
+    follows: dict[str, str] = {}
+    for row in terms:
+        for i, t in enumerate(row):
+            follows.setdefault(t.lower(), row[(i + 1) % len(row)])
+    names = re.compile(r"\b(" + "|".join(map(re.escape, sorted(follows, key=len, reverse=True))) + r")\b", re.IGNORECASE) if follows else None
+
+    def counterfactual(text: str) -> str | None:
+        swapped, n = names.subn(lambda m: follows[m[0].lower()], text) if names else (text, 0)
+        return swapped if n else None
+
+    return counterfactual
+
+
+class Model(NamedTuple):
+    """Buckets kept, a weight for each and the intercept; how many labelled texts the penalty saw, of how many."""
+
+    kept: np.ndarray
+    weights: np.ndarray
+    swapped: int
+    sampled: int
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,10 +103,11 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0][some]), pa.array(counts[1][some])], names=["bucket", "clean", "toxic"])
 
 
-def _rows(kept) -> object:
+def _rows(kept, terms: Terms) -> object:
     """Each labelled document as positions in the kept features, itself and with its group names swapped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counterfactual = swapper(terms)
         place = np.full(1 << BITS, -1, dtype=np.int64)
         place[kept.value] = np.arange(len(kept.value))
 
@@ -89,24 +129,29 @@ def _rows(kept) -> object:
     return run
 
 
-def fit(label: np.ndarray, x: np.ndarray, swap: np.ndarray, change: np.ndarray, penalty: float = PENALTY, steps: int = 400) -> np.ndarray:
-    """Weights, the intercept last. ``x``: presence; ``change``: of the rows ``swap``, their presence less that of the swapped text."""
+def fit(label: np.ndarray, x: np.ndarray, swap: np.ndarray, other: np.ndarray, penalty: float = PENALTY, steps: int = 400) -> np.ndarray:
+    """Weights, the intercept last. ``x``: presence; ``other``: presence in the swapped texts of the rows ``swap``."""
     n, d = x.shape
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
-    balance = np.where(label == 1, 0.5 / max(label.mean(), 1e-9), 0.5 / max(1 - label.mean(), 1e-9)) if 0 < label.mean() < 1 else np.ones(n)
+    share = label.mean() if n else 0.0
+    balance = np.where(label == 1, 0.5 / share, 0.5 / (1 - share)) if 0 < share < 1 else np.ones(n)
+    score = lambda z: 1 / (1 + np.exp(-np.clip(z @ w[:d].astype(np.float32) + w[d], -30, 30)))
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:d].astype(np.float32) + w[d], -30, 30)))
+        p = score(x)
         e = balance * (p - label) / max(n, 1)
         g = np.concatenate([x.T @ e.astype(np.float32) + RIDGE * w[:d], [e.sum()]])
-        if len(swap):
-            g[:d] += 2 * penalty / len(swap) * (change.T @ (change @ w[:d].astype(np.float32)))
+        if len(swap):  # of penalty * mean((p - q) ** 2)
+            own, q = p[swap], score(other)
+            change = 2 * penalty / len(swap) * (own - q)
+            up, down = change * own * (1 - own), change * q * (1 - q)
+            g += np.concatenate([x[swap].T @ up.astype(np.float32) - other.T @ down.astype(np.float32), [(up - down).sum()]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
-def train(sample: DataFrame, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets kept, weights with the intercept last) from ``text, label`` rows of a bounded sample."""
+def train(sample: DataFrame, penalty: float = PENALTY, terms: Terms = IDENTITY_TERMS) -> Model:
+    """The model from ``text, label`` rows of a bounded sample."""
     spark = sample.sparkSession
     seen = sample.mapInArrow(_presence, "bucket long, clean int, toxic int").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= LEAST_TEXTS).toArrow()
     bucket, clean, toxic = (np.asarray(seen.column(i).combine_chunks()) if seen.num_rows else np.zeros(0, np.int64) for i in range(3))
@@ -116,18 +161,19 @@ def train(sample: DataFrame, penalty: float = PENALTY) -> tuple[np.ndarray, np.n
     z = np.abs(toxic / n1 - clean / n0) / np.sqrt(np.maximum(share * (1 - share) * (1 / n0 + 1 / n1), 1e-12))
     best = np.argsort(-z, kind="stable")[:FEATURES]
     kept = np.sort(bucket[best[z[best] >= LEAST_Z]])
-    rows = sample.mapInArrow(_rows(spark.sparkContext.broadcast(kept)), "label int, swapped boolean, plain array<long>, other array<long>").toArrow().to_pylist()
+    rows = sample.mapInArrow(_rows(spark.sparkContext.broadcast(kept), terms), "label int, swapped boolean, plain array<long>, other array<long>").toArrow().to_pylist()
     x, y = np.zeros((len(rows), len(kept)), dtype=np.float32), np.zeros((len(rows), len(kept)), dtype=np.float32)
     for i, r in enumerate(rows):
         x[i, r["plain"]] = 1
         y[i, r["other"]] = 1
     swap = np.array([i for i, r in enumerate(rows) if r["swapped"]], dtype=np.int64)
-    return kept, fit(np.array([r["label"] for r in rows], dtype=np.float64), x, swap, x[swap] - y[swap], penalty)
+    weights = fit(np.array([r["label"] for r in rows], dtype=np.float64), x, swap, y[swap], penalty)
+    return Model(kept, weights, len(swap), len(rows))
 
 
 def _score(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, weights = model.value
+        kept, weights = model.value[:2]
         table = np.zeros(1 << BITS)
         table[kept] = weights[:-1]
         for whole in batches:
@@ -143,7 +189,14 @@ def _score(model) -> object:
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every row by a model."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.pmod(C.id_crc32("doc_id"), F.lit(3)) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
+    out = own.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double")
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, terms: Terms = IDENTITY_TERMS) -> DataFrame:
     """``doc_id, held_out, score, predicted``, one row per document.
 
     Learns from labelled documents whose crc32(id) mod 3 isn't 1. A null or empty text has no features
@@ -151,10 +204,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows are scored alike. Labels other than 0 and 1 are ignored; of two labels of one id the larger
     counts; without labels every score is 0.5. Extra columns are ignored; no documents, no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels, "toxic", 3, 1, SAMPLE)))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.pmod(C.id_crc32("doc_id"), F.lit(3)) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
-    out = own.mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return scores(docs, train(labelled_sample(docs, labels, "toxic", 3, 1, SAMPLE), terms=terms))
 
 
 def _clean(model) -> object:
@@ -170,7 +220,11 @@ def _clean(model) -> object:
     return run
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't call toxic, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels, "toxic", 3, 1, SAMPLE)))
+def drop_toxic(docs: DataFrame, labels: DataFrame, terms: Terms = IDENTITY_TERMS) -> DataFrame:
+    """The rows of ``docs`` that the classifier doesn't call toxic, with all their columns.
+
+    Texts that are null or empty stay unless the intercept alone reaches the threshold; rows without an id
+    and repeated rows are kept or dropped by their texts. Without labels all rows stay.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels, "toxic", 3, 1, SAMPLE), terms=terms))
     return docs.mapInArrow(_clean(model), docs.schema)
