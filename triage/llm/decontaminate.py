@@ -155,7 +155,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     key = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
     met = prints.where("n_words is null").groupBy("doc_id", "text_key").agg(F.collect_set("fp").alias("met"))  # of a document its own fingerprints
-    hit = keyed.alias("d").join(met.alias("m"), key("d", "m")).select("d.doc_id", "d.text_key", "d.text", "m.met")
+    which = C.written(met.select("doc_id", "text_key"), "met")  # as a table, so that Spark knows its size before it moves any text
+    texts = keyed.alias("d").join(which.alias("m"), key("d", "m"), "left_semi")
+    hit = texts.alias("d").join(met.alias("m"), key("d", "m")).select("d.doc_id", "d.text_key", "d.text", "m.met")
     found = C.written(hit.mapInArrow(_document_runs(lengths), "doc_id long, text_key long, pos long, k int, run long").distinct(), "document-runs")
     spans = found.join(runs.select("k", "run").distinct(), ["k", "run"], "left_semi").groupBy("doc_id", "text_key").agg(covered(F.array_sort(F.collect_list(F.struct("pos", "k")))).alias("n_hit"))
     names = found.select("doc_id", "text_key", "k", "run").distinct().join(runs.select("item_id", "k", "run").distinct(), ["k", "run"]).select("doc_id", "text_key", F.col("item_id").cast("string").alias("item")).distinct()
