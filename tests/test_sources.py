@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from triage.operators import extract as X
 from triage.operators import callgraph as C
+from triage.operators import tagging as G
 from triage.sources import results as I
 
 
@@ -119,7 +120,49 @@ def test_java_and_csharp_resolution(spark):
     assert rows(e, "src", "dst") == [("q", "x::A::f"), ("y::B::f", "external::g"), ("y::B::f", "x::A::f")] and rows(ext, "node_id") == [("external::g",)]
     m = C.csharp_matches(calls, nodes)
     assert rows(m, "call_id", "node_id", "tier") == [("1", "y::B::f", 1), ("3", "x::A::f", 6), ("3", "y::B::f", 6)]
-    none = spark.createDataFrame([], "project string, name string")
-    pack = spark.createDataFrame([("p", "Json.Net")], "project string, name string")
-    assert rows(C.csharp_externals(calls, m, none, pack), "call_id", "node_id") == [("2", "nuget::Json.Net")]
-    assert rows(C.csharp_externals(calls, m, none, none), "node_id") == [("external::g/0",)]
+    refs = lambda *names: spark.createDataFrame([("p", n) for n in names], "project string, name string")
+    kinds = calls.withColumn("kind", F.lit("call"))
+    e, ext = C.resolve_csharp(kinds, nodes, refs("g"), refs("g", "Json.Net"))
+    assert rows(e, "src", "dst") == [("q", "x::A::f"), ("q", "y::B::f"), ("y::B::f", "project::g")]
+    assert rows(C.resolve_csharp(kinds, nodes, refs(), refs("g"))[1], "node_id") == [("nuget::g",)]
+    assert rows(C.resolve_csharp(kinds, nodes)[1], "node_id") == [("external::g/0",)]
+    new = kinds.where("call_id <> '2'").withColumns({"kind": F.lit("new"), "argc": F.lit(7)})
+    assert rows(C.resolve_csharp(new, nodes)[0], "src", "dst") == [("q", "x::A::f"), ("q", "y::B::f"), ("y::B::f", "x::A::f")]
+
+
+def test_many_projects_and_runs_in_one_read(spark, tmp_path):
+    """Project and run from the folders; a later kind of file has the last word; a root's name that occurs twice, or with odd signs."""
+    top = tmp_path / "c++ src" / "src"
+    for project, run, name, text in (
+        ("p", "r1", "b.xml", '<testsuite><testcase classname="T" name="f"><failure message="no"/></testcase></testsuite>'),
+        ("p", "r1", "a.json", '[{"name": "T::f", "status": "passed", "message": ""}]'),
+        ("run_project=q", "run=2024-01-01", "z.xml", '<testsuite><testcase classname="T" name="f"/></testsuite>'),
+    ):
+        (top / project / run).mkdir(parents=True, exist_ok=True)
+        (top / project / run / name).write_text(text)
+    results, rejects = I.load_results(spark, str(top))
+    assert rows(results, "project", "run_id", "status") == [("p", "r1", "failed"), ("p", "r1", "passed"), ("q", "2024-01-01", "passed")] and rejects.count() == 0
+    nodes = spark.createDataFrame([(p, "t.py::T::f", True, 1) for p in "pq"], "project string, node_id string, is_test boolean, node_ord long")
+    assert rows(G.node_status(results, nodes, "python"), "project", "run_id", "status") == [("p", "r1", "passed"), ("q", "2024-01-01", "passed")]
+    for file in ("one/src/app/src/x.py", "one/src/lib/src/x.py", "one/venv/y.py", "two/C.java", "two/obj/G.cs", "two/B.cs", "two/two.csproj"):
+        (tmp_path / "c++ src" / "code" / file).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "c++ src" / "code" / file).write_text('<Project><ItemGroup><PackageReference Include="Json"/><ProjectReference Include="..\\lib\\Lib.csproj"/></ItemGroup></Project>' if file.endswith("csproj") else "x")
+    root = str(tmp_path / "c++ src" / "code")
+    assert rows(I.read_sources(spark, root), "project", "file", "lang") == [("one", "src/app/src/x.py", "python"), ("one", "src/lib/src/x.py", "python"), ("two", "B.cs", "csharp"), ("two", "C.java", "java")]
+    assert rows(I.read_sources(spark, root + "/one/", "python", "p"), "project", "file") == [("p", "src/app/src/x.py"), ("p", "src/lib/src/x.py")]
+    mine, packages = I.read_csproj_refs(spark, root)
+    assert rows(mine, "project", "name") == [("two", "Lib")] and rows(packages, "project", "name") == [("two", "Json")]
+
+
+def test_graph_of_three_languages(spark):
+    src = spark.createDataFrame([("p", "a.py", "python", PY), ("p", "lib.py", "python", "class Helper:\n    def run(self, a, b): go()\ndef go(): pass\n"), ("p", "C.java", "java", JAVA), ("q", "B.cs", "csharp", CS.replace("class Box {", "[TestFixture] class Box { int Sum(int a) { new Box(); Far(a); return Twice(a); }"))], SOURCES)
+    nodes, edges, functions = C.build_graph(src)
+    assert rows(edges.where("project = 'p' and origin is null"), "src", "dst") == [
+        ("a.py::T::test_a", "a.py::inner"), ("a.py::T::test_a", "lib.py::Helper::run"), ("a.py::T::test_a", "lib.py::go"), ("com.acme.C.java::Calc::Calc", "com.acme.C.java::Calc::add"), ("lib.py::Helper::run", "lib.py::go"),
+    ]
+    assert rows(edges.where("origin is not null"), "project", "dst") == [("p", "Helper"), ("p", "external::Other"), ("p", "external::call"), ("p", "later"), ("q", "external::Add/2"), ("q", "external::Box/0"), ("q", "external::Far/1")]
+    assert rows(edges.where("project = 'q' and origin is null"), "src", "dst") == [("Acme::B.cs::Box::Sum", "Acme::B.cs::Box::Twice")]
+    ext = {r["node_id"]: r["origins"][0] for r in nodes.where("type = 'external'").collect()}
+    assert (ext["Helper"]["package_or_module"], ext["Helper"]["symbol"], ext["Helper"]["count"]) == ("lib.Helper", "lib.Helper", 1) and ext["external::Far/1"]["namespace"] == "Acme"
+    assert {r["node_id"] for r in nodes.where("project = 'q' and is_test").collect()} == {"Acme::B.cs::Box::Sum", "Acme::B.cs::Box::Should_Add", "Acme::B.cs::Box::Twice"}
+    assert functions.count() == 11 and [r["edge_ord"][:5] for r in edges.where("dst = 'lib.py::go'").orderBy("src").collect()] == ["a.py:", "lib.p"]

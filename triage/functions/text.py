@@ -281,3 +281,8 @@ def keep_step(file: Column) -> Column:
     """Whether a step lies in the project's own code; a step without a file does."""
     path = F.concat(F.lit("/"), F.lower(F.replace(F.coalesce(file, F.lit("")), F.lit("\\"), F.lit("/"))))
     return ~reduce(lambda a, b: a | b, [path.contains(f"/{x}/") for x in FOREIGN_FOLDERS])
+
+
+def rationale(c: Column) -> Column:
+    """A ``reasoning`` key in JSON text is called ``rationale``."""
+    return F.regexp_replace(c, "[\"']reasoning[\"']\\s*:", '"rationale":')

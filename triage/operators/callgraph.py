@@ -59,35 +59,106 @@ def _two(c: Column) -> Column:
     return F.substring_index(c, "::", -2)
 
 
+#: Where a call to something outside the project comes from.
+ORIGIN = "struct<language:string,package_or_module:string,namespace:string,kind:string,symbol:string,qualifier:string,file:string>"
+
+
+def _has(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with null columns for the names that it lacks."""
+    return df.withColumns({n: F.lit(None).cast("string") for n in names if n not in df.columns})
+
+
+def _origin(language: str, package: Column, namespace: Column, kind: Column, symbol: Column, qualifier: Column) -> Column:
+    return F.struct(F.lit(language).alias("language"), package.alias("package_or_module"), namespace.alias("namespace"), kind.alias("kind"), symbol.alias("symbol"), qualifier.alias("qualifier"), F.col("file").alias("file")).cast(ORIGIN)
+
+
+def external_nodes(uses: DataFrame) -> DataFrame:
+    """``project, node_id, node_ord, type, lang, origins`` from uses (project, node_id, origin, ord, n): each distinct origin with its count, most first."""
+    key = ["project", "node_id"]
+    counted = uses.groupBy(*key, "origin").agg(F.sum("n").alias("count"), F.min("ord").alias("o"))
+    by = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("_n"), F.col("origin"))))
+    got = counted.groupBy(*key).agg(F.min("o").alias("node_ord"), F.min("origin.language").alias("lang"), F.transform(by, lambda x: x["origin"].withField("count", -x["_n"])).alias("origins"))
+    return got.select(*key, "node_ord", F.lit("external").alias("type"), "lang", "origins")
+
+
+def _kinds(calls: DataFrame, *alike: str) -> DataFrame:
+    """Calls that resolve alike are one row, with the first ``ord`` and their number ``n``: what is joined is bounded by distinct calls of a caller."""
+    return calls.groupBy("project", "caller", *alike).agg(F.min("ord").alias("ord"), F.count("*").alias("n")).withColumn("kind_id", F.xxhash64("caller", *alike)).withColumn("kind_id", F.struct("caller", "kind_id"))
+
+
 def resolve_python(calls: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, external nodes). All functions named ``hint::method`` or ``Class::method``; only if there are none, all named ``method``."""
-    inner = nodes.where("type in ('function', 'test')").select("project", "node_id", T.last_token(F.col("node_id")).alias("token"), _two(F.col("node_id")).alias("pair"))
-    method = F.try_element_at("chain", F.lit(-1))
-    own = calls.withColumns({"method": method, "by_type": F.concat_ws("::", F.col("hint"), method), "by_class": F.concat_ws("::", F.try_element_at("chain", F.lit(-2)), method)})
-    two = F.size("chain") >= 2
-    keyed = own.where(two).select("project", "call_id", F.explode(F.array_distinct(F.array(F.when(F.col("hint").isNotNull(), F.col("by_type")).otherwise(F.col("by_class")), F.col("by_class")))).alias("pair"))
-    first = keyed.join(inner.select("project", "pair", "node_id"), ["project", "pair"]).select("project", "call_id", "node_id").distinct()
-    rest = own.join(first, ["project", "call_id"], "left_anti")
-    second = rest.join(inner.select("project", F.col("token").alias("method"), "node_id"), ["project", "method"]).select("project", "call_id", "node_id")
-    found = first.unionByName(second).join(own.select("project", "call_id", "caller", "ord"), ["project", "call_id"])
-    edges = found.where("node_id <> caller").select("project", F.col("caller").alias("src"), F.col("node_id").alias("dst"), F.col("ord").alias("edge_ord"))
-    left = rest.join(second.select("project", "call_id").distinct(), ["project", "call_id"], "left_anti").where(F.col("method").isNotNull() & ~F.col("method").isin(*PYTHON_IGNORED_CALLEES))
-    outer = left.select("project", F.col("caller").alias("src"), F.col("method").alias("dst"), F.col("ord").alias("edge_ord"))
-    externals = left.groupBy("project", F.col("method").alias("node_id")).agg(F.min("ord").alias("node_ord")).withColumn("type", F.lit("external"))
-    return distinct_edges(edges.unionByName(outer)), externals
+    """(edges with origin, external nodes). All functions named ``hint::method`` or ``Class::method``; only if there are none, all named ``method``."""
+    inner = nodes.where("type in ('function', 'test')").select("project", "node_id", T.last_token(F.col("node_id")).alias("method"), _two(F.col("node_id")).alias("pair"))
+    own = _kinds(_has(calls, "file", "module"), "chain", "hint", "file", "module").withColumn("method", F.try_element_at("chain", F.lit(-1))).where("method is not null")
+    by_class = F.concat_ws("::", F.try_element_at("chain", F.lit(-2)), "method")
+    pairs = F.array_distinct(F.array(F.when(F.col("hint").isNotNull(), F.concat_ws("::", "hint", "method")).otherwise(by_class), by_class))
+    first = own.where(F.size("chain") >= 2).select("*", F.explode(pairs).alias("pair")).join(inner.select("project", "pair", "node_id"), ["project", "pair"])
+    rest = own.join(first.select("project", "kind_id").distinct(), ["project", "kind_id"], "left_anti")
+    got = rest.join(inner.select("project", "method", "node_id"), ["project", "method"], "left")
+    edge = lambda df: df.where("node_id <> caller").select("project", F.col("caller").alias("src"), F.col("node_id").alias("dst"), F.col("ord").alias("edge_ord"), F.lit(None).cast(ORIGIN).alias("origin"))
+    left = got.where(F.col("node_id").isNull() & ~F.col("method").isin(*PYTHON_IGNORED_CALLEES))
+    left = left.withColumn("origin", _origin("python", F.col("module"), F.lit(None), F.lit("call"), F.array_join("chain", "."), F.try_element_at("chain", F.lit(-2))))
+    outer = left.select("project", F.col("caller").alias("src"), F.col("method").alias("dst"), F.col("ord").alias("edge_ord"), "origin")
+    return distinct_edges(edge(first).unionByName(edge(got)).unionByName(outer)), external_nodes(left.select("project", F.col("method").alias("node_id"), "origin", "ord", "n"))
 
 
 def resolve_java(calls: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges with origin, external nodes). The first function named like the call, else ``external::name``."""
     inner = nodes.where("type in ('function', 'test')").groupBy("project", T.last_token(F.col("node_id")).alias("method")).agg(F.min_by("node_id", F.struct("node_ord", "node_id")).alias("hit"))
-    own = calls.withColumn("method", F.try_element_at("chain", F.lit(-1)))
+    own = _kinds(_has(calls, "file", "ns"), "chain", "ns", "file").withColumn("method", F.try_element_at("chain", F.lit(-1))).where("method is not null")
     got = own.join(inner, ["project", "method"], "left")
-    origin = F.struct(F.lit("java").alias("language"), F.col("ns").alias("package_or_module"), F.col("method").alias("symbol"), F.try_element_at("chain", F.lit(-2)).alias("qualifier"), F.col("file").alias("file"))
-    edges = got.select("project", F.col("caller").alias("src"), F.coalesce("hit", F.concat(F.lit("external::"), "method")).alias("dst"), F.col("ord").alias("edge_ord"), F.when(F.col("hit").isNull(), origin).alias("origin"))
-    ext = got.where("hit is null").groupBy("project", F.concat(F.lit("external::"), "method").alias("node_id")).agg(F.min("ord").alias("node_ord")).withColumn("type", F.lit("external"))
+    origin = F.when(F.col("hit").isNull(), _origin("java", F.col("ns"), F.lit(None), F.lit("call"), F.col("method"), F.try_element_at("chain", F.lit(-2))))
+    edges = got.select("project", F.col("caller").alias("src"), F.coalesce("hit", F.concat(F.lit("external::"), "method")).alias("dst"), F.col("ord").alias("edge_ord"), origin.alias("origin"), "n")
+    ext = external_nodes(edges.where("origin is not null").select("project", F.col("dst").alias("node_id"), "origin", F.col("edge_ord").alias("ord"), "n"))
     return distinct_edges(edges.where("src <> dst")), ext
 
 
+def resolve_csharp(calls: DataFrame, nodes: DataFrame, projects: DataFrame | None = None, packages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges with origin, external nodes): calls by the tiers of ``csharp_matches``, new objects by what is named like their type.
+
+    What matches nothing is ``project::n`` or ``nuget::n`` if a reference (project, name) is called so, else ``external::name/argc``.
+    """
+    own = _kinds(calls, "name", "type_name", "ns", "argc", "kind", "file").where("name is not null")
+    what = own.select("project", "name", "type_name", "ns", "argc", "kind").distinct()
+    alike = F.to_json(F.struct("name", "type_name", "ns", "argc", "kind"))
+    inner = nodes.where("type in ('function', 'test')")
+    met = csharp_matches(what.where("kind <> 'new'").withColumn("call_id", alike), inner).select("project", "call_id", "node_id")
+    made = what.where("kind = 'new'").withColumn("call_id", alike).join(inner.select("project", "name", "node_id"), ["project", "name"]).select("project", "call_id", "node_id")
+    found = written(met.unionByName(made).distinct(), "csharp-matches")
+    got = own.withColumn("call_id", alike).join(found, ["project", "call_id"], "left")
+    refs = None
+    for prefix, df in (("project::", projects), ("nuget::", packages)):
+        if df is not None:
+            own_refs = df.select("project", "name", F.concat(F.lit(prefix), "name").alias("ref"), F.lit(prefix == "nuget::").alias("later"))
+            refs = own_refs if refs is None else refs.unionByName(own_refs)
+    left = got.where("node_id is null")
+    if refs is not None:
+        left = left.join(refs.groupBy("project", "name").agg(F.min_by("ref", "later").alias("ref")), ["project", "name"], "left")
+    outside = F.concat(F.lit("external::"), "name", F.lit("/"), F.col("argc").cast("string"))
+    left = left.withColumn("dst", F.coalesce("ref", outside) if refs is not None else outside).withColumn("origin", _origin("csharp", F.lit(None), F.col("ns"), F.col("kind"), F.col("name"), F.col("type_name")))
+    inside = got.where("node_id is not null").select("project", F.col("caller").alias("src"), F.col("node_id").alias("dst"), F.col("ord").alias("edge_ord"), F.lit(None).cast(ORIGIN).alias("origin"))
+    edges = inside.unionByName(left.select("project", F.col("caller").alias("src"), "dst", F.col("ord").alias("edge_ord"), "origin"))
+    return distinct_edges(edges.where("src <> dst")), external_nodes(left.select("project", F.col("dst").alias("node_id"), "origin", "ord", "n"))
+
+
+def build_graph(sources: DataFrame, projects: DataFrame | None = None, packages: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, functions) of all projects and languages of a ``sources`` table, every file parsed once.
+
+    Calls resolve within their project and language. ``projects``, ``packages``: of ``read_csproj_refs``.
+    """
+    from triage.operators import extract
+
+    parsed = written(extract.parse_sources(sources), "parsed")
+    functions, calls = extract.extract_functions(parsed), extract.extract_calls(parsed)
+    inner = written(extract.extract_nodes(functions), "nodes")
+    edges = nodes = None
+    for lang, resolve in (("python", resolve_python), ("java", resolve_java), ("csharp", lambda c, n: resolve_csharp(c, n, projects, packages))):
+        e, x = resolve(calls.where(F.col("lang") == lang), inner.where(F.col("lang") == lang))
+        edges, nodes = (e, x) if edges is None else (edges.unionByName(e), nodes.unionByName(x))
+    nodes = inner.unionByName(nodes.withColumn("is_test", F.lit(False)), allowMissingColumns=True)
+    return written(nodes, "nodes"), written(edges, "edges"), functions
+
+
 def csharp_matches(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """``project, call_id, node_id, tier`` of all declarations in the first tier that has any: (namespace, type, name, argument
     count), (type, name, count), (name, count), then the same three without the count.
@@ -119,18 +190,6 @@ def csharp_tier_counts(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     return sums.join(found.groupBy("project", "tier").agg(F.countDistinct("node_id").alias("targets")), ["project", "tier"])
 
 
-def csharp_externals(calls: DataFrame, matched: DataFrame, projects: DataFrame, packages: DataFrame) -> DataFrame:
-    """``project, call_id, node_id`` of calls without a declaration: ``project::n`` or ``nuget::n`` of the reference that the namespace begins with, else ``external::name/argc``."""
-    left = calls.join(matched.select("project", "call_id").distinct(), ["project", "call_id"], "left_anti")
-    root = F.substring_index(F.coalesce("type_name", "ns"), ".", 1)
-    p = projects.select(F.col("project").alias("_p"), F.col("name").alias("_project"))
-    n = packages.select(F.col("project").alias("_q"), F.substring_index("name", ".", 1).alias("_root"), F.col("name").alias("_package")).groupBy("_q", "_root").agg(F.min("_package").alias("_package"))
-    own = left.withColumn("_r", root)
-    own = own.join(p, (F.col("project") == F.col("_p")) & (F.col("_r") == F.col("_project")), "left").join(n, (F.col("project") == F.col("_q")) & (F.col("_r") == F.col("_root")), "left")
-    name = F.coalesce(F.concat(F.lit("project::"), "_project"), F.concat(F.lit("nuget::"), "_package"), F.concat(F.lit("external::"), "name", F.lit("/"), F.col("argc").cast("string")))
-    return own.select("project", "call_id", name.alias("node_id"))
-
-
 def origin_counts(uses: DataFrame) -> DataFrame:
     """``project, node_id, origins``: each external's (file, namespace, kind, symbol) with counts, most first; one struct a distinct origin."""
     key = ["project", "node_id", "file", "namespace", "kind", "symbol"]

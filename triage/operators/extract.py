@@ -1,6 +1,7 @@
-"""Declarations, code and call sites from source files: small per-file parsers behind one ``mapInPandas`` each.
+"""Declarations, code and call sites from source files: small per-file parsers behind one ``mapInArrow``.
 
-``sources``: project, file, lang, text. Python files are parsed by ``ast``. Java and C# files go through one
+``sources``: project, file, lang, text. ``parse_sources`` reads each file once; functions, calls and rejects come
+from its table. Python files are parsed by ``ast``. Java and C# files go through one
 scanner that blanks comments and strings, then finds types, signatures and their balancing braces; it
 knows no preprocessor, and takes a lambda's braces for blocks. A file that can't be parsed gives no
 rows of its own and one of ``rejects``; it stops nothing.
@@ -10,14 +11,15 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FUNCTIONS = "project string, file string, lang string, key string, name string, node_id string, owner string, ns string, depth int, line int, end_line int, docstring string, code string, parameters int, annotations array<string>, is_parametrized boolean, is_async boolean, return_type string"
-CALLS = "project string, file string, lang string, ns string, caller string, caller_type string, chain array<string>, argc int, hint string, kind string, line int, ord int"
+FUNCTIONS = "key string, name string, node_id string, owner string, ns string, depth int, line int, end_line int, docstring string, code string, parameters int, annotations array<string>, type_annotations array<string>, is_parametrized boolean, is_async boolean, return_type string"
+CALLS = "ns string, caller string, caller_type string, chain array<string>, argc int, hint string, kind string, line int, module string"
 
 
 # --- Python -----------------------------------------------------------------------------------------
@@ -65,13 +67,13 @@ def _python(file: str, text: str) -> tuple[list[dict], list[dict]]:
                 functions.append({
                     "key": "::".join([*([owner] if owner else []), child.name]), "name": child.name, "node_id": node_id, "owner": owner, "ns": None, "depth": len(stack) + bool(owner), "line": child.lineno, "end_line": child.end_lineno,
                     "docstring": ast.get_docstring(child) or "", "code": "\n".join(lines[child.lineno - 1 : child.end_lineno]), "parameters": len(child.args.args) + len(child.args.posonlyargs) + len(child.args.kwonlyargs),
-                    "annotations": [".".join(d) for d in decorators], "is_parametrized": any(d[-1:] == ["parametrize"] for d in decorators), "is_async": isinstance(child, ast.AsyncFunctionDef), "return_type": ast.unparse(child.returns) if child.returns else None,
+                    "annotations": [".".join(d) for d in decorators], "type_annotations": [], "is_parametrized": any(d[-1:] == ["parametrize"] for d in decorators), "is_async": isinstance(child, ast.AsyncFunctionDef), "return_type": ast.unparse(child.returns) if child.returns else None,
                 })
                 types: dict[str, str] = {}
                 sites: list = []
                 body_of(child, types, sites)
                 for call, chain in sites:
-                    calls.append({"ns": None, "caller": node_id, "caller_type": owner, "chain": qualified(chain), "argc": len(call.args) + len(call.keywords), "hint": types.get(chain[0]) if len(chain) > 1 else None, "kind": "call", "line": call.lineno})
+                    calls.append({"ns": None, "caller": node_id, "caller_type": owner, "module": ".".join(imports[chain[0]]) if chain[0] in imports else None, "chain": qualified(chain), "argc": len(call.args) + len(call.keywords), "hint": types.get(chain[0]) if len(chain) > 1 else None, "kind": "call", "line": call.lineno})
                 visit(child, owner, path)
             else:
                 visit(child, owner, stack)
@@ -83,7 +85,7 @@ def _python(file: str, text: str) -> tuple[list[dict], list[dict]]:
 # --- Java and C# ------------------------------------------------------------------------------------
 
 _QUIET = re.compile(r'//[^\n]*|/\*.*?\*/|@"(?:[^"]|"")*"|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.DOTALL)
-_TYPE = re.compile(r"\b(?:class|struct|record|interface|enum)\s+(\w+)[^;{(]*(?:\([^)]*\))?[^;{]*\{")
+_TYPE = re.compile(r"(?P<marks>(?:(?:\[[^\]\n]*\]|@\w[\w.]*(?:\([^)]*\))?)\s*)*)(?:\b(?:public|private|protected|internal|static|final|abstract|sealed|partial)\s+)*\b(?:class|struct|record|interface|enum)\s+(?P<name>\w+)[^;{(]*(?:\([^)]*\))?[^;{]*\{")
 _NAMESPACE = re.compile(r"\b(?:namespace|package)\s+([\w.]+)")
 _SIGNATURE = re.compile(r"(?P<marks>(?:(?:\[[^\]\n]*\]|@\w[\w.]*(?:\([^)]*\))?)\s*)*)(?P<head>(?:\b(?:public|private|protected|internal|static|final|abstract|virtual|override|async|sealed|synchronized|default|extern|partial|native|unsafe|readonly)\s+)*)(?P<type>\w[\w.]*(?:<[^;{}()]*>)?(?:\[\])*\??\s+)?(?P<name>[A-Za-z_]\w*)\s*\((?P<args>[^(){};]*)\)\s*(?:throws\s+[\w.,\s]+|where\s+[^{;]+|:\s*(?:base|this)\s*\([^)]*\)\s*)?(?P<body>\{|=>|;)")
 _CALL = re.compile(r"(?P<new>\bnew\s+)?(?<![\w.])(?P<chain>[A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*)\s*(?:<[\w\s,.]*>)?\s*\(")
@@ -123,26 +125,34 @@ def _call_args(text: str, begin: int) -> int:
     return 0
 
 
+def marks_of(text: str) -> list[str]:
+    """Names of annotations and attributes."""
+    return [x.strip().lstrip("@") for x in re.findall(r"@\w[\w.]*|(?<=[\[,])\s*\w[\w.]*", text)]
+
+
 def _braced(lang: str) -> Callable[[str, str], tuple[list[dict], list[dict]]]:
     def scan(file: str, text: str) -> tuple[list[dict], list[dict]]:
         quiet = blank_quiet(text)
         ns = (m := _NAMESPACE.search(quiet)) and m[1]
-        types = [(m.start(), block_end(quiet, m.end() - 1), m[1]) for m in _TYPE.finditer(quiet)]
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        line = lambda at: bisect_right(breaks, at - 1) + 1
+        types = [(m.start("name"), block_end(quiet, m.end() - 1), m["name"], marks_of(m["marks"])) for m in _TYPE.finditer(quiet)]
+        begins = [t[0] for t in types]
         functions, calls, inside = [], [], 0
         for m in _SIGNATURE.finditer(quiet):
             at, name = m.start("name"), m["name"]
-            owner = max(((b, t) for b, e, t in types if b < at < e), default=(0, None))[1]
+            # the innermost type: the last that begins before and ends behind
+            owner, type_marks = next(((t, marks) for _, e, t, marks in reversed(types[: bisect_right(begins, at - 1)]) if at < e), (None, []))
             made = name == owner
             if owner is None or name in _WORDS or at < inside or (not made and not m["type"]) or (m["type"] or "").strip() in _WORDS:
                 continue
             end = block_end(quiet, m.start("body")) if m["body"] == "{" else quiet.find(";", m.start("body")) + 1 or len(text)
             inside = end if m["body"] != ";" else inside
             begin = m.start() + len(m[0]) - len(m[0].lstrip())
-            marks = [x.lstrip("@") for x in re.findall(r"@\w[\w.]*|(?<=[\[,])\s*\w[\w.]*", m["marks"])]
             node_id = "::".join([*([ns or "<global>"] if lang == "csharp" else []), *([f"{ns}.{file}" if ns and lang == "java" else file]), owner, name])
             functions.append({
-                "key": f"{owner}::{name}", "name": name, "node_id": node_id, "owner": owner, "ns": ns, "depth": 1, "line": text.count("\n", 0, at) + 1, "end_line": text.count("\n", 0, end) + 1, "docstring": "", "code": text[begin:end].rstrip(),
-                "parameters": _count(m["args"]), "annotations": [x.strip() for x in marks], "is_parametrized": False, "is_async": "async" in m["head"].split(), "return_type": (m["type"] or "").strip() or None,
+                "key": f"{owner}::{name}", "name": name, "node_id": node_id, "owner": owner, "ns": ns, "depth": 1, "line": line(at), "end_line": line(end), "docstring": "", "code": text[begin:end].rstrip(),
+                "parameters": _count(m["args"]), "annotations": marks_of(m["marks"]), "type_annotations": type_marks, "is_parametrized": False, "is_async": "async" in m["head"].split(), "return_type": (m["type"] or "").strip() or None,
             })
             body = quiet[m.start("body") : end]
             hints = {v: t.split(".")[-1] for v, t in _MADE.findall(body)}
@@ -150,7 +160,7 @@ def _braced(lang: str) -> Callable[[str, str], tuple[list[dict], list[dict]]]:
                 chain = [x.strip() for x in c["chain"].split(".")]
                 if chain[-1] not in _WORDS:
                     place = m.start("body") + c.start()
-                    calls.append({"ns": ns, "caller": node_id, "caller_type": owner, "chain": chain, "argc": _call_args(quiet, m.start("body") + c.end() - 1), "hint": hints.get(chain[0]) if len(chain) > 1 else None, "kind": "new" if c["new"] else "call", "line": text.count("\n", 0, place) + 1})
+                    calls.append({"ns": ns, "caller": node_id, "caller_type": owner, "chain": chain, "argc": _call_args(quiet, m.start("body") + c.end() - 1), "hint": hints.get(chain[0]) if len(chain) > 1 else None, "kind": "new" if c["new"] else "call", "line": line(place), "module": None})
         return functions, calls
 
     return scan
@@ -160,65 +170,76 @@ def _braced(lang: str) -> Callable[[str, str], tuple[list[dict], list[dict]]]:
 EXTRACTORS: dict[str, Callable[[str, str], tuple[list[dict], list[dict]]]] = {"python": _python, "java": _braced("java"), "csharp": _braced("csharp")}
 
 
-def _run(sources: DataFrame, schema: str, which: int) -> DataFrame:
-    names = [f.split()[0] for f in schema.split(", ")]
+_KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+
+def _struct(schema: str) -> pa.DataType:
+    return pa.list_(pa.struct([(n, _KINDS[t]) for n, t in (f.split() for f in schema.split(", "))]))
+
+
+def parse_sources(sources: DataFrame) -> DataFrame:
+    """``project, file, lang, functions array<struct>, calls array<struct>, failed``: every file once. Unknown languages give nothing."""
     known = dict(EXTRACTORS)
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for project, file, lang, text in zip(frame["project"], frame["file"], frame["lang"], frame["text"]):
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            functions, calls, failed = [], [], []
+            for file, lang, text in zip(*(batch.column(c).to_pylist() for c in ("file", "lang", "text"))):
                 try:
-                    found = known[lang](file, text or "")[which] if lang in known else []
+                    found, bad = (known[lang](file, text or "") if lang in known else ([], [])), False
                 except (SyntaxError, ValueError, RecursionError):
-                    continue
-                rows += [{"project": project, "file": file, "lang": lang, "ord": i, **r} for i, r in enumerate(found)]
-            yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("line", "end_line", "argc", "parameters", "depth", "ord") if c in names})
+                    found, bad = ([], []), True
+                functions.append(found[0])
+                calls.append(found[1])
+                failed.append(bad)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("project", "file", "lang")), pa.array(functions, _struct(FUNCTIONS)), pa.array(calls, _struct(CALLS)), pa.array(failed, pa.bool_())],
+                names=["project", "file", "lang", "functions", "calls", "failed"],
+            )
+
+    typed = lambda schema: "array<struct<" + ", ".join(":".join(f.split()) for f in schema.split(", ")) + ">>"
+    return sources.select("project", "file", "lang", "text").mapInArrow(parse, f"project string, file string, lang string, functions {typed(FUNCTIONS)}, calls {typed(CALLS)}, failed boolean")
 
-    return sources.select("project", "file", "lang", "text").mapInPandas(parse, schema)
+
+def _parsed(sources: DataFrame) -> DataFrame:
+    return sources if "functions" in sources.columns else parse_sources(sources)
 
 
 def extract_functions(sources: DataFrame) -> DataFrame:
-    return _run(sources, FUNCTIONS, 0)
+    """``project, file, lang`` and ``FUNCTIONS``; of sources or of their parsed table."""
+    return _parsed(sources).select("project", "file", "lang", F.explode("functions").alias("f")).select("project", "file", "lang", "f.*")
 
 
 def extract_calls(sources: DataFrame) -> DataFrame:
-    return _run(sources, CALLS, 1)
+    """``project, file, lang``, ``CALLS``, ``call_id``, ``name`` (the last of the chain), ``type_name`` (the caller's type) and ``ord``, which orders all calls of a project by file and line."""
+    each = _parsed(sources).select("project", "file", "lang", F.posexplode("calls").alias("pos", "c")).select("project", "file", "lang", "pos", "c.*")
+    number = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+    return each.withColumns({
+        "call_id": F.concat("file", F.lit("#"), F.col("pos").cast("string")),
+        "name": F.try_element_at("chain", F.lit(-1)),
+        "type_name": F.col("caller_type"),
+        "ord": F.concat("file", F.lit(":"), number("line", 9), F.lit(":"), number("pos", 7)),
+    }).drop("pos")
 
 
 def rejects(sources: DataFrame) -> DataFrame:
     """``project, file`` of files of a known language that can't be parsed."""
-    known = dict(EXTRACTORS)
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            bad = []
-            for project, file, lang, text in zip(frame["project"], frame["file"], frame["lang"], frame["text"]):
-                try:
-                    if lang in known:
-                        known[lang](file, text or "")
-                except (SyntaxError, ValueError, RecursionError):
-                    bad.append((project, file))
-            yield pd.DataFrame(bad, columns=["project", "file"])
-
-    return sources.select("project", "file", "lang", "text").mapInPandas(parse, "project string, file string")
+    return _parsed(sources).where("failed").select("project", "file")
 
 
 def extract_nodes(functions: DataFrame) -> DataFrame:
-    """Graph nodes from declarations, in the order of file and line; tests by each language's rule."""
-    from pyspark.sql import Window
-
+    """Graph nodes from declarations, in the order of file and line; tests by each language's rule. Of overloads, which share an id, the first."""
     from triage.operators.callgraph import csharp_is_test, java_is_test
 
     marked = F.max(F.col("name").startswith("test_") & (F.col("depth") <= 1)).over(Window.partitionBy("project", "file"))
     short = F.transform("annotations", lambda a: F.substring_index(a, ".", -1))
-    is_test = F.when(F.col("lang") == "python", marked).when(F.col("lang") == "java", java_is_test(F.col("annotations")) | java_is_test(short)).otherwise(csharp_is_test(short, F.lit(None).cast("array<string>"), F.col("name")))
+    is_test = F.when(F.col("lang") == "python", marked).when(F.col("lang") == "java", java_is_test(F.col("annotations")) | java_is_test(short)).otherwise(csharp_is_test(short, F.transform("type_annotations", lambda a: F.substring_index(a, ".", -1)), F.col("name")))
     out = functions.withColumn("is_test", F.coalesce(is_test, F.lit(False)))
     order = F.concat("file", F.lit(":"), F.lpad(F.col("line").cast("string"), 9, "0"))
     return out.select(
         "project", "node_id", F.when(F.col("is_test"), "test").otherwise("function").alias("type"), "lang", "file", F.col("line").alias("start_line"), "end_line", "is_test", "is_parametrized", "parameters", "return_type", "is_async",
         order.alias("node_ord"), "name", F.col("owner").alias("type_name"), "ns", "docstring",
-    ).dropDuplicates(["project", "node_id"])
+    ).withColumn("_first", F.row_number().over(Window.partitionBy("project", "node_id").orderBy("node_ord", "parameters"))).where("_first = 1").drop("_first")
 
 
 def path_docstrings(steps: DataFrame, functions: DataFrame) -> DataFrame:

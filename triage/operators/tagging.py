@@ -40,9 +40,10 @@ def match_results(results: DataFrame, nodes: DataFrame, lang: str) -> DataFrame:
 def last_status(matched: DataFrame) -> DataFrame:
     """``project, run_id, node_id, status, error_message``: the last record's status, the last message that isn't blank.
 
+    Records are ordered by ``place`` (kind of file, file, place in it) where there is one, else by (file, ord) or ord.
     Aggregates that combine before the shuffle: a node with most records is no bottleneck.
     """
-    order = F.struct("file", "ord") if "file" in matched.columns else F.col("ord")
+    order = F.col("place") if "place" in matched.columns else F.struct("file", "ord") if "file" in matched.columns else F.col("ord")
     said = F.when(F.coalesce("message", F.lit("")) != "", order)
     hit = matched.where("node_id is not null")
     out = hit.groupBy("project", "run_id", "node_id").agg(F.max_by("status", order).alias("status"), F.max_by("message", said).alias("error_message"))

@@ -8,11 +8,13 @@ Files that can't be read are rows of ``rejects``.
 from __future__ import annotations
 
 import json
+import re
 import xml.etree.ElementTree as ElementTree
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triage.functions import text as T
@@ -28,6 +30,21 @@ def ext_rank(file: Column) -> Column:
     return F.when(file.endswith(".xml"), 1).when(file.endswith(".trx"), 2).when(file.endswith(".json"), 3)
 
 
+def relative(file: Column, path: str) -> Column:
+    """A file's path below ``path``, the folder that was read (or the file's own name): what follows the folder as it stands in the file's URI, first time; decoded."""
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
+    spelt = dict.fromkeys((quote(root, safe="/+!$&'()*,;=:@~"), quote(root), root))
+    below = [F.when(F.locate(f"{r}/", file) > 0, F.substring(file, F.locate(f"{r}/", file) + F.lit(len(r) + 1), F.length(file))) for r in spelt]
+    rel = F.coalesce(*below, F.substring_index(file, "/", -1))
+    return F.coalesce(F.try_url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))), rel)
+
+
+def folder(rel: Column, n: int) -> Column:
+    """The n-th folder of a relative path; of a folder written as ``name=value`` the value. Null if there are fewer."""
+    parts = F.split(rel, "/")
+    return F.when(F.size(parts) > n, F.regexp_replace(F.try_element_at(parts, F.lit(n)), "^[^=]*=", ""))
+
+
 def list_result_files(spark: SparkSession, path: str) -> DataFrame:
     """``file, ext_rank, modified`` of every result file under ``path`` (or of the file itself)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{xml,trx,json}").load(path)
@@ -173,8 +190,12 @@ def choose_dialect(records: DataFrame) -> DataFrame:
     return best.select("file", F.when(F.col("n") > 0, F.col("best")).when(F.col("file").endswith(".json"), "pytest").otherwise("universal").alias("dialect"))
 
 
-def load_results(spark: SparkSession, path: str, project: str, run_id: str, dialects: tuple[str, ...] = tuple(READERS)) -> tuple[DataFrame, DataFrame]:
-    """(results, rejects): the records of every file in its dialect; files without any."""
+def load_results(spark: SparkSession, path: str, project: str | None = None, run_id: str | None = None, dialects: tuple[str, ...] = tuple(READERS)) -> tuple[DataFrame, DataFrame]:
+    """(results, rejects): the records of every file in its dialect; files without any.
+
+    Many projects and runs are one read: without ``project`` the first folder below ``path`` names it, and
+    without ``run_id`` the next one. ``place`` orders a run's records: by kind of file, path, place in it.
+    """
     files = list_result_files(spark, path)
     records = None
     for d in dialects:
@@ -184,8 +205,11 @@ def load_results(spark: SparkSession, path: str, project: str, run_id: str, dial
     chosen = choose_dialect(records)
     results = records.join(chosen, ["file", "dialect"], "left_semi")
     rejects = files.join(results.select("file").distinct(), "file", "left_anti").select("file")
-    order = F.struct(ext_rank(F.col("file")), "file", "ord")
-    return results.select(F.lit(project).alias("project"), F.lit(run_id).alias("run_id"), "file", "dialect", "ord", order.alias("place"), "name", "status", "message"), rejects
+    rel = relative(F.col("file"), path)
+    of_project = folder(rel, 1) if project is None else F.lit(project)
+    of_run = folder(rel, 2 if project is None else 1) if run_id is None else F.lit(run_id)
+    place = F.struct(ext_rank(F.col("file")).alias("kind"), F.col("file"), F.col("ord"))
+    return results.select(of_project.alias("project"), of_run.alias("run_id"), "file", "dialect", "ord", place.alias("place"), "name", "status", "message"), rejects
 
 
 def first_json_block(content: str | None) -> str | None:
@@ -227,10 +251,18 @@ def read_analysis(texts: DataFrame) -> DataFrame:
     return texts.select("project", "run_id", F.posexplode(items).alias("ord", "item")).select("project", "run_id", F.col("ord").cast("long").alias("ord"), "item.*")
 
 
+def read_examples(spark: SparkSession, path: str) -> DataFrame:
+    """``lang, ord, input, output`` of files ``<lang>.json``, each a list of objects; other values and broken files give none. A ``reasoning`` key of an output is called ``rationale``."""
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    lang = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)
+    items = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
+    each = raw.select(lang.alias("lang"), F.posexplode(items).alias("ord", "r"))
+    text = lambda k: F.try_variant_get("r", f"$.{k}", "string")
+    return each.select("lang", F.col("ord").cast("long").alias("ord"), text("input").alias("input"), T.rationale(text("output")).alias("output"))
+
+
 def first_examples(examples: DataFrame, per_lang: int = 1) -> DataFrame:
     """The first valid examples (``lang, ord, input, output``) of each language; a rank that Spark cuts before the shuffle."""
-    from pyspark.sql import Window
-
     valid = examples.where("trim(coalesce(input, '')) <> '' and trim(coalesce(output, '')) <> ''")
     return valid.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("ord"))).where(F.col("n") <= per_lang).drop("n")
 
@@ -244,24 +276,35 @@ EXCLUDED_FOLDERS = {
 EXCLUDED_ENDINGS = {"python": (), "java": (".generated.java",), "csharp": (".g.cs", ".g.i.cs", ".designer.cs", ".generated.cs", "assemblyinfo.cs")}
 
 
-def read_sources(spark: SparkSession, path: str, lang: str, project: str) -> DataFrame:
-    """``project, file, lang, text`` of a language's files under ``path``; folder names compare without case."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{T.EXTENSIONS[lang]}").text(path)
-    root = path.rstrip("/").split("/")[-1]
-    file = F.concat(F.lit(""), F.element_at(F.split(F.col("_metadata.file_path"), f"/{root}/"), -1))
-    out = raw.select(F.lit(project).alias("project"), file.alias("file"), F.lit(lang).alias("lang"), F.col("value").alias("text"))
-    parts = F.transform(F.split("file", "/"), F.lower)
-    bad = F.arrays_overlap(parts, F.array(*map(F.lit, EXCLUDED_FOLDERS[lang])))
-    for e in EXCLUDED_ENDINGS[lang]:
-        bad = bad | F.lower("file").endswith(e)
+def read_sources(spark: SparkSession, path: str, lang: str | None = None, project: str | None = None) -> DataFrame:
+    """``project, file, lang, text`` of a language's files under ``path``, of all languages without ``lang``; folder names compare without case.
+
+    Without ``project`` the first folder below ``path`` names it, so that many projects are one read.
+    """
+    langs = list(EXCLUDED_FOLDERS) if lang is None else [lang]
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(T.EXTENSIONS[x] for x in langs) + "}").text(path)
+    rel = relative(F.col("_metadata.file_path"), path)
+    out = raw.select(rel.alias("_rel"), F.col("value").alias("text"))
+    file = F.col("_rel") if project is not None else F.when(F.contains("_rel", F.lit("/")), F.regexp_replace("_rel", "^[^/]*/", "")).otherwise(F.col("_rel"))
+    out = out.select((folder(F.col("_rel"), 1) if project is None else F.lit(project)).alias("project"), file.alias("file"), T.language_of(F.col("_rel")).alias("lang"), "text")
+    parts, bad = F.transform(F.split("file", "/"), F.lower), F.lit(False)
+    for x in langs:
+        own = F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, EXCLUDED_FOLDERS[x])))
+        for e in EXCLUDED_ENDINGS[x]:
+            own = own | F.lower("file").endswith(e)
+        bad = bad | ((F.col("lang") == x) & own)
     return out.where(~bad)
 
 
-def read_csproj_refs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(names of referenced projects, names of packages), distinct."""
-    read = lambda tag: spark.read.format("xml").option("rowTag", tag).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csproj").schema("_Include string").load(path).where("_Include is not null")
+def read_csproj_refs(spark: SparkSession, path: str, project: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``project, name`` of referenced projects, the same of packages), distinct. Without ``project``: as in ``read_sources``."""
+
+    def read(tag: str) -> DataFrame:
+        found = spark.read.format("xml").option("rowTag", tag).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csproj").schema("_Include string").load(path).where("_Include is not null")
+        return found.select((folder(relative(F.col("_metadata.file_path"), path), 1) if project is None else F.lit(project)).alias("project"), "_Include")
+
     stem = F.regexp_replace(F.regexp_replace(F.replace("_Include", F.lit("\\"), F.lit("/")), "^.*/", ""), r"\.[^.]*$", "")
-    return read("ProjectReference").select(stem.alias("name")).distinct(), read("PackageReference").select(F.col("_Include").alias("name")).distinct()
+    return read("ProjectReference").select("project", stem.alias("name")).distinct(), read("PackageReference").select("project", F.col("_Include").alias("name")).distinct()
 
 
 def write_json(df: DataFrame, path: str) -> None:
