@@ -48,7 +48,8 @@ def folder(rel: Column, n: int) -> Column:
 def list_result_files(spark: SparkSession, path: str) -> DataFrame:
     """``file, ext_rank, modified`` of every result file under ``path`` (or of the file itself)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{xml,trx,json}").load(path)
-    return files.select(F.col("path").alias("file"), ext_rank(F.col("path")).alias("ext_rank"), F.col("modificationTime").alias("modified"))
+    file = F.col("_metadata.file_path")  # as the other readers spell it
+    return files.select(file.alias("file"), ext_rank(file).alias("ext_rank"), F.col("modificationTime").alias("modified"))
 
 
 def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
