@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triage.functions import text as T
+from triage.operators.locate import rank_candidates
+from triage.operators.paths import graph_distance
+from triage.operators.tagging import suffix_index
 
 # Points and shares of a severity; types by the advice that they get.
 IMPACT = {"low": 30.0, "medium": 65.0, "high": 90.0}
@@ -132,6 +135,60 @@ def failures_from_detail(detail: DataFrame) -> DataFrame:
     return detail.select("project", "run_id", F.col("name").alias("title"), F.lit("unit").alias("type"), F.coalesce("error", F.lit("")).alias("message"), F.coalesce("file", F.lit("")).alias("file"), F.coalesce("file", F.lit("")).alias("location"), none.alias("heuristic"), none.alias("graph_ranked"), none.alias("llm"))
 
 
+def analysis_nodes(analysis: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``project, run_id, ord, node_id``: the node that an item's test names whole, else the first whose last part is the test's; null if none."""
+    own = analysis.select("project", "run_id", "ord", F.coalesce("test_name", F.lit("")).alias("_name")).withColumn("_token", T.last_token(F.col("_name")))
+    whole = nodes.select("project", F.col("node_id").alias("_name"), F.col("node_id").alias("_whole"))
+    ends = suffix_index(nodes).select("project", F.col("token").alias("_token"), F.col("node_id").alias("_end"))
+    found = own.join(whole, ["project", "_name"], "left").join(ends, ["project", "_token"], "left")
+    return found.select("project", "run_id", "ord", F.when(F.col("_name") != "", F.coalesce("_whole", "_end")).alias("node_id"))
+
+
+def located_failures(analysis: DataFrame, functions: DataFrame, nodes: DataFrame, status: DataFrame, edges: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """``failures_table`` with the locations that the tests' nodes tell, and, given ``edges``, with candidates ranked by their distance from the test."""
+    keys = ["project", "run_id", "ord"]
+    of = analysis_nodes(analysis, nodes)
+    told = of.join(status.select("project", "run_id", "node_id", F.col("heuristic_locations").alias("locations")), ["project", "run_id", "node_id"]).select(*keys, "locations")
+    base = failures_table(analysis, functions, node_locations=told)
+    if edges is None:
+        return base
+    each = base.select(*keys, F.posexplode("heuristic").alias("pos", "candidate")).join(of.where("node_id is not null"), keys)
+    near = graph_distance(edges, each.select("project", F.col("node_id").alias("seed")), depth)
+    asked = each.select("project", F.col("node_id").alias("test_id"), F.lit(0).alias("idx"), "candidate").distinct()
+    dist = rank_candidates(asked, near).select("project", F.col("test_id").alias("node_id"), "candidate", "dist")
+    order = F.struct(F.coalesce(F.col("dist").cast("double"), F.lit(float("inf"))).alias("d"), "pos", "candidate")
+    ranked = each.join(dist, ["project", "node_id", "candidate"], "left").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["candidate"]).alias("graph_ranked"))
+    return failures_table(analysis, functions, ranked=ranked, node_locations=told)
+
+
+def bubbles(risks: DataFrame) -> DataFrame:
+    """Risk rows with ``label`` and ``position``: the order by label in which a run's tests are shown."""
+    label = T.test_label(F.col("test_name"))
+    return risks.withColumn("label", label).withColumn("position", F.row_number().over(Window.partitionBy("project", "run_id").orderBy("label", "test_name", "ord")))
+
+
+def _rows(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """``project, run_id`` and all other columns as one array of structs a run, in the order of ``order``."""
+    rest = [c for c in df.columns if c not in ("project", "run_id", *order)]
+    return df.groupBy("project", "run_id").agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
+
+
+def report(summary: DataFrame, insights: DataFrame, risks: DataFrame, failures: DataFrame, types: DataFrame, date: Column | None = None) -> DataFrame:
+    """``project, run_id, document``: a run's metrics, insights, risks, failures and histogram of types as one JSON text.
+
+    Runs without analysis have rows of ``run_insight`` and ``failures_from_detail`` in these tables. What is
+    gathered for a run is what its report shows: a row for each failed test.
+    """
+    n = lambda c: F.col(f"{c}_tests").alias(c)
+    metrics = F.struct(n("total"), n("passed"), n("failed"), n("skipped")).alias("metrics")
+    histogram = types.groupBy("project", "run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "type"))), lambda x: F.struct(x["type"], (-x["n"]).alias("count"))).alias("types"))
+    out = summary.select("project", "run_id", metrics)
+    for part in (_rows(insights.select("project", "run_id", "ord", "title", "detail"), "insights", "ord"), _rows(risks, "risks", "ord"), _rows(failures, "failures", *(["ord"] if "ord" in failures.columns else ["title"])), histogram):
+        out = out.join(part, ["project", "run_id"], "left")
+    head = F.struct(F.col("project").alias("name"), (F.lit(None).cast("string") if date is None else date.cast("string")).alias("date"))
+    return out.select("project", "run_id", F.to_json(F.struct(F.lit("1").alias("version"), head.alias("project"), "metrics", *(F.coalesce(c, F.array()).alias(c) for c in ("insights", "risks", "failures", "types")))).alias("document"))
+
+
 def structured_prompt(summary: DataFrame, detail: DataFrame, paths: DataFrame, hotspots: DataFrame, size: DataFrame, quick: bool = False) -> DataFrame:
     """``project, run_id, document``: JSON of graph size, counts, failures, paths (with errors) and hotspots; ``quick``: without errors and hotspots.
 
@@ -170,6 +227,49 @@ def path_lines(paths: DataFrame) -> DataFrame:
     return paths.select("project", "test_id", "direction", "path_rank", F.array_join("steps", " → ").alias("line"))
 
 
+def _text(df: DataFrame, name: str, line: Column, *order: str) -> DataFrame:
+    """One text a run: the lines in the order of ``order``."""
+    return df.groupBy("project", "run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))), lambda x: x["_line"]), "\n").alias(name))
+
+
+def prompt_paths(paths: DataFrame, detail: DataFrame) -> DataFrame:
+    """``project, run_id, paths``: for each failed test its error and its best paths, upstream first. ``paths``: with run_id, ``steps`` as ids."""
+    keys = ["project", "run_id", "test_id"]
+    each = paths.withColumn("_line", F.concat(F.lit("  • "), F.array_join("steps", " → ")))
+    by = each.groupBy(*keys, "direction").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path_rank", "_line"))), lambda x: x["_line"]), "\n").alias("_p"))
+    side = lambda d: F.concat(F.lit(f"{d.capitalize()}:\n"), F.max(F.when(F.col("direction") == d, F.col("_p"))))
+    test = by.groupBy(*keys).agg(F.concat_ws("\n", side("upstream"), side("downstream")).alias("_body"))
+    error = detail.select("project", "run_id", F.col("name").alias("test_id"), T.blank_to_null(F.col("error")).alias("_error"))
+    test = test.join(error, keys, "left")
+    return _text(test, "paths", F.concat_ws("\n", F.concat(F.lit("Test: "), "test_id"), F.concat(F.lit("Error: "), "_error"), "_body"), "test_id")
+
+
+def prompt_hotspots(hotspots: DataFrame, most: int = 5) -> DataFrame:
+    """``project, run_id, hotspots``: the first functions and files of each test."""
+    keys = ["project", "run_id", "test_id"]
+    top = hotspots.where(F.col("rank") <= most).groupBy(*keys, "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]), ", ").alias("_k"))
+    test = top.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("_k"))), F.lit("")).alias(f"_{k}") for k in ("function", "file")])
+    return _text(test, "hotspots", F.concat(F.lit("- "), "test_id", F.lit("\n  functions: "), "_function", F.lit("\n  files: "), "_file"), "test_id")
+
+
+def prompt_snippets(used: DataFrame, lines: int = 10) -> DataFrame:
+    """``project, run_id, snippets`` from functions (project, run_id, node_id, line, docstring, code)."""
+    body = F.concat(F.lit("    "), F.regexp_replace(T.snippet(F.col("code"), lines), "\n", "\n    "))
+    text = F.concat("node_id", F.lit(" (line "), F.coalesce(F.col("line").cast("string"), F.lit("?")), F.lit("):\n"), F.coalesce(T.strip(F.col("docstring")), F.lit("")), F.lit("\n"), body)
+    return _text(used, "snippets", text, "node_id")
+
+
+def prompt_full(head: DataFrame, paths: DataFrame, hotspots: DataFrame, snippets: DataFrame, examples: DataFrame, instructions: str = "") -> DataFrame:
+    """``project, run_id, text``: instructions, counts and failures (``prompt_summary``), paths, hotspots, snippets, and the examples (project, input, output), parts that a run lacks left out."""
+    shown = examples.groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lang", "ord", F.concat(F.lit("INPUT:\n"), "input", F.lit("\nOUTPUT:\n"), T.rationale(F.col("output"))).alias("x")))), lambda e: e["x"]), "\n\n").alias("examples"))
+    out = head.withColumnRenamed("text", "head")
+    for part in (paths, hotspots, snippets):
+        out = out.join(part, ["project", "run_id"], "left")
+    out = out.join(shown, "project", "left")
+    titled = [F.concat(F.lit(f"{title}:\n"), c) for title, c in (("CRITICAL PATHS", "paths"), ("HOTSPOTS", "hotspots"), ("FUNCTIONS", "snippets"), ("EXAMPLES", "examples"))]
+    return out.select("project", "run_id", F.concat_ws("\n\n", F.lit(instructions or None), "head", *titled).alias("text"))
+
+
 def critical_functions(paths: DataFrame, hotspots: DataFrame, nodes: DataFrame, functions: DataFrame) -> DataFrame:
     """``project, node_id, file, key, line, docstring, code`` of functions on paths or in hotspots: by whole file, path suffix or file name (case ignored), then by ``Class::method``, ends, or method alone."""
     used = paths.select("project", F.explode("steps").alias("node_id")).unionByName(hotspots.where("kind = 'function'").select("project", F.col("key").alias("node_id"))).distinct()
@@ -187,3 +287,19 @@ def fallback_targets(runs_without: DataFrame, detail: DataFrame, lang: str) -> D
     """For runs without used functions: the function and file that each failed test's name speaks of."""
     got = detail.join(runs_without, ["project", "run_id"], "left_semi").withColumn("_t", T.guess_target(F.col("name"), lang))
     return got.select("project", "run_id", "name", F.col("_t.func").alias("func"), F.col("_t.file").alias("file"))
+
+
+def run_functions(paths: DataFrame, hotspots: DataFrame, nodes: DataFrame, functions: DataFrame, detail: DataFrame, lang: str) -> DataFrame:
+    """``project, run_id, node_id, file, key, line, docstring, code``: the functions on a run's paths or in its hotspots; of a run without any, those that its failed tests are named after.
+
+    ``paths``, ``hotspots``: with run_id. Every function is looked up once, however many runs use it.
+    """
+    of = paths.select("project", "run_id", F.explode("steps").alias("node_id")).unionByName(hotspots.where("kind = 'function'").select("project", "run_id", F.col("key").alias("node_id"))).distinct()
+    found = critical_functions(paths.select("project", "steps"), hotspots.select("project", "kind", "key"), nodes, functions)
+    used = of.join(found, ["project", "node_id"])
+    without = detail.select("project", "run_id").distinct().join(used.select("project", "run_id").distinct(), ["project", "run_id"], "left_anti")
+    named = fallback_targets(without, detail, lang).withColumns({"_base": F.lower(F.substring_index("file", "/", -1)), "_method": T.last_token(F.col("func"))}).select("project", "run_id", F.col("func").alias("_func"), "_base", "_method").distinct()
+    own = functions.select("project", F.lower(F.substring_index("file", "/", -1)).alias("_base"), T.last_token(F.col("key")).alias("_method"), F.struct((F.col("key") != F.lit("")).alias("x"), "file", "key", "line", "docstring", "code").alias("f"))
+    hit = named.join(own, ["project", "_base", "_method"]).groupBy("project", "run_id", "_func").agg(F.min_by("f", F.struct((F.col("f.key") != F.col("_func")).alias("other"), F.col("f.file"), F.col("f.line"))).alias("f"))
+    late = hit.select("project", "run_id", F.concat("f.file", F.lit("::"), "f.key").alias("node_id"), "f.file", "f.key", "f.line", "f.docstring", "f.code")
+    return used.select("project", "run_id", "node_id", "file", "key", "line", "docstring", "code").unionByName(late)

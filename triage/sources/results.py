@@ -68,14 +68,21 @@ def _records(df: DataFrame, dialect: str, name: Column, status: Column, message:
 _BODY = "struct<_message:string,_VALUE:string,message:array<string>>"
 
 
-def read_junit(spark: SparkSession, path: str) -> DataFrame:
-    """``testcase`` at any depth. A failure or error decides before a skip; empty names stay."""
-    df = _xml(spark, path, "testcase", f"_classname string, _name string, failure array<{_BODY}>, error array<{_BODY}>, skipped array<{_BODY}>")
+JUNIT = f"_classname string, _name string, failure array<{_BODY}>, error array<{_BODY}>, skipped array<{_BODY}>"
+
+
+def junit_fields() -> list[Column]:
+    """name, status, message of a ``testcase`` with the columns of ``JUNIT``."""
     said = F.coalesce(F.try_element_at("failure", F.lit(1)), F.try_element_at("error", F.lit(1)), F.try_element_at("skipped", F.lit(1)))
     status = F.when(F.col("failure").isNotNull() | F.col("error").isNotNull(), "failed").when(F.col("skipped").isNotNull(), "skipped").otherwise("passed")
     parts = F.filter(F.concat(F.array(said["_message"], said["_VALUE"]), F.coalesce(said["message"], F.array().cast("array<string>"))), lambda x: F.coalesce(T.strip(x), F.lit("")) != "")
     name = F.when(F.coalesce("_classname", F.lit("")) != "", F.concat("_classname", F.lit("::"), F.coalesce("_name", F.lit("")))).otherwise(F.coalesce("_name", F.lit("")))
-    return _records(df, "junit", name, status, F.array_join(F.transform(parts, T.strip), "\n"))
+    return T.normalize_record(name, status, F.array_join(F.transform(parts, T.strip), "\n"))
+
+
+def read_junit(spark: SparkSession, path: str) -> DataFrame:
+    """``testcase`` at any depth. A failure or error decides before a skip; empty names stay."""
+    return _xml(spark, path, "testcase", JUNIT).where("_bad is null").select("file", F.lit("junit").alias("dialect"), "ord", *junit_fields())
 
 
 def _outcome(c: Column) -> Column:
@@ -131,13 +138,16 @@ def read_generic_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def universal_records(content: str) -> list[tuple[str, str, str]]:
-    """(name, status, message) of an XML file of unknown kind; nothing if it can't be read."""
+    """(name, status, message) of an XML file of unknown kind; nothing if it can't be read, or is of a kind that another reader knows."""
     try:
         root = ElementTree.fromstring(content)
     except ElementTree.ParseError:
         return []
     elements = list(root.iter())
     tag = lambda e: e.tag.rsplit("}", 1)[-1].lower()
+    kinds = {tag(e) for e in elements}
+    if kinds & {"testcase", "test-case", "unittestresult"} or kinds >= {"test", "collection"}:
+        return []
     groups = (
         [e for e in elements if tag(e).endswith(("testcase", "test-case"))],
         [e for e in elements if tag(e).endswith("test") and e.get("result") is not None],
