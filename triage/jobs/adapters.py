@@ -1,6 +1,7 @@
 """The driver's tables as test results, call graphs and analysis items. Each adapter is SQL that Spark and DuckDB both run.
 
-``part`` are functions, every fourth of them a test; ``lineitem`` pairs within an order are calls;
+``part`` are functions, every fourth of them a test; a function calls the two that follow it most often in the
+orders of ``lineitem``, all rows counted;
 ``events`` are test records, a run a day; ``orders`` are analysis items.
 """
 
@@ -8,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from triage.sources.shared import written
+
 _NODE = "concat('src/', lower(p_type), '/', replace(p_name, ' ', '_'), '.py::', p_brand, '::f', cast(p_partkey as varchar(20)))"
 _FILE = "concat(case when p_partkey % 11 = 3 then '/venv/' else 'src/' end, lower(p_type), '/', replace(p_name, ' ', '_'), '.py')"
 
@@ -17,11 +20,11 @@ select 'p' as project, {_NODE} as node_id, case when p_partkey % 13 = 5 then 'ex
 """
 
 EDGES = """
-select 'p' as project, src.node_id as src, dst.node_id as dst, min(e.edge_ord) as edge_ord from (
-  select a.l_partkey as s, b.l_partkey as d, min(a.l_orderkey) as edge_ord from lineitem a join lineitem b
-  on a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber and a.l_partkey <> b.l_partkey
-  where a.l_quantity <= 6 and b.l_quantity <= 6 group by a.l_partkey, b.l_partkey) e
-join nodes src on src.node_ord = e.s join nodes dst on dst.node_ord = e.d group by src.node_id, dst.node_id
+select 'p' as project, src.node_id as src, dst.node_id as dst, e.edge_ord from (
+  select s, d, edge_ord, row_number() over (partition by s order by n desc, (s * 31 + d * 17) % 1009, d) as k from (
+    select a.l_partkey as s, b.l_partkey as d, count(*) as n, min(a.l_orderkey) as edge_ord from lineitem a join lineitem b
+    on a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber and a.l_partkey <> b.l_partkey group by a.l_partkey, b.l_partkey) pairs) e
+join nodes src on src.node_ord = e.s join nodes dst on dst.node_ord = e.d where e.k <= 2
 """
 
 _ESC = "\x1b"
@@ -50,6 +53,19 @@ select 'p' as project, cast(o_custkey % 10 as varchar(20)) as run_id, o_orderkey
 from orders
 """
 
+#: Twenty parts make a source file in each of three languages; a part's function calls that of the next part and one from outside.
+_FILES = "select p_partkey as k, cast(floor(p_partkey / 20) as bigint) as g, concat(case when p_partkey % 40 = 7 then 'test_f' else 'f' end, p_partkey) as py, concat(case when (p_partkey + 1) % 40 = 7 then 'test_f' else 'f' end, p_partkey + 1) as next_py from part"
+SOURCES = f"""
+select concat('p', g % 3) as project, concat('src/m', g, '.py') as file, 'python' as lang,
+  array_join(transform(array_sort(collect_list(struct(k, py, next_py))), x -> concat('def ', x.py, '(a):\n    ', x.next_py, '(a)\n    len(helper', x.k % 5, '(1))\n\n')), '') as text from ({_FILES}) group by g
+union all
+select concat('p', g % 3), concat('src/C', g, '.java'), 'java', concat('package pkg', g % 4, ';\nclass C', g, ' {{\n',
+  array_join(transform(array_sort(collect_list(struct(k))), x -> concat(case when x.k % 4 = 0 then '@Test ' else '' end, 'void f', x.k, '(int a) {{ f', x.k + 1, '(a); out', x.k % 5, '(a); }}\n')), ''), '}}\n') from ({_FILES}) group by g
+union all
+select concat('p', g % 3), concat('src/B', g, '.cs'), 'csharp', concat('namespace N', g % 4, ' {{\nclass B', g, ' {{\n',
+  array_join(transform(array_sort(collect_list(struct(k))), x -> concat(case when x.k % 4 = 0 then '[Fact] ' else '' end, 'public void f', x.k, '(int a) {{ f', x.k + 1, '(a); Far', x.k % 5, '(a, 1); }}\n')), ''), '}} }}\n') from ({_FILES}) group by g
+"""
+
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     """The named adapters over the tables in ``sf_dir``; temporary views are named after this folder's tables."""
@@ -57,9 +73,11 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     out = {"nodes": spark.sql(NODES)}
     out["nodes"].createOrReplaceTempView("nodes")
-    for name, sql in (("edges", EDGES), ("results", RESULTS), ("analysis", ANALYSIS)):
+    for name, sql in (("edges", EDGES), ("results", RESULTS), ("analysis", ANALYSIS), ("sources", SOURCES)):
         if name in names:
             out[name] = spark.sql(sql)
+    if "edges" in out:
+        out["edges"] = written(out["edges"], "edges")  # a count of pairs that several steps read
     return out
 
 

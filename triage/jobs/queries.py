@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triage.functions import text as T
-from triage.jobs.adapters import WITH, tables
+from triage.jobs.adapters import _FILES, WITH, tables
 from triage.operators import callgraph as C
+from triage.operators import extract as X
 from triage.operators import hotspots as H
 from triage.operators import locate as L
 from triage.operators import paths as P
@@ -17,7 +19,7 @@ from triage.operators import report as R
 from triage.operators import summary as S
 from triage.operators import tagging as G
 from triage.sources import results as I
-from triage.sources.shared import written
+from triage.sources.shared import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -240,8 +242,8 @@ _PLACES = (
     ) + ")\n"
     + r""", chained as (select ord, p, k, regexp_replace(path, '^\s+|\s+$', '', 'g') as path, line,
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(path, '^\s+|\s+$', '', 'g'), chr(92), '>'), '/', '>'), '::', '>'), '>+', '>', 'g'), '^\s*>|>\s*$', '', 'g'), '^\s+|\s+$', '', 'g'), '^[A-Za-z]:>', ''), '^\s+|\s+$', '', 'g') as c from found)
-, cut as (select *, list_filter(string_split(c, '>'), lambda x: x <> '') as s from chained)
-, anchored as (select *, list_filter(list_transform(range(len(s)), lambda i: case when s[i + 1] in ('tests', 'src', 'source', 'app', 'lib') then i end), lambda i: i is not null)[1] as a from cut)
+, pcut as (select *, list_filter(string_split(c, '>'), lambda x: x <> '') as s from chained)
+, anchored as (select *, list_filter(list_transform(range(len(s)), lambda i: case when s[i + 1] in ('tests', 'src', 'source', 'app', 'lib') then i end), lambda i: i is not null)[1] as a from pcut)
 , short as (select ord, p, k, path || ':' || line as raw, case when a is null then c else array_to_string(s[a + 1:], '>') end || '>' || line as chain from anchored)
 , h as (select ord, chain, row_number() over (partition by ord, array_to_string(string_split(chain, '>')[-4:], '>') order by p, k) as n, p, k from short where chain not like '>%')
 , r as (select ord, raw, row_number() over (partition by ord, raw order by p, k) as n, p, k from short)
@@ -271,8 +273,8 @@ def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.rank_candidates(cands, near)
 
 
-_DECLS = ", decls as (select 'p' as project, concat('d', p_partkey) as node_id, split_part(p_name, ' ', 2) as name, split_part(p_name, ' ', 1) as type_name, p_brand as ns, (p_size % 4)::int as parameters, p_partkey from part where p_partkey % 9 = 0 and p_type <> 'PROMO')"
-_SITES = ", sites as (select 'p' as project, concat(l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey) as call_id, split_part(p_name, ' ', 2) as name, case when l_suppkey % 3 = 0 then null else split_part(p_name, ' ', 1) end as type_name, case when l_linenumber % 2 = 0 then p_brand else 'none' end as ns, (l_linenumber % 5)::int as argc, concat('src/c', l_suppkey % 10, '.cs') as file from lineitem join part on p_partkey = l_partkey where l_orderkey % 50 = 0)"
+_DECLS = ", decls as (select 'p' as project, concat('d', p_partkey) as node_id, split_part(p_name, ' ', 2) as name, split_part(p_name, ' ', 1) as type_name, p_brand as ns, (p_size % 4)::int as parameters from part where p_type <> 'PROMO')"
+_SITES = ", sites as (select 'p' as project, concat(l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey) as call_id, split_part(p_name, ' ', 2) as name, case when l_suppkey % 3 = 0 then null else split_part(p_name, ' ', 1) end as type_name, case when l_linenumber % 2 = 0 then p_brand else 'none' end as ns, (l_linenumber % 5)::int as argc, concat('src/c', l_suppkey % 10, '.cs') as file from lineitem join part on p_partkey = l_partkey)"
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -332,17 +334,30 @@ def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.insights(a).withColumn("detail", F.array_join("detail", "|"))
 
 
+def _module_function(c: str) -> Column:
+    n = lambda m: (F.col(c) % m).cast("string")
+    return F.concat(F.lit("src/mod_"), n(5), F.lit(".py::T::f"), n(40))
+
+
+def _module_functions(spark: SparkSession) -> DataFrame:
+    """The functions that orders name; the line of every other one isn't known."""
+    line = F.when(F.col("o_orderkey") % 40 < 20, (F.col("o_orderkey") % 40 + 1).cast("int"))
+    return spark.table("orders").select(F.lit("p").alias("project"), _module_function("o_orderkey").alias("key"), line.alias("line")).distinct()
+
+
+def _locus(functions, suspects):
+    none = F.array().cast("array<string>")
+    return F.struct(none.alias("files"), F.coalesce(functions, none).alias("functions"), suspects.cast("array<string>").alias("suspects"))
+
+
 @query(""", locus as (select *, concat('src/mod_', ord % 5, '.py::T::f', ord % 40) as f1, concat('src/mod_', ord % 3, '.py::g') as f2 from analysis)
-, fn as (select distinct concat('src/mod_', o_orderkey % 5, '.py::T::f', o_orderkey % 40) as key, (o_orderkey % 40 + 1)::int as line from orders where o_orderkey % 40 < 20)
+, fn as (select distinct concat('src/mod_', o_orderkey % 5, '.py::T::f', o_orderkey % 40) as key, case when o_orderkey % 40 < 20 then (o_orderkey % 40 + 1)::int end as line from orders)
 , l as (select x.*, 'src/mod_' || (ord % 5) || '.py' || case when a.line is null then '' else '>' || a.line end as l1, 'src/mod_' || (ord % 3) || '.py' as l2 from locus x left join fn a on a.key = x.f1)
 select 'p' as project, run_id, ord, case when l1 = l2 then l1 else l1 || '|' || l2 end as locations from l""")
 def locus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = tables(spark, sf_dir, "analysis")["analysis"]
-    n = lambda c, m: (F.col(c) % m).cast("string")
-    f1 = lambda c: F.concat(F.lit("src/mod_"), n(c, 5), F.lit(".py::T::f"), n(c, 40))
-    f2 = F.concat(F.lit("src/mod_"), n("ord", 3), F.lit(".py::g"))
-    a = a.withColumn("locus", F.struct(F.array().cast("array<string>").alias("files"), F.array(f1("ord"), f2).alias("functions"), F.array().cast("array<string>").alias("suspects")))
-    fns = spark.table("orders").where("o_orderkey % 40 < 20").select(F.lit("p").alias("project"), f1("o_orderkey").alias("key"), (F.col("o_orderkey") % 40 + 1).cast("int").alias("line")).distinct()
+    fns = _module_functions(spark)
+    a = a.withColumn("locus", _locus(F.array(_module_function("ord"), F.concat(F.lit("src/mod_"), (F.col("ord") % 3).cast("string"), F.lit(".py::g"))), F.array()))
     return R.locus_locations(a, fns).withColumn("locations", F.array_join("locations", "|"))
 
 
@@ -381,27 +396,54 @@ def first_n_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRIP = " select run_id as file, (row_number() over (partition by run_id order by ord) - 1)::bigint as ord, name, status, trim(regexp_replace(message, " + _ANSI + ", '', 'g'), ' ' || chr(10)) as message from results"
 
 
-def _by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each run's records in order, as an array."""
-    r = tables(spark, sf_dir, "results")["results"]
-    return r.groupBy(F.col("run_id").alias("file")).agg(F.array_sort(F.collect_list(F.struct("ord", "name", "status", "message"))).alias("rows"))
+#: Records of a result file.
+_PER_FILE = 500
+
+
+def _in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's records in order, as arrays of a file each (``file``, ``part``, ``rows``): a bounded number of records in each."""
+    r = tables(spark, sf_dir, "results")["results"].withColumn("part", F.floor(F.col("ord") / _PER_FILE))
+    return r.groupBy(F.col("run_id").alias("file"), "part").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "status", "message"))).alias("rows"))
+
+
+def _joined(parts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Records of the files of a run (``file`` as run and part) with their place in the run."""
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("file", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row a file
+    own = parts.withColumns({"part": F.substring_index("file", "/", -1).cast("long"), "file": F.substring_index("file", "/", 1)})
+    return own.join(base, ["file", "part"]).withColumn("ord", F.col("ord") + F.col("base")).drop("part", "base")
 
 
 @query(_TRIP)
 def pytest_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = written(_in_files(spark, sf_dir), "files")
     items = F.transform("rows", lambda x: F.struct(x["name"].alias("nodeid"), x["status"].alias("outcome"), x["message"].alias("longrepr")))
-    texts = _by_run(spark, sf_dir).select("file", F.try_parse_json(F.to_json(F.struct(items.alias("tests")))).alias("v"))
-    return I.json_records(texts, "pytest").drop("dialect")
+    texts = files.select(F.concat("file", F.lit("/"), F.col("part").cast("string")).alias("file"), F.try_parse_json(F.to_json(F.struct(items.alias("tests")))).alias("v"))
+    return _joined(I.json_records(texts, "pytest").drop("dialect"), files.select("file", "part", F.size("rows").alias("n"))).select("file", "ord", "name", "status", "message")
 
 
 @query(_TRIP.replace("name, status", "concat('T::', name) as name, status").replace("trim(regexp_replace(message, " + _ANSI + ", '', 'g'), ' ' || chr(10)) as message", "case when status = 'failed' then regexp_extract(message, 'AssertionError: [0-9.]*') else '' end as message"))
 def junit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = written(_in_files(spark, sf_dir), "files")
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     case = lambda x: F.concat(F.lit('<testcase classname="T" name="'), esc(x["name"]), F.lit('">'), F.when(x["status"] == "failed", F.concat(F.lit('<failure message="'), esc(F.regexp_extract(x["message"], "AssertionError: [0-9.]*", 0)), F.lit('"/>'))).when(x["status"] == "skipped", "<skipped/>").otherwise(""), F.lit("</testcase>"))
-    text = _by_run(spark, sf_dir).select("file", F.posexplode(F.transform("rows", case)).alias("ord", "x"))
-    got = text.select("file", F.col("ord").cast("long").alias("ord"), F.from_xml("x", "_classname string, _name string, failure struct<_message:string>, skipped string", {"rowTag": "testcase"}).alias("r"))
-    status = F.when(F.col("r.failure").isNotNull(), "failed").when(F.col("r.skipped").isNotNull(), "skipped").otherwise("passed")
-    return got.select("file", "ord", *T.normalize_record(F.concat_ws("::", "r._classname", "r._name"), status, F.col("r.failure._message")))
+    cases = files.select(F.concat("file", F.lit("/"), F.col("part").cast("string")).alias("file"), F.posexplode(F.transform("rows", case)).alias("ord", "x"))
+    got = cases.select("file", F.col("ord").cast("long").alias("ord"), F.from_xml("x", I.JUNIT, {"rowTag": "testcase"}).alias("r")).select("file", "ord", "r.*")
+    return _joined(got.select("file", "ord", *I.junit_fields()), files.select("file", "part", F.size("rows").alias("n"))).select("file", "ord", "name", "status", "message")
+
+
+@query(""" select 'p' as project, run_id, case when ord % 2 = 0 then 'junit' else 'pytest' end as dialect, case when ord % 2 = 0 then concat('T::', name) else name end as name, status,
+  case when ord % 2 = 1 then trim(regexp_replace(message, """ + _ANSI + """, '', 'g'), ' ' || chr(10)) when status = 'failed' then regexp_extract(message, 'AssertionError: [0-9.]*') else '' end as message from results""")
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as JUnit and JSON files of many runs, and read by one call."""
+    r = tables(spark, sf_dir, "results")["results"]
+    top = f"{shared_dir(spark)}/triage/result-files-{uuid.uuid4().hex}"
+    failure = F.when(F.col("status") == "failed", F.struct(F.regexp_extract("message", "AssertionError: [0-9.]*", 0).alias("_message")))
+    cases = r.where("ord % 2 = 0").select("project", "run_id", F.lit("T").alias("_classname"), F.col("name").alias("_name"), failure.alias("failure"), F.when(F.col("status") == "skipped", "").alias("skipped"))
+    cases.write.format("xml").option("rootTag", "testsuite").option("rowTag", "testcase").option("maxRecordsPerFile", _PER_FILE).partitionBy("project", "run_id").save(top)
+    lists = r.where("ord % 2 = 1").groupBy("project", "run_id", F.floor(F.col("ord") / _PER_FILE)).agg(F.collect_list(F.struct("name", "status", "message")).alias("tests"))
+    lists.select("project", "run_id", "tests").write.mode("append").option("maxRecordsPerFile", 1).partitionBy("project", "run_id").json(top)
+    return I.load_results(spark, top)[0].select("project", "run_id", "dialect", "name", "status", "message")
 
 
 @query(""", recs as (select run_id as file, case ord % 4 when 0 then 'junit' when 1 then 'xunit' when 2 then 'pytest' else 'universal' end as dialect, case when ord % 5 = 0 then '' else name end as name from results)
@@ -411,3 +453,108 @@ def choose_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = tables(spark, sf_dir, "results")["results"]
     kind = F.when(F.col("ord") % 4 == 0, "junit").when(F.col("ord") % 4 == 1, "xunit").when(F.col("ord") % 4 == 2, "pytest").otherwise("universal")
     return I.choose_dialect(r.select(F.col("run_id").alias("file"), kind.alias("dialect"), F.when(F.col("ord") % 5 == 0, "").otherwise(F.col("name")).alias("name")))
+
+
+# --- sources, reports ---------------------------------------------------------------------------------
+
+_SOURCES = f", fs as ({_FILES}), known as (select k, g from fs)" + """
+, ids as (select k, g, concat('p', g % 3) as project, py, next_py, concat('src/m', g, '.py::', py) as p_id, concat('pkg', g % 4, '.src/C', g, '.java::C', g, '::f', k) as j_id, concat('N', g % 4, '::src/B', g, '.cs::B', g, '::f', k) as c_id from fs)
+, calls as (select a.*, b.p_id as p_to, b.j_id as j_to, b.c_id as c_to from ids a left join ids b on b.k = a.k + 1 and b.project = a.project)"""
+
+
+@query(_SOURCES + """ select distinct project, unnest([p_id, p_id, j_id, j_id, c_id, c_id]) as src,
+  unnest([coalesce(p_to, next_py), 'helper' || k % 5, coalesce(j_to, 'external::f' || (k + 1)), 'external::out' || k % 5, coalesce(c_to, 'external::f' || (k + 1) || '/1'), 'external::Far' || k % 5 || '/2']) as dst from calls""")
+def source_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.build_graph(tables(spark, sf_dir, "sources")["sources"])[1].select("project", "src", "dst")
+
+
+@query(_SOURCES + """, place as (select *, row_number() over (partition by g order by k) as n, max(case when k % 40 = 7 then 1 else 0 end) over (partition by g) = 1 as tested from ids)
+select project, unnest([p_id, j_id, c_id]) as node_id, unnest(['python', 'java', 'csharp']) as lang, unnest([(n * 4 - 3)::int, (n + 2)::int, (n + 2)::int]) as start_line, unnest([tested, k % 4 = 0, k % 4 = 0]) as is_test, 1 as parameters from place""")
+def source_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = C.build_graph(tables(spark, sf_dir, "sources")["sources"])[0]
+    return nodes.where("type <> 'external'").select("project", "node_id", "lang", "start_line", "is_test", "parameters")
+
+
+@query(_SOURCES + """, used as (select project, 'helper' || k % 5 as node_id, count(*) as uses from ids group by all)
+select project, node_id, uses from used""")
+def outside_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External nodes of one name pattern with how often they are called, from the counts of their origins."""
+    nodes = C.build_graph(tables(spark, sf_dir, "sources")["sources"])[0].where("type = 'external' and node_id like 'helper%'")
+    return nodes.select("project", "node_id", F.aggregate("origins", F.lit(0).cast("long"), lambda n, o: n + o["count"]).alias("uses"))
+
+
+@query(""", f as (select concat('p', p_partkey % 7) as project, p_partkey % 11 as e from part)
+, g as (select project, bool_or(e in (0, 1, 2)) as py, bool_or(e in (3, 4)) as ja, bool_or(e = 5) as cs from f group by 1)
+select project, array_to_string(list_filter([case when py then 'python' end, case when ja then 'java' end, case when cs then 'csharp' end], lambda x: x is not null), ',') as languages,
+  case when py then 'python' when ja then 'java' when cs then 'csharp' end as language, case when cs then 'csharp' when ja then 'java' when py then 'python' end as extractor from g""")
+def project_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir)
+    e = F.col("p_partkey") % 11
+    end = F.when(e < 3, ".py").when(e < 5, ".java").when(e == 5, ".cs").otherwise(".md")
+    files = spark.table("part").select(F.concat(F.lit("p"), (F.col("p_partkey") % 7).cast("string")).alias("project"), F.concat(F.lit("src/a"), F.col("p_partkey").cast("string"), end).alias("file"))
+    return X.project_languages(files).withColumn("languages", F.array_join("languages", ","))
+
+
+@query(_MATCH + """ select 'p' as project, s.run_id, count(*) filter (where s.status = 'passed') as passed, count(*) filter (where s.status = 'failed') as failed, count(*) filter (where s.status = 'skipped') as skipped, count(*) as total
+from status s join nodes n on n.node_id = s.node_id and n.is_test group by s.run_id""")
+def tests_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, status = _status(spark, sf_dir)
+    return S.tests_overview(S.run_summary(status, t["nodes"]))
+
+
+@query(_FAILED + _SHOWN + _walk(True) + """, each as (select test_id, path_rank, unnest(shown) as node, unnest(range(len(shown))) as pos from best)
+, fr as (select s.run_id, s.node_id as test_id from status s join nodes n on n.node_id = s.node_id and n.is_test where s.status = 'failed')
+select 'p' as project, r.run_id, e.test_id, e.path_rank::int as path_rank, string_agg(e.node || '|' || n.type || '|' || n.start_line || '|' || coalesce(s.status, 'not_executed') || '|' || case when n.type = 'external' then e.node else '' end, '>' order by pos) as steps
+from each e join fr r using (test_id) join nodes n on n.node_id = e.node left join status s on s.run_id = r.run_id and s.node_id = e.node group by all""")
+def enriched_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, status = _status(spark, sf_dir)
+    failed = _failed(t, status)
+    got = P.enriched_steps(P.critical_paths(t["nodes"], t["edges"], failed, "downstream"), t["nodes"], status, failed, t["edges"])
+    step = lambda s: F.concat_ws("|", s["node"], s["type"], s["line"].cast("string"), s["status"], F.coalesce(s["external_key"], F.lit("")))
+    return got.select("project", "run_id", "test_id", "path_rank", F.array_join(F.transform("steps", step), ">").alias("steps"))
+
+
+_ITEMS = """, items as (select *, '2024-01-' || lpad((ord % 30 + 1)::varchar, 2, '0') as day, concat('src/mod_', ord % 5, '.py::T::f', ord % 40) as f1, 'src/mod_' || ord % 5 || '.py' || case when ord % 40 < 20 then '>' || (ord % 40 + 1) else '' end as l1 from analysis)"""
+
+
+def _items(spark: SparkSession, sf_dir: str, *names: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Analysis items dealt over the days of the runs; some with a function as their locus, some with a suspect."""
+    t = tables(spark, sf_dir, "analysis", *names)
+    none = F.array().cast("array<string>")
+    a = t["analysis"].withColumn("run_id", F.concat(F.lit("2024-01-"), F.lpad((F.col("ord") % 30 + 1).cast("string"), 2, "0")))
+    locus = _locus(F.when(F.col("ord") % 3 == 0, F.array(_module_function("ord"))), F.when(F.col("ord") % 5 == 0, F.array(F.concat(F.lit("pkg/s"), (F.col("ord") % 7).cast("string"), F.lit(".py")))).otherwise(none))
+    return t, a.withColumns({"locus": locus, "heuristic_locations": none, "root_cause": F.lit(""), "suggested_fixes": none, "insight_bullets": F.array("bullet")})
+
+
+@query(_MATCH + _PLACES + _ITEMS + """, lastm as (select run_id, node_id, max(ord) filter (where message <> '') as mo from matched where node_id is not null group by 1, 2)
+, nodeh as (select run_id, node_id, heuristic from lastm join hs on hs.ord = mo)
+select 'p' as project, i.day as run_id, i.ord, coalesce(case when i.ord % 3 = 0 then l1 else replace(n.heuristic, '|', ', ') end, case when i.ord % 5 = 0 then 'pkg>s' || i.ord % 7 || '.py' end, '') as location,
+  ((i.ord % 5 = 0)::int + (i.ord % 3 = 0)::int)::int as suspects from items i left join idx x on x.token = string_split(i.test_name, '::')[-1] left join nodeh n on n.run_id = i.day and n.node_id = x.node_id""")
+def failures_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, items = _items(spark, sf_dir, "results")
+    status = written(G.node_status(t["results"], t["nodes"], "python"), "status")
+    return R.located_failures(items, _module_functions(spark), t["nodes"], status).select("project", "run_id", "ord", "location", F.size("llm").alias("suspects"))
+
+
+@query(_MATCH + _TYPED.replace("from analysis)", "from (select *, '2024-01-' || lpad((ord % 30 + 1)::varchar, 2, '0') as day from analysis))") + """, c as (select day, coalesce(nullif(kind, ''), 'Other') as type, count(*) as n from typed group by 1, 2)
+, s as (select s.run_id, count(*) as total, count(*) filter (where s.status = 'failed') as failed from status s join nodes n on n.node_id = s.node_id and n.is_test group by s.run_id)
+select 'p' as project, s.run_id, s.total, s.failed, coalesce(sum(n), 0)::bigint as items, string_agg(type || ' ' || n, ', ' order by n desc, type) as types from s left join c on c.day = s.run_id group by 2, 3, 4""")
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's document, and what it says."""
+    t, items = _items(spark, sf_dir, "results")
+    status = written(G.node_status(t["results"], t["nodes"], "python"), "status")
+    docs = R.report(S.run_summary(status, t["nodes"]), R.insights(items), R.risk_scores(items), R.failures_table(items, _module_functions(spark)), S.failure_types(items))
+    got = docs.select("project", "run_id", F.from_json("document", "metrics struct<total:long,failed:long>, insights array<struct<title:string>>, risks array<struct<r:int>>, failures array<struct<title:string>>, types array<struct<type:string,count:long>>").alias("d"))
+    alike = (F.size("d.insights") == F.size("d.risks")) & (F.size("d.risks") == F.size("d.failures"))
+    return got.select("project", "run_id", "d.metrics.total", "d.metrics.failed", F.when(alike, F.size("d.risks")).cast("long").alias("items"), F.nullif(F.array_join(F.transform("d.types", lambda x: F.concat(x["type"], F.lit(" "), x["count"].cast("string"))), ", "), F.lit("")).alias("types"))
+
+
+@query(_TYPED + """, c as (select run_id, coalesce(nullif(kind, ''), 'Other') as type, count(*) as n from typed group by 1, 2)
+select 'p' as project, run_id, type, n as count, (row_number() over (partition by run_id order by n desc, type))::int as position from c""")
+def type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.type_histogram(S.failure_types(tables(spark, sf_dir, "analysis")["analysis"]))
+
+
+@query(""" select 'p' as project, run_id, ord, string_split(test_name, '::')[-1] as label, (row_number() over (partition by run_id order by string_split(test_name, '::')[-1], test_name, ord))::int as position from analysis""")
+def bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.bubbles(R.risk_scores(tables(spark, sf_dir, "analysis")["analysis"])).select("project", "run_id", "ord", "label", "position")
