@@ -122,11 +122,23 @@ def test_signature_tree_finds_all_components(seed):
 
 
 def test_large_buckets_are_split(spark, monkeypatch):
+    """A group of near copies of one text, one of texts of which none is like the first, and a chain through several blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 5)
-    base = prose(100).split()
+    base, other, body = prose(100).split(), prose(60), prose(200).split()
     rows = [(i, " ".join([*base[:98], f"a{i}", f"b{i}"])) for i in range(40)]
-    got = ngram_join.ngram_jaccard_components(make(spark, rows)).collect()
-    assert {r["component_id"] for r in got} == {0}
+    rows += [(100 + i, f"{other} {prose(30)}") for i in range(20)]  # one half in common: no links
+    rows += [(120 + i, rows[40 + i][1] + " x") for i in range(0, 20, 3)]  # but these have one
+    rows += [(200 + i, " ".join(body[2 * i : 2 * i + 110])) for i in range(30)]
+    want = components({i: [shingles(t)] for i, t in rows})
+    for exact in (False, True):
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_components(make(spark, rows), exact=exact).collect()}
+        assert got == want and len(set(want.values())) == 22
+
+
+def test_unlike_texts_of_one_id_are_one_vertex(spark):
+    a, b = prose(40), prose(40)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, prose(40))]
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_components(make(spark, rows)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
 def test_frequent_shingles_lose_no_link(spark, monkeypatch):
