@@ -3,12 +3,15 @@
 A line's tokens are its distinct runs of five words (a shorter line is one token). A line goes if an
 earlier line, by document id and line number, has a Jaccard similarity of 0.8 or more with it.
 
-1. Tokens that many lines of a part of the table repeat are counted over all parts; the most frequent,
-   a list of bounded length, come last in the global order of tokens, all others by their hashes.
+1. All tokens of the table are counted in a table of ``COUNTERS`` counters, which tasks fill and Spark adds
+   up. Its logarithm, a list of bytes, is broadcast: tokens are ordered by the class of their
+   counter and then by their hashes, so that rare ones come first, the same way for all lines.
 2. Lines that are repeated very often are settled by an aggregate: all but the first go.
 3. Every other line names the tokens of its prefix (one more than it may miss). Lines that share one
    meet in the bucket of the earliest of them, so that copies make one bucket and not one a token.
-   Large buckets are split into blocks, and two blocks each make a task.
+   A large bucket is split into blocks, each joined within itself and with the bucket's first line. Lines
+   for which that finds no earlier match, few in a group of near copies, are then held against all
+   other blocks.
 4. Within a bucket, tokens are ordered by their rarity there; prefix, length and positional filters
    leave few pairs, whose sets are intersected. The first earlier match of a line ends its search.
 """
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +34,11 @@ K = 5
 PERCENT = 80
 #: Shorter lines stay: a few common words are no copy.
 LEAST_WORDS = 4
-#: Repeats from which a token or a line counts as frequent; MOST bounds the lists, which are broadcast.
-HOT_TOKEN, HOT_LINE, MOST = 200, 50, 1 << 20
-BLOCK_LINES = 20_000
+#: Repeats from which a line counts as frequent; MOST bounds their list, which is broadcast.
+HOT_LINE, MOST = 50, 1 << 20
+#: Counters of tokens and ranges that they are added up in; a counter's class is 0 up to BUSY and up to the mean of all, then grows with its logarithm.
+COUNTERS, RANGES, BUSY = 1 << 20, 64, 64
+BLOCK_LINES = 1000
 #: Buckets of so few lines are compared pair by pair.
 SMALL = 6
 
@@ -48,8 +53,8 @@ def lines_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cuts, row, np.arange(len(cuts) - 1) - begin[row]
 
 
-def line_sets(raw: np.ndarray, cuts: np.ndarray, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, line of each, words of each line): tokens sorted and distinct within a line."""
+def line_sets(raw: np.ndarray, cuts: np.ndarray, least: int = LEAST_WORDS, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, line of each, words of each line): tokens distinct within a line, in the order of their classes and hashes."""
     words, begin = C.word_hashes(raw, cuts)
     count = np.diff(begin)
     line = np.repeat(np.arange(len(count)), count)
@@ -62,18 +67,29 @@ def line_sets(raw: np.ndarray, cuts: np.ndarray, least: int = LEAST_WORDS) -> tu
             tokens.append(C.grams(words, n)[begin[:-1][short]])
             where.append(short)
     tok, at = np.concatenate(tokens), np.concatenate(where)
-    order = np.argsort(_by_line(tok, at))
+    order = np.argsort(_by_line(tok, at, classes))
     tok, at = tok[order], at[order]
     new = np.ones(len(tok), dtype=bool)
     new[1:] = (tok[1:] != tok[:-1]) | (at[1:] != at[:-1])
     return tok[new], at[new], count
 
 
-def _by_line(tok: np.ndarray, at: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
-    """One sort key of line, whether the token is frequent, and the leading bits of its hash."""
+def counter(tok: np.ndarray) -> np.ndarray:
+    return (tok >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def _by_line(tok: np.ndarray, at: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
+    """One sort key of line, class of the token's counter (under 64), and the trailing bits of its hash."""
     wide = np.uint64(int(at.max()).bit_length() + 1 if len(at) else 1)
-    key = (at.astype(np.uint64) << (np.uint64(64) - wide)) | (tok >> (wide + np.uint64(1)))
-    return key if frequent is None else key | (frequent.astype(np.uint64) << (np.uint64(63) - wide))
+    key = at.astype(np.uint64) << (np.uint64(64) - wide)
+    rest = (tok << (wide + np.uint64(6))) >> (wide + np.uint64(6))
+    return key | rest if classes is None else key | (classes[counter(tok)].astype(np.uint64) << (np.uint64(58) - wide)) | rest
+
+
+def classes_of(counts: np.ndarray) -> np.ndarray:
+    """The class of each counter."""
+    floor = max(BUSY, int(counts.sum()) // COUNTERS)
+    return np.where(counts > floor, 1 + np.floor(np.log2(np.maximum(counts, 1) / floor)), 0).clip(0, 63).astype(np.uint8)
 
 
 def _signatures(tok: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,36 +101,75 @@ def _signatures(tok: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np
         return size, one[begin[1:]] - one[begin[:-1]], two[begin[1:]] - two[begin[:-1]]
 
 
+_DIGEST = "doc_id long, line long, n long, sig1 long, sig2 long, counts binary"
+
+
 def _digest(least: int) -> object:
-    """Lines with tokens as (doc_id, line, n, sig1, sig2); tokens repeated in a part as (null, -1, count, token, 0); texts as (doc_id, -2, lines, 0, 0)."""
+    """Lines with tokens as (doc_id, line, n, sig1, sig2); texts as (doc_id, -2, lines, 0, 0); at the end of a task its counters, by ranges, as (null, -1, range, salt, 0, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = [f.split()[0] for f in _DIGEST.split(", ")], np.zeros(COUNTERS, dtype=np.int64)
         for whole in batches:
             for batch in C.slices(whole, "text"):
                 raw, offsets = C.text_buffer(batch.column("text"))
                 cuts, row, number = lines_of(raw, offsets)
                 tok, at, _ = line_sets(raw, cuts, least)
+                counts += np.bincount(counter(tok), minlength=COUNTERS)
                 size, one, two = _signatures(tok, at, len(row))
                 ids = batch.column("doc_id")
                 has = np.flatnonzero(size)
-                seen, count = np.unique(tok, return_counts=True)
-                seen, count = seen[count > 1], count[count > 1]
                 total = np.where(batch.column("text").is_valid().to_numpy(zero_copy_only=False), np.bincount(np.searchsorted(offsets, np.flatnonzero(raw == 0x0A), side="right") - 1, minlength=len(batch)) + 1, 0)
-                z, t = np.zeros(len(seen), np.int64), np.zeros(len(batch), np.int64)
+                t = np.zeros(len(batch), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([ids.take(pa.array(row[has])), pa.nulls(len(seen), pa.int64()), ids]),
-                        pa.array(np.concatenate([number[has], z - 1, t - 2]), pa.int64()),
-                        pa.array(np.concatenate([size[has], count, total]).astype(np.int64)),
-                        pa.array(np.concatenate([one[has].view(np.int64), seen.view(np.int64), t])),
-                        pa.array(np.concatenate([two[has].view(np.int64), z, t])),
+                        pa.concat_arrays([ids.take(pa.array(row[has])), ids]),
+                        pa.array(np.concatenate([number[has], t - 2]), pa.int64()),
+                        pa.array(np.concatenate([size[has], total]).astype(np.int64)),
+                        pa.array(np.concatenate([one[has].view(np.int64), t])),
+                        pa.array(np.concatenate([two[has].view(np.int64), t])),
+                        pa.nulls(len(has) + len(batch), pa.binary()),
                     ],
-                    names=["doc_id", "line", "n", "sig1", "sig2"],
+                    names=names,
                 )
+        if counts.any():
+            salt, own = TaskContext.get().partitionId() % RANGES, counts.reshape(RANGES, -1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(RANGES, pa.int64()), pa.array([-1] * RANGES), pa.array(range(RANGES)), pa.array([salt] * RANGES), pa.array([0] * RANGES), pa.array([_packed(c) for c in own], pa.binary())], names=names)
 
     return run
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.astype("<i8").tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 8 * (COUNTERS // RANGES), "zstd", asbytes=True), "<i8")
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (range, salt) -> one for each with the sums of their counts."""
+    key, total = None, None
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([_packed(total)], pa.binary())], names=["range", "salt", "counts"])
+    for batch in batches:
+        for r, s, data in zip(*(batch.column(c).to_pylist() for c in ("range", "salt", "counts"))):
+            if key != (r, s):
+                if key:
+                    yield row()
+                key, total = (r, s), np.zeros(COUNTERS // RANGES, dtype=np.int64)
+            total = total + _unpacked(data)
+    if key:
+        yield row()
+
+
+def count_tokens(parts: DataFrame) -> np.ndarray:
+    """The counters of all tasks (``range, salt, counts``) added up, first by range and salt, then by range, so that no task adds up those of all tasks."""
+    add = lambda df: df.repartition("range", "salt").sortWithinPartitions("range", "salt").mapInArrow(_add, "range long, salt long, counts binary")
+    out = np.zeros((RANGES, COUNTERS // RANGES), dtype=np.int64)
+    for r in add(add(parts).withColumn("salt", F.lit(0).cast("long"))).collect():  # RANGES rows
+        out[r["range"]] = _unpacked(r["counts"])
+    return out.ravel()
+
+
 def _isin(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
         return np.zeros(len(values), dtype=bool)
@@ -125,12 +180,12 @@ def _keys(hot, least: int) -> object:
     """Prefix tokens of all lines but later copies of very frequent ones: (token, doc_id, line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sigs, first = hot.value
+        classes, sigs, first = hot.value
         for whole in batches:
             for batch in C.slices(whole, "text"):
                 raw, offsets = C.text_buffer(batch.column("text"))
                 cuts, row, number = lines_of(raw, offsets)
-                tok, at, _ = line_sets(raw, cuts, least)
+                tok, at, _ = line_sets(raw, cuts, least, classes)
                 size, one, two = _signatures(tok, at, len(row))
                 doc = np.asarray(batch.column("doc_id").fill_null(0)).astype(np.int64)[row]
                 known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[row]
@@ -140,9 +195,6 @@ def _keys(hot, least: int) -> object:
                     own = first[np.searchsorted(sigs, both[often])]
                     often[often] = (own[:, 0] != doc[often]) | (own[:, 1] != number[often])
                 keep = known & ~often
-                frequent = _isin(tokens, tok)
-                order = np.argsort(_by_line(tok, at, frequent))
-                tok, at = tok[order], at[order]
                 begin = np.cumsum(size) - size
                 prefix = size - (PERCENT * size + 99) // 100 + 1
                 pick = keep[at] & (np.arange(len(tok)) - begin[at] < prefix[at])
@@ -176,33 +228,34 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, places array<struct<line, pivot_doc, pivot_line, bi, bj>>) -> a row for each place with the line's text."""
+    """(doc_id, text, places array<struct<line, pivot_doc, pivot_line, bi, bj, asked>>) -> a row for each place with the line's text."""
     for batch in batches:
         out: dict[str, list] = defaultdict(list)
         for doc, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places"))):
             lines = text.split("\n") if text else []
             for p in places:
                 if p["line"] < len(lines):
-                    for c in ("pivot_doc", "pivot_line", "bi", "bj", "line"):
+                    for c in ("pivot_doc", "pivot_line", "bi", "bj", "asked", "line"):
                         out[c].append(p[c])
                     out["doc_id"].append(doc)
                     out["text"].append(lines[p["line"]])
-        names = ["pivot_doc", "pivot_line", "bi", "bj", "doc_id", "line", "text"]
-        yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.string() if c == "text" else pa.int32() if c in ("bi", "bj") else pa.int64()) for c in names], names=names)
+        names = ["pivot_doc", "pivot_line", "bi", "bj", "asked", "doc_id", "line", "text"]
+        kinds = {"text": pa.string(), "bi": pa.int32(), "bj": pa.int32(), "asked": pa.bool_()}
+        yield pa.RecordBatch.from_arrays([pa.array(out[c], kinds.get(c, pa.int64())) for c in names], names=names)
 
 
-def later_matches(order: list[tuple[int, int]], sets: list[np.ndarray], percent: int = PERCENT) -> set[tuple[int, int]]:
-    """Which lines of a bucket have an earlier one with the wanted similarity."""
+def later_matches(order: list[tuple[int, int]], sets: list[np.ndarray], asked: set[tuple[int, int]] | None = None, percent: int = PERCENT) -> set[tuple[int, int]]:
+    """Which lines of a bucket have an earlier one with the wanted similarity; ``asked``: of these only."""
     if len(sets) <= SMALL:
         by = sorted(range(len(sets)), key=order.__getitem__)
-        return {order[y] for k, y in enumerate(by) if any(order[x] != order[y] and similar(sets[x], sets[y], percent) for x in by[:k])}
+        return {order[y] for k, y in enumerate(by) if (asked is None or order[y] in asked) and any(order[x] != order[y] and similar(sets[x], sets[y], percent) for x in by[:k])}
     rank = Counter(t for s in sets for t in s.tolist())
     index: dict[int, list[tuple[int, int]]] = defaultdict(list)
     gone: set[tuple[int, int]] = set()
     for y in sorted(range(len(sets)), key=order.__getitem__):
         own, n = sorted(sets[y].tolist(), key=lambda t: (rank[t], t)), len(sets[y])
         prefix, tried = own[: n - (percent * n + 99) // 100 + 1], set()
-        for j, t in enumerate(prefix):
+        for j, t in enumerate(prefix if asked is None or order[y] in asked else ()):
             for x, i in index[t]:
                 m = len(sets[x])
                 if x in tried or order[x] == order[y]:
@@ -220,20 +273,32 @@ def later_matches(order: list[tuple[int, int]], sets: list[np.ndarray], percent:
     return gone
 
 
+_FOUND = "doc_id long, line long, pivot_doc long, pivot_line long"
+
+
 def _bucket_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, order, sets, out = None, [], [], []
+    """Rows sorted by bucket (pivot, bi, bj) -> lines with an earlier match; of the blocks of a large bucket (bj = -1) also, with the pivot's place, the lines without one."""
+
+    def answer(key: tuple, order: list[tuple[int, int]], asked: set[tuple[int, int]], sets: list[np.ndarray]) -> list[tuple]:
+        gone = later_matches(order, sets, None if key[3] < 0 else asked)
+        rest = set(order) - gone - {key[:2]} if key[3] == -1 else ()
+        return [(*x, None, None) for x in gone] + [(*x, *key[:2]) for x in rest]
+
+    last, order, asked, sets, out = None, [], set(), [], []
     for whole in batches:
         for batch in C.slices(whole, "text"):
             got = C.shingle_sets(*C.text_buffer(batch.column("text")), K)
             keys = zip(*(batch.column(c).to_pylist() for c in ("pivot_doc", "pivot_line", "bi", "bj")))
-            for key, doc, line, s in zip(keys, batch.column("doc_id").to_pylist(), batch.column("line").to_pylist(), got):
+            for key, doc, line, ask, s in zip(keys, *(batch.column(c).to_pylist() for c in ("doc_id", "line", "asked")), got):
                 if key != last:
-                    out += later_matches(order, sets)
-                    last, order, sets = key, [], []
+                    out += answer(last, order, asked, sets) if last else []
+                    last, order, asked, sets = key, [], set(), []
                 order.append((doc, line))
                 sets.append(s)
-    out += later_matches(order, sets)
-    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["doc_id", "line"])
+                if ask:
+                    asked.add((doc, line))
+    out += answer(last, order, asked, sets) if last else []
+    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(4)], names=[f.split()[0] for f in _FOUND.split(", ")])
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -244,10 +309,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    digest = C.written(own.mapInArrow(_digest(least_words), "doc_id long, line long, n long, sig1 long, sig2 long"), "lines")
-    tokens = digest.where("line = -1")
-    limit = max(HOT_TOKEN, (tokens.agg(F.sum("n")).first()[0] or 0) // MOST)
-    hot_tokens = tokens.groupBy("sig1").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("sig1").toArrow()
+    digest = C.written(own.mapInArrow(_digest(least_words), _DIGEST), "lines")
+    classes = classes_of(count_tokens(digest.where("line = -1").select(F.col("n").alias("range"), F.col("sig1").alias("salt"), "counts")))
     lines = digest.where("line >= 0 and doc_id is not null")
     copies = C.written(lines.groupBy("sig1", "sig2", "n").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "line")).alias("first")).where(F.col("copies") > HOT_LINE), "copies")
     most = max(HOT_LINE, (lines.count() // MOST))
@@ -256,8 +319,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with np.errstate(over="ignore"):
         sig = C.mix(a.view(np.uint64) ^ C.mix(b.view(np.uint64) + n.astype(np.uint64)))
     by = np.argsort(sig)
-    token = np.sort(np.asarray(hot_tokens.column(0).combine_chunks()).view(np.uint64)) if hot_tokens.num_rows else np.zeros(0, np.uint64)
-    hot = spark.sparkContext.broadcast((token, sig[by], np.stack([d, k], axis=1)[by]))
+    hot = spark.sparkContext.broadcast((classes, sig[by], np.stack([d, k], axis=1)[by]))
 
     repeats = copies.where(F.col("copies") > most)
     often = lines.join(F.broadcast(repeats), ["sig1", "sig2", "n"]).where("doc_id <> first.doc_id or line <> first.line").select("doc_id", "line")
@@ -265,20 +327,32 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = own.where("doc_id is not null").mapInArrow(_keys(hot, least_words), "token long, doc_id long, line long")
     met = keys.repartition("token").sortWithinPartitions("token", "doc_id", "line").mapInArrow(_meet, "pivot_doc long, pivot_line long, doc_id long, line long")
     members = C.written(met.distinct(), "members")
-    sizes = members.groupBy("pivot_doc", "pivot_line").agg(F.ceil(F.count("*") / BLOCK_LINES).cast("int").alias("blocks")).where("blocks > 1")
-    places = (
-        members.join(sizes, ["pivot_doc", "pivot_line"], "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("doc_id", "line"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))))
-        .select("doc_id", F.struct("line", "pivot_doc", "pivot_line", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")).alias("place"))
-        .groupBy("doc_id")
-        .agg(F.collect_list("place").alias("places"))
-    )
-    texts = places.hint("merge").join(own, "doc_id").select("doc_id", "text", "places").mapInArrow(_texts, "pivot_doc long, pivot_line long, bi int, bj int, doc_id long, line long, text string")
-    buckets = texts.repartition("pivot_doc", "pivot_line", "bi", "bj").sortWithinPartitions("pivot_doc", "pivot_line", "bi", "bj")
-    similar_lines = buckets.mapInArrow(_bucket_join, "doc_id long, line long")
-    removed = C.written(often.union(similar_lines).distinct(), "removed")
+    pivot = ["pivot_doc", "pivot_line"]
+    blocks = F.ceil(F.count("*") / BLOCK_LINES).cast("int")
+    large = C.written(members.groupBy(*pivot).agg(blocks.alias("blocks")).where("blocks > 1"), "large")  # a table, so that Spark knows how few they are
+    dealt = members.join(large, pivot, "left").withColumn("bi", F.pmod(F.xxhash64("doc_id", "line"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    first = (F.col("doc_id") == F.col("pivot_doc")) & (F.col("line") == F.col("pivot_line")) & F.col("blocks").isNotNull()
+    every = F.when(first, F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).otherwise(F.array("bi"))
+    places = dealt.withColumn("bi", F.explode(every)).withColumns({"bj": F.when(F.col("blocks").isNull(), -2).otherwise(-1), "asked": F.lit(True)})
+
+    def join(places: DataFrame) -> DataFrame:
+        by_doc = places.select("doc_id", F.struct("line", *pivot, "bi", "bj", "asked").alias("place")).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+        texts = by_doc.hint("merge").join(own, "doc_id").select("doc_id", "text", "places").mapInArrow(_texts, "pivot_doc long, pivot_line long, bi int, bj int, asked boolean, doc_id long, line long, text string")
+        return texts.repartition(*pivot, "bi", "bj").sortWithinPartitions(*pivot, "bi", "bj").mapInArrow(_bucket_join, _FOUND)
+
+    found = C.written(join(places), "found")
+    rest = found.where("pivot_doc is not null").join(found.where("pivot_doc is null").select("doc_id", "line").distinct(), ["doc_id", "line"], "left_anti").distinct()
+    gone = [often, found.where("pivot_doc is null").select("doc_id", "line")]
+    if rest.limit(1).count():
+        chunks = rest.groupBy(*pivot).agg(F.ceil(F.count("*") / BLOCK_LINES).cast("int").alias("chunks"))
+        pairs = large.join(chunks, pivot)
+        asked = rest.join(pairs, pivot).select(*pivot, "doc_id", "line", F.pmod(F.xxhash64("doc_id", "line", F.lit(1)), F.col("chunks")).cast("int").alias("bi"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("bj"), F.lit(True).alias("asked"))
+        others = dealt.drop("blocks").withColumnRenamed("bi", "bj").join(pairs, pivot).select(*pivot, "doc_id", "line", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("bi"), "bj", F.lit(False).alias("asked"))
+        gone.append(join(C.written(asked.unionByName(others), "rest")).select("doc_id", "line"))
+    removed = gone[0]
+    for more in gone[1:]:
+        removed = removed.union(more)
+    removed = C.written(removed.distinct(), "removed")
     counts = digest.where("line = -2").select("doc_id", F.col("n").alias("n_lines"))
     return removed, counts
 
