@@ -45,7 +45,7 @@ def folder(rel: Column, n: int) -> Column:
     return F.when(F.size(parts) > n, F.regexp_replace(F.try_element_at(parts, F.lit(n)), "^[^=]*=", ""))
 
 
-def list_result_files(spark: SparkSession, path: str) -> DataFrame:
+def list_result_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``file, ext_rank, modified`` of every result file under ``path`` (or of the file itself)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{xml,trx,json}").load(path)
     file = F.col("_metadata.file_path")  # as the other readers spell it
@@ -201,26 +201,29 @@ def choose_dialect(records: DataFrame) -> DataFrame:
     return best.select("file", F.when(F.col("n") > 0, F.col("best")).when(F.col("file").endswith(".json"), "pytest").otherwise("universal").alias("dialect"))
 
 
-def load_results(spark: SparkSession, path: str, project: str | None = None, run_id: str | None = None, dialects: tuple[str, ...] = tuple(READERS)) -> tuple[DataFrame, DataFrame]:
+def load_results(spark: SparkSession, path: str, project: str | None = None, run_id: str | None = None, dialects: tuple[str, ...] = tuple(READERS), files: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, rejects): the records of every file in its dialect; files without any.
 
     Many projects and runs are one read: without ``project`` the first folder below ``path`` names it, and
-    without ``run_id`` the next one. ``place`` orders a run's records: by kind of file, path, place in it.
+    without ``run_id`` the next one. ``place`` orders a run's records: by kind of file, path, place in it;
+    ``modified`` is the time of the file. ``files``: of the files under ``path`` these alone.
     """
-    files = list_result_files(spark, path)
+    which = path if files is None else files
+    known = list_result_files(spark, which)
     records = None
     for d in dialects:
-        got = READERS[d](spark, path)
+        got = READERS[d](spark, which)
         records = got if records is None else records.unionByName(got)
     records = written(records, "records")  # every file is parsed once for each dialect, not again for each use
     chosen = choose_dialect(records)
     results = records.join(chosen, ["file", "dialect"], "left_semi")
-    rejects = files.join(results.select("file").distinct(), "file", "left_anti").select("file")
+    rejects = known.join(results.select("file").distinct(), "file", "left_anti").select("file")
     rel = relative(F.col("file"), path)
     of_project = folder(rel, 1) if project is None else F.lit(project)
     of_run = folder(rel, 2 if project is None else 1) if run_id is None else F.lit(run_id)
     place = F.struct(ext_rank(F.col("file")).alias("kind"), F.col("file"), F.col("ord"))
-    return results.select(of_project.alias("project"), of_run.alias("run_id"), "file", "dialect", "ord", place.alias("place"), "name", "status", "message"), rejects
+    timed = results.join(known.select("file", "modified"), "file")
+    return timed.select(of_project.alias("project"), of_run.alias("run_id"), "file", "dialect", "ord", place.alias("place"), "name", "status", "message", "modified"), rejects
 
 
 def first_json_block(content: str | None) -> str | None:

@@ -1,52 +1,84 @@
-"""Status of nodes kept up to date from a stream of test records.
+"""Status of nodes kept up to date from a stream of test records or of result files.
 
-Records arrive as files; each batch is matched, the last record of a node wins, and the result is merged
-into the table. A record's rank is (modification time of its file, place in it), so an older file that
-comes late changes nothing newer. Every batch writes a version of its own and then names it as the
-current one; a batch that is run again finds its number there and does nothing.
+Each batch is matched, the last record of a node wins, and the result is merged into the state. A record's
+rank is (modification time of its file, file, place in it), so an older file that comes late changes
+nothing newer. The state is a table of ``BUCKETS`` parts; a batch writes those that it touches, under its
+number, and then names them in the list of what is done. A batch that is run again writes the same parts
+once more, or does nothing if it is in the list.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from triage.operators.tagging import match_results
+from triage.sources.results import load_results
 
-STATE = "project string, node_id string, status string, error_message string, modified timestamp, ord long"
+BUCKETS = 64
+STATE = "project string, node_id string, status string, error_message string, modified timestamp, file string, ord long"
 
 
-def _versions(spark: SparkSession, target: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [] if not fs.exists(path) else sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    return done
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("project", "node_id"), F.lit(BUCKETS)).cast("int")
 
 
-def current(spark: SparkSession, target: str) -> DataFrame:
-    """The state after the last whole batch."""
-    done = _versions(spark, target)
-    return spark.read.schema(STATE).parquet(f"{target}/batch/version={done[-1]}") if done else spark.createDataFrame([], STATE)
+def _done(spark: SparkSession, target: str) -> dict[int, list[int]]:
+    """The numbers of the batches that wrote each bucket; BUCKETS rows."""
+    try:
+        rows = spark.read.schema("version long, bucket int").parquet(f"{target}/done").groupBy("bucket").agg(F.collect_set("version").alias("v")).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {r["bucket"]: sorted(r["v"]) for r in rows}
 
 
-def merge(state: DataFrame, batch: DataFrame, nodes: DataFrame, lang: str) -> DataFrame:
-    """The state with a batch of records (project, run_id, name, status, message, modified, ord) merged in."""
-    hit = match_results(batch, nodes, lang).where("node_id is not null").select("project", "node_id", "status", F.when(F.col("message") != "", F.col("message")).alias("error_message"), "modified", "ord")
-    both = state.unionByName(hit)
-    rank = F.struct("modified", "ord")
-    return both.groupBy("project", "node_id").agg(
+def current(spark: SparkSession, target: str, buckets: list[int] | None = None) -> DataFrame:
+    """The state after the last whole batch; ``buckets``: of these only."""
+    paths = [f"{target}/state/version={v[-1]}/bucket={b}" for b, v in _done(spark, target).items() if b >= 0 and (buckets is None or b in buckets)]
+    return spark.read.schema(STATE).parquet(*paths) if paths else spark.createDataFrame([], STATE)
+
+
+def merge(state: DataFrame, hit: DataFrame) -> DataFrame:
+    """The state with matched records (``STATE``'s columns) merged in."""
+    rank = F.struct("modified", "file", "ord")
+    return state.unionByName(hit).groupBy("project", "node_id").agg(
         F.max_by("status", rank).alias("status"), F.max_by("error_message", F.when(F.col("error_message").isNotNull(), rank)).alias("error_message"), F.max(rank).alias("_r")
-    ).select("project", "node_id", "status", "error_message", F.col("_r.modified").alias("modified"), F.col("_r.ord").alias("ord"))
+    ).select("project", "node_id", "status", "error_message", "_r.modified", "_r.file", "_r.ord")
+
+
+def apply_batch(batch: DataFrame, number: int, nodes: DataFrame, lang: str, target: str) -> None:
+    """Merges a batch of records (project, run_id, name, status, message, modified, ord, and file where there is one) into the state."""
+    spark = batch.sparkSession
+    if number in _done(spark, target).get(-1, []):
+        return
+    named = batch if "file" in batch.columns else batch.withColumn("file", F.lit(""))
+    hit = match_results(named, nodes, lang).where("node_id is not null").select("project", "node_id", "status", F.when(F.col("message") != "", F.col("message")).alias("error_message"), "modified", "file", "ord")
+    touched = [r[0] for r in hit.select(_bucket().alias("bucket")).distinct().collect()]
+    if touched:
+        merged = merge(current(spark, target, touched), hit).withColumn("bucket", _bucket())
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/state/version={number}")
+    # the batch itself is bucket -1
+    spark.createDataFrame([(number, b) for b in [*touched, -1]], "version long, bucket int").coalesce(1).write.mode("append").parquet(f"{target}/done")
 
 
 def stream_status(records: DataFrame, nodes: DataFrame, lang: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Starts the stream; takes what is there and ends."""
+    """Starts a stream of parsed records; takes what is there and ends."""
+    return records.writeStream.foreachBatch(lambda batch, number: apply_batch(batch, number, nodes, lang, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_result_files(spark: SparkSession, path: str, nodes: DataFrame, lang: str, target: str, checkpoint: str, files_per_batch: int = 1000, project: str | None = None, run_id: str | None = None) -> StreamingQuery:
+    """Starts a stream of the result files under ``path`` in any dialect; takes what is there and ends. ``project``, ``run_id``: as in ``load_results``."""
+    seen = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{xml,trx,json}").option("maxFilesPerTrigger", files_per_batch).load(path)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number in _versions(spark, target):
-            return
-        merge(current(spark, target), batch, nodes, lang).write.mode("overwrite").parquet(f"{target}/batch/version={number}")
+        own = batch.sparkSession
+        files = [r[0] for r in batch.select("path").collect()]  # files_per_batch at most; names alone
+        if files:
+            records, _ = load_results(own, path, project, run_id, files=files)
+            apply_batch(records.select("project", "run_id", "file", "ord", "name", "status", "message", "modified"), number, nodes, lang, target)
 
-    return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return seen.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
