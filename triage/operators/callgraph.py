@@ -42,12 +42,6 @@ def csharp_is_test(attributes: Column, type_attributes: Column, name: Column) ->
     return F.coalesce(F.arrays_overlap(attributes, known), F.lit(False)) | F.coalesce(F.arrays_overlap(type_attributes, known), F.lit(False)) | F.lower(name).rlike("^(test|should_|when_)")
 
 
-def best_tier(matches: DataFrame, keys: tuple[str, ...] = ("project", "call_id")) -> DataFrame:
-    """Rows of the first tier that a call has any of. An aggregate and a join, so a call with many targets is no large window."""
-    least = matches.groupBy(*keys).agg(F.min("tier").alias("tier"))
-    return matches.join(least, [*keys, "tier"], "left_semi")
-
-
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """One edge a pair: its first call, with that call's origin."""
     origin = [F.min_by("origin", "edge_ord").alias("origin")] if "origin" in edges.columns else []
@@ -159,35 +153,54 @@ def build_graph(sources: DataFrame, projects: DataFrame | None = None, packages:
     return written(nodes, "nodes"), written(edges, "edges"), functions
 
 
+#: What a call and a declaration must have in common, tier by tier; ``n``: arguments.
+_TIERS = (("ns", "type_name", "name", "n"), ("type_name", "name", "n"), ("name", "n"), ("ns", "type_name", "name"), ("type_name", "name"), ("name",))
+
+
+def _tiered(calls: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls that have a declaration, with ``tier``, the first that has any, and ``_nodes``, how many; declarations).
+
+    Each tier's declarations are counted by what they must have in common with a call before calls meet
+    them, so a name that many of both share makes no row a pair.
+    """
+    own = calls.withColumnRenamed("argc", "n")
+    decls = nodes.select("project", "node_id", "name", "type_name", "ns", F.col("parameters").alias("n")).distinct()
+    for i, keys in enumerate(_TIERS, 1):
+        own = own.join(decls.groupBy("project", *keys).agg(F.countDistinct("node_id").alias(f"_n{i}")), ["project", *keys], "left")
+    first = [F.when(F.col(f"_n{i}").isNotNull(), i) for i in range(1, len(_TIERS) + 1)]
+    own = own.withColumns({"tier": F.coalesce(*first), "_nodes": F.coalesce(*[F.col(f"_n{i}") for i in range(1, len(_TIERS) + 1)])})
+    return own.where("tier is not null").drop(*[f"_n{i}" for i in range(1, len(_TIERS) + 1)]), decls
+
+
 def csharp_matches(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """``project, call_id, node_id, tier`` of all declarations in the first tier that has any: (namespace, type, name, argument
     count), (type, name, count), (name, count), then the same three without the count.
 
-    ``calls``: name, type_name, ns, argc. ``nodes``: name, type_name, ns, parameters. One equal join on the name.
+    ``calls``: name, type_name, ns, argc. ``nodes``: name, type_name, ns, parameters. A call is joined by the keys of its tier alone.
     """
-    a = calls.select("project", "call_id", "name", F.col("type_name").alias("_t"), F.col("ns").alias("_ns"), "argc")
-    b = nodes.select("project", "name", "node_id", "type_name", "ns", "parameters")
-    same_type, same_ns, same_n = F.col("_t") == F.col("type_name"), F.col("_ns") == F.col("ns"), F.col("argc") == F.col("parameters")
-    by_type = F.coalesce(same_type, F.lit(False))
-    base = F.when(by_type & F.coalesce(same_ns, F.lit(False)), 1).when(by_type, 2).otherwise(3)
-    tier = F.when(F.coalesce(same_n, F.lit(False)), base).otherwise(base + 3)
-    return best_tier(a.join(b, ["project", "name"]).select("project", "call_id", "node_id", tier.alias("tier")))
+    own, decls = _tiered(calls.select("project", "call_id", "name", "type_name", "ns", "argc"), nodes)
+    own, out = written(own, "tiers"), None
+    for i, keys in enumerate(_TIERS, 1):
+        got = own.where(F.col("tier") == i).select("project", "call_id", "tier", *keys).join(decls.select("project", "node_id", *keys), ["project", *keys]).select("project", "call_id", "node_id", "tier").distinct()
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def csharp_tier_counts(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """``project, tier, calls, edges, targets``: distinct calls, (call, declaration) pairs and declarations of ``csharp_matches`` by tier.
 
     Calls alike in name, type, namespace and argument count resolve alike, so each such kind is resolved
-    once and weighed by its calls: a name that many calls and declarations share makes no row a pair.
-    A ``call_id`` names one call site.
+    once and weighed by its calls; pairs are counted, not made. A ``call_id`` names one call site.
     """
     alike = ["name", "type_name", "ns", "argc"]
-    kinds = calls.groupBy("project", *alike).agg(F.countDistinct("call_id").alias("_calls")).withColumn("call_id", F.to_json(F.struct(*alike)))
-    kinds = written(kinds, "kinds")
-    found = written(csharp_matches(kinds, nodes).distinct(), "kind-matches")
-    each = found.groupBy("project", "call_id", "tier").agg(F.count("*").alias("_nodes")).join(kinds.select("project", "call_id", "_calls"), ["project", "call_id"])
-    sums = each.groupBy("project", "tier").agg(F.sum("_calls").alias("calls"), F.sum(F.col("_calls") * F.col("_nodes")).alias("edges"))
-    return sums.join(found.groupBy("project", "tier").agg(F.countDistinct("node_id").alias("targets")), ["project", "tier"])
+    own, decls = _tiered(calls.groupBy("project", *alike).agg(F.countDistinct("call_id").alias("_calls")), nodes)
+    own = written(own, "tiers")
+    sums = own.groupBy("project", "tier").agg(F.sum("_calls").alias("calls"), F.sum(F.col("_calls") * F.col("_nodes")).alias("edges"))
+    hit = None
+    for i, keys in enumerate(_TIERS, 1):
+        met = decls.join(own.where(F.col("tier") == i).select("project", *keys).distinct(), ["project", *keys], "left_semi").groupBy("project").agg(F.countDistinct("node_id").alias("targets")).withColumn("tier", F.lit(i))
+        hit = met if hit is None else hit.unionByName(met)
+    return sums.join(hit, ["project", "tier"])
 
 
 def origin_counts(uses: DataFrame) -> DataFrame:
