@@ -187,7 +187,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.nd
     return sets
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """The batch in parts of about ``most`` bytes of text, at least one row each: bounds the arrays made from it."""
     col = batch.column(column)
     sizes = np.asarray(pc.binary_length(col).fill_null(0)).astype(np.int64) if len(col) else np.zeros(0, np.int64)
