@@ -79,10 +79,10 @@ def counter(tok: np.ndarray) -> np.ndarray:
 
 
 def _by_line(tok: np.ndarray, at: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
-    """One sort key of line, class of the token's counter (under 64), and the trailing bits of its hash."""
+    """One sort key of line, class of the token's counter (under 64), and the leading bits of its hash: the same order of tokens whatever the number of lines."""
     wide = np.uint64(int(at.max()).bit_length() + 1 if len(at) else 1)
     key = at.astype(np.uint64) << (np.uint64(64) - wide)
-    rest = (tok << (wide + np.uint64(6))) >> (wide + np.uint64(6))
+    rest = tok >> (wide + np.uint64(6))
     return key | rest if classes is None else key | (classes[counter(tok)].astype(np.uint64) << (np.uint64(58) - wide)) | rest
 
 
