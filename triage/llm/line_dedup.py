@@ -32,8 +32,8 @@ from triage.llm.ngram_join import similar
 
 K = 5
 PERCENT = 80
-#: Shorter lines stay: a few common words are no copy.
-LEAST_WORDS = 4
+#: Lines of fewer words stay; with 1, only those without a word.
+LEAST_WORDS = 1
 #: Repeats from which a line counts as frequent; MOST bounds their list, which is broadcast.
 HOT_LINE, MOST = 50, 1 << 20
 #: Counters of tokens and ranges that they are added up in; a counter's class is 0 up to BUSY and up to the mean of all, then grows with its logarithm.
@@ -305,7 +305,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``(doc_id, line)`` of every line to remove, lines counted from 0; and ``(doc_id, n_lines)`` of every document.
 
     Lines of documents without an id are neither removed nor matched. Rows that share an id count as one
-    document delivered again: a line number removed in one goes in all. Lines of under ``least_words`` words stay; with 1, only those without a word.
+    document delivered again: a line number removed in one goes in all. Lines of under ``least_words`` words stay.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
