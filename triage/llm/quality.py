@@ -1,6 +1,6 @@
 """Operator 8, a quality classifier on supervised subword embeddings.
 
-Words, pairs of words and byte n-grams are hashed to learned vectors. A document is the mean of the vectors of all its
+Words and character n-grams are hashed to learned vectors. A document is the mean of the vectors of all its
 features; a softmax over two classes follows. Vectors and output are trained together by stochastic
 gradient descent in numpy on a bounded sample. Since both steps are linear up to the softmax, a
 feature's share in the difference of the two outputs is one number, and scoring sums these numbers.
