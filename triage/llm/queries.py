@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from triage.llm import decontaminate, language_id, line_dedup, lm_score, multi_index, ngram_join, packing, quality, sharding, toxicity
+from triage.llm import decontaminate, language_id, line_dedup, lm_score, merkle, multi_index, ngram_join, packing, quality, sentencepiece_bpe, sharding, toxicity, whitening
 from triage.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES = {
     "op2_lm_score": lambda spark, sf_dir: lm_score.lm_scores(table(spark, sf_dir, "documents")),
@@ -20,6 +21,9 @@ QUERIES = {
     "op1_mixture_packing": lambda spark, sf_dir: packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False).drop("ids"),
     "op9_decontaminate": lambda spark, sf_dir: decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_ngram_join": lambda spark, sf_dir: ngram_join.ngram_jaccard_components(table(spark, sf_dir, "documents")),
+    "op11_sentencepiece": lambda spark, sf_dir: sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), PIECES),
+    "op12_merkle_manifest": lambda spark, sf_dir: merkle.verified_manifest(table(spark, sf_dir, "documents")),
+    "op13_whitening": lambda spark, sf_dir: whitening.whitened_components(table(spark, sf_dir, "embeddings")),
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -32,6 +36,44 @@ _ROUNDS = ",\n".join(
     for i, k in enumerate(sharding.round_keys(2024))
 ).replace("r-1", "pairs")
 
+_CRC_TABLE = """crc_table as (
+  select list(c order by i) as t from (
+    select i, list_reduce(list_prepend(i::ubigint, list_transform(range(8), lambda k: k::ubigint)),
+      lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end) as c from range(256) t(i))
+)"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of a text, with ``crc_table`` in scope."""
+    return f"""xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::ubigint)),
+      lambda x, y: xor(x >> 8, t[((xor(x, y) & 255) + 1)::bigint])), 4294967295::ubigint)"""
+
+
+def _leaf(text: str) -> str:
+    """The digest of a row's fields, with the text as given."""
+    return "sha256(" + " || ".join(f"case when {c} is null then '-' else octet_length(encode({c}::varchar)) || ':' || {c}::varchar end" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, nodes: str) -> str:
+    """The nodes of all levels of trees from ``nodes`` (g, idx, h), the runs of those levels that have a level above, and what remains."""
+    return f"""{name} as (
+  select 0 as lvl, g, idx, h from {nodes} union all
+  select lvl + 1, g, idx // {merkle.RUN}, sha256(string_agg(h, '' order by idx)) from (select *, count(*) over (partition by g) as c from {name}) where c > 1 group by lvl, g, idx // {merkle.RUN}
+), {name}_runs as (
+  select lvl, g, idx // {merkle.RUN} as parent, list(h order by idx) as hs from (select *, count(*) over (partition by g, lvl) as c from {name}) where c > 1 group by all
+), {name}_tops as (select g, h from {name} qualify count(*) over (partition by g, lvl) = 1)"""
+
+
+def _climb(name: str, start: str, tree: str) -> str:
+    """Each row's way up: the digest folded so far and the siblings met."""
+    before, after = (f"coalesce(array_to_string(hs[{a}], ''), '')" for a in (f"1:w.idx % {merkle.RUN}", f"w.idx % {merkle.RUN} + 2:"))
+    return f"""{name} as (
+  select * from ({start}) union all
+  select w.row, w.g, w.lvl + 1, w.idx // {merkle.RUN}, sha256({before} || w.f || {after}), w.p || {before} || {after}
+  from {name} w join {tree}_runs r on r.g = w.g and r.lvl = w.lvl and r.parent = w.idx // {merkle.RUN}
+), {name}_end as (select * from {name} qualify row_number() over (partition by row order by lvl desc) = 1)"""
+
+
 ORACLE_SQL = {
     "op6_line_dedup": rf"""
 with l as (
@@ -53,14 +95,9 @@ select d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::bigint as n_line
 from documents d left join g using (doc_id)
 """,
     "op7_feistel_shards": f"""
-with recursive crc_table as (
-  select list(c order by i) as t from (
-    select i, list_reduce(list_prepend(i::ubigint, list_transform(range(8), lambda k: k::ubigint)),
-      lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end) as c from range(256) t(i))
-), sized as (
+with recursive {_CRC_TABLE}, sized as (
   select doc_id, octet_length(encode(coalesce(text, ''))) + 16 as size,
-    xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::ubigint)),
-      lambda x, y: xor(x >> 8, t[((xor(x, y) & 255) + 1)::bigint])), 4294967295::ubigint) as text_crc32
+    {_crc32("coalesce(text, '')")} as text_crc32
   from documents cross join crc_table
 ), numbered as (
   select *, row_number() over (order by coalesce(doc_id, 0) % {sharding.BUCKETS}, doc_id nulls first, size, text_crc32) - 1 as number,
@@ -125,5 +162,20 @@ with recursive w as (
 )
 select n.doc_id, n.n as n_shingles, least(n.doc_id, coalesce(min(reach.v), n.doc_id)) as component_id
 from n left join reach on reach.u = n.doc_id group by n.doc_id, n.n
+""",
+    "op12_merkle_manifest": f"""
+with recursive {_CRC_TABLE}, told as (
+  select *, case when {_crc32("doc_id::varchar")} % 2 = 0 then replace(text, chr(10), '') else text end as changed from documents cross join crc_table
+), hashed as (
+  select row_number() over () as row, doc_id, source, coalesce('=' || source, '') as g, {_leaf("text")} as leaf, {_leaf("changed")} as other from told
+), leaves as (
+  select *, row_number() over (partition by g order by doc_id nulls first, leaf, other) - 1 as number from hashed
+), lower_nodes as (select g, number as idx, leaf as h from leaves), {_tree("low", "lower_nodes")}, subs as (
+  select g as sub, '' as g, row_number() over (order by g) - 1 as idx, h from low_tops
+), {_tree("high", "subs")},
+{_climb("one", "select row, g, 0 as lvl, number as idx, other as f, '' as p from leaves", "low")},
+{_climb("two", "select o.row, s.g, 0 as lvl, s.idx, o.f, o.p from one_end o join subs s on s.sub = o.g", "high")}
+select l.doc_id, l.leaf, s.h as subroot, r.h as root, sha256(w.p) as proof_sha256, w.f as folded_root, w.f = r.h as verified
+from leaves l join two_end w using (row) join subs s on s.sub = l.g cross join high_tops r
 """,
 }
