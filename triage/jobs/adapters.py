@@ -1,7 +1,7 @@
 """The driver's tables as test results, call graphs and analysis items. Each adapter is SQL that Spark and DuckDB both run.
 
-``part`` are functions, every fourth of them a test; a function calls the two that follow it most often in the
-orders of ``lineitem``, all rows counted;
+``part`` are functions, every fourth of them a test; a function calls every part that follows it in an
+order of ``lineitem``, all pairs of all orders;
 ``events`` are test records, a run a day; ``orders`` are analysis items.
 """
 
@@ -21,10 +21,9 @@ select 'p' as project, {_NODE} as node_id, case when p_partkey % 13 = 5 then 'ex
 
 EDGES = """
 select 'p' as project, src.node_id as src, dst.node_id as dst, e.edge_ord from (
-  select s, d, edge_ord, row_number() over (partition by s order by n desc, (s * 31 + d * 17) % 1009, d) as k from (
-    select a.l_partkey as s, b.l_partkey as d, count(*) as n, min(a.l_orderkey) as edge_ord from lineitem a join lineitem b
-    on a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber and a.l_partkey <> b.l_partkey group by a.l_partkey, b.l_partkey) pairs) e
-join nodes src on src.node_ord = e.s join nodes dst on dst.node_ord = e.d where e.k <= 2
+  select a.l_partkey as s, b.l_partkey as d, min(a.l_orderkey) as edge_ord from lineitem a join lineitem b
+  on a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber and a.l_partkey <> b.l_partkey group by a.l_partkey, b.l_partkey) e
+join nodes src on src.node_ord = e.s join nodes dst on dst.node_ord = e.d
 """
 
 _ESC = "\x1b"

@@ -72,24 +72,48 @@ _SHOWN = r"""
 , step as (select a.node_id, a.shown, m.is_test, not contains('/' || lower(m.file), '/venv/') as keep from attr a join nodes m on m.node_id = a.shown)"""
 
 
+#: Partial paths that the SQL keeps of a test at each hop, best bound and then least ids first. Far more than the five that are asked for.
+_KEPT = 100
+
+
 def _walk(down: bool) -> str:
+    """The best paths by the same bound, hop by hop: all paths of a graph in which every node has some sixty neighbours can't be listed."""
     a, b = ("src", "dst") if down else ("dst", "src")
-    add = "list_append(w.shown, s.shown)" if down else "list_prepend(s.shown, w.shown)"
+    bounds = "".join(
+        f", b{h} as materialized (select g.node_id, greatest(0, coalesce(max(t.gain + p.b), 0)) as b from gains g left join edges e on e.{a} = g.node_id left join gains t on t.node_id = e.{b} left join b{h - 1} p on p.node_id = e.{b} group by 1)\n"
+        for h in range(1, 6)
+    )
+    hops = "".join(
+        f""", l{j} as materialized (select w.test_id, list_append(w.path, e.{b}) as path, case when g.keep then list_append(w.shown, g.shown) else w.shown end as shown, w.score + g.gain as score
+  from l{j - 1} w join edges e on e.{a} = w.path[-1] join gains g on g.node_id = e.{b} join b{6 - j} p on p.node_id = e.{b} where not list_contains(w.path, e.{b})
+  qualify row_number() over (partition by w.test_id order by w.score + g.gain + p.b desc, case when g.keep then list_append(w.shown, g.shown) else w.shown end, list_append(w.path, e.{b})) <= {_KEPT})
+"""
+        for j in range(1, 7)
+    )
     return f"""
-, walk as (
-  select f.test_id, [f.test_id] as path, case when s.keep then [s.shown] else []::varchar[] end as shown, case when s.keep and not s.is_test then 1 else 0 end as non_test, 0 as hop
-  from failed f join step s on s.node_id = f.test_id
-  union all
-  select w.test_id, list_append(w.path, e.{b}), case when s.keep then {add} else w.shown end, w.non_test + case when s.keep and not s.is_test then 1 else 0 end, w.hop + 1
-  from walk w join edges e on e.{a} = w.path[-1] join step s on s.node_id = e.{b} where w.hop < 6 and not list_contains(w.path, e.{b})
-), uniq as (select distinct test_id, array_to_string(shown, '>') as steps, shown, non_test, len(shown) as len from walk where hop > 0 and len(shown) >= {2 if down else 1})
-, ranked as (select *, row_number() over (partition by test_id order by non_test desc, len desc, shown) as path_rank from uniq)
-, best as (select * from ranked where path_rank <= 5)"""
+, gains as materialized (select *, case when not keep then 0 when is_test then 1 else 1001 end as gain from step)
+, b0 as (select node_id, 0 as b from gains){bounds}, l0 as (select f.test_id, [f.test_id] as path, case when g.keep then [g.shown] else []::varchar[] end as shown, g.gain as score from failed f join gains g on g.node_id = f.test_id)
+{hops}, uniq as (select distinct test_id, shown, score from ({" union all ".join(f"select * from l{j}" for j in range(1, 7))}) where len(shown) >= {2 if down else 1})
+, top5 as (select *, row_number() over (partition by test_id order by score desc, shown) as path_rank from uniq qualify path_rank <= 5)
+, best as (select test_id, path_rank, {"shown" if down else "list_reverse(shown) as shown"}, array_to_string({"shown" if down else "list_reverse(shown)"}, '>') as steps, score // 1000 as non_test, len(shown) as len from top5)"""
+
 
+def _reach(depth: int) -> str:
+    """``near``: the hops from each failed test to each node it reaches, in the better of both directions."""
+    out = ", r0 as materialized (select test_id as seed, test_id as node_id from failed)"
+    for way, a, b in (("f", "src", "dst"), ("g", "dst", "src")):
+        out += f", {way}0 as (select * from r0)"
+        for d in range(1, depth + 1):
+            seen = " union all ".join(f"select seed, node_id from {way}{k}" for k in range(d))
+            out += f"\n, {way}{d} as materialized (select distinct w.seed, e.{b} as node_id from {way}{d - 1} w join edges e on e.{a} = w.node_id anti join ({seen}) s on s.seed = w.seed and s.node_id = e.{b})"
+    every = " union all ".join(f"select seed, node_id, {d} as dist from {way}{d}" for way in "fg" for d in range(depth + 1))
+    return f"{out}\n, near as (select seed, node_id, min(dist) as dist from ({every}) group by 1, 2)"
 
-def _status(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    t = tables(spark, sf_dir, "results", "edges")
-    return t, written(G.node_status(t["results"], t["nodes"], "python"), "status")
+
+def _status(spark: SparkSession, sf_dir: str, *names: str, locations: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables named, and the status of nodes; locations of errors are worked out only where they are asked for."""
+    t = tables(spark, sf_dir, "results", *names)
+    return t, G.node_status(t["results"], t["nodes"], "python", locations)
 
 
 def _failed(t: dict[str, DataFrame], status: DataFrame) -> DataFrame:
@@ -97,6 +121,10 @@ def _failed(t: dict[str, DataFrame], status: DataFrame) -> DataFrame:
     return status.where("status = 'failed'").join(tests, ["project", "node_id"], "left_semi").select("project", "run_id", F.col("node_id").alias("test_id"))
 
 
+def _failed_tests(t: dict[str, DataFrame], status: DataFrame) -> DataFrame:
+    return written(_failed(t, status).select("project", "test_id").distinct(), "failed")
+
+
 # --- text -----------------------------------------------------------------------------------------
 
 
@@ -171,8 +199,8 @@ def upsert_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paths(spark: SparkSession, sf_dir: str, direction: str) -> DataFrame:
-    t, status = _status(spark, sf_dir)
-    return P.critical_paths(t["nodes"], t["edges"], _failed(t, status), direction).select("project", "test_id", "path_rank", F.array_join("steps", ">").alias("steps"), "non_test", "len")
+    t, status = _status(spark, sf_dir, "edges")
+    return P.critical_paths(t["nodes"], t["edges"], _failed_tests(t, status), direction).select("project", "test_id", "path_rank", F.array_join("steps", ">").alias("steps"), "non_test", "len")
 
 
 _BEST = " select 'p' as project, test_id, path_rank::int as path_rank, steps, non_test::int as non_test, len::int as len from best"
@@ -204,8 +232,8 @@ select 'p' as project, r.test_id, key, freq, rank::int as rank from r join u usi
 
 
 def _hotspots(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    t, status = _status(spark, sf_dir)
-    down = P.critical_paths(t["nodes"], t["edges"], _failed(t, status), "downstream")
+    t, status = _status(spark, sf_dir, "edges")
+    down = P.critical_paths(t["nodes"], t["edges"], _failed_tests(t, status), "downstream")
     return H.hotspots(down, t["nodes"], P.graph_size(t["nodes"], t["edges"])).where(F.col("kind") == kind).drop("kind")
 
 
@@ -225,12 +253,10 @@ def base_k_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.graph_size(t["nodes"], t["edges"]).withColumns({"base_k": H.base_k(F.col("nodes")), "alpha": H.alpha(F.col("nodes"), F.col("edges"))})
 
 
-@query(_FAILED + """, fwd as (select test_id as seed, test_id as node_id, 0 as dist from failed union select f.seed, e.dst, f.dist + 1 from fwd f join edges e on e.src = f.node_id where f.dist < 8)
-, bwd as (select test_id as seed, test_id as node_id, 0 as dist from failed union select f.seed, e.src, f.dist + 1 from bwd f join edges e on e.dst = f.node_id where f.dist < 8)
-select 'p' as project, seed, node_id, min(dist)::int as dist from (select * from fwd union all select * from bwd) group by 1, 2, 3""")
+@query(_FAILED + _reach(8) + " select 'p' as project, seed, node_id, dist::int as dist from near")
 def graph_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, status = _status(spark, sf_dir)
-    return P.graph_distance(t["edges"], _failed(t, status).select("project", F.col("test_id").alias("seed")).distinct(), depth=8)
+    t, status = _status(spark, sf_dir, "edges")
+    return P.graph_distance(t["edges"], _failed_tests(t, status).withColumnRenamed("test_id", "seed"), depth=8)
 
 
 # --- locations, calls, reports ----------------------------------------------------------------------
@@ -258,19 +284,22 @@ def error_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("ord", F.array_join(place["heuristic"], "|").alias("heuristic"), F.array_join(place["raw_paths"], "|").alias("raw_paths"))
 
 
-@query(_FAILED + """, fwd as (select test_id as seed, test_id as node_id, 0 as dist from failed union select f.seed, e.dst, f.dist + 1 from fwd f join edges e on e.src = f.node_id where f.dist < 6)
-, bwd as (select test_id as seed, test_id as node_id, 0 as dist from failed union select f.seed, e.src, f.dist + 1 from bwd f join edges e on e.dst = f.node_id where f.dist < 6)
-, near as (select seed, node_id, min(dist) as dist from (select * from fwd union all select * from bwd) group by 1, 2)
-, cands as (select test_id, unnest([0, 1, 2]) as idx, unnest(['src>promo>red_widget.py>12', 'src>' || string_split(string_split(test_id, '::')[1], '/')[2] || '>' || string_split(string_split(test_id, '::')[1], '/')[3] || '>7', 'small>nowhere.py>3']) as candidate from failed)
+@query(_FAILED + _reach(6) + """
+, cands as (select test_id, unnest([0, 1, 2, 3, 4]) as idx, unnest(['src>promo>red_widget.py>12', 'src>' || string_split(string_split(test_id, '::')[1], '/')[2] || '>' || string_split(string_split(test_id, '::')[1], '/')[3] || '>7', 'small>nowhere.py>3', 'rush>' || regexp_replace(string_split(test_id, '::')[2], '#', '') || '>5', string_split(string_split(test_id, '::')[1], '/')[2] || '>' || substr(string_split(string_split(test_id, '::')[1], '/')[3], 1, 7)]) as candidate from failed)
 , best as (select c.test_id, c.idx, min(n.dist) as dist from cands c join near n on n.seed = c.test_id and contains(n.node_id, replace(regexp_replace(c.candidate, '>\\d+$', ''), '>', '/')) group by 1, 2)
 select 'p' as project, c.test_id, c.idx::int as idx, c.candidate, b.dist::int as dist, row_number() over (partition by c.test_id order by b.dist nulls last, c.idx)::int as rank from cands c left join best b using (test_id, idx)""")
 def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, status = _status(spark, sf_dir)
-    failed = _failed(t, status).select("project", "test_id").distinct()
+    """Three candidates with a file ending, and two without: one that no node has, and the beginning of a path."""
+    t, status = _status(spark, sf_dir, "edges")
+    failed = _failed_tests(t, status)
     file = T.candidate_file(T.chain_plain(F.substring_index("test_id", "::", 1)))
-    cands = failed.select("project", "test_id", F.posexplode(F.array(F.lit("src>promo>red_widget.py>12"), F.concat(file, F.lit(">7")), F.lit("small>nowhere.py>3"))).alias("idx", "candidate"))
-    near = P.graph_distance(t["edges"], failed.withColumnRenamed("test_id", "seed"), depth=6)
-    return L.rank_candidates(cands, near)
+    part = lambda n: F.try_element_at(F.split(F.substring_index("test_id", "::", 1), "/"), F.lit(n))
+    brand = F.try_element_at(F.split("test_id", "::"), F.lit(2))
+    named = F.array(F.lit("src>promo>red_widget.py>12"), F.concat(file, F.lit(">7")), F.lit("small>nowhere.py>3"), F.concat(F.lit("rush>"), F.replace(brand, F.lit("#"), F.lit("")), F.lit(">5")), F.concat(part(2), F.lit(">"), F.substring(part(3), 1, 7)))
+    cands = written(failed.select("project", "test_id", F.posexplode(named).alias("idx", "candidate")), "candidates")
+    held = written(L.candidate_nodes(cands, t["nodes"]), "held")
+    near = P.graph_distance(t["edges"], failed.withColumnRenamed("test_id", "seed"), depth=6, targets=held)
+    return L.rank_candidates(cands, near, held)
 
 
 _DECLS = ", decls as (select 'p' as project, concat('d', p_partkey) as node_id, split_part(p_name, ' ', 2) as name, split_part(p_name, ' ', 1) as type_name, p_brand as ns, (p_size % 4)::int as parameters from part where p_type <> 'PROMO')"
@@ -366,6 +395,7 @@ def locus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 from status s join nodes n on n.node_id = s.node_id and n.is_test group by s.run_id""")
 def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, status = _status(spark, sf_dir)
+    status = written(status, "status")
     return R.prompt_summary(S.run_summary(status, t["nodes"]), S.failed_detail(status, t["nodes"]))
 
 
@@ -507,7 +537,8 @@ def tests_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 select 'p' as project, r.run_id, e.test_id, e.path_rank::int as path_rank, string_agg(e.node || '|' || n.type || '|' || n.start_line || '|' || coalesce(s.status, 'not_executed') || '|' || case when n.type = 'external' then e.node else '' end, '>' order by pos) as steps
 from each e join fr r using (test_id) join nodes n on n.node_id = e.node left join status s on s.run_id = r.run_id and s.node_id = e.node group by all""")
 def enriched_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, status = _status(spark, sf_dir)
+    t, status = _status(spark, sf_dir, "edges")
+    status = written(status, "status")
     failed = _failed(t, status)
     got = P.enriched_steps(P.critical_paths(t["nodes"], t["edges"], failed, "downstream"), t["nodes"], status, failed, t["edges"])
     step = lambda s: F.concat_ws("|", s["node"], s["type"], s["line"].cast("string"), s["status"], F.coalesce(s["external_key"], F.lit("")))
@@ -542,7 +573,7 @@ select 'p' as project, s.run_id, s.total, s.failed, coalesce(sum(n), 0)::bigint
 def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run's document, and what it says."""
     t, items = _items(spark, sf_dir, "results")
-    status = written(G.node_status(t["results"], t["nodes"], "python"), "status")
+    status = G.node_status(t["results"], t["nodes"], "python", locations=False)
     docs = R.report(S.run_summary(status, t["nodes"]), R.insights(items), R.risk_scores(items), R.failures_table(items, _module_functions(spark)), S.failure_types(items))
     got = docs.select("project", "run_id", F.from_json("document", "metrics struct<total:long,failed:long>, insights array<struct<title:string>>, risks array<struct<r:int>>, failures array<struct<title:string>>, types array<struct<type:string,count:long>>").alias("d"))
     alike = (F.size("d.insights") == F.size("d.risks")) & (F.size("d.risks") == F.size("d.failures"))

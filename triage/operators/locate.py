@@ -2,31 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triage.functions import text as T
 
 
-def rank_candidates(candidates: DataFrame, distances: DataFrame, strict: bool = False) -> DataFrame:
+GRAM = 3
+
+
+def _grams(c: Column) -> Column:
+    """The runs of ``GRAM`` characters of a text; all of a shorter one."""
+    n = F.greatest(F.length(c) - (GRAM - 1), F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(c, i, F.lit(GRAM))))
+
+
+def candidate_file_path(candidate: Column, strict: bool = False) -> Column:
+    file = T.candidate_file(candidate)
+    return file if strict else F.replace(file, F.lit(">"), F.lit("/"))
+
+
+def candidate_nodes(candidates: DataFrame, nodes: DataFrame, strict: bool = False) -> DataFrame:
+    """``project, file, node_id``: for each distinct candidate's file the nodes whose id holds it.
+
+    A file with an ending meets the nodes with the same last path segment. Any other text is looked up in an index of
+    the ids by runs of ``GRAM`` characters: it meets the nodes of its rarest run, and the whole text is then compared. A text without a node for one of its
+    runs is in none. Shorter texts meet the runs that hold them. Each distinct file is looked up once, however many tests name it.
+    """
+    files = candidates.select("project", candidate_file_path(F.col("candidate"), strict).alias("file")).where("file <> ''").distinct().withColumn("_base", F.substring_index("file", "/", -1))
+    files = files.withColumn("_exact", F.col("_base").rlike(r"\.(py|java|cs|vb)$"))
+    own = nodes.select("project", "node_id").distinct()
+    node_file = F.replace(T.file_from_func_id(F.col("node_id")), F.lit("\\"), F.lit("/"))
+    named = files.where("_exact").join(own.withColumn("_base", F.substring_index(node_file, "/", -1)), ["project", "_base"])
+    postings = own.select("project", "node_id", F.explode(_grams(F.col("node_id"))).alias("gram"))
+    keys = files.where("not _exact").select("project", "file", F.explode(_grams(F.col("file"))).alias("gram"))
+    long = keys.where(F.length("gram") == GRAM)
+    counts = postings.join(long.select("project", "gram").distinct(), ["project", "gram"], "left_semi").groupBy("project", "gram").agg(F.count("*").alias("n"))
+    rarest = long.join(counts, ["project", "gram"], "left").groupBy("project", "file").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0).cast("long")), "gram")).alias("gram"))
+    looked_up = rarest.join(postings, ["project", "gram"])
+    short = keys.where(F.length("gram") < GRAM).select("project", "file", F.length("file").alias("k"))
+    # a short text is a part of some runs: the distinct runs of all ids are few beside the ids
+    ends = postings.select("project", "node_id", F.explode(F.array(*[F.substring("gram", i, F.lit(k)) for i, k in ((1, 1), (2, 1), (3, 1), (1, 2), (2, 2))])).alias("file")).distinct()
+    brief = short.select("project", "file").distinct().join(ends, ["project", "file"])
+    out = [x.select("project", "file", "node_id") for x in (named, looked_up, brief)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).where(F.contains("node_id", "file")).distinct()
+
+
+def rank_candidates(candidates: DataFrame, distances: DataFrame, held: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Adds ``dist`` and ``rank``: by the least hop distance of a node whose id holds the candidate's file, then by position.
 
     ``candidates``: project, test_id, idx, candidate. ``distances``: project, seed, node_id, dist, of the tests
-    alone: candidates meet only nodes that their test reaches, and only those with the same last path
-    segment where it has an ending. ``strict`` compares chains with ``>`` as they are, which match no
-    path of more than one segment; else ``>`` stands for ``/``.
+    alone. ``held``: ``candidate_nodes``, whose nodes are all that ``distances`` has to have; None: of the nodes in ``distances``. ``strict`` compares chains
+    with ``>`` as they are, which match no path of more than one segment; else ``>`` stands for ``/``.
     """
-    file = T.candidate_file(F.col("candidate"))
-    key = candidates.withColumn("_file", file if strict else F.replace(file, F.lit(">"), F.lit("/"))).withColumn("_base", F.substring_index("_file", "/", -1))
-    key = key.withColumn("_exact", F.col("_base").rlike(r"\.(py|java|cs|vb)$"))
-    node_file = F.replace(T.file_from_func_id(F.col("node_id")), F.lit("\\"), F.lit("/"))
-    near = distances.select(F.col("project").alias("_p"), F.col("seed").alias("_s"), F.col("node_id").alias("_n"), "dist", F.substring_index(node_file, "/", -1).alias("_b"))
-    on = (F.col("project") == F.col("_p")) & (F.col("test_id") == F.col("_s"))
-    holds = (F.col("_file") != "") & F.col("_n").contains(F.col("_file"))
-    named = key.where("_exact").join(near, on & (F.col("_base") == F.col("_b")) & holds)
-    other = key.where("not _exact").join(near, on & holds)
+    held = candidate_nodes(candidates, distances, strict) if held is None else held
+    key = candidates.withColumn("file", candidate_file_path(F.col("candidate"), strict))
+    near = distances.select("project", F.col("seed").alias("test_id"), "node_id", "dist")
     keys = ["project", "test_id", "idx", "candidate"]
-    best = named.unionByName(other).groupBy(*keys).agg(F.min("dist").alias("dist"))
-    out = candidates.join(best, keys, "left")
+    best = near.join(held, ["project", "node_id"]).groupBy("project", "test_id", "file").agg(F.min("dist").alias("dist"))
+    out = key.join(best, ["project", "test_id", "file"], "left").select(*keys, *[c for c in candidates.columns if c not in keys], "dist")
     order = Window.partitionBy("project", "test_id").orderBy(F.coalesce(F.col("dist").cast("double"), F.lit(float("inf"))), "idx")
     return out.withColumn("rank", F.row_number().over(order))

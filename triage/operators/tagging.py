@@ -50,13 +50,19 @@ def last_status(matched: DataFrame) -> DataFrame:
     return out.withColumn("error_message", T.strip_ansi(F.col("error_message")))
 
 
-def node_status(results: DataFrame, nodes: DataFrame, lang: str) -> DataFrame:
-    """Every test node in every run, and every other node with a record: status ``not_executed`` without one; where the error points to."""
+def node_status(results: DataFrame, nodes: DataFrame, lang: str, locations: bool = True) -> DataFrame:
+    """Every test node in every run, and every other node with a record: status ``not_executed`` without one; where the error points to, if ``locations``.
+
+    A message that many nodes have is searched for locations once.
+    """
     got = last_status(match_results(results, nodes, lang))
     runs = results.select("project", "run_id").distinct()
     tests = nodes.where("is_test").select("project", "node_id").join(runs, "project")
     out = tests.join(got, ["project", "run_id", "node_id"], "full_outer").withColumn("status", F.coalesce("status", F.lit("not_executed")))
-    out = out.withColumn("_place", F.when(F.col("error_message").isNotNull(), T.locate(F.col("error_message"))))
+    if not locations:
+        return out
+    said = out.where("error_message is not null").select(F.col("error_message").alias("_said")).distinct().withColumn("_place", T.locate(F.col("_said")))
+    out = out.join(said, F.col("error_message") == F.col("_said"), "left").drop("_said")
     return out.withColumns({"heuristic_locations": F.col("_place.heuristic"), "raw_locations": F.col("_place.raw_paths")}).drop("_place")
 
 
