@@ -19,7 +19,9 @@ from triage.operators import report as R
 from triage.operators import summary as S
 from triage.operators import tagging as G
 from triage.sources import results as I
+from triage.sources.result_source import opened
 from triage.sources.shared import shared_dir, written
+from triage.streaming import status as St
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -476,6 +478,111 @@ def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.load_results(spark, top)[0].select("project", "run_id", "dialect", "name", "status", "message")
 
 
+#: Records of a run are dealt to files by their number, so many of them at most in each.
+_RUN_PART = 5000
+#: Every so many records one is broken; of files of no known kind every fourth as a whole.
+_BROKEN, _BROKEN_FILE = 97, 4
+
+
+def _put(files: DataFrame, top: str) -> None:
+    """Writes ``path, content`` as files below ``top``; a task that runs again writes the same ones."""
+
+    def write(rows) -> None:
+        store, inner, _ = opened(top)
+        for r in rows:
+            path = f"{inner}/{r['path']}"
+            store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(path) as out:
+                out.write(r["content"].encode())
+
+    files.select("path", "content").foreachPartition(write)
+
+
+def _escaped(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+
+
+def _written_records(r: DataFrame) -> DataFrame:
+    """``record`` (and for TRX ``defined``) of each row, spelt in the dialect ``kind``; every so many one that can't be read."""
+    name, said, broken = _escaped(F.col("name")), F.when(F.col("status") == "failed", F.regexp_extract("message", "AssertionError: [0-9.]*", 0)).otherwise(""), F.col("ord") % _BROKEN == 0
+    word = lambda *w: F.when(F.col("status") == "failed", w[0]).when(F.col("status") == "skipped", w[1]).otherwise(w[2])
+    failure = F.when(F.col("status") == "failed", F.concat(F.lit("<failure><message>"), said, F.lit("</message></failure>"))).otherwise("")
+    lit = F.lit
+    spelt = {
+        "junit": (F.concat(lit('<testcase name="'), name, lit('">'), F.when(F.col("status") == "failed", F.concat(lit('<failure message="'), said, lit('"/>'))).when(F.col("status") == "skipped", "<skipped/>").otherwise(""), lit("</testcase>")), '<testcase name="a & b"/>'),
+        "nunit": (F.concat(lit('<test-case fullname="'), name, lit('" result="'), word("Failed", "Skipped", "Passed"), lit('">'), failure, lit("</test-case>")), '<test-case fullname="a & b" result="Passed"/>'),
+        "xunit": (F.concat(lit('<test name="'), name, lit('" type="A" method="m" result="'), word("Fail", "Skip", "Pass"), lit('">'), failure, lit("</test>")), '<test name="x" type="A" result="Pass"><failure></test>'),
+        "trx": (F.concat(lit('<t:UnitTestResult testId="'), F.col("ord").cast("string"), lit('" testName="other" outcome="'), word("Failed", "NotExecuted", "Passed"), lit('"><t:Output><t:ErrorInfo><t:Message>'), said, lit("</t:Message></t:ErrorInfo></t:Output></t:UnitTestResult>")), '<t:UnitTestResult testId="1" outcome="a & b"/>'),
+        "pytest": (F.to_json(F.struct(F.col("name").alias("nodeid"), F.col("status").alias("outcome"), said.alias("longrepr"))), "17"),
+        "json": (F.to_json(F.struct("name", "status", said.alias("message"))), '"text"'),
+        "universal": (F.concat(lit('<thing name="'), name, lit('" status="'), F.col("status"), lit('"><message>'), said, lit("</message></thing>")), None),
+    }
+    record = F.lit(None).cast("string")
+    for kind, (good, bad) in spelt.items():
+        record = F.when(F.col("kind") == kind, F.when(broken, bad).otherwise(good) if bad else good).otherwise(record)
+    defined = F.concat(lit('<t:UnitTest id="'), F.col("ord").cast("string"), lit('"><t:TestMethod className="NS" name="'), name, lit('"/></t:UnitTest>'))
+    return r.withColumns({"record": record, "defined": F.when(F.col("kind") == "trx", defined).otherwise("")})
+
+
+#: What stands before and after the records of a file, by dialect, what joins them, and the file's ending.
+_FRAMES = {
+    "junit": ("<testsuites><testsuite>", "</testsuite></testsuites>", "", "xml"), "nunit": ("<test-run><test-suite>", "</test-suite></test-run>", "", "xml"), "xunit": ("<assemblies><assembly><collection>", "</collection></assembly></assemblies>", "", "xml"),
+    "trx": ("</t:TestDefinitions><t:Results>", "</t:Results></t:TestRun>", "", "trx"), "pytest": ('{"tests": [', "]}", ", ", "json"), "json": ("[", "]", ", ", "json"), "universal": ("<r>", "</r>", "", "xml"),
+}
+
+
+def _spelt_files(r: DataFrame) -> DataFrame:
+    """``path, content`` of files of a run and dialect; ``r``: records with their ``kind``."""
+    rows = _written_records(r.withColumn("part", F.floor(F.col("ord") / _RUN_PART)))
+    each = rows.groupBy("project", "run_id", "kind", "part").agg(F.array_sort(F.collect_list(F.struct("ord", "record", "defined"))).alias("rows"))
+    frame = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in _FRAMES.items() for x in (k, v[i])]), F.col("kind"))
+    texts = lambda c, by: F.array_join(F.transform("rows", lambda x: x[c]), by)
+    before = F.when(F.col("kind") == "trx", F.concat(F.lit('<t:TestRun xmlns:t="urn:t"><t:TestDefinitions>'), texts("defined", ""))).otherwise("")
+    inner = F.when(frame(2) == "", texts("record", "")).otherwise(texts("record", ", "))
+    after = F.when((F.col("kind") == "universal") & (F.col("part") % _BROKEN_FILE == 1), "<open></r>").otherwise(frame(1))
+    path = F.concat_ws("/", "project", "run_id", F.concat(F.col("kind"), F.lit("-"), F.lpad(F.col("part").cast("string"), 6, "0"), F.lit("."), frame(3)))
+    return each.select("kind", path.alias("path"), F.concat(before, frame(0), inner, after).alias("content"))
+
+
+_KINDS = ("junit", "nunit", "xunit", "trx", "pytest", "json", "universal")
+_KIND_SQL = "case ord % 7 " + " ".join(f"when {i} then '{k}'" for i, k in enumerate(_KINDS)) + " end"
+
+
+@query(f""", k as (select *, {_KIND_SQL} as kind, ord // {_RUN_PART} as part, case when status = 'failed' then regexp_extract(message, 'AssertionError: [0-9.]*') else '' end as said from results)
+, lost as (select *, kind = 'universal' and part % {_BROKEN_FILE} = 1 as whole, kind <> 'universal' and ord % {_BROKEN} = 0 as one from k)
+select project, run_id, kind as dialect, case kind when 'trx' then 'NS.' || name else name end as name, status, said as message from lost where not whole and not one
+union all select project, run_id, 'reject', '', '', '' from lost where one
+union all select distinct on (run_id, part) project, run_id, 'reject', '', '', '' from lost where whole""")
+def dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records spelt as files of all seven dialects, broken ones among them, and read by one call (generic JSON, which is pytest's in a mixed folder, by its own reader)."""
+    r = tables(spark, sf_dir, "results")["results"].withColumn("kind", F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("ord") % 7 + 1).cast("int")))
+    top = f"{shared_dir(spark)}/triage/dialects-{uuid.uuid4().hex}"
+    files = _spelt_files(r)
+    _put(files.withColumn("path", F.concat(F.when(F.col("kind") == "json", "generic/").otherwise("mixed/"), "path")), top)
+    results, rejects = I.load_results(spark, f"{top}/mixed")
+    generic = written(I.result_rows(spark, f"{top}/generic", "json"), "generic")
+    lost = lambda df, at: df.select(I.folder(I.relative(F.col("file"), at), 1).alias("project"), I.folder(I.relative(F.col("file"), at), 2).alias("run_id"), F.lit("reject").alias("dialect"), *[F.lit("").alias(c) for c in ("name", "status", "message")])
+    own = ["project", "run_id", "dialect", "name", "status", "message"]
+    good = results.select(*own).unionByName(I.located_records(generic, f"{top}/generic").select(*own))
+    return good.unionByName(lost(rejects, f"{top}/mixed")).unionByName(lost(generic.where("reason is not null"), f"{top}/generic"))
+
+
+@query(_MATCH + f""", told as (select node_id, status, case when status = 'failed' then regexp_extract(message, 'AssertionError: [0-9.]*') else '' end as said, run_id || lpad(ord::varchar, 12, '0') as place
+  from matched where node_id is not null and ord % {_BROKEN} <> 0)
+select 'p' as project, node_id, arg_max(status, place) as status, arg_max(said, place) filter (where said <> '') as error_message from told group by node_id""")
+def streamed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after a stream of JUnit files in several batches: first those of every other day, then, from where the stream had ended, the days between, which are late."""
+    t = tables(spark, sf_dir, "results")
+    top = f"{shared_dir(spark)}/triage/stream-{uuid.uuid4().hex}"
+    files = written(_spelt_files(t["results"].withColumn("kind", F.lit("junit"))), "files")
+    odd = F.substring_index(F.substring_index("path", "/", 2), "-", -1).cast("int") % 2
+    per_batch = max(1, files.count() // 4)
+    for part in (0, 1):
+        _put(files.where(odd == part), f"{top}/in")
+        St.stream_result_files(spark, f"{top}/in", t["nodes"], "python", f"{top}/state", f"{top}/checkpoint", per_batch, time=F.to_timestamp("run_id")).awaitTermination()
+    return St.current(spark, f"{top}/state").select("project", "node_id", "status", "error_message")
+
+
 @query(""", recs as (select run_id as file, case ord % 4 when 0 then 'junit' when 1 then 'xunit' when 2 then 'pytest' else 'universal' end as dialect, case when ord % 5 = 0 then '' else name end as name from results)
 , c as (select file, dialect, count(*) filter (where name <> '') as n, case dialect when 'xunit' then 5 when 'pytest' then 10 when 'universal' then 99 else 100 end as p from recs group by 1, 2)
 select file, dialect from (select *, row_number() over (partition by file order by n desc, p) as k from c) where k = 1""")

@@ -1,27 +1,27 @@
 """Test-result files as one table: project, run_id, file, dialect, ord, name, status, message.
 
-Each dialect is a native read of the elements it knows; the dialect of a file is the one that finds most
-named records in it. A file is read whole by one task, so the order of its records is the order of rows.
-Files that can't be read are rows of ``rejects``.
+A file is opened once, by the data source ``test_results`` of ``result_source`` or, in stores that only Spark reaches, by Spark as bytes; its
+dialect is the one that finds most named records in it, told while it is read. Records and files that can't be read are rows of ``rejects``.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import xml.etree.ElementTree as ElementTree
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triage.functions import text as T
+from triage.sources import result_source
+from triage.sources.records import PRIORITY, file_records
 from triage.sources.shared import written
 
-# Of two dialects that find as many records, the one with the lower number is chosen.
-PRIORITY = {"xunit": 5, "pytest": 10, "nunit": 12, "trx": 15, "json": 90, "universal": 99, "junit": 100}
 # The order in which files of a folder are taken.
 EXT_RANK = {".xml": 1, ".trx": 2, ".json": 3}
 
@@ -52,17 +52,34 @@ def list_result_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.select(file.alias("file"), ext_rank(file).alias("ext_rank"), F.col("modificationTime").alias("modified"))
 
 
-def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    reader = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{xml,trx}").option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE")
-    return reader.schema(schema + ", _bad string").load(path).withColumns({"file": F.col("_metadata.file_path"), "ord": F.monotonically_increasing_id()})
+def _parsed(batches: Iterator[pa.RecordBatch], only: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of the data source from whole files (``path, modificationTime, content``)."""
+    for batch in batches:
+        for path, modified, content in zip(*(batch.column(c) for c in ("path", "modificationTime", "content"))):
+            uri = path.as_py()
+            yield from result_source.batches(result_source.as_rows(uri, modified.cast(pa.timestamp("us", "UTC")).value, *file_records(uri, content.as_py(), only)))
 
 
-def _first(*cs: Column) -> Column:
-    return F.coalesce(*[T.blank_to_null(T.clean_text(c)) for c in cs], F.lit(""))
+def parsed_files(files: DataFrame, dialect: str | None = None) -> DataFrame:
+    """Rows as of the data source from the bytes of files, read by Spark as ``binaryFile``, in a batch or a stream."""
+    return files.select("path", "modificationTime", "content").mapInArrow(lambda batches: _parsed(batches, dialect), result_source.SCHEMA)
 
 
-def _records(df: DataFrame, dialect: str, name: Column, status: Column, message: Column) -> DataFrame:
-    return df.where("_bad is null").select("file", F.lit(dialect).alias("dialect"), "ord", *T.normalize_record(name, status, message))
+def result_rows(spark: SparkSession, path: str | list[str], dialect: str | None = None, **options: object) -> DataFrame:
+    """``file, modified, dialect, ord, name, status, message, reason`` of all result files under the paths, each opened once; ``dialect``: in this one, whatever else a file holds."""
+    paths = [path] if isinstance(path, str) else list(path)
+    if not all(result_source.reachable(p) for p in paths):
+        return parsed_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{xml,trx,json}").load(paths), dialect)
+    spark.dataSource.register(result_source.ResultFiles)
+    reader = spark.read.format("test_results").option("files", json.dumps(paths))
+    for k, v in (options | ({"dialect": dialect} if dialect else {})).items():
+        reader = reader.option(k, v)
+    return reader.load()
+
+
+def _of(spark: SparkSession, path: str | list[str], dialect: str) -> DataFrame:
+    rows = result_rows(spark, path, dialect).where("reason is null")
+    return rows.select("file", "dialect", "ord", *T.normalize_record(F.col("name"), F.col("status"), F.col("message")))
 
 
 _BODY = "struct<_message:string,_VALUE:string,message:array<string>>"
@@ -82,39 +99,33 @@ def junit_fields() -> list[Column]:
 
 def read_junit(spark: SparkSession, path: str) -> DataFrame:
     """``testcase`` at any depth. A failure or error decides before a skip; empty names stay."""
-    return _xml(spark, path, "testcase", JUNIT).where("_bad is null").select("file", F.lit("junit").alias("dialect"), "ord", *junit_fields())
-
-
-def _outcome(c: Column) -> Column:
-    r = F.lower(F.coalesce(c, F.lit("")))
-    return F.when(r.startswith("fail"), "failed").when(r.startswith("skip") | (r == "inconclusive"), "skipped").otherwise("passed")
+    return _of(spark, path, "junit")
 
 
 def read_nunit3(spark: SparkSession, path: str) -> DataFrame:
-    df = _xml(spark, path, "test-case", "_fullname string, _name string, _classname string, _methodname string, _result string, failure struct<_message:string,_VALUE:string,message:string>")
-    name = F.coalesce(T.blank_to_null(F.col("_fullname")), F.regexp_replace(F.concat_ws(".", "_classname", "_name"), r"^\.+|\.+$", ""))
-    return _records(df, "nunit", name, _outcome(F.col("_result")), _first(F.col("failure.message"), F.col("failure._message"), F.col("failure._VALUE")))
+    return _of(spark, path, "nunit")
 
 
 def read_xunit(spark: SparkSession, path: str) -> DataFrame:
-    df = _xml(spark, path, "test", "_name string, _type string, _method string, _result string, failure struct<_message:string,_VALUE:string,message:string>")
-    name = _first(F.col("_name"), F.regexp_replace(F.concat_ws(".", "_type", "_method"), r"^\.+|\.+$", ""))
-    return _records(df.where(F.col("_result").isNotNull() | F.col("_type").isNotNull()), "xunit", name, _outcome(F.col("_result")), _first(F.col("failure.message"), F.col("failure._message"), F.col("failure._VALUE"))).where("name <> ''")
+    return _of(spark, path, "xunit")
 
 
 def read_trx(spark: SparkSession, path: str) -> DataFrame:
     """Results named by their definitions; the last definition of an id counts. Any outcome but a failure or a skip is a pass."""
-    defs = _xml(spark, path, "UnitTest", "_id string, TestMethod struct<_className:string,_name:string>").where("_bad is null and _id is not null")
-    defs = defs.withColumn("full", F.concat_ws(".", T.blank_to_null(F.col("TestMethod._className")), T.blank_to_null(F.col("TestMethod._name")))).groupBy("file", F.col("_id").alias("_testId")).agg(F.max_by("full", "ord").alias("full"))
-    df = _xml(spark, path, "UnitTestResult", "_testId string, _testName string, _outcome string, Output struct<ErrorInfo:struct<Message:string>>").join(defs, ["file", "_testId"], "left")
-    outcome = F.lower(F.coalesce("_outcome", F.lit("")))
-    status = F.when(outcome == "failed", "failed").when(outcome.isin("notexecuted", "skipped", "inconclusive"), "skipped").otherwise("passed")
-    return _records(df, "trx", _first(F.col("full"), F.col("_testName")), status, F.when(status == "failed", F.col("Output.ErrorInfo.Message")).otherwise(""))
+    return _of(spark, path, "trx")
 
 
-def _json(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+def read_pytest_json(spark: SparkSession, path: str) -> DataFrame:
+    return _of(spark, path, "pytest")
+
+
+def read_generic_json(spark: SparkSession, path: str) -> DataFrame:
+    return _of(spark, path, "json")
+
+
+def read_universal_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Elements that look like tests in files of no known kind, in document order."""
+    return _of(spark, path, "universal")
 
 
 def json_records(df: DataFrame, dialect: str) -> DataFrame:
@@ -129,69 +140,6 @@ def json_records(df: DataFrame, dialect: str) -> DataFrame:
     return out.where("name <> ''") if dialect == "pytest" else out
 
 
-def read_pytest_json(spark: SparkSession, path: str) -> DataFrame:
-    return json_records(_json(spark, path), "pytest")
-
-
-def read_generic_json(spark: SparkSession, path: str) -> DataFrame:
-    return json_records(_json(spark, path), "json")
-
-
-def universal_records(content: str) -> list[tuple[str, str, str]]:
-    """(name, status, message) of an XML file of unknown kind; nothing if it can't be read, or is of a kind that another reader knows."""
-    try:
-        root = ElementTree.fromstring(content)
-    except ElementTree.ParseError:
-        return []
-    elements = list(root.iter())
-    tag = lambda e: e.tag.rsplit("}", 1)[-1].lower()
-    kinds = {tag(e) for e in elements}
-    if kinds & {"testcase", "test-case", "unittestresult"} or kinds >= {"test", "collection"}:
-        return []
-    groups = (
-        [e for e in elements if tag(e).endswith(("testcase", "test-case"))],
-        [e for e in elements if tag(e).endswith("test") and e.get("result") is not None],
-        [e for e in elements if e.get("fullname") or e.get("name")],
-    )
-    out = []
-    for e in next((g for g in groups if g), []):
-        own = {k.rsplit("}", 1)[-1].lower(): v for k, v in e.attrib.items()}
-        children = {tag(c): c for c in reversed(list(e))}
-        said = children.get("failure") if "failure" in children else children.get("error")
-        status = own.get("result") or own.get("status") or own.get("outcome") or ("failed" if said is not None else "skipped" if "skipped" in children else "passed")
-        low = status.lower()
-        status = "failed" if low.startswith("fail") or low == "error" else "skipped" if low.startswith(("skip", "ignore", "notexec", "inconcl")) else "passed" if low in ("success", "ok", "pass", "passed") else low
-        inner = said if said is not None else children.get("message")
-        message = "" if inner is None else inner.get("message") or " ".join("".join(inner.itertext()).split())
-        out.append((own.get("fullname") or own.get("name") or "", status, message))
-    return out
-
-
-def read_universal_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Elements that look like tests in files of no known kind, in document order."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{xml,trx}").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(f, i, *r) for f, v in zip(frame["file"], frame["value"]) for i, r in enumerate(universal_records(v))]
-            yield pd.DataFrame(rows, columns=["file", "ord", "n", "s", "m"])
-
-    found = raw.mapInPandas(scan, "file string, ord long, n string, s string, m string")
-    return found.select("file", F.lit("universal").alias("dialect"), "ord", *T.normalize_record(F.col("n"), F.col("s"), F.col("m")))
-
-
-#: Readers by dialect; callers may add theirs, a function of (spark, path) that returns file, dialect, ord, name, status, message.
-READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "junit": read_junit,
-    "nunit": read_nunit3,
-    "xunit": read_xunit,
-    "trx": read_trx,
-    "pytest": read_pytest_json,
-    "json": read_generic_json,
-    "universal": read_universal_xml,
-}
-
-
 def choose_dialect(records: DataFrame) -> DataFrame:
     """``file, dialect``: the one with most named records; ties go to the lower priority. A file in which none has a name goes to universal, or pytest if it is JSON."""
     named = F.count_if(F.col("name") != "")
@@ -201,33 +149,34 @@ def choose_dialect(records: DataFrame) -> DataFrame:
     return best.select("file", F.when(F.col("n") > 0, F.col("best")).when(F.col("file").endswith(".json"), "pytest").otherwise("universal").alias("dialect"))
 
 
-def load_results(spark: SparkSession, path: str, project: str | None = None, run_id: str | None = None, dialects: tuple[str, ...] = tuple(READERS), files: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(results, rejects): the records of every file in its dialect; files without any.
+def load_results(spark: SparkSession, path: str, project: str | None = None, run_id: str | None = None, dialects: tuple[str, ...] | None = None, files: list[str] | None = None, **options: object) -> tuple[DataFrame, DataFrame]:
+    """(results, rejects): the records of every file in its dialect; ``file, ord, reason`` of records and (``ord`` null) files that can't be read.
 
     Many projects and runs are one read: without ``project`` the first folder below ``path`` names it, and
     without ``run_id`` the next one. ``place`` orders a run's records: by kind of file, path, place in it;
-    ``modified`` is the time of the file. ``files``: of the files under ``path`` these alone.
+    ``modified`` is the time of the file. ``files``: of the files under ``path`` these alone. ``dialects``: files of these alone. ``options``: of the data source.
     """
-    which = path if files is None else files
-    known = list_result_files(spark, which)
-    records = None
-    for d in dialects:
-        got = READERS[d](spark, which)
-        records = got if records is None else records.unionByName(got)
-    records = written(records, "records")  # every file is parsed once for each dialect, not again for each use
-    chosen = choose_dialect(records)
-    results = records.join(chosen, ["file", "dialect"], "left_semi")
-    rejects = known.join(results.select("file").distinct(), "file", "left_anti").select("file")
+    rows = written(result_rows(spark, path if files is None else files, **options), "records")  # each file is read once, whatever is asked of its records
+    return located_records(rows, path, project, run_id, dialects), rows.where("reason is not null").select("file", "ord", "reason")
+
+
+def located_records(rows: DataFrame, path: str, project: str | None = None, run_id: str | None = None, dialects: tuple[str, ...] | None = None) -> DataFrame:
+    """The records among the data source's rows, with their project, run and place; in a batch or a stream."""
+    own = rows.where("reason is null")
+    if dialects is not None:
+        own = own.where(F.col("dialect").isin(*dialects))
     rel = relative(F.col("file"), path)
     of_project = folder(rel, 1) if project is None else F.lit(project)
     of_run = folder(rel, 2 if project is None else 1) if run_id is None else F.lit(run_id)
     place = F.struct(ext_rank(F.col("file")).alias("kind"), F.col("file"), F.col("ord"))
-    timed = results.join(known.select("file", "modified"), "file")
-    return timed.select(of_project.alias("project"), of_run.alias("run_id"), "file", "dialect", "ord", place.alias("place"), "name", "status", "message", "modified"), rejects
+    return own.select(of_project.alias("project"), of_run.alias("run_id"), "file", "dialect", "ord", place.alias("place"), *T.normalize_record(F.col("name"), F.col("status"), F.col("message")), "modified")
 
 
 def first_json_block(content: str | None) -> str | None:
-    """The text if it is JSON, else its first balanced ``{...}`` that is; None if there is none. Braces within strings count."""
+    """The text if it is JSON, else its first balanced ``{...}`` if that is; None if there is none. Braces within strings count.
+
+    Depths are a running sum over the bytes, so a text of any length takes as many steps as it has braces.
+    """
     if not content:
         return None
     try:
@@ -235,20 +184,22 @@ def first_json_block(content: str | None) -> str | None:
         return content
     except ValueError:
         pass
-    depth, begin = 0, -1
-    for i, c in enumerate(content):
-        if c == "{":
-            begin, depth = (i if depth == 0 else begin), depth + 1
-        elif c == "}" and depth:
-            depth -= 1
-            if not depth:
-                block = content[begin : i + 1]
-                try:
-                    json.loads(block)
-                    return block
-                except ValueError:
-                    return None
-    return None
+    raw = np.frombuffer(content.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    braces = np.flatnonzero((raw == 0x7B) | (raw == 0x7D))
+    first = np.flatnonzero(raw[braces] == 0x7B)
+    if not len(first):
+        return None
+    braces = braces[first[0] :]  # closing ones before any opening one don't count
+    depth = np.cumsum(np.where(raw[braces] == 0x7B, 1, -1))
+    closed = np.flatnonzero(depth == 0)
+    if not len(closed):
+        return None
+    block = raw[braces[0] : braces[closed[0]] + 1].tobytes().decode("utf-8", "surrogatepass")
+    try:
+        json.loads(block)
+        return block
+    except ValueError:
+        return None
 
 
 _ANALYSIS = "struct<test_name:string,error:string,call_path:array<string>,locus:struct<files:array<string>,functions:array<string>,suspects:array<string>>,failure_type:string,root_cause:string,severity:string,suggested_fixes:array<string>,rationale:array<string>,insight_bullets:array<string>,heuristic_locations:array<string>>"
@@ -321,10 +272,16 @@ def read_csproj_refs(spark: SparkSession, path: str, project: str | None = None)
     return read("ProjectReference").select("project", stem.alias("name")).distinct(), read("PackageReference").select("project", F.col("_Include").alias("name")).distinct()
 
 
+def _projects(df: DataFrame):
+    """A writer that replaces the projects of ``df`` and leaves the others: files are staged, and move when the whole job has succeeded."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project")
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    """One JSON document a row, a folder for each project."""
-    df.select("project", F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").partitionBy("project").text(path)
+    """One JSON document a row, a folder for each project; the folders of projects without a row stay as they are."""
+    _projects(df.select("project", F.to_json(F.struct("*")).alias("value"))).text(path)
 
 
 def write_tables(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("project").parquet(path)
+    """Parquet, a folder for each project; the folders of projects without a row stay as they are."""
+    _projects(df).parquet(path)
