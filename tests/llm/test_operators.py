@@ -522,3 +522,27 @@ def test_languages(spark, empty):
     assert language_id.predict_languages(empty).count() == 0
     none = language_id.predict_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
+
+
+def test_products_are_those_of_visited_cells_alone():
+    """On vectors in clusters, less than 30 % of all products; whatever is worked out is right."""
+    numbers = np.random.default_rng(8)
+    centres = numbers.normal(size=(40, 16)) * 4
+    v = centres[numbers.integers(40, size=3000)] + numbers.normal(size=(3000, 16)) * 0.3
+    books = multi_index.kmeans(v[:, :8], 27), multi_index.kmeans(v[:, 8:], 27)
+    i, j = multi_index.nearest(v[:, :8], books[0]), multi_index.nearest(v[:, 8:], books[1])
+    order = np.lexsort((j, i))
+    v, i, j = v[order], i[order], j[order]
+    held = np.zeros((27, 27), dtype=np.int64)
+    np.add.at(held, (i, j), 1)
+    q = v[::20]
+    first, second = multi_index.distances(q, *books)
+    true = np.argsort(-(q @ v.T), axis=1)[:, :20]
+    probe = np.repeat(np.arange(len(q)), 20)
+    wanted = multi_index.enough(q, probe, np.stack([i[true.ravel()], j[true.ravel()]], axis=1), books, held)
+    reach = np.array([multi_index.walk(first[k], second[k], held, wanted)[0] for k in range(len(q))])
+    rough, done = multi_index.cell_products(q, v, i, j, first, second, reach)
+    assert done == int((rough > -np.inf).sum()) < 0.3 * rough.size
+    assert np.allclose(rough[rough > -np.inf], (q @ v.T)[rough > -np.inf])
+    met = np.take_along_axis(rough, true, axis=1) > -np.inf
+    assert met.mean() >= 0.9

@@ -72,21 +72,29 @@ def words_and_prefixes(raw: np.ndarray, offsets: np.ndarray, bits: int, prefixes
     return np.concatenate(buckets).astype(np.int64), np.concatenate(texts)
 
 
-def words_and_grams(raw: np.ndarray, offsets: np.ndarray, bits: int, sizes: tuple[int, ...] = (3, 4)) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of every word as written, and of all runs of so many characters within a word and its borders."""
+def words_and_grams(raw: np.ndarray, offsets: np.ndarray, bits: int, within: tuple[int, ...] = (), across: tuple[int, ...] = (3,), pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text) of every word as written and every pair of neighbouring words, of all runs of ``within`` characters within a word and its borders, and of all runs of ``across`` characters."""
     _, inside, sums = _rolling(raw, 43, False, C.BLANKS)
     begin, end, text = word_bounds(inside, offsets)
     mask = np.uint64((1 << bits) - 1)
-    buckets, texts = [_stretch(sums, begin, end, 0) & mask], [text]
+    words = _stretch(sums, begin, end, 0)
+    buckets, texts = [words & mask], [text]
+    if pairs and len(words) > 1:
+        same = text[1:] == text[:-1]
+        with np.errstate(over="ignore"):
+            both = C.mix(words[:-1] * np.uint64(C._SPREAD[0]) + words[1:])
+        buckets.append(both[same] & mask)
+        texts.append(text[1:][same])
     run = np.concatenate([[0], np.cumsum(~inside)])
     first = np.flatnonzero((raw & 0xC0) != 0x80)  # where characters begin
     edge = np.append(first, len(raw))
-    for k in sizes:
+    for k in sorted({*within, *across}):
         if len(first) < k:
             continue
         at, stop = first[: len(first) - k + 1], edge[k:]
-        ok = run[edge[k - 1 : -1]] == run[edge[1 : len(at) + 1]]  # no blank but at either border
-        at, stop = at[ok], stop[ok]
+        if k not in across:
+            ok = run[edge[k - 1 : -1]] == run[edge[1 : len(at) + 1]]  # no blank but at either border
+            at, stop = at[ok], stop[ok]
         of = np.searchsorted(offsets, at, side="right") - 1
         same = offsets[of + 1] >= stop
         buckets.append(_stretch(sums, at[same], stop[same], k) & mask)

@@ -5,7 +5,7 @@ piece is compressed by zstandard with every dictionary, and the language with th
 is chosen. A narrow margin between the best two marks the answer as rejected.
 
 A dictionary is a bounded sample: about ``SAMPLE`` distinct texts drawn by their hashes (copies count once),
-of long ones ``PARTS`` stretches from all over the text. All dictionaries together have ``TOTAL`` bytes at most.
+of long ones ``PARTS`` stretches at hashed places. All dictionaries together have ``TOTAL`` bytes at most.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from triage.llm import common as C
 
 #: Bytes of a dictionary; texts it is made from, about; bytes of a piece; level of compression.
-DICTIONARY, SAMPLE, PIECE, LEVEL = 256 << 10, 400, 16 << 10, 3
+DICTIONARY, SAMPLE, PIECE, LEVEL = 256 << 10, 400, 16 << 10, 6
 #: Stretches taken of a long text; bytes of all dictionaries, which many languages share.
-PARTS, TOTAL = 4, 64 << 20
+PARTS, TOTAL = 1, 64 << 20
 #: Share of the best size by which the second must be larger, else the answer is rejected.
 MARGIN = 0.01
 UNKNOWN = "und"

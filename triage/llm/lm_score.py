@@ -5,8 +5,8 @@
    leading bits of their hashes. Whoever has such a block sums its counts, quantises them to levels and
    puts an n-gram of level q into the block's filter as the items 1 to q. From there on only the
    filter is asked: a level is found by probing for 1, 2, ... until one is missing.
-3. While the corpus is small (``BROADCAST`` tokens, which bounds the filter), all blocks are broadcast and
-   slices probe them where they are. Beyond, the slices' n-grams are already with their blocks, which
+3. While the filter and the words' counts can't have more than ``BROADCAST`` bytes, by what the slices say of themselves, all blocks are broadcast, packed
+   as they are probed, and slices probe them where they are. Beyond, the slices' n-grams are already with their blocks, which
    probe for them and send levels back. The filter grows with the corpus either way, holds every
    n-gram, and scores are the same.
 
@@ -36,8 +36,8 @@ BASE = 2.0**0.5
 FIRST, FURTHER = 12, 4
 #: Bits that probes of one n-gram spread over.
 SUB_BITS = 1 << 16
-#: Tokens for each block of n-grams; tokens up to which the filter is broadcast; bytes of text in a slice.
-PER_BLOCK, BROADCAST, SLICE = 3_000_000, 2_000_000, 4 << 20
+#: Tokens for each block of n-grams; most bytes that are broadcast; bytes of text in a slice.
+PER_BLOCK, BROADCAST, SLICE = 3_000_000, 64 << 20, 4 << 20
 #: Added to a word's count before pairs after it count as much as words.
 PRIOR = 300.0
 END = np.uint64(0x1D8E4E27C47D124F)
@@ -81,12 +81,19 @@ def pairs(tok: np.ndarray, begin: np.ndarray) -> np.ndarray:
 class LogFrequencyFilter:
     """The filter of one block, n-grams whose hashes share ``lead`` leading bits. Half its bits are set."""
 
-    def __init__(self, lead: int, set_bits: int, flags: np.ndarray | None = None):
+    def __init__(self, lead: int, set_bits: int, packed: np.ndarray | None = None):
         size = int(set_bits / np.log(2)) + 1
         self.lead, self.first, self.set_bits = lead, FIRST + lead, set_bits
         self.width = min(SUB_BITS, 1 << max(6, (size - 1).bit_length()))
         self.subs = -(-size // self.width)
-        self.flags = np.zeros(self.subs * self.width, dtype=bool) if flags is None else flags[: self.subs * self.width]
+        self.packed = packed
+        self.flags = np.zeros(self.subs * self.width, dtype=bool) if packed is None else None
+
+    def _held(self, place: np.ndarray) -> np.ndarray:
+        """Whether the bits at these places are set."""
+        if self.packed is None:
+            return self.flags[place]
+        return (self.packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
 
     @classmethod
     def of(cls, lead: int, hashes: np.ndarray, levels: np.ndarray) -> LogFrequencyFilter:
@@ -113,7 +120,7 @@ class LogFrequencyFilter:
         while len(live) and j <= LEVELS:
             at, a, step = self._start(hashes[live], j)
             for _ in range(self.first if j == 1 else FURTHER):
-                held = self.flags[at + (a & np.uint64(self.width - 1)).astype(np.int64)]
+                held = self._held(at + (a & np.uint64(self.width - 1)).astype(np.int64))
                 live, at, a, step = live[held], at[held], a[held], step[held]
                 a = a + step
             found[live] = j
@@ -293,7 +300,7 @@ def _score_here(shared, lead: int) -> object:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, whole, filters, words, counts = shared.value
-        blooms = {key: LogFrequencyFilter(lead, set_bits, np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)) for key, (set_bits, bits) in filters.items()}
+        blooms = {key: LogFrequencyFilter(lead, set_bits, np.frombuffer(bits, np.uint8)) for key, (set_bits, bits) in filters.items()}
 
         def levels(kind: int, hashes: np.ndarray) -> np.ndarray:
             found, block = np.zeros(len(hashes), dtype=np.int64), (hashes >> np.uint64(64 - lead)).astype(np.int64)
@@ -338,6 +345,12 @@ def _score_answered(shared) -> object:
     return run
 
 
+def most_bytes(size: int, words: float, lead: int) -> float:
+    """The most that the filter and the words' counts can take: ``size`` tokens, each the end of a pair, and ``words``, the sum of the distinct tokens of all slices."""
+    bits = (FIRST + lead) / np.log(2)  # an n-gram that is there twice has less than two that are there once
+    return (size + words) * bits / 8 + words * 16
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row per document.
 
@@ -349,8 +362,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     held = F.pmod(C.id_crc32("doc_id"), F.lit(5)) == 1
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", held)
     slices = C.written(own.mapInArrow(_slice, _SLICES), "tokens")
-    size, texts = slices.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()
-    lead, few = max(4, int(size // PER_BLOCK).bit_length()), size <= BROADCAST
+    size, words, texts = slices.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.length("token") / 8), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()
+    lead = max(4, int(size // PER_BLOCK).bit_length())
+    few = most_bytes(size, words, lead) <= BROADCAST
     parts = slices.mapInArrow(_parts(lead, few), _PARTS)
     answers = C.written(parts.repartition("block", "kind").sortWithinPartitions("block", "kind").mapInArrow(_answers(lead, few), _ANSWERS), "answers")
 
@@ -362,7 +376,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     chances = sums.where("kind = 2").agg(F.coalesce(F.avg("chance"), F.lit(0.0)), F.coalesce(F.avg("further"), F.lit(0.0))).first()
     model, whole = Probabilities(texts, by_level, tuple(chances)), total + 0.5 * (int(by_level.sum()) + 1)
     if few:
-        got = sums.collect()  # BROADCAST bounds it
+        got = sums.collect()  # BROADCAST bytes at most
         lists = sorted((r["block"], r["b"]) for r in got if r["kind"] == 1)
         split = [(np.frombuffer(b, "<u8", len(b) // 16), np.frombuffer(b, "<i8", len(b) // 16, len(b) // 2)) for _, b in lists]
         words, counts = (np.concatenate(x) if split else np.zeros(0, np.int64) for x in (zip(*split) if split else ((), ())))

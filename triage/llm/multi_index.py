@@ -13,7 +13,7 @@ the number of vectors, so that cells stay small, up to ``MOST_CENTROIDS`` of a h
 table of cells that is broadcast.
 
 A vector goes to one block, made of vectors of neighbouring first centroids; a query goes to the blocks
-that hold cells it visits. Codebooks are trained on a bounded sample, every vector is indexed.
+that hold cells it visits. There vectors lie by cell, and a cell is multiplied with the queries whose walk visits it alone. Codebooks are trained on a bounded sample, every vector is indexed.
 """
 
 from __future__ import annotations
@@ -167,6 +167,18 @@ def best(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rough: np.ndar
     return ids[order], exact[order]
 
 
+def cell_products(q: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray, first: np.ndarray, second: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, int]:
+    """(products, how many were worked out) of queries and vectors, which lie by cell: those of a query with the vectors of cells on its walk; -inf for all others."""
+    rough, done = np.full((len(q), len(v)), -np.inf), 0
+    cuts = np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(v)]):
+        asks = np.flatnonzero(first[:, i[a]] + second[:, j[a]] <= reach)
+        if len(asks):
+            rough[asks, a:b] = q[asks] @ v[a:b].T
+            done += len(asks) * (b - a)
+    return rough, done
+
+
 def _rank(books, dim: int) -> object:
     """Rows sorted by (block, reach) with a block's vectors, whose reach is null, first -> the best of what each query visits there."""
 
@@ -174,14 +186,18 @@ def _rank(books, dim: int) -> object:
         found = []
         for a in range(0, len(q), step := max(1, PRODUCTS // max(len(v), 1))):
             part = q[a : a + step]
-            rough = part @ v.T
-            first, second = distances(part, *books.value)
+            rough, _ = cell_products(part, v, i, j, *distances(part, *books.value), reach[a : a + step])
             for k in range(len(part)):
-                seen = np.flatnonzero((first[k][i] + second[k][j] <= reach[a + k]) & (ids != asked[a + k]))
+                seen = np.flatnonzero((rough[k] > -np.inf) & (ids != asked[a + k]))
                 got, score = best(part[k], ids[seen], v[seen], rough[k][seen])
                 found.append((np.full(len(got), asked[a + k]), got, score))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found]), t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], names=["query_id", "vec_id", "score"])
 
+    def by_cell(parts: list) -> list[np.ndarray]:
+        columns = [np.concatenate(p) for p in zip(*parts)]
+        order = np.lexsort((columns[3], columns[2]))
+        return [c[order] for c in columns]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, own = None, [], None
         for batch in batches:
@@ -198,7 +214,7 @@ def _rank(books, dim: int) -> object:
                 if not asks[a]:
                     parts.append((column("id"), _matrix(rows.column("vector"), dim), column("i"), column("j")))
                 elif parts:
-                    own = [np.concatenate(p) for p in zip(*parts)] if own is None else own
+                    own = by_cell(parts) if own is None else own
                     yield ranked(*own, column("id"), _matrix(rows.column("vector"), dim), column("reach"))
 
     return run

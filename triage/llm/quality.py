@@ -1,6 +1,6 @@
 """Operator 8, a quality classifier on supervised subword embeddings.
 
-Words and character n-grams are hashed to learned vectors. A document is the mean of the vectors of all its
+Words, pairs of neighbouring words and runs of three characters are hashed to learned vectors. A document is the mean of the vectors of all its
 features; a softmax over two classes follows. Vectors and output are trained together by stochastic
 gradient descent in numpy on a bounded sample. Since both steps are linear up to the softmax, a
 feature's share in the difference of the two outputs is one number, and scoring sums these numbers.
@@ -21,18 +21,23 @@ from triage.llm.features import PART, labelled_sample, words_and_grams
 BITS = 17
 DIM = 8
 SAMPLE, EPOCHS, RATE = 2000, 6, 4.0
+#: Distinct features of a document that the fit takes, drawn evenly from all of a longer one's: with SAMPLE it bounds what the driver holds (some 250 MB). Scores take all.
+FITTED = 8192
 THRESHOLD = 0.3
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document as its distinct buckets and how often it has each."""
+    """Each document as its distinct buckets, FITTED at most, and how often it has each."""
     for whole in batches:
         for batch in C.slices(whole, "text", PART):
             bucket, text = words_and_grams(*C.text_buffer(batch.column("text")), BITS)
             pairs, n = np.unique(text * (1 << BITS) + bucket, return_counts=True)
             cut = np.searchsorted(pairs >> BITS, np.arange(len(batch) + 1))
             at = (pairs & ((1 << BITS) - 1)).astype("<u4")
-            rows = [(at[a:b].tobytes(), n[a:b].astype("<u4").tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+            rows = []
+            for a, b in zip(cut[:-1], cut[1:]):
+                own = np.arange(a, b) if b - a <= FITTED else np.sort(np.random.default_rng(int(b - a)).choice(np.arange(a, b), FITTED, replace=False))
+                rows.append((at[own].tobytes(), n[own].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "label", "at", "n"])
 
 

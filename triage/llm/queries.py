@@ -100,8 +100,8 @@ with recursive {_CRC_TABLE}, sized as (
     {_crc32("coalesce(text, '')")} as text_crc32
   from documents cross join crc_table
 ), numbered as (
-  select *, row_number() over (order by coalesce(doc_id, 0) % {sharding.BUCKETS}, doc_id nulls first, size, text_crc32) - 1 as number,
-         count(*) over () as n from sized
+  select *, row_number() over (order by bucket, doc_id nulls first, size, text_crc32) - 1 as number, count(*) over () as n
+  from (select sized.*, {_crc32("coalesce(doc_id, -1) || '/' || size || '/' || text_crc32")} % {sharding.BUCKETS} as bucket from sized cross join crc_table)
 ), shape as (
   select n, a, (n + a - 1) // a as b from (select n, ceil(sqrt(n))::bigint as a from (select max(n) as n from numbered))
 ), pairs as (

@@ -1,7 +1,7 @@
 """Operator 7, sharding by a Feistel permutation with cycle walking over global row numbers. DataFrame functions only.
 
-Rows are numbered 0 to N - 1 in the order of (id modulo ``BUCKETS``, id, size, checksum), which depends on
-the rows alone. A keyed Feistel network permutes the least rectangle a x b that holds N numbers; a
+Rows are numbered 0 to N - 1 in the order of (bucket, id, size, checksum), which depends on
+the rows alone. The bucket is a hash of all three, so ids of one stride, or null ones, fill no bucket more than others. A keyed Feistel network permutes the least rectangle a x b that holds N numbers; a
 number that leaves [0, N) is sent on until it comes back (cycle walking), so the result is a
 permutation of [0, N). Place p of the shuffle is slot p div 40 of shard p mod 40: shard sizes differ
 by one row at most, and both are computable from the row number and N.
@@ -81,6 +81,12 @@ def walk_steps(spark, n: int, a: int, b: int, keys: list[int]) -> int:
     return steps + 1
 
 
+def bucket() -> Column:
+    """Of a row's id (null: -1), size and checksum: crc32 of them as text, modulo ``BUCKETS``."""
+    told = F.concat_ws("/", F.coalesce("doc_id", F.lit(-1)).cast("string"), F.col("size").cast("string"), F.col("text_crc32").cast("string"))
+    return F.pmod(F.crc32(told.cast("binary")), F.lit(BUCKETS))
+
+
 def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 2024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard``, one row per document; law ``rows``.
 
@@ -92,8 +98,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 2024, id_col: s
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + F.lit(16)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     groups = C.written(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies")), "groups")
-    bucket = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(BUCKETS))
-    groups = groups.withColumn("bucket", bucket)
+    groups = groups.withColumn("bucket", bucket())
     held = groups.groupBy("bucket").agg(F.sum("copies").alias("rows"))  # BUCKETS rows at most
     base = held.select("bucket", (F.sum("rows").over(Window.orderBy("bucket")) - F.col("rows")).alias("base"))
     n = held.agg(F.sum("rows")).first()[0] or 0
