@@ -166,3 +166,57 @@ def test_graph_of_three_languages(spark):
     assert (ext["Helper"]["package_or_module"], ext["Helper"]["symbol"], ext["Helper"]["count"]) == ("lib.Helper", "lib.Helper", 1) and ext["external::Far/1"]["namespace"] == "Acme"
     assert {r["node_id"] for r in nodes.where("project = 'q' and is_test").collect()} == {"Acme::B.cs::Box::Sum", "Acme::B.cs::Box::Should_Add", "Acme::B.cs::Box::Twice"}
     assert functions.count() == 11 and [r["edge_ord"][:5] for r in edges.where("dst = 'lib.py::go'").orderBy("src").collect()] == ["a.py:", "lib.p"]
+
+
+CS_ODD = r'''namespace N {
+class B {
+  [Fact]
+  public int f1(int a)
+  {
+#if NEVER
+    if (a > 0) {
+#else
+    if (a > 1) {
+#endif
+      var s = $"{Far1(a, "}")} {{ }} {(a > 1 ? $"{Deep(a)}" : "{")}";
+      var r = $$"""{ {{Raw(a)}} " """ + '{' + '\'';
+      var v = @"c:\{"" " + $@"\{Verb(1)}" + "not closed
+      int Local(int b) { return Inner(b); }
+      return Local(a);
+    }
+    return 0;
+  }
+  public int P1 { get { return Prop(1); } } // void no() {
+#if false
+  public int gone(int a) { return 1; }
+#elif true
+  public int here(int a) { return 1; }
+#else
+  public int away(int a) {
+#endif
+  public int f2(int a) => f1(a);
+} }
+'''
+
+
+def test_what_is_no_code_is_blank(spark):
+    quiet = X.blank_quiet(CS_ODD, "csharp")
+    assert len(quiet) == len(CS_ODD) and [i for i, c in enumerate(quiet) if c == "\n"] == [i for i, c in enumerate(CS_ODD) if c == "\n"]
+    functions, calls = X.EXTRACTORS["csharp"]("x.cs", CS_ODD)
+    assert [(f["key"], f["line"], f["end_line"]) for f in functions] == [("B::f1", 4, 18), ("B::here", 23, 23), ("B::f2", 27, 27)]
+    assert sorted(c["chain"][-1] for c in calls) == ["Deep", "Far1", "Inner", "Local", "Raw", "Verb", "f1"]
+    for broken in ('"""', '$"{', '$"{a', "/*", "'", '@"', "#if false\n{", '$$"""{{', "#else", "}"):
+        assert len(X.blank_quiet(broken, "csharp")) == len(broken) and len(X.blank_quiet(broken, "java")) == len(broken)
+
+
+def test_extractors_are_a_table_function_and_more_can_be_added(spark, monkeypatch):
+    def ruby(file, text):
+        return [dict.fromkeys((f.split()[0] for f in X.FUNCTIONS.split(", "))) | {"key": line[4:], "name": line[4:], "line": n} for n, line in enumerate(text.splitlines(), 1) if line.startswith("def ")], []
+
+    monkeypatch.setitem(X.EXTRACTORS, "ruby", ruby)
+    X.register_table_function(spark, "functions_of_any")
+    src = spark.createDataFrame([("p", "a.py", "python", PY), ("p", "x.rb", "ruby", "def one\nend\ndef two\nend"), ("p", "b.cs", "csharp", CS), ("p", "bad.py", "python", "def ("), ("p", "n.py", "python", None), ("p", "q.zz", "zz", "x")], SOURCES)
+    src.createOrReplaceTempView("odd_sources")
+    got = spark.sql("select * from functions_of_any(table(select * from odd_sources) partition by file)")
+    assert rows(got.where("lang = 'ruby'"), "file", "key", "line") == [("x.rb", "one", 1), ("x.rb", "two", 3)]
+    assert rows(got, "file", "lang", "key") == rows(X.extract_functions(src), "file", "lang", "key")

@@ -612,11 +612,64 @@ def source_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.where("type <> 'external'").select("project", "node_id", "lang", "start_line", "is_test", "parameters")
 
 
-@query(_SOURCES + """, used as (select project, 'helper' || k % 5 as node_id, count(*) as uses from ids group by all)
-select project, node_id, uses from used""")
+def _sliced(lang: str) -> tuple[str, str]:
+    """SQL of a part's method, in many lines with strings and branches full of braces: (text, where its signature and its end are after its first line, as SQL)."""
+    if lang == "java":
+        lines = ["'  @Test'", "concat('  void f', k, '(int a) {')", "'    String s = \"\"\"'", "'      { \"x\": \"}\" // no \"'", "'      \"\"\";'", "concat('    char c = ''{''; f', k + 1, '(a); /* } */')", "'  }'"]
+    else:
+        lines = [
+            "'  [Fact]'", "concat('  public int f', k, '(int a)')", "'  {'", "'#if NEVER'", "'    if (a > 0) {'", "'#else'", "'    if (a > 1) {'", "'#endif'", "concat('      var s = $\"{Far', k % 5, '(a, \"}\")} {{ }}\" + $$\"\"\"{ {{a}} \"\"\" + @\"c:{\"\"\";')",
+            "'      int Local(int b) { return b; }'", "'      return Local(a);'", "'    }'", "'    return 0;'", "'  }'",
+        ]
+    end = len(lines)
+    after = "" if lang == "java" else " || chr(10) || concat('  public int P', k, ' { get { return Get(1); } }')"
+    return " || chr(10) || ".join(lines) + after + " || chr(10)", str(end)
+
+
+_SLICED = {lang: _sliced(lang) for lang in ("java", "csharp")}
+#: Lines of a part's method and what follows it.
+_HEIGHT = {"java": 7, "csharp": 15}
+
+
+def _slice_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir)
+    one = lambda lang, file, head, tail: f"select concat('p', g % 3) as project, concat('src/{file}', g, '.{ {'java': 'java', 'csharp': 'cs'}[lang] }') as file, '{lang}' as lang, concat({head}, array_join(transform(array_sort(collect_list(struct(k, t))), x -> x.t), ''), '{tail}') as text from (select k, g, {_SLICED[lang][0].replace('chr(10)', 'char(10)')} as t from ({_FILES})) group by g"
+    return spark.sql(one("java", "C", "'package pkg;\\nclass C', g, ' {{\\n'".replace("{{", "{"), "}\\n") + " union all " + one("csharp", "B", "'namespace N {\\nclass B', g, ' {\\n'", "} }\\n"))
+
+
+_SLICES = f""", fs as ({_FILES}), placed as (select k, g, row_number() over (partition by g order by k) - 1 as n from fs)
+, j as (select concat('p', g % 3) as project, 'java' as lang, concat('pkg.src/C', g, '.java::C', g, '::f', k) as node_id, 3 + n * {_HEIGHT['java']} as first, {_SLICED['java'][1]} as height, {_SLICED['java'][0]} as t from placed)
+, c as (select concat('p', g % 3), 'csharp', concat('N::src/B', g, '.cs::B', g, '::f', k), 3 + n * {_HEIGHT['csharp']}, {_SLICED['csharp'][1]}, {_SLICED['csharp'][0]} from placed)
+select project, lang, node_id, (first + 1)::int as line, (first + height - 1)::int as end_line, 1 as parameters, trim(array_to_string(string_split(t, chr(10))[1:height], chr(10)), ' ') as code from (select * from j union all select * from c)"""
+
+
+@query(_SLICES)
+def source_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods of many lines, with text blocks, raw, verbatim and interpolated strings, branches of the preprocessor, local functions and properties."""
+    return X.extract_functions(_slice_sources(spark, sf_dir)).select("project", "lang", "node_id", "line", "end_line", "parameters", "code")
+
+
+@query(_SLICES.replace("select project, lang, node_id, (first", "select lang, node_id, (first").replace(" as code from", " as code from"))
+def source_slices_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the table function, from SQL."""
+    X.register_table_function(spark)
+    _slice_sources(spark, sf_dir).createOrReplaceTempView("slice_sources")
+    return spark.sql("select lang, node_id, line, end_line, parameters, code from functions_of(table(select file, lang, text from slice_sources) partition by file)")
+
+
+@query(_SLICES.split("select project, lang")[0] + """ select project, src, dst from (select project, node_id as src, unnest(case lang when 'java' then ['f' || (k + 1)] else ['Far' || k % 5, 'Local'] end) as dst from (
+  select project, lang, node_id, regexp_extract(node_id, 'f(\\d+)$', 1)::bigint as k from (select * from j union all select * from c)))""")
+def slice_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What these methods call: holes of strings count, accessors of properties don't."""
+    return X.extract_calls(_slice_sources(spark, sf_dir)).select("project", F.col("caller").alias("src"), F.col("name").alias("dst")).distinct()
+
+
+@query(_SOURCES + """, used as (select project, 'helper' || k % 5 as node_id from ids union all select project, 'external::out' || k % 5 from ids union all select project, 'external::Far' || k % 5 || '/2' from ids
+  union all select project, next_py from calls where p_to is null union all select project, 'external::f' || (k + 1) from calls where j_to is null union all select project, 'external::f' || (k + 1) || '/1' from calls where c_to is null)
+select project, node_id, count(*) as uses from used group by all""")
 def outside_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """External nodes of one name pattern with how often they are called, from the counts of their origins."""
-    nodes = C.build_graph(tables(spark, sf_dir, "sources")["sources"])[0].where("type = 'external' and node_id like 'helper%'")
+    """External nodes with how often they are called, from the counts of their origins."""
+    nodes = C.build_graph(tables(spark, sf_dir, "sources")["sources"])[0].where("type = 'external'")
     return nodes.select("project", "node_id", F.aggregate("origins", F.lit(0).cast("long"), lambda n, o: n + o["count"]).alias("uses"))
 
 

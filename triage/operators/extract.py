@@ -2,8 +2,9 @@
 
 ``sources``: project, file, lang, text. ``parse_sources`` reads each file once; functions, calls and rejects come
 from its table. Python files are parsed by ``ast``. Java and C# files go through one
-scanner that blanks comments and strings, then finds types, signatures and their balancing braces; it
-knows no preprocessor, and takes a lambda's braces for blocks. A file that can't be parsed gives no
+scanner that blanks what is no code (comments, strings of every kind but for the holes of interpolated ones, preprocessor lines and
+the branches they rule out), then finds types, signatures and their balancing braces. Local functions and lambdas belong to the method
+around them, accessors of properties to none. A file that can't be parsed gives no
 rows of its own and one of ``rejects``; it stops nothing.
 """
 
@@ -15,8 +16,9 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 FUNCTIONS = "key string, name string, node_id string, owner string, ns string, depth int, line int, end_line int, docstring string, code string, parameters int, annotations array<string>, type_annotations array<string>, is_parametrized boolean, is_async boolean, return_type string"
 CALLS = "ns string, caller string, caller_type string, chain array<string>, argc int, hint string, kind string, line int, module string"
@@ -84,7 +86,12 @@ def _python(file: str, text: str) -> tuple[list[dict], list[dict]]:
 
 # --- Java and C# ------------------------------------------------------------------------------------
 
-_QUIET = re.compile(r'//[^\n]*|/\*.*?\*/|@"(?:[^"]|"")*"|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.DOTALL)
+#: What ends a stretch of code, by language: comments, the openings of strings and characters, preprocessor lines (``#``); braces count within holes.
+_OPENERS = {
+    "java": re.compile(r'(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|(?P<text>"""(?:\\.|(?!""").)*(?:"""|\Z))|(?P<plain>"(?:\\.|[^"\\\n])*"?)|(?P<char>\'(?:\\.|[^\'\\\n])*\'?)', re.S),
+    "csharp": re.compile(r'(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|(?P<directive>(?m:^)[ \t]*\#[ \t]*(?P<word>\w*)(?P<rest>[^\n]*))|(?P<string>(?P<signs>[$@]*)(?P<quotes>"{3,}|"))|(?P<char>\'(?:\\.|[^\'\\\n])+\')|(?P<brace>[{}])', re.S),
+}
+_BRANCH = re.compile(r"^[ \t]*#[ \t]*(if|elif|else|endif)\b([^\n]*)", re.M)
 _TYPE = re.compile(r"(?P<marks>(?:(?:\[[^\]\n]*\]|@\w[\w.]*(?:\([^)]*\))?)\s*)*)(?:\b(?:public|private|protected|internal|static|final|abstract|sealed|partial)\s+)*\b(?:class|struct|record|interface|enum)\s+(?P<name>\w+)[^;{(]*(?:\([^)]*\))?[^;{]*\{")
 _NAMESPACE = re.compile(r"\b(?:namespace|package)\s+([\w.]+)")
 _SIGNATURE = re.compile(r"(?P<marks>(?:(?:\[[^\]\n]*\]|@\w[\w.]*(?:\([^)]*\))?)\s*)*)(?P<head>(?:\b(?:public|private|protected|internal|static|final|abstract|virtual|override|async|sealed|synchronized|default|extern|partial|native|unsafe|readonly)\s+)*)(?P<type>\w[\w.]*(?:<[^;{}()]*>)?(?:\[\])*\??\s+)?(?P<name>[A-Za-z_]\w*)\s*\((?P<args>[^(){};]*)\)\s*(?:throws\s+[\w.,\s]+|where\s+[^{;]+|:\s*(?:base|this)\s*\([^)]*\)\s*)?(?P<body>\{|=>|;)")
@@ -93,9 +100,111 @@ _MADE = re.compile(r"(\w+)\s*=\s*new\s+([\w.]+)")
 _WORDS = {"if", "for", "while", "switch", "catch", "return", "new", "using", "lock", "foreach", "synchronized", "throw", "else", "do", "try", "sizeof", "typeof", "nameof", "super", "this", "base", "await", "yield", "case", "when", "fixed", "assert", "instanceof", "default"}
 
 
-def blank_quiet(text: str) -> str:
-    """Comments and strings as blanks, every position kept."""
-    return _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+def _blank(text: str) -> str:
+    return re.sub(r"[^\n]", " ", text)
+
+
+def _ruled_out(text: str, begin: int) -> int:
+    """Where the branch that begins at ``begin`` ends: at the next directive of its own ``#if``."""
+    depth = 0
+    for m in _BRANCH.finditer(text, begin):
+        if m[1] == "if":
+            depth += 1
+        elif depth == 0:
+            return m.start()
+        elif m[1] == "endif":
+            depth -= 1
+    return len(text)
+
+
+def _string_end(text: str, at: int, dollars: int, verbatim: bool, quotes: int) -> tuple[int, bool]:
+    """(where a C# string that goes on at ``at`` stops, whether that is a hole): the place after its last quote, or after the braces that open a hole."""
+    while at < len(text):
+        c = text[at]
+        if c == '"':
+            run = len(re.compile('"+').match(text, at)[0])
+            if quotes >= 3:
+                if run >= quotes:
+                    return at + run, False
+                at += run
+            elif verbatim and run >= 2:
+                at += 2
+            else:
+                return at + 1, False
+        elif c == "\\" and not verbatim and quotes < 3:
+            at += 2
+        elif c == "\n" and not verbatim and quotes < 3:
+            return at, False  # never closed
+        elif c == "{" and dollars:
+            run = len(re.compile("{+").match(text, at)[0])
+            if quotes >= 3:
+                if run >= dollars:
+                    return at + run, True
+                at += run
+            elif run % 2:
+                return at + run, True
+            else:
+                at += run
+        else:
+            at += 1
+    return len(text), False
+
+
+def blank_quiet(text: str, lang: str = "csharp") -> str:
+    """What is no code as blanks, every position kept. Strings within the holes of strings nest as deep as they do.
+
+    Of the branches of ``#if`` the first counts whose condition isn't ``false``.
+    """
+    out: list[str] = []
+    at, opener = 0, _OPENERS[lang]
+    holes: list[list] = []  # strings that a hole was opened in: their kind, and how many braces are open in the hole
+    branches: list[bool] = []  # whether one branch of each open #if was taken
+    while at < len(text):
+        m = opener.search(text, at)
+        if m is None:
+            out.append(text[at:])
+            break
+        out.append(text[at : m.start()])
+        at = m.end()
+        kind = m.lastgroup if m.lastgroup not in ("word", "rest", "signs", "quotes") else "directive" if m["directive"] is not None else "string"
+        if kind == "brace":
+            out.append(m[0])
+            if holes:
+                holes[-1][1] += 1 if m[0] == "{" else -1
+                if holes[-1][1] < 0:  # back in the string; a raw one may need more braces
+                    (dollars, verbatim, quotes), _ = holes.pop()
+                    out[-1] = " "
+                    at = _go_on(text, at, (dollars, verbatim, quotes), holes, out)
+        elif kind == "directive":
+            out.append(_blank(m[0]))
+            word = m["word"]
+            if word == "if":
+                branches.append(m["rest"].split("//")[0].strip() not in ("false", "0"))
+            elif word == "endif" and branches:
+                branches.pop()
+            elif word in ("elif", "else") and branches and not branches[-1]:
+                branches[-1] = word == "else" or m["rest"].split("//")[0].strip() not in ("false", "0")
+                if branches[-1]:
+                    continue
+            if (word == "if" and not branches[-1]) or (word in ("elif", "else") and branches):
+                stop = _ruled_out(text, at)
+                out.append(_blank(text[at:stop]))
+                at = stop
+        elif kind == "string":
+            out.append(_blank(m[0]))
+            at = _go_on(text, at, (m["signs"].count("$"), "@" in m["signs"], len(m["quotes"])), holes, out)
+        else:
+            out.append(_blank(m[0]))
+    return "".join(out)
+
+
+def _go_on(text: str, at: int, spec: tuple[int, bool, int], holes: list[list], out: list[str]) -> int:
+    """Blanks a C# string from ``at`` on to its end or its next hole; returns where that is."""
+    stop, hole = _string_end(text, at, *spec)
+    out.append(_blank(text[at:stop]))
+    if hole:
+        holes.append([spec, 0])
+    return stop
 
 
 def block_end(text: str, begin: int) -> int:
@@ -132,7 +241,7 @@ def marks_of(text: str) -> list[str]:
 
 def _braced(lang: str) -> Callable[[str, str], tuple[list[dict], list[dict]]]:
     def scan(file: str, text: str) -> tuple[list[dict], list[dict]]:
-        quiet = blank_quiet(text)
+        quiet = blank_quiet(text, lang)
         ns = (m := _NAMESPACE.search(quiet)) and m[1]
         breaks = [m.start() for m in re.finditer("\n", text)]
         line = lambda at: bisect_right(breaks, at - 1) + 1
@@ -156,7 +265,11 @@ def _braced(lang: str) -> Callable[[str, str], tuple[list[dict], list[dict]]]:
             })
             body = quiet[m.start("body") : end]
             hints = {v: t.split(".")[-1] for v, t in _MADE.findall(body)}
+            # functions declared in the body are no calls; what they call is the method's
+            declared = {x.start("name") for x in _SIGNATURE.finditer(body) if x["type"] and x["body"] != ";" and x["type"].strip() not in _WORDS}
             for c in _CALL.finditer(body):
+                if c.start("chain") in declared:
+                    continue
                 chain = [x.strip() for x in c["chain"].split(".")]
                 if chain[-1] not in _WORDS:
                     place = m.start("body") + c.start()
@@ -201,6 +314,25 @@ def parse_sources(sources: DataFrame) -> DataFrame:
     return sources.select("project", "file", "lang", "text").mapInArrow(parse, f"project string, file string, lang string, functions {typed(FUNCTIONS)}, calls {typed(CALLS)}, failed boolean")
 
 
+def register_table_function(spark: SparkSession, name: str = "functions_of") -> None:
+    """Makes the extractors that are known now a table function of SQL: ``SELECT * FROM functions_of(TABLE(sources) PARTITION BY file)``.
+
+    The table has ``file, lang, text`` and any other columns; a row of ``FUNCTIONS`` comes out for each function, with ``file`` and ``lang``. Files that can't be parsed give none.
+    """
+    known, names = dict(EXTRACTORS), [f.split()[0] for f in FUNCTIONS.split(", ")]
+
+    class Functions:
+        def eval(self, row: Row) -> Iterator[tuple]:
+            try:
+                found, _ = known[row["lang"]](row["file"], row["text"] or "") if row["lang"] in known else ([], [])
+            except (SyntaxError, ValueError, RecursionError):
+                found = []
+            for f in found:
+                yield (row["file"], row["lang"], *[f[n] for n in names])
+
+    spark.udtf.register(name, udtf(Functions, returnType=f"file string, lang string, {FUNCTIONS}"))
+
+
 def _parsed(sources: DataFrame) -> DataFrame:
     return sources if "functions" in sources.columns else parse_sources(sources)
 
