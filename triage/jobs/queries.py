@@ -78,26 +78,25 @@ _SHOWN = r"""
 _KEPT = 100
 
 
-def _walk(down: bool) -> str:
-    """The best paths by the same bound, hop by hop: all paths of a graph in which every node has some sixty neighbours can't be listed."""
+def _walk(down: bool, x: str = "") -> str:
+    """The best paths by the same bound, hop by hop: all paths of a graph in which every node has some sixty neighbours can't be listed. ``x`` ends the names, so that one text can hold both directions."""
     a, b = ("src", "dst") if down else ("dst", "src")
     bounds = "".join(
-        f", b{h} as materialized (select g.node_id, greatest(0, coalesce(max(t.gain + p.b), 0)) as b from gains g left join edges e on e.{a} = g.node_id left join gains t on t.node_id = e.{b} left join b{h - 1} p on p.node_id = e.{b} group by 1)\n"
+        f", b{h}{x} as materialized (select g.node_id, greatest(0, coalesce(max(t.gain + p.b), 0)) as b from gains g left join edges e on e.{a} = g.node_id left join gains t on t.node_id = e.{b} left join b{h - 1}{x} p on p.node_id = e.{b} group by 1)\n"
         for h in range(1, 6)
     )
     hops = "".join(
-        f""", l{j} as materialized (select w.test_id, list_append(w.path, e.{b}) as path, case when g.keep then list_append(w.shown, g.shown) else w.shown end as shown, w.score + g.gain as score
-  from l{j - 1} w join edges e on e.{a} = w.path[-1] join gains g on g.node_id = e.{b} join b{6 - j} p on p.node_id = e.{b} where not list_contains(w.path, e.{b})
+        f""", l{j}{x} as materialized (select w.test_id, list_append(w.path, e.{b}) as path, case when g.keep then list_append(w.shown, g.shown) else w.shown end as shown, w.score + g.gain as score
+  from l{j - 1}{x} w join edges e on e.{a} = w.path[-1] join gains g on g.node_id = e.{b} join b{6 - j}{x} p on p.node_id = e.{b} where not list_contains(w.path, e.{b})
   qualify row_number() over (partition by w.test_id order by w.score + g.gain + p.b desc, case when g.keep then list_append(w.shown, g.shown) else w.shown end, list_append(w.path, e.{b})) <= {_KEPT})
 """
         for j in range(1, 7)
     )
     return f"""
-, gains as materialized (select *, case when not keep then 0 when is_test then 1 else 1001 end as gain from step)
-, b0 as (select node_id, 0 as b from gains){bounds}, l0 as (select f.test_id, [f.test_id] as path, case when g.keep then [g.shown] else []::varchar[] end as shown, g.gain as score from failed f join gains g on g.node_id = f.test_id)
-{hops}, uniq as (select distinct test_id, shown, score from ({" union all ".join(f"select * from l{j}" for j in range(1, 7))}) where len(shown) >= {2 if down else 1})
-, top5 as (select *, row_number() over (partition by test_id order by score desc, shown) as path_rank from uniq qualify path_rank <= 5)
-, best as (select test_id, path_rank, {"shown" if down else "list_reverse(shown) as shown"}, array_to_string({"shown" if down else "list_reverse(shown)"}, '>') as steps, score // 1000 as non_test, len(shown) as len from top5)"""
+, {"" if x else "gains as materialized (select *, case when not keep then 0 when is_test then 1 else 1001 end as gain from step), "}b0{x} as (select node_id, 0 as b from gains){bounds}, l0{x} as (select f.test_id, [f.test_id] as path, case when g.keep then [g.shown] else []::varchar[] end as shown, g.gain as score from failed f join gains g on g.node_id = f.test_id)
+{hops}, uniq{x} as (select distinct test_id, shown, score from ({" union all ".join(f"select * from l{j}{x}" for j in range(1, 7))}) where len(shown) >= {2 if down else 1})
+, top5{x} as (select *, row_number() over (partition by test_id order by score desc, shown) as path_rank from uniq{x} qualify path_rank <= 5)
+, best{x} as (select test_id, path_rank, {"shown" if down else "list_reverse(shown) as shown"}, array_to_string({"shown" if down else "list_reverse(shown)"}, '>') as steps, score // 1000 as non_test, len(shown) as len from top5{x})"""
 
 
 def _reach(depth: int) -> str:
@@ -401,6 +400,113 @@ def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.prompt_summary(S.run_summary(status, t["nodes"]), S.failed_detail(status, t["nodes"]))
 
 
+#: Functions of parts: some under a node's own file, some under an ending of its path or a longer path, some under another path with the same file name; decoys beside them.
+FUNCTIONS = """
+select 'p' as project, f.file, f.key, f.line, concat('about ', f.key) as docstring, concat('def ', f.key, chr(10), '  return ', f.file) as code from (
+  select file, concat(p_brand, '::f', p_partkey) as key, 10 as line from n where p_partkey % 5 in (0, 1)
+  union all select substr(file, 5), concat('f', p_partkey), 20 from n where p_partkey % 5 in (1, 2)
+  union all select concat('deep/', file), concat('Other::f', p_partkey), 30 from n where p_partkey % 5 in (2, 3)
+  union all select concat('x/', upper(base)), concat(p_brand, '::f', p_partkey), 40 from n where p_partkey % 5 in (3, 4) and p_partkey % 2 = 0
+  union all select concat('z/', base), concat('f', p_partkey), 50 from n
+  union all select concat('z/y/', base), concat('Far::f', p_partkey), 60 from n where p_partkey % 3 = 0) f
+"""
+_PARTS = "select p_partkey, p_brand, n.file, concat(replace(p_name, ' ', '_'), '.py') as base from part join nodes n on n.node_ord = p_partkey where not n.is_test and p_partkey % 17 <> 0"
+_CRITICAL = """, n as (""" + _PARTS + "), fn as (" + FUNCTIONS + """), cand as (
+  select o.node_id, f.*, case when f.file = o.file then 1 when ends_with(o.file, '/' || f.file) or ends_with(f.file, '/' || o.file) then 2 else 3 end as w,
+    case when f.key = o.brand || '::' || o.method then 1 when ends_with(f.key, '::' || o.method) then 2 else 3 end as t
+  from (select node_id, file, string_split(node_id, '::')[-1] as method, string_split(node_id, '::')[-2] as brand from nodes where not is_test) o
+  join fn f on lower(string_split(f.file, '/')[-1]) = lower(string_split(o.file, '/')[-1]) and string_split(f.key, '::')[-1] = o.method)
+, found as (select * from cand qualify row_number() over (partition by node_id order by w, t, line, key, file) = 1)"""
+
+
+def _functions(spark: SparkSession) -> DataFrame:
+    """``FUNCTIONS`` over the views of ``tables``."""
+    return spark.sql(f"with n as ({_PARTS}) {FUNCTIONS.replace('chr(', 'char(')}")
+
+
+@query(_CRITICAL + " select 'p' as project, node_id, file, key, line, docstring, code from found")
+def critical_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir)
+    paths = t["nodes"].groupBy("project", (F.col("node_ord") % 50).alias("k")).agg(F.collect_list("node_id").alias("steps"))
+    none = spark.createDataFrame([], "project string, kind string, key string")
+    return R.critical_functions(paths, none, t["nodes"], _functions(spark))
+
+
+_BOTH = _FAILED + _SHOWN + _walk(True) + _walk(False, "_up")
+_PROMPTS = _BOTH + f""", fails as (select s.run_id, s.node_id as test_id, n.file, n.start_line, nullif(s.error_message, '') as error from status s join nodes n on n.node_id = s.node_id and n.is_test where s.status = 'failed')
+, sides as (select test_id, 'Upstream:' || chr(10) || string_agg('  • ' || array_to_string(shown, ' → '), chr(10) order by path_rank) as up, null::varchar as down from best_up group by 1
+  union all select test_id, null::varchar, 'Downstream:' || chr(10) || string_agg('  • ' || array_to_string(shown, ' → '), chr(10) order by path_rank) from best group by 1)
+, bodies as (select test_id, concat_ws(chr(10), max(up), max(down)) as body from sides group by 1)
+, told as (select run_id, string_agg(concat_ws(chr(10), 'Test: ' || test_id, 'Error: ' || error, body), chr(10) order by test_id) as paths from fails join bodies using (test_id) group by 1)"""
+
+
+def _hotspot_sql() -> str:
+    """``hot``: the ranked hotspots of each test, both kinds."""
+    return _SIZE + f""", each as (select test_id, path_rank, unnest(shown) as node, unnest(range(len(shown))) as pos from best)
+, ends as (select e.test_id, e.path_rank, arg_max(n.node_id, e.pos) as fn, arg_max(n.file, e.pos) as file from each e join nodes n on n.node_id = e.node and not n.is_test and n.type <> 'external' group by 1, 2)
+, u as (select test_id, count(distinct fn) as u from ends group by 1)
+, freq as (select test_id, 'function' as kind, fn as key, count(*) as freq from ends group by all union all select test_id, 'file', file, count(*) from ends group by all)
+, hot as (select r.* from (select *, row_number() over (partition by test_id, kind order by freq desc, key) as rank from freq) r join u using (test_id), size where rank <= least({_K}, greatest(3, round_even({_ALPHA} * u, 0))))"""
+
+
+def _run_parts(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(tables, status, failed tests of runs, best paths of both directions, hotspots)."""
+    t, status = _status(spark, sf_dir, "edges")
+    status = written(status, "status")
+    failed = written(_failed(t, status), "failed")
+    tests = failed.select("project", "test_id").distinct()
+    down = written(P.critical_paths(t["nodes"], t["edges"], tests, "downstream"), "down")
+    both = down.unionByName(P.critical_paths(t["nodes"], t["edges"], tests, "upstream"))
+    return t, status, failed, written(both, "paths"), H.hotspots(down, t["nodes"], P.graph_size(t["nodes"], t["edges"]))
+
+
+@query(_PROMPTS + _hotspot_sql() + _CRITICAL + """
+, tops as (select test_id, coalesce(string_agg(key, ', ' order by rank) filter (where kind = 'function' and rank <= 5), '') as fns, coalesce(string_agg(key, ', ' order by rank) filter (where kind = 'file' and rank <= 5), '') as files from hot group by 1)
+, hots as (select run_id, string_agg('- ' || test_id || chr(10) || '  functions: ' || fns || chr(10) || '  files: ' || files, chr(10) order by test_id) as hotspots from fails join tops using (test_id) group by 1)
+, used as (select distinct f.run_id, unnest(b.shown) as node_id from fails f join (select test_id, shown from best union all select test_id, shown from best_up) b using (test_id))
+, snips as (select run_id, string_agg(node_id || ' (line ' || line || '):' || chr(10) || docstring || chr(10) || '    ' || replace(code, chr(10), chr(10) || '    '), chr(10) order by node_id) as snippets from used join found using (node_id) group by 1)
+, heads as (select s.run_id, concat('Total: ', count(*), ' | Passed: ', count(*) filter (where s.status = 'passed'), ' | Failed: ', count(*) filter (where s.status = 'failed'), ' | Skipped: ', count(*) filter (where s.status = 'skipped'),
+  case when count(*) filter (where s.status = 'failed') > 0 then chr(10) || 'Failures:' || chr(10) || string_agg('  - ' || s.node_id || ': ' || coalesce(nullif(s.error_message, ''), '<no message>'), chr(10) order by s.node_id) filter (where s.status = 'failed') else '' end) as head
+  from status s join nodes n on n.node_id = s.node_id and n.is_test group by s.run_id)
+select 'p' as project, run_id, concat_ws(chr(10) || chr(10), 'Explain.', head, 'CRITICAL PATHS:' || chr(10) || paths, 'HOTSPOTS:' || chr(10) || hotspots, 'FUNCTIONS:' || chr(10) || snippets, 'EXAMPLES:' || chr(10) || 'INPUT:' || chr(10) || 'in' || chr(10) || 'OUTPUT:' || chr(10) || 'out') as text
+from heads left join told using (run_id) left join hots using (run_id) left join snips using (run_id)""")
+def full_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole prompt of each run: counts, failures, paths, hotspots, functions and an example."""
+    t, status, failed, paths, hot = _run_parts(spark, sf_dir)
+    detail = written(S.failed_detail(status, t["nodes"]), "detail")
+    own = paths.join(failed, ["project", "test_id"]).select("project", "run_id", "test_id", "direction", "path_rank", "steps")
+    found = R.critical_functions(own.select("project", "steps"), hot.select("project", "kind", "key"), t["nodes"], _functions(spark))
+    fn = own.select("project", "run_id", F.explode("steps").alias("node_id")).distinct().join(found, ["project", "node_id"])
+    example = spark.createDataFrame([("p", "python", 1, "in", "out")], "project string, lang string, ord long, input string, output string")
+    head = R.prompt_summary(S.run_summary(status, t["nodes"]), detail)
+    return R.prompt_full(head, R.prompt_paths(own, detail), R.prompt_hotspots(hot.join(failed, ["project", "test_id"])), R.prompt_snippets(fn), example, "Explain.")
+
+
+@query(_PROMPTS + _hotspot_sql() + """
+, lists as (select test_id, string_agg(key, ',' order by rank) filter (where kind = 'function') as fns, string_agg(key, ',' order by rank) filter (where kind = 'file') as files from hot group by 1)
+, ways as (select test_id, (select string_agg(steps, '|' order by path_rank) from best_up b where b.test_id = f.test_id) as up, (select string_agg(steps, '|' order by path_rank) from best b where b.test_id = f.test_id) as down from failed f)
+select 'p' as project, run_id, nodes, edges, (select count(*) from status s join nodes n on n.node_id = s.node_id and n.is_test where s.run_id = f.run_id) as total, count(*) as failed_tests,
+  string_agg(test_id || ' ' || file || ' ' || start_line || ' ' || coalesce(error, ''), ';' order by test_id) as failures, string_agg(test_id || ' ' || coalesce(error, '') || ' ' || coalesce(up, '') || ' ' || coalesce(down, ''), ';' order by test_id) as paths,
+  string_agg(test_id || ' ' || fns || ' ' || files, ';' order by test_id) filter (where fns is not null) as hotspots
+from fails f join ways using (test_id) left join lists using (test_id), size group by run_id, nodes, edges""")
+def structured_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structured prompt of each run with a failure, its parts read from the JSON document."""
+    t, status, failed, paths, hot = _run_parts(spark, sf_dir)
+    enriched = P.enriched_steps(paths, t["nodes"], status, failed, t["edges"])
+    docs = R.structured_prompt(S.run_summary(status, t["nodes"]), S.failed_detail(status, t["nodes"]), enriched, hot.join(failed, ["project", "test_id"]), P.graph_size(t["nodes"], t["edges"]))
+    way = "array<array<struct<node:string>>>"
+    d = F.from_json("document", f"graph struct<nodes:long,edges:long>, summary struct<total_tests:long,failed_tests:long,failed_detail:array<struct<name:string,file:string,line:int,error:string>>>, critical_paths array<struct<test_id:string,error:string,upstream:{way},downstream:{way}>>, hotspots array<struct<test_id:string,functions:array<string>,files:array<string>>>")
+    steps = lambda c: F.coalesce(F.array_join(F.transform(c, lambda p: F.array_join(F.transform(p, lambda s: s["node"]), ">")), "|"), F.lit(""))
+    text = lambda c, f: F.array_join(F.transform(c, f), ";")
+    got = docs.select("project", "run_id", d.alias("d")).where("d.summary.failed_tests > 0")
+    return got.select(
+        "project", "run_id", "d.graph.nodes", "d.graph.edges", F.col("d.summary.total_tests").alias("total"), "d.summary.failed_tests",
+        text("d.summary.failed_detail", lambda x: F.concat_ws(" ", x["name"], x["file"], x["line"].cast("string"), x["error"])).alias("failures"),
+        text("d.critical_paths", lambda x: F.concat_ws(" ", x["test_id"], F.coalesce(x["error"], F.lit("")), steps(x["upstream"]), steps(x["downstream"]))).alias("paths"),
+        text("d.hotspots", lambda x: F.concat_ws(" ", x["test_id"], F.array_join(x["functions"], ","), F.array_join(x["files"], ","))).alias("hotspots"),
+    )
+
+
 # --- documents and round trips -----------------------------------------------------------------------
 
 

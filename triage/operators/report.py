@@ -270,17 +270,35 @@ def prompt_full(head: DataFrame, paths: DataFrame, hotspots: DataFrame, snippets
     return out.select("project", "run_id", F.concat_ws("\n\n", F.lit(instructions or None), "head", *titled).alias("text"))
 
 
+def _endings(path: str) -> Column:
+    """A path and all that is left of it without its first folders."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
 def critical_functions(paths: DataFrame, hotspots: DataFrame, nodes: DataFrame, functions: DataFrame) -> DataFrame:
-    """``project, node_id, file, key, line, docstring, code`` of functions on paths or in hotspots: by whole file, path suffix or file name (case ignored), then by ``Class::method``, ends, or method alone."""
+    """``project, node_id, file, key, line, docstring, code`` of functions on paths or in hotspots: by whole file, path suffix or file name (case ignored), then by ``Class::method``, ends, or method alone.
+
+    Paths meet by their endings: every file is found under each ending of its path, so a node's file meets those files alone that it ends with or that end with it, however
+    many have the same name. Only nodes without such a file go by the file name, and meet one row for each name and method.
+    """
     used = paths.select("project", F.explode("steps").alias("node_id")).unionByName(hotspots.where("kind = 'function'").select("project", F.col("key").alias("node_id"))).distinct()
     own = used.join(nodes.where("not coalesce(is_test, false) and coalesce(file, '') <> ''").select("project", "node_id", F.replace("file", F.lit("\\"), F.lit("/")).alias("_f")), ["project", "node_id"])
     own = own.withColumns({"_base": F.lower(F.substring_index("_f", "/", -1)), "_method": T.last_token(F.col("node_id")), "_pair": F.substring_index("node_id", "::", -2)})
     fn = functions.withColumns({"_base": F.lower(F.substring_index("file", "/", -1)), "_method": T.last_token(F.col("key"))}).select("project", "_base", "_method", F.col("file").alias("_file"), "key", "line", "docstring", "code")
-    hit = own.join(fn, ["project", "_base", "_method"])
-    where = F.when(F.col("_file") == F.col("_f"), 1).when(F.endswith(F.col("_f"), F.concat(F.lit("/"), "_file")) | F.endswith(F.col("_file"), F.concat(F.lit("/"), "_f")), 2).otherwise(3)
-    name = F.when(F.col("key") == F.col("_pair"), 1).when(F.endswith(F.col("key"), F.concat(F.lit("::"), "_method")), 2).otherwise(3)
-    best = hit.groupBy("project", "node_id").agg(F.min_by(F.struct(F.col("_file").alias("file"), "key", "line", "docstring", "code"), F.struct(where.alias("w"), name.alias("n"), F.col("line"), F.col("key"))).alias("b"))
-    return best.select("project", "node_id", "b.*")
+    longer = own.select("project", "_f").distinct().select("project", "_f", F.explode(_endings("_f")).alias("_file"))
+    files = fn.select("project", "_file").distinct().select("project", "_file", F.explode(_endings("_file")).alias("_f"))
+    met = longer.unionByName(files.where("_f <> _file").select("project", "_f", "_file")).distinct()
+    near = own.join(met, ["project", "_f"]).join(fn.drop("_base"), ["project", "_file", "_method"]).withColumn("w", F.when(F.col("_file") == F.col("_f"), 1).otherwise(2))
+    far = own.join(near.select("project", "node_id").distinct(), ["project", "node_id"], "left_anti")
+    body = F.struct(F.col("_file").alias("file"), "key", "line", "docstring", "code")
+    name = F.when(F.endswith(F.col("key"), F.concat(F.lit("::"), "_method")), 2).otherwise(3)
+    by_pair = fn.groupBy("project", "_base", F.col("key").alias("_pair")).agg(F.min_by(body, F.struct("line", "_file")).alias("p"))
+    by_name = fn.groupBy("project", "_base", "_method").agg(F.min_by(body, F.struct(name.alias("n"), F.col("line"), F.col("key"), F.col("_file"))).alias("m"))
+    late = far.join(by_pair, ["project", "_base", "_pair"], "left").join(by_name, ["project", "_base", "_method"], "left").select("project", "node_id", F.coalesce("p", "m").alias("b")).where("b is not null")
+    tier = F.when(F.col("key") == F.col("_pair"), 1).otherwise(name)
+    best = near.groupBy("project", "node_id").agg(F.min_by(body, F.struct("w", tier.alias("n"), F.col("line"), F.col("key"), F.col("_file"))).alias("b"))
+    return best.unionByName(late).select("project", "node_id", "b.*")
 
 
 def fallback_targets(runs_without: DataFrame, detail: DataFrame, lang: str) -> DataFrame:
