@@ -855,3 +855,61 @@ def type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(""" select 'p' as project, run_id, ord, string_split(test_name, '::')[-1] as label, (row_number() over (partition by run_id order by string_split(test_name, '::')[-1], test_name, ord))::int as position from analysis""")
 def bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bubbles(R.risk_scores(tables(spark, sf_dir, "analysis")["analysis"])).select("project", "run_id", "ord", "label", "position")
+
+
+# --- what models answer, what projects refer to, files and runs without the usual parts -----------------
+
+
+@query(""", a as (select doc_id, translate(coalesce(text, ''), '{}', '()') as prose, unnest(range(doc_id % 3 + 1)) as ord from documents where doc_id % 5 <> 0)
+select 'p' as project, doc_id::varchar as run_id, ord, 't' || ord as test_name, 'want {' || ord || '}' as error, md5(prose) as cause, len(prose)::bigint as length from a""")
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of answers that stand alone or within whole documents, whose text is their root cause, too; of every fifth answer nothing can be read."""
+    tables(spark, sf_dir)
+    prose = F.translate(F.coalesce("text", F.lit("")), "{}", "()")
+    item = lambda i: F.struct(F.concat(F.lit("t"), i.cast("string")).alias("test_name"), F.concat(F.lit("want {"), i.cast("string"), F.lit("}")).alias("error"), prose.alias("root_cause"))
+    answer = F.to_json(F.struct(F.transform(F.sequence(F.lit(0), F.col("doc_id") % 3), item).alias("analysis")))
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(prose, F.lit('{"analysis": [}'), prose)).when(F.col("doc_id") % 7 == 1, answer).otherwise(F.concat(prose, F.lit(" } "), answer, F.lit(" { "), prose))
+    found = I.read_analysis(spark.table("documents").select(F.lit("p").alias("project"), F.col("doc_id").cast("string").alias("run_id"), text.alias("text")))
+    return found.select("project", "run_id", "ord", "test_name", "error", F.md5(F.col("root_cause").cast("binary")).alias("cause"), F.length("root_cause").cast("long").alias("length"))
+
+
+@query(f""", fs as ({_FILES}) select distinct 'p' || g % 3 as project, 'project' as kind, 'Lib' || k % 13 as name from fs union all select distinct 'p' || g % 3, 'package', 'Pkg.N' || k % 17 from fs""")
+def project_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects and packages that C# project files name, with paths of either kind of slash."""
+    tables(spark, sf_dir)
+    slash = F.when(F.col("k") % 2 == 0, "\\").otherwise("/")
+    lib = F.concat(F.lit("Lib"), (F.col("k") % 13).cast("string"))
+    refs = F.concat(F.lit('<ProjectReference Include="'), F.concat_ws("", F.lit(".."), slash, lib, slash, lib), F.lit('.csproj" /><PackageReference Include="Pkg.N'), (F.col("k") % 17).cast("string"), F.lit('" Version="1.0" />'))
+    each = spark.sql(_FILES).withColumn("refs", refs).groupBy("g").agg(F.array_join(F.array_sort(F.collect_list("refs")), "\n").alias("refs"))
+    files = each.select(F.concat(F.lit("p"), (F.col("g") % 3).cast("string"), F.lit("/src/B"), F.col("g").cast("string"), F.lit(".csproj")).alias("path"), F.concat(F.lit("<Project><ItemGroup>\n"), "refs", F.lit("\n</ItemGroup></Project>")).alias("content"))
+    top = f"{shared_dir(spark)}/triage/projects-{uuid.uuid4().hex}"
+    _put(files, top)
+    projects, packages = I.read_csproj_refs(spark, top)
+    return projects.withColumn("kind", F.lit("project")).unionByName(packages.withColumn("kind", F.lit("package"))).select("project", "kind", "name")
+
+
+@query(f""", fs as ({_FILES}) select distinct 'p' || g % 3 as project, 'src/m' || g || '.py' as file from fs where g % 4 = 1""")
+def source_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that can't be parsed, among the others of all three languages."""
+    sources = tables(spark, sf_dir, "sources")["sources"]
+    number = F.regexp_extract("file", r"(\d+)\.py$", 1)
+    return X.rejects(sources.withColumn("text", F.when((number != "") & (number.try_cast("long") % 4 == 1), F.concat("text", F.lit("def (\n"))).otherwise(F.col("text"))))
+
+
+@query(""", ext as (select node_id as external from nodes where type = 'external')
+, sides as (select x.external, n.file, 1 as side, min(e.edge_ord) as o from ext x join edges e on e.dst = x.external join nodes n on n.node_id = e.src group by 1, 2
+  union all select x.external, n.file, 2, min(e.edge_ord) from ext x join edges e on e.src = x.external join nodes n on n.node_id = e.dst group by 1, 2)
+, firsts as (select external, file, row_number() over (partition by external order by o, file) as n from (select *, min(side) over (partition by external) as best from sides) where side = best qualify n <= 5)
+select 'p' as project, x.external, coalesce(string_agg(f.file, '|' order by f.n), '') as callers from ext x left join firsts f using (external) group by 2""")
+def external_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first files that call an external node, else that it calls."""
+    t = tables(spark, sf_dir, "edges")
+    return P.external_origins(t["nodes"], t["edges"]).withColumn("callers", F.array_join("callers", "|"))
+
+
+@query(_MATCH + """ select 'p' as project, s.run_id, s.node_id as title, 'unit' as type, coalesce(s.error_message, '') as message, n.file, n.file as location
+from status s join nodes n on n.node_id = s.node_id and n.is_test where s.status = 'failed'""")
+def failures_without_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of failures of runs that no model has seen."""
+    t, status = _status(spark, sf_dir)
+    return R.failures_from_detail(S.failed_detail(status, t["nodes"])).select("project", "run_id", "title", "type", "message", "file", "location")
