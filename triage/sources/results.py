@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -205,15 +204,30 @@ def first_json_block(content: str | None) -> str | None:
 _ANALYSIS = "struct<test_name:string,error:string,call_path:array<string>,locus:struct<files:array<string>,functions:array<string>,suspects:array<string>>,failure_type:string,root_cause:string,severity:string,suggested_fixes:array<string>,rationale:array<string>,insight_bullets:array<string>,heuristic_locations:array<string>>"
 
 
-def read_analysis(texts: DataFrame) -> DataFrame:
-    """Items of model answers: ``project, run_id, text`` -> one row an item, with ``ord``. A text without JSON gives none."""
+#: Bytes of answers that leave a task as one batch, or one answer.
+_ANSWERS = 4 << 20
 
-    @F.pandas_udf("string")
-    def block(c: pd.Series) -> pd.Series:
-        return c.map(first_json_block)
 
-    items = F.from_json(block("text"), f"analysis array<{_ANALYSIS}>")["analysis"]
-    return texts.select("project", "run_id", F.posexplode(items).alias("ord", "item")).select("project", "run_id", F.col("ord").cast("long").alias("ord"), "item.*")
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``project, run_id, text`` with the JSON of each text in its place; one text at a time is a Python object."""
+    for batch in batches:
+        text, begin, size, found = batch.column("text"), 0, 0, []
+        for i in range(len(text)):
+            found.append(first_json_block(text[i].as_py()))
+            size += len(found[-1] or "")
+            if size >= _ANSWERS or i + 1 == len(text):
+                part = batch.slice(begin, len(found))
+                yield pa.RecordBatch.from_arrays([part.column("project"), part.column("run_id"), pa.array(found, pa.string())], names=["project", "run_id", "text"])
+                begin, size, found = i + 1, 0, []
+
+
+def read_analysis(texts: DataFrame) -> DataFrame:
+    """Items of model answers: ``project, run_id, text`` -> one row an item, with ``ord``. A text without JSON gives none."""
+    own = texts.select("project", "run_id", F.col("text").cast("string").alias("text"))
+    items = F.from_json("text", f"analysis array<{_ANALYSIS}>")["analysis"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)  # every column may be null
+    found = own.mapInArrow(_blocks, kinds).select("project", "run_id", F.posexplode(items).alias("ord", "item"))
+    return found.select("project", "run_id", F.col("ord").cast("long").alias("ord"), "item.*")
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
