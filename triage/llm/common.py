@@ -7,8 +7,6 @@ at a time, not the length of a text.
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -17,27 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triage.sources.shared import shared_dir
+
 SEGMENT = 1 << 20
 M64 = 0xFFFFFFFFFFFFFFFF
 
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset, one of our own for each
-    application, but only if driver and executors are one process. On a cluster an unset folder is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if not re.match(r"local(\[|$)", context.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if context.applicationId not in _OWN:
-        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="triage-shared-")
-    return _OWN[context.applicationId]
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: cuts the lineage and outlives lost executors.
 
