@@ -220,3 +220,25 @@ def test_extractors_are_a_table_function_and_more_can_be_added(spark, monkeypatc
     got = spark.sql("select * from functions_of_any(table(select * from odd_sources) partition by file)")
     assert rows(got.where("lang = 'ruby'"), "file", "key", "line") == [("x.rb", "one", 1), ("x.rb", "two", 3)]
     assert rows(got, "file", "lang", "key") == rows(X.extract_functions(src), "file", "lang", "key")
+
+
+def test_what_files_hold_leaves_a_task_in_small_parts():
+    """A batch of many files isn't held as Python objects at once; each file comes out once, in its place."""
+    import pyarrow as pa
+
+    class Captured:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, parse, schema):
+            return parse
+
+    body = "def f(a):\n    g(a)\n" * 1000
+    n, texts = 60, [None, "def ("] + [body] * 58
+    batch = pa.RecordBatch.from_pydict({"project": ["p"] * n, "file": [f"{i}.py" for i in range(n)], "lang": ["python"] * n, "text": texts})
+    out = list(X.parse_sources(Captured())(iter([batch])))
+    assert max(sum(len(texts[int(f[:-3])] or "") for f in b.column("file").to_pylist()) for b in out) <= X._HELD and len(out) >= 58 * len(body) // X._HELD
+    assert [f for b in out for f in b.column("file").to_pylist()] == [f"{i}.py" for i in range(n)]
+    assert [len(x) for b in out for x in b.column("functions").to_pylist()] == [0, 0] + [1000] * 58
+    assert [x for b in out for x in b.column("failed").to_pylist()] == [False, True] + [False] * 58
+    assert list(X._stretches([], 5)) == [] and list(X._stretches([9, 1, 4, 1], 5)) == [(0, 1), (1, 2), (3, 1)]
