@@ -124,3 +124,24 @@ def test_candidates_meet_the_nodes_that_hold_them(spark):
         exact = file.endswith(".py")
         want |= {("p", file, i) for i in ids if file and file in i and (not exact or i.split("::")[0].split("/")[-1] == file.split("/")[-1])}
     assert got == want and any(not f.endswith(".py") for _, f, _ in got)
+
+
+def test_blocks_of_seeds_stay_within_unconnected_parts(spark, monkeypatch):
+    """Eight stars of 64 nodes, whose names take turns; a block holds 64 seeds, so eight blocks in all have to walk about a star each."""
+    monkeypatch.setattr(P, "_LANES", 1)
+    monkeypatch.setattr(P, "_FEW", 0, raising=False)
+    rows, write = [], P.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "reach":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(P, "written", counted)
+    name = lambda star, k: f"n{k:02}.py::f{star}"
+    calls = spark.createDataFrame([("p", *pair, 0) for r in range(8) for k in range(1, 64) for pair in itertools.permutations((name(r, 0), name(r, k)))], EDGES)
+    seeds = spark.createDataFrame([("p", name(r, k)) for r in range(8) for k in range(64)], PAIR.format("seed"))
+    got = {(r["seed"], r["node_id"]): r["dist"] for r in P.graph_distance(calls, seeds).collect()}
+    assert got == {(name(r, a), name(r, b)): 0 if a == b else 1 if 0 in (a, b) else 2 for r in range(8) for a in range(64) for b in range(64)}
+    assert max(rows) <= 2 * 3 * 512  # both ways; 2 * 8 * 512 if each block reached every star
