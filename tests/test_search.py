@@ -2,12 +2,14 @@
 
 import itertools
 import random
+import re
 from collections import deque
 
 import pytest
 
 from triage.operators import locate as L
 from triage.operators import paths as P
+from triage.sources import shared
 
 NODES = "project string, node_id string, type string, file string, is_test boolean, start_line int, node_ord long"
 EDGES = "project string, src string, dst string, edge_ord long"
@@ -145,3 +147,28 @@ def test_blocks_of_seeds_stay_within_unconnected_parts(spark, monkeypatch):
     got = {(r["seed"], r["node_id"]): r["dist"] for r in P.graph_distance(calls, seeds).collect()}
     assert got == {(name(r, a), name(r, b)): 0 if a == b else 1 if 0 in (a, b) else 2 for r in range(8) for a in range(64) for b in range(64)}
     assert max(rows) <= 2 * 3 * 512  # both ways; 2 * 8 * 512 if each block reached every star
+
+
+def test_a_round_moves_paths_to_calls_not_calls_to_paths(spark, monkeypatch):
+    plans, write = [], P.written_and_counted
+
+    def seen(df, name):
+        if name == "made":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(P, "written_and_counted", seen)
+    monkeypatch.setattr(shared, "BUCKET", 30, raising=False)  # more than one bucket
+    nodes = spark.createDataFrame([("p", f"n{k}.py::f", "function", f"n{k}.py", k == 0, 1, k) for k in range(12)], NODES)
+    calls = spark.createDataFrame([("p", f"n{a}.py::f", f"n{b}.py::f", 0) for a, b in itertools.permutations(range(12), 2)] * 2, EDGES)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = P.critical_paths(nodes, calls, spark.createDataFrame([("p", "n0.py::f")], PAIR.format("test_id")), "downstream", cutoff=2).orderBy("path_rank").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    others = sorted(f"n{k}.py::f" for k in range(1, 12))
+    assert [tuple(r["steps"]) for r in got] == [("n0.py::f", *w) for w in itertools.islice(itertools.permutations(others, 2), 5)]
+    assert plans and [len(re.findall(r"Exchange hashpartitioning\(_from", p)) for p in plans] == [1] * len(plans), plans[0][:6000]
+    # the least ways on are chosen below what deals rows by test: a tree's inner nodes come later
+    assert all(p.index("Exchange hashpartitioning(test") < p.index("Window [row_number() windowspecdefinition(_from") for p in plans)
