@@ -6,6 +6,7 @@ import re
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from triage.operators import locate as L
 from triage.operators import paths as P
@@ -172,3 +173,32 @@ def test_a_round_moves_paths_to_calls_not_calls_to_paths(spark, monkeypatch):
     assert plans and [len(re.findall(r"Exchange hashpartitioning\(_from", p)) for p in plans] == [1] * len(plans), plans[0][:6000]
     # the least ways on are chosen below what deals rows by test: a tree's inner nodes come later
     assert all(p.index("Exchange hashpartitioning(test") < p.index("Window [row_number() windowspecdefinition(_from") for p in plans)
+
+
+def test_a_hop_moves_bits_to_calls_and_names_come_before_pairs(spark, monkeypatch):
+    """Calls stay in their buckets in all hops, and what goes to the names of seeds is a row for 64 of them."""
+    plans, write = [], P.written
+
+    def seen(df, name):
+        if name == "reach":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(P, "written", seen)
+    monkeypatch.setattr(shared, "BUCKET", 30)  # more than one bucket
+    _, edges = random_graph(3, 60, 2)
+    calls = spark.createDataFrame([("p", a, b, 0) for a, b in edges], EDGES)
+    asked = sorted({e[0] for e in edges})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = P.graph_distance(calls, spark.createDataFrame([("p", s) for s in asked], PAIR.format("seed")))
+        got = {(r["seed"], r["node_id"]): r["dist"] for r in near.collect()}
+        last = near._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {(s, x): d for s in asked for x, d in plain_distances(edges, s).items()}
+    for p in plans[1:]:
+        assert len(re.findall(r"Exchange hashpartitioning\(place", p)) == 1 and "Bucketed: true" in p, p[:6000]
+    assert last.index("Generate explode(filter") < last.index("Join Inner, ((block")  # a tree's inner nodes come later
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
