@@ -202,3 +202,32 @@ def test_a_hop_moves_bits_to_calls_and_names_come_before_pairs(spark, monkeypatc
         assert len(re.findall(r"Exchange hashpartitioning\(place", p)) == 1 and "Bucketed: true" in p, p[:6000]
     assert last.index("Generate explode(filter") < last.index("Join Inner, ((block")  # a tree's inner nodes come later
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+@pytest.mark.parametrize("many", [True, False])
+def test_candidates_are_ranked_by_the_pairs_asked_for(spark, monkeypatch, many):
+    """The same ranks as by all distances, whether there are fewer files than tests or more; edges name nodes by a number."""
+    monkeypatch.setattr(P, "_LANES", 1)
+    monkeypatch.setattr(P, "_FEW", 0)
+    sizes, reached = [], P._reached
+
+    def counted(*args):
+        sizes.append(args[1].select("name").distinct().count())
+        return reached(*args)
+
+    monkeypatch.setattr(P, "_reached", counted)
+    nodes, edges = random_graph(11, 120, 1)
+    order = {n[0]: k for k, n in enumerate(nodes)}
+    table = spark.createDataFrame([("p", n, k) for n, k in order.items()], "project string, node_id string, node_ord long")
+    numbers = spark.createDataFrame([("p", order[a], order[b]) for a, b in edges], "project string, src long, dst long")
+    texts = spark.createDataFrame([("p", a, b, 0) for a, b in edges], EDGES)
+    ids, rng = sorted(order), random.Random(2)
+    tests = rng.sample(ids, 100 if many else 4)
+    files = [i.split("::")[0].replace("/", ">") for i in rng.sample(ids, 3 if many else 40)] + ["nowhere.py"]
+    rows = [("p", t, k, f"{f}>{k + 1}") for t in tests for k, f in enumerate(rng.sample(files, 4 if many else 30))]
+    c = spark.createDataFrame(rows, "project string, test_id string, idx int, candidate string")
+    near = P.graph_distance(texts, c.select("project", F.col("test_id").alias("seed")).distinct(), 3)
+    want = L.rank_candidates(c, near, L.candidate_nodes(c, table))
+    got = L.rank_in_graph(c, table, numbers, 3, "node_ord")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert any(r["dist"] is not None for r in got.collect()) and sizes[-1] <= 4
